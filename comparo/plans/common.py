@@ -42,3 +42,17 @@ def with_sql(*parts: str) -> str:
     if body.lstrip().upper().startswith("SELECT"):
         return head + "\n" + body
     return head + ",\n" + body.lstrip("\n")
+
+
+def split_frame(spark: SparkSession, sf_dir: str, fractions=(0.7, 0.8)) -> DataFrame:
+    """``priced`` + position (SP1) + 70/10/20 split + target y = ln(ppsf)."""
+    from comparo.operators.split import temporal_split
+    p = priced(spark, sf_dir).withColumn("y", F.log("ppsf"))
+    return temporal_split(p, fractions)
+
+
+SPLIT_SQL = PRICED_SQL + """,
+posd AS (SELECT *, row_number() OVER (ORDER BY day, seq) AS pos, count(*) OVER () AS n_all FROM priced),
+spl AS (SELECT *, CASE WHEN pos <= floor(0.7 * n_all) THEN 'train'
+                       WHEN pos <= floor(0.8 * n_all) THEN 'val' ELSE 'test' END AS split,
+               ln(ppsf) AS y FROM posd)"""
