@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from comparo.operators.clean import valid_sales, with_ppsf
 from comparo.sources.sales import SALES_ORDERS_SQL, SALES_SQL, sales
 
-R = 6  # doubles are rounded to 6 decimals on both sides before comparison
+R = 6  # sums/averages/transcendentals are rounded to 6 decimals on both sides
+
+# Fixed value: nudge added before rounding.  Averages of 2-decimal prices often
+# sit exactly on a half at the 7th decimal, and the two engines' last-bit noise
+# (~1e-11) would split such ties; the nudge moves every tie to the same side.
+TIE_NUDGE = 1e-9
 
 
 def rnd(c, scale: int = R):
-    return F.round(c if not isinstance(c, str) else F.col(c), scale)
+    """Tie-stable rounding; the SQL twins write ``round(1e-9 + x, 6)``."""
+    return F.round(F.lit(TIE_NUDGE) + (c if not isinstance(c, str) else F.col(c)), scale)
 
 
 def priced(spark: SparkSession, sf_dir: str, with_orders: bool = False) -> DataFrame:

@@ -60,11 +60,11 @@ def baseline_error_by_month(spark, sf_dir, method="chunked"):
 query("baseline_error_by_month", sql=with_sql(SHRUNK_SQL, """
 SELECT CAST(date_trunc('month', list_date) AS DATE) AS month_start, count(*) AS n_sales,
        count(base_ppsf) AS n_priced,
-       round(avg(abs(sold_price - base_ppsf * area)), 6) AS mae,
-       round(sum(abs(sold_price - base_ppsf * area))
+       round(1e-9 + avg(abs(sold_price - base_ppsf * area)), 6) AS mae,
+       round(1e-9 + sum(abs(sold_price - base_ppsf * area))
              / sum(CASE WHEN base_ppsf IS NOT NULL THEN abs(sold_price) END), 6) AS wape,
        median(abs(sold_price - base_ppsf * area)) AS median_abs_error,
-       round(avg(alpha), 6) AS mean_alpha,
+       round(1e-9 + avg(alpha), 6) AS mean_alpha,
        sum(CASE WHEN n_grp < 15 THEN 1 ELSE 0 END) AS n_sparse
 FROM shrunk GROUP BY 1"""))(baseline_error_by_month)
 
@@ -150,7 +150,7 @@ def levels(spark, sf_dir, mode="strict"):
 
 @query("baseline_levels_coalesce", sql=with_sql(LEVELS_SQL, """
 SELECT sale_key, ppsf_baseline, baseline_level,
-       round(ln(sold_price) - ln(ppsf_baseline * area), 6) AS log_price_ratio
+       round(1e-9 + ln(sold_price) - ln(ppsf_baseline * area), 6) AS log_price_ratio
 FROM lvl"""))
 def baseline_levels_coalesce(spark, sf_dir):
     t = levels(spark, sf_dir)

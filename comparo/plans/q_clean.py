@@ -51,7 +51,7 @@ _PROFILE_COLS = ("sold_price", "list_price", "area", "maint_fee", "bedrooms", "y
 
 @query("column_profile", sql=with_sql(SALES_SQL, "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column, count({c}) AS non_null, count(*) - count({c}) AS nulls, "
-    f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 9) AS mean FROM sales"
+    f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(1e-9 + avg({c}), 9) AS mean FROM sales"
     for c in _PROFILE_COLS)))
 def column_profile_q(spark, sf_dir):
     s = sales(spark, sf_dir).select(*[F.col(c).cast("double").alias(c) for c in _PROFILE_COLS])

@@ -57,9 +57,9 @@ tr AS (SELECT sale_key, complex, day, seq,
 g AS (SELECT avg(y) AS gm FROM spl WHERE split = 'train'),
 te AS (SELECT sale_key, complex, day, seq, coalesce(cs / NULLIF(cc, 0), gm) AS te FROM tr, g),
 last AS (SELECT complex, arg_max(te, (day, seq)) AS last_te FROM te GROUP BY complex)
-SELECT sale_key, round(te, 6) AS complex_te FROM te
+SELECT sale_key, round(1e-9 + te, 6) AS complex_te FROM te
 UNION ALL
-SELECT s.sale_key, round(coalesce(l.last_te, g.gm), 6) FROM spl s LEFT JOIN last l USING (complex), g
+SELECT s.sale_key, round(1e-9 + coalesce(l.last_te, g.gm), 6) FROM spl s LEFT JOIN last l USING (complex), g
 WHERE s.split <> 'train'"""))
 def te_ordered(spark, sf_dir):
     """Expanding mean of earlier train rows per category; val/test take the last train value."""
@@ -77,12 +77,12 @@ f AS (SELECT fold, sum(y) AS s_f, count(y) AS n_f FROM tr GROUP BY 1)"""
 
 
 @query("te_kfold", sql=with_sql(_KF, """
-SELECT tr.sale_key, round(coalesce(CASE WHEN c.n_c - coalesce(cf.n_cf, 0) > 0
+SELECT tr.sale_key, round(1e-9 + coalesce(CASE WHEN c.n_c - coalesce(cf.n_cf, 0) > 0
                     THEN (c.s_c - coalesce(cf.s_cf, 0)) / (c.n_c - coalesce(cf.n_cf, 0)) END,
                   (g.s - f.s_f) / (g.n - f.n_f)), 6) AS complex_te
 FROM tr JOIN c USING (complex) LEFT JOIN cf USING (complex, fold) JOIN f USING (fold), g
 UNION ALL
-SELECT kf.sale_key, round(coalesce(c.s_c / c.n_c, g.s / g.n), 6)
+SELECT kf.sale_key, round(1e-9 + coalesce(c.s_c / c.n_c, g.s / g.n), 6)
 FROM kf LEFT JOIN c USING (complex), g WHERE kf.split <> 'train'"""))
 def te_kfold(spark, sf_dir):
     """Shuffled 5-fold target encoding by subtraction, unsmoothed."""
@@ -104,11 +104,11 @@ o AS (SELECT tr.sale_key, c.n_c - coalesce(cf.n_cf, 0) AS n_o, c.s_c - coalesce(
 
 
 @query("te_kfold_shrunk", sql=with_sql(_KFC, """
-SELECT o.sale_key, round(CASE WHEN n_o > 0 THEN n_o / (n_o + 10.0) * (s_o / n_o) + (1 - n_o / (n_o + 10.0)) * gm END, 6)
+SELECT o.sale_key, round(1e-9 + CASE WHEN n_o > 0 THEN n_o / (n_o + 10.0) * (s_o / n_o) + (1 - n_o / (n_o + 10.0)) * gm END, 6)
        AS fsa_te
 FROM o, g
 UNION ALL
-SELECT s80.sale_key, round(coalesce(c.n_c / (c.n_c + 10.0) * (c.s_c / c.n_c) + (1 - c.n_c / (c.n_c + 10.0)) * gm, gm), 6)
+SELECT s80.sale_key, round(1e-9 + coalesce(c.n_c / (c.n_c + 10.0) * (c.s_c / c.n_c) + (1 - c.n_c / (c.n_c + 10.0)) * gm, gm), 6)
 FROM s80 LEFT JOIN c USING (fsa), g WHERE s80.split80 = 'test'"""))
 def te_kfold_shrunk(spark, sf_dir):
     """Contiguous 5-fold FSA encoding with shrinkage n/(n+10) over the 80% train."""
@@ -136,12 +136,12 @@ pr AS (SELECT block, sum(s_b) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECED
                    / sum(n_b) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM bb),
 g AS (SELECT avg(y) AS gm FROM b),
 fullc AS (SELECT type_dwel, sum(s_cb) AS s_c, sum(n_cb) AS n_c FROM cb GROUP BY 1)
-SELECT b.sale_key, round(CASE WHEN b.block = 0 THEN NULL
+SELECT b.sale_key, round(1e-9 + CASE WHEN b.block = 0 THEN NULL
                               ELSE coalesce((cum.s_prev + 50.0 * pr.prior) / (cum.n_prev + 50.0), pr.prior) END, 6)
        AS type_dwel_te
 FROM b LEFT JOIN cum USING (type_dwel, block) LEFT JOIN pr USING (block)
 UNION ALL
-SELECT spl.sale_key, round(coalesce((fullc.s_c + 50.0 * g.gm) / (fullc.n_c + 50.0), g.gm), 6)
+SELECT spl.sale_key, round(1e-9 + coalesce((fullc.s_c + 50.0 * g.gm) / (fullc.n_c + 50.0), g.gm), 6)
 FROM spl LEFT JOIN fullc USING (type_dwel), g WHERE spl.split <> 'train'"""))
 def te_time_series(spark, sf_dir):
     """Expanding-block encoding with smoothing m = 50 (prior = earlier blocks' mean)."""
@@ -157,7 +157,7 @@ def te_time_series(spark, sf_dir):
 @query("standardize", sql=with_sql(SPLIT_SQL, """
 st AS (SELECT avg(area) AS ma, stddev_pop(area) AS sa, avg(list_price) AS ml, stddev_pop(list_price) AS sl
        FROM spl WHERE split = 'train')
-SELECT sale_key, round((area - ma) / sa, 6) AS area_z, round((list_price - ml) / sl, 6) AS list_price_z
+SELECT sale_key, round(1e-9 + (area - ma) / sa, 6) AS area_z, round(1e-9 + (list_price - ml) / sl, 6) AS list_price_z
 FROM spl, st"""))
 def standardize(spark, sf_dir):
     """Z-scores with train mean and population sd."""

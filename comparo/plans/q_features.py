@@ -15,8 +15,8 @@ from comparo.plans.registry import query
 SELECT sale_key, year(list_date) AS year, month(list_date) AS month, quarter(list_date) AS quarter,
        dayofyear(list_date) AS day_of_year, weekofyear(list_date) AS iso_week,
        CAST(date_trunc('month', list_date) AS DATE) AS month_start,
-       round(sin(2 * pi() * month(list_date) / 12.0), 6) AS month_sin,
-       round(cos(2 * pi() * month(list_date) / 12.0), 6) AS month_cos,
+       round(1e-9 + sin(2 * pi() * month(list_date) / 12.0), 6) AS month_sin,
+       round(1e-9 + cos(2 * pi() * month(list_date) / 12.0), 6) AS month_cos,
        (list_date - DATE '2015-01-01') / 30.0 AS month_idx
 FROM priced"""))
 def calendar_features(spark, sf_dir):
@@ -103,8 +103,8 @@ codes AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS loc_c
 a AS (SELECT sale_key, area, coalesce(fsa, 'Unknown') AS v,
              coalesce(greatest(year(list_date) - least(greatest(yr_blt, 1900), year(list_date)), 0), 20)::DOUBLE AS age
       FROM priced)
-SELECT sale_key, loc_code, age * age AS age_squared, round(ln(1 + age), 6) AS age_log,
-       area * area AS sqft_squared, round(ln(1 + area), 6) AS sqft_log,
+SELECT sale_key, loc_code, age * age AS age_squared, round(1e-9 + ln(1 + age), 6) AS age_log,
+       area * area AS sqft_squared, round(1e-9 + ln(1 + area), 6) AS sqft_log,
        loc_code * age AS location_age, loc_code * area AS location_size
 FROM a JOIN codes USING (v)"""))
 def poly_interactions(spark, sf_dir):
@@ -117,8 +117,8 @@ def poly_interactions(spark, sf_dir):
 
 
 @query("log_targets", sql=with_sql(PRICED_SQL, """
-SELECT sale_key, round(ln(sold_price), 6) AS log_price, round(ln(1 + sold_price), 6) AS log1p_price,
-       round(ln(ppsf), 6) AS log_ppsf, round(abs(exp(ln(sold_price)) - sold_price), 6) AS back_transform_err
+SELECT sale_key, round(1e-9 + ln(sold_price), 6) AS log_price, round(1e-9 + ln(1 + sold_price), 6) AS log1p_price,
+       round(1e-9 + ln(ppsf), 6) AS log_ppsf, round(1e-9 + abs(exp(ln(sold_price)) - sold_price), 6) AS back_transform_err
 FROM priced"""))
 def log_targets(spark, sf_dir):
     """Log, log1p targets and the back-transform."""

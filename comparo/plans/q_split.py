@@ -115,14 +115,14 @@ def _weights(spark, sf_dir):
 
 
 @query("weights_recency", sql=with_sql(_WEIGHTS_SQL, """
-SELECT sale_key, split, round(w_recency, 6) AS w_recency FROM wn"""))
+SELECT sale_key, split, round(1e-9 + w_recency, 6) AS w_recency FROM wn"""))
 def weights_recency(spark, sf_dir):
     """WT1/WT2/WT6: half-life 365 days from the newest train date, floor 0.05; NULL outside train."""
     return _weights(spark, sf_dir).select("sale_key", "split", rnd("w_recency").alias("w_recency"))
 
 
 @query("weights_wape_normalized", sql=with_sql(_WEIGHTS_SQL, """
-SELECT sale_key, round(w_norm * 1000, 6) AS w_norm_x1000 FROM wn WHERE split = 'train'"""))
+SELECT sale_key, round(1e-9 + w_norm * 1000, 6) AS w_norm_x1000 FROM wn WHERE split = 'train'"""))
 def weights_wape_normalized(spark, sf_dir):
     """WT3/WT5: recency × 1/max(price,1000), divided by its train mean."""
     w = _weights(spark, sf_dir).where(F.col("split") == "train")
@@ -130,9 +130,9 @@ def weights_wape_normalized(spark, sf_dir):
 
 
 @query("weight_quantiles", sql=with_sql(_WEIGHTS_SQL, """
-SELECT round(min(w_recency), 6) AS w_min, round(quantile_cont(w_recency, 0.25), 6) AS w_p25,
-       round(median(w_recency), 6) AS w_median, round(quantile_cont(w_recency, 0.75), 6) AS w_p75,
-       round(max(w_recency), 6) AS w_max, round(avg(w_recency), 6) AS w_mean
+SELECT round(1e-9 + min(w_recency), 6) AS w_min, round(1e-9 + quantile_cont(w_recency, 0.25), 6) AS w_p25,
+       round(1e-9 + median(w_recency), 6) AS w_median, round(1e-9 + quantile_cont(w_recency, 0.75), 6) AS w_p75,
+       round(1e-9 + max(w_recency), 6) AS w_max, round(1e-9 + avg(w_recency), 6) AS w_mean
 FROM wn WHERE split = 'train'"""))
 def weight_quantiles(spark, sf_dir):
     """WT7/L9 (A5): weight distribution of the train rows."""
