@@ -50,20 +50,23 @@ _G0 = "__g"
 def frame_median_by_day(df: DataFrame, groups, value: str, lo: int, hi: int = 1, *,
                         day: str = "day", method: str = "chunked",
                         value_splits: int | None = None,
-                        max_task_rows: int = 2_000_000) -> DataFrame:
+                        max_task_rows: int = 2_000_000,
+                        targets: DataFrame | None = None) -> DataFrame:
     """Median and count of ``value`` over the days ``[t - lo, t - hi]`` of the group.
 
-    Returns one row per distinct (group..., day) of ``df`` whose group keys are
-    not NULL, with columns ``group..., day, med, n`` (``n`` counts non-NULL
-    values; ``med`` is NULL when ``n = 0``).  ``groups=[]`` is the global frame.
+    Returns one row per distinct (group..., day) of ``df`` (or of ``targets``
+    when given: e.g. new listings priced from a history table) whose group
+    keys are not NULL, with columns ``group..., day, med, n`` (``n`` counts
+    non-NULL values; ``med`` is NULL when ``n = 0``).  ``groups=[]`` is the
+    global frame.
     """
     groups = list(groups)
     if hi < 0 or lo < hi:
         raise ValueError("need 0 <= hi <= lo")
     if method == "sql":
-        return _frame_sql(df, groups, value, lo, hi, day)
+        return _frame_sql(df, groups, value, lo, hi, day, targets)
     if method == "chunked":
-        return _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows)
+        return _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -74,13 +77,20 @@ def _not_null_keys(df: DataFrame, groups):
     return df.where(cond)
 
 
-def _frame_sql(df, groups, value, lo, hi, day):
-    base = _not_null_keys(df, groups).select(*groups, day, value)
+def _frame_sql(df, groups, value, lo, hi, day, targets=None):
+    base = _not_null_keys(df, groups).select(*groups, day, F.col(value).cast("double").alias(value),
+                                             F.lit(False).alias("__is_t"))
+    if targets is not None:
+        t = (_not_null_keys(targets, groups).select(*groups, day).distinct()
+             .select(*groups, day, F.lit(None).cast("double").alias(value), F.lit(True).alias("__is_t")))
+        base = base.unionByName(t)
     w = (Window.partitionBy(*groups) if groups else Window).orderBy(day).rangeBetween(-lo, -hi)
-    return (base.select(*groups, day,
-                        F.percentile(value, F.lit(0.5)).over(w).alias("med"),
-                        F.count(value).over(w).alias("n"))
-                .dropDuplicates(groups + [day]))
+    res = base.select(*groups, day, "__is_t",
+                      F.percentile(value, F.lit(0.5)).over(w).alias("med"),
+                      F.count(value).over(w).alias("n"))
+    if targets is not None:
+        res = res.where("__is_t")
+    return res.drop("__is_t").dropDuplicates(groups + [day])
 
 
 def _pick_splits(src: DataFrame, gcols, chunk: int, max_task_rows: int) -> int:
@@ -94,13 +104,16 @@ def _pick_splits(src: DataFrame, gcols, chunk: int, max_task_rows: int) -> int:
     return max(1, min(1024, math.ceil(2 * biggest / max_task_rows)))
 
 
-def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows):
+def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets=None):
     gcols = groups or [_G0]
     if not groups:
         df = df.withColumn(_G0, F.lit(0))
+        if targets is not None:
+            targets = targets.withColumn(_G0, F.lit(0))
     base = _not_null_keys(df, gcols)
     key_types = {f.name: f.dataType for f in base.schema.fields if f.name in gcols}
-    targets = base.select(*gcols, F.col(day).cast("int").alias("t")).distinct()
+    tsrc = base if targets is None else _not_null_keys(targets, gcols)
+    targets = tsrc.select(*gcols, F.col(day).cast("int").alias("t")).distinct()
     src = (base.where(F.col(value).isNotNull())
                .select(*gcols, F.col(day).cast("int").alias("d"),
                        F.col(value).cast("double").alias("v")))
@@ -289,15 +302,20 @@ def rows_median(df: DataFrame, groups, value: str, n_rows: int, min_periods: int
 
 def causal_baseline(df: DataFrame, group: str = "fsa", value: str = "ppsf", length: int = 90,
                     shrink_k: float = 10.0, min_n: int = 15, *, day: str = "day",
-                    method: str = "chunked", out: str = "base_ppsf") -> DataFrame:
+                    method: str = "chunked", out: str = "base_ppsf",
+                    history: DataFrame | None = None) -> DataFrame:
     """Adds ``base_grp, n_grp, base_reg, n_reg, alpha, <out>`` to every row.
 
     alpha = n/(n+k) (n = comparable count, 0 for an empty frame — §8 Z21);
     baseline = regional median when n < min_n, else alpha*group + (1-alpha)*regional.
+    With ``history`` the comparables come from that table (B16: pricing new
+    listings from past sales); otherwise from ``df`` itself.
     """
-    grp = (frame_median_by_day(df, [group], value, length, 1, day=day, method=method)
+    src = df if history is None else history
+    tg = None if history is None else df
+    grp = (frame_median_by_day(src, [group], value, length, 1, day=day, method=method, targets=tg)
            .withColumnRenamed("med", "base_grp").withColumnRenamed("n", "n_grp"))
-    reg = (frame_median_by_day(df, [], value, length, 1, day=day, method=method)
+    reg = (frame_median_by_day(src, [], value, length, 1, day=day, method=method, targets=tg)
            .withColumnRenamed("med", "base_reg").withColumnRenamed("n", "n_reg"))
     n = F.coalesce(F.col("n_grp"), F.lit(0))
     alpha = n / (n + F.lit(float(shrink_k)))

@@ -9,6 +9,7 @@ from comparo.operators.split import temporal_split
 from comparo.plans.common import rnd, with_sql
 from comparo.plans.q_baseline import SHRUNK_SQL, shrunk
 from comparo.plans.registry import query
+from comparo.session import materialize
 
 EVAL_SQL = SHRUNK_SQL + """,
 ev0 AS (SELECT *, row_number() OVER (ORDER BY day, seq) AS pos, count(*) OVER () AS n_all,
@@ -18,8 +19,10 @@ ev AS (SELECT *, CASE WHEN pos <= floor(0.7 * n_all) THEN 'train'
 
 
 def evaluated(spark, sf_dir):
+    """Shrunk baseline as the prediction + 70/10/20 split, materialized once
+    (the split needs a row count and the reports several passes)."""
     s = shrunk(spark, sf_dir).withColumn("pred", F.col("base_ppsf") * F.col("area"))
-    return temporal_split(s, (0.7, 0.8))
+    return temporal_split(materialize(s), (0.7, 0.8))
 
 
 def _metric_sql(y, p):

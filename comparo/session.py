@@ -65,3 +65,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Cut lineage before a frame feeds several actions (model fits, scalar
+    statistics): a reliable checkpoint into the shared ``spark.checkpoint.dir``
+    (never ``localCheckpoint``: executors may be lost)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
