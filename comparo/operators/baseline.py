@@ -119,6 +119,9 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
                        F.col(value).cast("double").alias("v")))
     chunk = lo - hi + 1
     V = value_splits or _pick_splits(src, gcols, chunk, max_task_rows)
+    if V == 1:
+        res = _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day)
+        return (res.drop(_G0) if not groups else res).select(*groups, day, "med", "n")
     if V > 1:
         fracs = [i / V for i in range(1, V)]
         bounds = src.groupBy(*gcols).agg(F.percentile_approx("v", fracs, 10000).alias("bounds"))
@@ -177,6 +180,36 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
     return res.select(*groups, day, "med", "n")
 
 
+def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day):
+    """No value split needed: one (group, chunk) task holds every value its
+    target days need; medians and counts come straight out of the kernel
+    (one shuffle).  Target days travel as value-less marker rows."""
+    marks = targets.select(*gcols, F.col("t").alias("d"), F.lit(None).cast("double").alias("v"),
+                           F.floor(F.col("t") / chunk).alias("c"), F.lit(True).alias("is_t"))
+    vals = src.select(*gcols, "d", "v", F.explode(F.sequence(F.floor((F.col("d") + hi) / chunk),
+                                                             F.floor((F.col("d") + lo) / chunk))).alias("c"),
+                      F.lit(False).alias("is_t"))
+    schema = T.StructType([T.StructField(g, key_types[g]) for g in gcols]
+                          + [T.StructField(day, T.IntegerType()), T.StructField("med", T.DoubleType()),
+                             T.StructField("n", T.LongType())])
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_t = pdf["is_t"].to_numpy(dtype=bool)
+        t_days = np.unique(pdf["d"].to_numpy(dtype="int64")[is_t])
+        src_ = pdf.loc[~is_t, ["d", "v"]].sort_values("d", kind="stable")
+        dv = src_["d"].to_numpy(dtype="int64")
+        vv = src_["v"].to_numpy(dtype="float64")
+        a = np.searchsorted(dv, t_days - lo, side="left")
+        b = np.searchsorted(dv, t_days - hi, side="right")
+        n = (b - a).astype("int64")
+        med = np.array([np.median(vv[x:y]) if y > x else np.nan for x, y in zip(a, b)], dtype="float64")
+        out = {g: np.repeat(pdf[g].to_numpy()[:1], len(t_days)) for g in gcols}
+        out.update({day: t_days.astype("int32"), "med": med, "n": n})
+        return pd.DataFrame(out)
+
+    return marks.unionByName(vals).groupBy(*gcols, "c").applyInPandas(kernel, schema)
+
+
 def _rank_picker(gcols, rk, lo, hi):
     def pick(src: pd.DataFrame, req: pd.DataFrame) -> pd.DataFrame:
         if req.empty or src.empty:
@@ -250,13 +283,10 @@ def lag_row_median(df: DataFrame, groups, value: str, length: int, min_periods:
         mine = np.flatnonzero(pdf["own"].to_numpy() == c)
         if len(mine) == 0:
             return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
-        m = np.full(len(mine), np.nan)
-        valid = ~np.isnan(v)
-        for j, i in enumerate(mine):
-            lo_i = np.searchsorted(d, d[i] - L, side="right")
-            win = v[lo_i:i + 1][valid[lo_i:i + 1]]
-            if len(win) >= min_periods:
-                m[j] = float(np.median(win))
+        # pandas' time window on a sorted index is (d_i - L, d_i] up to row i
+        # itself — exactly M(i); skiplist median, O(rows log window).
+        ser = pd.Series(v, index=pd.to_datetime(d, unit="D"))
+        m = ser.rolling(f"{L}D", min_periods=min_periods).median().to_numpy()[mine]
         n = len(mine)
         kind = np.zeros(n + 1, dtype="int32")
         kind[0], kind[n] = 1, 2

@@ -52,9 +52,13 @@ def with_sql(*parts: str) -> str:
 
 def split_frame(spark: SparkSession, sf_dir: str, fractions=(0.7, 0.8)) -> DataFrame:
     """``priced`` + position (SP1) + 70/10/20 split + target y = ln(ppsf)."""
+    from comparo.operators.ordering import with_position
     from comparo.operators.split import temporal_split
-    p = priced(spark, sf_dir).withColumn("y", F.log("ppsf"))
-    return temporal_split(p, fractions)
+    from comparo.session import materialize
+    p = with_position(priced(spark, sf_dir).withColumn("y", F.log("ppsf")))
+    # the split needs a count and encoders take scalar statistics: positions are
+    # materialized once instead of recomputing the join and the running totals
+    return temporal_split(materialize(p), fractions)
 
 
 SPLIT_SQL = PRICED_SQL + """,

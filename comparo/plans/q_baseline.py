@@ -9,6 +9,7 @@ from comparo.operators import baseline as B
 from comparo.plans.common import PRICED_SQL, priced, rnd, with_sql
 from comparo.plans.registry import query
 from comparo.sources.tables import read_table
+from comparo.session import materialize
 
 # Fixed values of the no-list-price pipeline: window, shrinkage, sparse rule.
 WINDOW_DAYS = 90
@@ -37,7 +38,8 @@ shrunk AS (
 
 
 def shrunk(spark, sf_dir, method="chunked"):
-    return B.causal_baseline(priced(spark, sf_dir), "fsa", "ppsf", WINDOW_DAYS, SHRINK_K, MIN_FSA,
+    # two frames (group, regional) read the same rows: cut the join lineage once
+    return B.causal_baseline(materialize(priced(spark, sf_dir)), "fsa", "ppsf", WINDOW_DAYS, SHRINK_K, MIN_FSA,
                              method=method)
 
 
@@ -142,7 +144,7 @@ LEVELS_SQL = PRICED_SQL + ",\n" + _level_sql()
 
 
 def levels(spark, sf_dir, mode="strict"):
-    p = priced(spark, sf_dir)
+    p = materialize(priced(spark, sf_dir))  # eight candidate frames read these rows
     fb = p.agg(F.percentile("ppsf", F.lit(0.5))).first()[0]
     cand, names = B.level_candidates(p, "ppsf", mode=mode)
     return B.pick_baseline(cand, names, "ppsf", fallback=fb)
