@@ -242,7 +242,8 @@ def _rank_picker(gcols, rk, lo, hi):
 # ---------------------------------------------------------------------------
 
 def lag_row_median(df: DataFrame, groups, value: str, length: int, min_periods: int, *,
-                   day: str = "day", order: str = "seq", out: str = "lag_med") -> DataFrame:
+                   day: str = "day", order: str = "seq", key: str = "sale_key",
+                   out: str = "lag_med") -> DataFrame:
     """pandas ``rolling(f'{L}D', min_periods).median().shift(1)`` inside the group.
 
     Rows are ordered by (day, ``order``) — a total order, so same-day ties are
@@ -265,7 +266,7 @@ def lag_row_median(df: DataFrame, groups, value: str, length: int, min_periods:
     L = int(length)
     rows = (_not_null_keys(base, gcols)
             .select(*gcols, F.col(day).cast("int").alias("d"), F.col(order).alias("o"),
-                    F.col(value).cast("double").alias("v")))
+                    F.col(key).alias("k"), F.col(value).cast("double").alias("v")))
     own = F.floor(F.col("d") / L)
     rows = rows.withColumn("own", own).withColumn("c", F.explode(F.array(own, own + 1)))
     schema = T.StructType([T.StructField(g, key_types[g]) for g in gcols]
@@ -273,10 +274,11 @@ def lag_row_median(df: DataFrame, groups, value: str, length: int, min_periods:
                              T.StructField("c", T.LongType()),
                              T.StructField("d", T.IntegerType()),
                              T.StructField("o", rows.schema["o"].dataType),
+                             T.StructField("k", rows.schema["k"].dataType),
                              T.StructField("val", T.DoubleType())])
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "o"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["d", "o", "k"], kind="stable").reset_index(drop=True)
         d = pdf["d"].to_numpy(dtype="int64")
         v = pdf["v"].to_numpy(dtype="float64")
         c = int(pdf["c"].iloc[0])
@@ -294,21 +296,21 @@ def lag_row_median(df: DataFrame, groups, value: str, length: int, min_periods:
         sel = pdf.iloc[np.r_[mine, mine[-1]]]
         o = {g: sel[g].to_numpy() for g in gcols}
         o.update({"kind": kind, "c": np.full(n + 1, c, dtype="int64"),
-                  "d": sel["d"].to_numpy(dtype="int32"), "o": sel["o"].to_numpy(), "val": val})
+                  "d": sel["d"].to_numpy(dtype="int32"), "o": sel["o"].to_numpy(),
+                  "k": sel["k"].to_numpy(), "val": val})
         return pd.DataFrame(o)
 
     res = rows.groupBy(*gcols, "c").applyInPandas(kernel, schema)
     w = Window.partitionBy(*gcols).orderBy("c")
     tails = (res.where(F.col("kind") == 2)
                 .select(*gcols, "c", F.lag("val").over(w).alias("prev_tail")))
-    firsts = (res.where(F.col("kind") == 1).select(*gcols, "c", "d", "o")
+    firsts = (res.where(F.col("kind") == 1).select(*gcols, "c", "k")
                  .join(tails, gcols + ["c"], "left")
-                 .select(*gcols, "d", "o", F.col("prev_tail").alias("val")))
-    vals = (res.where(F.col("kind") == 0).select(*gcols, "d", "o", "val")
+                 .select("k", F.col("prev_tail").alias("val")))
+    vals = (res.where(F.col("kind") == 0).select("k", "val")
                .unionByName(firsts)
-               .withColumnRenamed("d", day).withColumnRenamed("o", order)
-               .withColumnRenamed("val", out))
-    res = base.join(vals, gcols + [day, order], "left")
+               .select(F.col("k").alias(key), F.col("val").alias(out)))
+    res = base.join(vals, key, "left")
     return res.drop(_G0) if not groups else res
 
 

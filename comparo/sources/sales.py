@@ -7,7 +7,8 @@ from it (SURVEY §7.1):
 =================  ==========================================================
 role               expression
 =================  ==========================================================
-row key            ``sale_key`` = orderkey|linenumber|partkey|suppkey
+row key            ``sale_key`` = every lineitem column, prices in cents
+                   (orderkey|linenumber|partkey|suppkey alone repeats)
 tie-break order    ``seq`` = 60-bit number from md5(sale_key) (same in DuckDB)
 event date         ``list_date`` = date(l_shipdate); ``day`` = days since 1970
 sold price         ``sold_price`` = l_extendedprice
@@ -36,8 +37,6 @@ from pyspark.sql import functions as F
 from comparo.functions.keys import hash60
 from comparo.sources.tables import read_table
 
-# Columns that make a row unique in lineitem (checked: 60,000 of 60,000).
-KEY_PARTS = ("orderkey", "linenumber", "partkey", "suppkey")
 
 
 def sales(spark: SparkSession, sf_dir: str, with_orders: bool = False) -> DataFrame:
@@ -57,7 +56,10 @@ def sales(spark: SparkSession, sf_dir: str, with_orders: bool = False) -> DataFr
     if with_orders:
         orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
         df = df.join(orders, df.l_orderkey == orders.o_orderkey, "left")
-    sale_key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    cents = [F.round(F.col(c) * 100).cast("bigint")
+             for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")]
+    sale_key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *cents,
+                           "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyyMMdd"))
     list_date = F.col("l_shipdate").cast("date")
     cols = [
         F.col("l_orderkey").alias("orderkey"),
@@ -96,11 +98,15 @@ def _sales_sql(with_orders: bool) -> str:
     extra_col = ", o.o_orderpriority AS restricted" if with_orders else ""
     extra_join = ("\n  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey"
                   if with_orders else "")
+    key = ("concat_ws('|', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, "
+           "CAST(round(l.l_extendedprice * 100) AS BIGINT), CAST(round(l.l_quantity * 100) AS BIGINT), "
+           "CAST(round(l.l_discount * 100) AS BIGINT), CAST(round(l.l_tax * 100) AS BIGINT), "
+           "l.l_returnflag, l.l_linestatus, strftime(l.l_shipdate, '%Y%m%d'))")
     return f"""sales AS (
   SELECT l.l_orderkey AS orderkey, l.l_linenumber AS linenumber,
          l.l_partkey AS partkey, l.l_suppkey AS suppkey,
-         concat_ws('|', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS sale_key,
-         ('0x' || substr(md5(concat_ws('|', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey)), 1, 15))::BIGINT AS seq,
+         {key} AS sale_key,
+         ('0x' || substr(md5({key}), 1, 15))::BIGINT AS seq,
          CAST(l.l_shipdate AS DATE) AS list_date,
          CAST(CAST(l.l_shipdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS day,
          l.l_extendedprice AS sold_price,
