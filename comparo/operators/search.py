@@ -148,16 +148,31 @@ def test_mae(rows: DataFrame, shortlist: list[tuple[str, list[str], list[float]]
                                  "subset_id string, mae_test double")
 
 
-def top_per_size(scores: DataFrame, metric: str = "r2_val", k: int = 10, descending: bool = True) -> DataFrame:
-    """Best ``k`` subsets per feature count."""
+def top_per_size(scores: DataFrame, metric: str = "r2_val", k: int = 10, descending: bool = True,
+                 sizes=None) -> DataFrame:
+    """Best ``k`` subsets per feature count.
+
+    One ``orderBy().limit(k)`` per size (TakeOrdered: partial top-k per
+    partition, then a merge of k rows each) instead of a window over a size
+    partition that may hold millions of subsets; ranks are numbered on the
+    k-row result.
+    """
     o = F.desc_nulls_last(metric) if descending else F.asc_nulls_last(metric)
-    w = Window.partitionBy("n_features").orderBy(o, F.asc("subset_id"))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if sizes is None:
+        sizes = [r[0] for r in scores.select("n_features").distinct().collect()]  # a handful of sizes
+    out = None
+    for n in sorted(sizes):
+        part = scores.where(F.col("n_features") == n).orderBy(o, F.asc("subset_id")).limit(k)
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("n_features").orderBy(o, F.asc("subset_id"))  # ≤ k rows per partition
+    return out.withColumn("rank", F.row_number().over(w))
 
 
 def summary_by_size(scores: DataFrame, metric: str = "r2_val") -> DataFrame:
-    """T5: best, worst, mean and count per feature count."""
-    return scores.groupBy("n_features").agg(F.max(metric).alias("best"), F.min(metric).alias("worst"),
+    """Best (and which subset), worst, mean and count per feature count."""
+    return scores.groupBy("n_features").agg(F.max(metric).alias("best"),
+                                            F.max_by("subset_id", F.struct(metric, F.col("subset_id"))).alias("best_subset"),
+                                            F.min(metric).alias("worst"),
                                             F.avg(metric).alias("mean"), F.count(F.lit(1)).alias("n_models"),
                                             F.sum((F.col("status") != "ok").cast("int")).alias("n_failed"))
 

@@ -105,3 +105,38 @@ def baseline_causality_check(spark, sf_dir):
     j = a.join(b, ["fsa", "day"]).where(F.col("day") <= cut)
     return j.agg(F.count(F.lit(1)).alias("n_checked"),
                  F.sum(F.when(~F.col("m1").eqNullSafe(F.col("m2")), 1).otherwise(0)).alias("n_changed"))
+
+
+_PER_AREA = ("list_ppsf", "maint_per_sqft", "rooms_per_sqft")
+
+
+@query("leakage_audit_ppsf", sql=with_sql(PRICED_SQL, f"""
+pa AS (SELECT ppsf, list_price / NULLIF(area, 0) AS list_ppsf, maint_fee / NULLIF(area, 0) AS maint_per_sqft,
+              bedrooms / NULLIF(area, 0) AS rooms_per_sqft FROM priced),
+longf AS (UNPIVOT pa ON {', '.join(_PER_AREA)} INTO NAME "column" VALUE value)
+SELECT "column", count(*) AS n_joint, round(1e-9 + corr(value, ppsf), 6) AS corr,
+       median(abs(value - ppsf)) AS median_abs_diff,
+       coalesce(corr(value, ppsf) >= 0.995 AND median(abs(value - ppsf)) <= 10, FALSE) AS leak
+FROM longf WHERE value IS NOT NULL AND ppsf IS NOT NULL GROUP BY 1"""))
+def leakage_audit_ppsf(spark, sf_dir):
+    """L3: per-area columns against the sold price per area; flag when the median gap is <= 10."""
+    p = priced(spark, sf_dir).select(
+        "ppsf", (F.col("list_price") / F.nullif(F.col("area"), F.lit(0))).alias("list_ppsf"),
+        (F.col("maint_fee") / F.nullif(F.col("area"), F.lit(0))).alias("maint_per_sqft"),
+        (F.col("bedrooms") / F.nullif(F.col("area"), F.lit(0))).alias("rooms_per_sqft"))
+    long = A.unpivot(p, _PER_AREA, ["ppsf"])
+    d = F.abs(F.col("value") - F.col("ppsf"))
+    r = (long.where(F.col("value").isNotNull() & F.col("ppsf").isNotNull()).groupBy("column")
+             .agg(F.count(F.lit(1)).alias("n_joint"), F.corr("value", "ppsf").alias("c"),
+                  F.percentile(d, F.lit(0.5)).alias("median_abs_diff")))
+    return r.select("column", "n_joint", rnd("c").alias("corr"), "median_abs_diff",
+                    F.coalesce((F.col("c") >= 0.995) & (F.col("median_abs_diff") <= 10), F.lit(False)).alias("leak"))
+
+
+@query("sold_only_profile", sql=with_sql(SALES_SQL, """
+SELECT fsa, count(*) AS n_sold, round(1e-9 + avg(sold_price), 6) AS mean_price
+FROM sales WHERE status = 'F' GROUP BY fsa"""))
+def sold_only_profile(spark, sf_dir):
+    """Restrict to sold rows (status 'F') before modelling."""
+    s = sales(spark, sf_dir).where(F.col("status") == "F")
+    return s.groupBy("fsa").agg(F.count(F.lit(1)).alias("n_sold"), rnd(F.avg("sold_price")).alias("mean_price"))

@@ -100,7 +100,7 @@ def subset_scores_linear(spark, sf_dir):
 def subset_top10_per_size(spark, sf_dir):
     """Ten best subsets per size by validation R²."""
     scores, _ = scored(spark, sf_dir)
-    t = S.top_per_size(scores, "r2_val", 10)
+    t = S.top_per_size(scores.persist(), "r2_val", 10, sizes=range(MIN_SIZE, MAX_SIZE + 1))
     return t.select("n_features", "rank", "subset_id", rnd("r2_val").alias("r2_val"))
 
 
@@ -109,7 +109,7 @@ def subset_summary_by_size(spark, sf_dir):
     """T5: best / worst / mean validation R² per size."""
     scores, _ = scored(spark, sf_dir)
     s = S.summary_by_size(scores, "r2_val")
-    return s.select("n_features", rnd("best").alias("best"), rnd("worst").alias("worst"),
+    return s.select("n_features", rnd("best").alias("best"), "best_subset", rnd("worst").alias("worst"),
                     rnd("mean").alias("mean"), "n_models", "n_failed")
 
 

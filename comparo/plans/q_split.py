@@ -138,3 +138,22 @@ def weight_quantiles(spark, sf_dir):
     """WT7/L9 (A5): weight distribution of the train rows."""
     d = W.weight_distribution(_weights(spark, sf_dir).where(F.col("split") == "train"), "w_recency")
     return d.select(*[rnd(c).alias(c) for c in d.columns])
+
+
+@query("split_auto", sql=with_sql(PRICED_SQL, """
+c AS (SELECT avg(CAST(list_date IS NOT NULL AS DOUBLE)) AS cov FROM priced),
+p AS (SELECT *, row_number() OVER (ORDER BY day, seq) AS pos, count(*) OVER () AS n_all FROM priced),
+s AS (SELECT p.*, CASE WHEN cov > 0.8 THEN (CASE WHEN pos <= floor(0.8 * n_all) THEN 'train' ELSE 'test' END)
+                       ELSE (CASE WHEN ('0x' || substr(md5(sale_key || '|42'), 1, 8))::BIGINT % 100 < 80
+                                  THEN 'train' ELSE 'test' END) END AS split,
+             CASE WHEN cov > 0.8 THEN 'time' ELSE 'random' END AS kind FROM p, c)
+SELECT kind, split, count(*) AS n_rows FROM s GROUP BY 1, 2"""))
+def split_auto(spark, sf_dir):
+    """SP6: time split when the date is > 80% non-null, else the repeatable random split."""
+    p = priced(spark, sf_dir)
+    cov = p.agg(F.avg(F.col("list_date").isNotNull().cast("double"))).first()[0]
+    if cov > 0.8:
+        s, kind = S.temporal_split(p, (0.8,), ("train", "test")), "time"
+    else:
+        s, kind = S.hash_split(p, val_pct_of_train=None), "random"
+    return s.groupBy(F.lit(kind).alias("kind"), "split").agg(F.count(F.lit(1)).alias("n_rows"))
