@@ -319,13 +319,47 @@ def lag_row_median(df: DataFrame, groups, value: str, length: int, min_periods:
 # ---------------------------------------------------------------------------
 
 def rows_median(df: DataFrame, groups, value: str, n_rows: int, min_periods: int, *,
-                day: str = "day", order: str = "seq", out: str = "rows_med") -> DataFrame:
-    """Median of the previous ``n_rows`` rows of the group (shift 1), NULL below ``min_periods``."""
+                day: str = "day", order: str = "seq", key: str = "sale_key", out: str = "rows_med",
+                method: str = "chunked", chunk_rows: int = 100_000) -> DataFrame:
+    """Median of the previous ``n_rows`` rows of the group (shift 1), NULL below
+    ``min_periods`` non-NULL values.
+
+    ``chunked``: the 0-based position inside the group comes from the two-level
+    running count (``ordering.exclusive_running``, no group-sized window); rows
+    are cut into position chunks of ``chunk_rows`` and each row is also copied
+    to the chunk its successors need, so a task holds at most
+    ``chunk_rows + n_rows`` rows however large the group.  ``sql``: the
+    ``ROWS BETWEEN n PRECEDING AND 1 PRECEDING`` window (one task per group).
+    """
     groups = list(groups)
-    w = ((Window.partitionBy(*groups) if groups else Window)
-         .orderBy(day, order).rowsBetween(-n_rows, -1))
-    cnt = F.count(value).over(w)
-    return df.withColumn(out, F.when(cnt >= min_periods, F.percentile(value, F.lit(0.5)).over(w)))
+    if method == "sql":
+        w = ((Window.partitionBy(*groups) if groups else Window)
+             .orderBy(day, order).rowsBetween(-n_rows, -1))
+        cnt = F.count(value).over(w)
+        return df.withColumn(out, F.when(cnt >= min_periods, F.percentile(value, F.lit(0.5)).over(w)))
+    from comparo.operators.ordering import exclusive_running
+    gcols = groups or [_G0]
+    base = df if groups else df.withColumn(_G0, F.lit(0))
+    keyed = _not_null_keys(base, gcols).select(*gcols, day, order, F.col(key).alias("__k"),
+                                               F.col(value).cast("double").alias("__v"))
+    pos = exclusive_running(keyed, gcols, (), day=day, seq=order, prefix="__p")  # __pn = 0-based position
+    C = int(chunk_rows)
+    own = F.floor(F.col("__pn") / C)
+    rows = pos.select(*gcols, F.col("__pn").alias("p"), "__k", "__v", own.alias("own"),
+                      F.explode(F.sequence(own, F.floor((F.col("__pn") + n_rows) / C))).alias("c"))
+    schema = T.StructType([T.StructField("__k", rows.schema["__k"].dataType), T.StructField(out, T.DoubleType())])
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", kind="stable")
+        c = int(pdf["c"].iloc[0])
+        m = (pd.Series(pdf["__v"].to_numpy(dtype="float64"))
+               .rolling(n_rows, min_periods=min_periods).median().shift(1).to_numpy())
+        mine = pdf["own"].to_numpy() == c
+        return pd.DataFrame({"__k": pdf["__k"].to_numpy()[mine], out: m[mine]})
+
+    vals = rows.groupBy(*gcols, "c").applyInPandas(kernel, schema).withColumnRenamed("__k", key)
+    res = base.join(vals, key, "left")
+    return res.drop(_G0) if not groups else res
 
 
 # ---------------------------------------------------------------------------

@@ -51,14 +51,14 @@ _PROFILE_COLS = ("sold_price", "list_price", "area", "maint_fee", "bedrooms", "y
 
 @query("column_profile", sql=with_sql(SALES_SQL, "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column, count({c}) AS non_null, count(*) - count({c}) AS nulls, "
-    f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(1e-9 + avg({c}), 9) AS mean FROM sales"
+    f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(1e-9 + avg({c}), 6) AS mean FROM sales"
     for c in _PROFILE_COLS)))
 def column_profile_q(spark, sf_dir):
     s = sales(spark, sf_dir).select(*[F.col(c).cast("double").alias(c) for c in _PROFILE_COLS])
     prof = column_profile(s, _PROFILE_COLS)
     stats = s.agg(*[F.struct(F.lit(c).alias("column"), F.min(c).alias("min"), F.max(c).alias("max"),
-                             F.round(F.avg(c), 9).alias("mean")) for c in _PROFILE_COLS])
-    stats = stats.select(F.explode(F.array(*[F.col(c) for c in stats.columns])).alias("p")).select("p.*")
+                             rnd(F.avg(c)).alias("mean")).alias(f"p_{c}") for c in _PROFILE_COLS])
+    stats = stats.select(F.explode(F.array(*[F.col(f"p_{c}") for c in _PROFILE_COLS])).alias("p")).select("p.*")
     # both sides are one row per column (tiny); the join is on the column name
     return prof.select("column", "non_null", "nulls").join(stats, "column")
 

@@ -101,3 +101,14 @@ def test_history_scoring_uses_only_history(spark):
     lst = p.where(F.col("day") >= 10000).withColumn("ppsf", F.lit(1e9))
     s = B.causal_baseline(lst, "fsa", "ppsf", 90, 10, 15, history=hist)
     assert s.where(F.col("base_ppsf") > 1e8).count() == 0
+
+
+def test_rows_median_chunks_equal_window(spark):
+    """Position chunks (tiny chunk size forces many boundaries) == SQL ROWS window."""
+    from comparo.plans.common import priced
+    p = priced(spark, SF001).select("sale_key", "fsa", "day", "seq", "ppsf")
+    a = B.rows_median(p, ["fsa"], "ppsf", 30, 5, method="sql").select("sale_key", "rows_med").toPandas()
+    b = B.rows_median(p, ["fsa"], "ppsf", 30, 5, chunk_rows=37).select("sale_key", "rows_med").toPandas()
+    m = a.merge(b, on="sale_key")
+    assert len(m) == len(a) == len(b)
+    assert np.allclose(m.rows_med_x.to_numpy(), m.rows_med_y.to_numpy(), equal_nan=True, rtol=0, atol=1e-9)
