@@ -448,7 +448,7 @@ def pick_baseline(df: DataFrame, candidates, value: str = "ppsf", fallback=None,
     """
     if fallback is None:
         # One number, computed by a distributed aggregate; only it reaches the driver.
-        fallback = df.agg(F.percentile(value, F.lit(0.5))).first()[0]
+        fallback = grouped_median(df, [], value).first()[0]
     fb_col = F.lit(fallback).cast("double")
     level = F.lit("overall_median")
     for c in reversed(list(candidates)):
@@ -459,3 +459,23 @@ def pick_baseline(df: DataFrame, candidates, value: str = "ppsf", fallback=None,
               .withColumn("log_price_ratio",
                           F.when((F.col(price) > 0) & (F.col("price_baseline") > 0),
                                  F.log(F.col(price)) - F.log(F.col("price_baseline")))))
+
+
+# ---------------------------------------------------------------------------
+# Exact grouped median with bounded tasks
+# ---------------------------------------------------------------------------
+
+def grouped_median(df: DataFrame, groups, value: str, out: str = "median", *,
+                   max_task_rows: int = 2_000_000, value_splits: int | None = None) -> DataFrame:
+    """Exact median of ``value`` per group (linear interpolation, = ``percentile(v, 0.5)``).
+
+    ``percentile`` merges every distinct value of a group in one task; here the
+    group is one frame of the chunked machinery (all rows on one pseudo-day),
+    so a group larger than ``max_task_rows`` is cut into value ranges and only
+    the range holding the middle ranks is searched.  Returns (groups..., out).
+    """
+    groups = list(groups)
+    one = df.select(*groups, F.col(value).alias(value), F.lit(0).alias("__day"))
+    t = frame_median_by_day(one, groups, value, 0, 0, day="__day", method="chunked",
+                            value_splits=value_splits, max_task_rows=max_task_rows)
+    return t.select(*groups, F.col("med").alias(out))

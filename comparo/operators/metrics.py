@@ -25,15 +25,27 @@ def metric_columns(y: str, p: str, within: float = 0.10, tol: float = 1e-9) -> l
         F.avg(F.when(ok, ae / F.abs(yc))).alias("mape"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (F.lit(1.0) - sse / F.nullif(F.var_pop(F.when(ok, yc)) * n, F.lit(0.0))).alias("r2"),
-        F.percentile(ae, F.lit(0.5)).alias("median_ae"),
         F.avg(F.when(ok, (ae / F.abs(yc) <= within + tol).cast("double"))).alias("within_10pct"),
     ]
 
 
+def with_median(agg: DataFrame, src: DataFrame, by, value: Column | str, out: str) -> DataFrame:
+    """Join an exact per-group median (bounded tasks, ``baseline.grouped_median``) to a report."""
+    from comparo.operators.baseline import grouped_median
+    by = list(by or [])
+    v = F.col(value) if isinstance(value, str) else value
+    m = grouped_median(src.select(*by, v.alias("__mv")), by, "__mv", out)
+    if not by:
+        return agg.withColumn("__one", F.lit(1)).join(m.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return agg.join(m, by, "left")
+
+
 def metrics(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
-    """Q1-Q8 (optionally per group, e.g. per split: Q9/Q15)."""
+    """Q1-Q8 (optionally per group, e.g. per split: Q9/Q15); the median |e| is exact."""
     cols = metric_columns(y, p)
-    return df.groupBy(*(by or [])).agg(*cols)
+    ok = F.col(y).isNotNull() & F.col(p).isNotNull()
+    agg = df.groupBy(*(by or [])).agg(*cols)
+    return with_median(agg, df, by, F.when(ok, F.abs(F.col(y) - F.col(p))), "median_ae")
 
 
 def error_by_group(df: DataFrame, y: str, p: str, group: str, k: int = 10, min_n: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from comparo.operators import audit as A
 from comparo.operators import baseline as B
 from comparo.operators.clean import coverage
+from comparo.operators.metrics import with_median
 from comparo.operators.split import snap_to_day, temporal_split
 from comparo.plans.common import PRICED_SQL, priced, rnd, with_sql
 from comparo.plans.registry import query
@@ -126,9 +127,9 @@ def leakage_audit_ppsf(spark, sf_dir):
         (F.col("bedrooms") / F.nullif(F.col("area"), F.lit(0))).alias("rooms_per_sqft"))
     long = A.unpivot(p, _PER_AREA, ["ppsf"])
     d = F.abs(F.col("value") - F.col("ppsf"))
-    r = (long.where(F.col("value").isNotNull() & F.col("ppsf").isNotNull()).groupBy("column")
-             .agg(F.count(F.lit(1)).alias("n_joint"), F.corr("value", "ppsf").alias("c"),
-                  F.percentile(d, F.lit(0.5)).alias("median_abs_diff")))
+    both = long.where(F.col("value").isNotNull() & F.col("ppsf").isNotNull())
+    r = both.groupBy("column").agg(F.count(F.lit(1)).alias("n_joint"), F.corr("value", "ppsf").alias("c"))
+    r = with_median(r, both, ["column"], d, "median_abs_diff")
     return r.select("column", "n_joint", rnd("c").alias("corr"), "median_abs_diff",
                     F.coalesce((F.col("c") >= 0.995) & (F.col("median_abs_diff") <= 10), F.lit(False)).alias("leak"))
 

@@ -10,6 +10,7 @@ from comparo.plans.common import PRICED_SQL, priced, rnd, with_sql
 from comparo.plans.registry import query
 from comparo.sources.tables import read_table
 from comparo.session import materialize
+from comparo.operators.metrics import with_median
 
 # Fixed values of the no-list-price pipeline: window, shrinkage, sparse rule.
 WINDOW_DAYS = 90
@@ -48,15 +49,16 @@ def baseline_error_by_month(spark, sf_dir, method="chunked"):
     s = shrunk(spark, sf_dir, method)
     pred = F.col("base_ppsf") * F.col("area")
     err = F.abs(F.col("sold_price") - pred)
-    return (s.groupBy(F.trunc("list_date", "MM").alias("month_start"))
+    s = s.withColumn("month_start", F.trunc("list_date", "MM"))
+    agg = (s.groupBy("month_start")
              .agg(F.count(F.lit(1)).alias("n_sales"),
                   F.count("base_ppsf").alias("n_priced"),
                   rnd(F.avg(err)).alias("mae"),
                   rnd(F.sum(err) / F.sum(F.when(F.col("base_ppsf").isNotNull(), F.abs("sold_price"))))
                   .alias("wape"),
-                  F.percentile(err, F.lit(0.5)).alias("median_abs_error"),
                   rnd(F.avg("alpha")).alias("mean_alpha"),
                   F.sum((F.col("n_grp") < MIN_FSA).cast("long")).alias("n_sparse")))
+    return with_median(agg, s, ["month_start"], err, "median_abs_error")
 
 
 query("baseline_error_by_month", sql=with_sql(SHRUNK_SQL, """
@@ -102,10 +104,10 @@ FROM shrunk"""))
 def baseline_support_count(spark, sf_dir):
     """Support statistics of the comparable counts."""
     s = shrunk(spark, sf_dir)
-    return s.agg(F.count(F.lit(1)).alias("n_rows"), F.count("base_ppsf").alias("n_with_baseline"),
-                 F.percentile("n_grp", F.lit(0.5)).alias("median_comps"),
-                 F.min("n_grp").alias("min_comps"), F.max("n_grp").alias("max_comps"),
-                 F.sum((F.col("n_grp") < MIN_FSA).cast("long")).alias("n_sparse"))
+    agg = s.agg(F.count(F.lit(1)).alias("n_rows"), F.count("base_ppsf").alias("n_with_baseline"),
+                F.min("n_grp").alias("min_comps"), F.max("n_grp").alias("max_comps"),
+                F.sum((F.col("n_grp") < MIN_FSA).cast("long")).alias("n_sparse"))
+    return with_median(agg, s, [], F.col("n_grp").cast("double"), "median_comps")
 
 
 # ---- B10/B12/B14: V5 level hierarchy in strict mode ----------------------------------------
@@ -145,7 +147,7 @@ LEVELS_SQL = PRICED_SQL + ",\n" + _level_sql()
 
 def levels(spark, sf_dir, mode="strict"):
     p = materialize(priced(spark, sf_dir))  # eight candidate frames read these rows
-    fb = p.agg(F.percentile("ppsf", F.lit(0.5))).first()[0]
+    fb = B.grouped_median(p, [], "ppsf").first()[0]
     cand, names = B.level_candidates(p, "ppsf", mode=mode)
     return B.pick_baseline(cand, names, "ppsf", fallback=fb)
 
@@ -251,8 +253,8 @@ SELECT month_start, idx AS index_ppsf, n AS n_sales,
 FROM m"""))
 def market_index_monthly(spark, sf_dir):
     from pyspark.sql import Window
-    m = (priced(spark, sf_dir).groupBy(F.trunc("list_date", "MM").alias("month_start"))
-         .agg(F.percentile("ppsf", F.lit(0.5)).alias("idx"), F.count(F.lit(1)).alias("n")))
+    p = priced(spark, sf_dir).withColumn("month_start", F.trunc("list_date", "MM"))
+    m = with_median(p.groupBy("month_start").agg(F.count(F.lit(1)).alias("n")), p, ["month_start"], "ppsf", "idx")
     # one row per month: the un-partitioned window runs over a calendar-sized table
     w = Window.orderBy("month_start").rowsBetween(Window.unboundedPreceding, 0)
     return m.select("month_start", F.col("idx").alias("index_ppsf"), F.col("n").alias("n_sales"),

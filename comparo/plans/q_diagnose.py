@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from comparo.operators import audit as A
 from comparo.operators.features import age_at_list
+from comparo.operators.metrics import with_median
 from comparo.plans.common import PRICED_ORDERS_SQL, PRICED_SQL, priced, rnd, with_sql
 from comparo.plans.registry import query
 
@@ -53,10 +54,11 @@ FROM priced GROUP BY floors"""))
 def stats_by_floors(spark, sf_dir):
     """X2/X4/AG5/AG8: area and price statistics per number of floors."""
     p = priced(spark, sf_dir)
-    return p.groupBy("floors").agg(
-        rnd(F.avg("area")).alias("mean_area"), F.percentile("area", F.lit(0.5)).alias("median_area"),
+    agg = p.groupBy("floors").agg(
+        rnd(F.avg("area")).alias("mean_area"),
         F.count(F.lit(1)).alias("n"), rnd(F.stddev_samp("area")).alias("std_area"),
         rnd(F.avg("sold_price")).alias("mean_price"), rnd(F.avg(F.col("sold_price") / F.col("area"))).alias("mean_ppsf"))
+    return with_median(agg, p, ["floors"], "area", "median_area")
 
 
 # Target sizes (±3 area units) and size bands on the test tables' area scale.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from comparo.functions.calendar import calendar_columns
 from comparo.operators import features as X
+from comparo.operators.baseline import grouped_median
 from comparo.operators.encode import label_codes
 from comparo.plans.common import PRICED_SQL, SPLIT_SQL, priced, rnd, split_frame, with_sql
 from comparo.plans.registry import query
@@ -90,8 +91,8 @@ def bin_median_impute(spark, sf_dir):
     b = (s.withColumn("area_bin", X.equal_width_bin(F.col("area"), lo, hi, 5))
           .withColumn("mps", F.col("maint_fee") / F.nullif(F.col("area"), F.lit(0))))
     tr = b.where(F.col("split") == "train")
-    med = tr.groupBy("area_bin").agg(F.percentile("mps", F.lit(0.5)).alias("bin_med"))  # ≤ 5 rows
-    all_med = tr.agg(F.percentile("mps", F.lit(0.5))).first()[0]
+    med = grouped_median(tr, ["area_bin"], "mps", "bin_med")  # ≤ 5 rows, each bin may be huge
+    all_med = grouped_median(tr, [], "mps").first()[0]
     return (b.join(F.broadcast(med), "area_bin", "left")
              .select("sale_key", "area_bin",
                      F.coalesce("mps", "bin_med", F.lit(all_med)).alias("maint_per_sqft_filled")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from comparo.operators import metrics as M
+from comparo.operators.baseline import grouped_median
 from comparo.operators.split import temporal_split
 from comparo.plans.common import rnd, with_sql
 from comparo.plans.q_baseline import SHRUNK_SQL, shrunk
@@ -79,16 +80,16 @@ FROM t, med"""))
 def baseline_vs_naive(spark, sf_dir):
     """Q10/Q11/Q14: baseline vs median-price baseline and the |list - sold| naive baseline on test."""
     e = evaluated(spark, sf_dir)
-    m = e.where(F.col("split") == "train").agg(F.percentile("sold_price", F.lit(0.5))).first()[0]
+    m = grouped_median(e.where(F.col("split") == "train"), [], "sold_price").first()[0]
     t = e.where(F.col("split") == "test")
     ae_b = F.abs(F.col("sold_price") - F.col("pred"))
     ae_m = F.abs(F.col("sold_price") - F.lit(m))
     nl = F.abs(F.col("list_price") - F.col("sold_price"))
-    return t.agg(rnd(F.avg(ae_b)).alias("mae_baseline"), rnd(F.avg(ae_m)).alias("mae_median_price"),
-                 rnd(100 * (1 - F.avg(ae_b) / F.avg(ae_m))).alias("improvement_pct"),
-                 F.percentile(nl, F.lit(0.5)).alias("naive_list_median"),
-                 rnd(F.avg(nl)).alias("naive_list_mean"),
-                 F.percentile(nl, F.lit(0.75)).alias("naive_list_p75"))
+    agg = t.agg(rnd(F.avg(ae_b)).alias("mae_baseline"), rnd(F.avg(ae_m)).alias("mae_median_price"),
+                rnd(100 * (1 - F.avg(ae_b) / F.avg(ae_m))).alias("improvement_pct"),
+                rnd(F.avg(nl)).alias("naive_list_mean"),
+                F.percentile(nl, F.lit(0.75)).alias("naive_list_p75"))
+    return M.with_median(agg, t, [], nl, "naive_list_median")
 
 
 @query("error_by_group_top10", sql=with_sql(EVAL_SQL, """
