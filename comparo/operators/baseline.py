@@ -128,6 +128,10 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
         src = (src.join(bounds, gcols)
                   .withColumn("r", F.size(F.filter("bounds", lambda b: b <= F.col("v"))))
                   .drop("bounds"))
+        # approximate bounds are not bit-stable across re-evaluations, and the
+        # range tag feeds two branches (frame counts, rank selection): write it once
+        from comparo.session import materialize
+        src = materialize(src)
     else:
         src = src.withColumn("r", F.lit(0))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from comparo.operators import metrics as M
 from comparo.operators.baseline import grouped_median
+from comparo.operators.ordering import with_position
 from comparo.operators.split import temporal_split
 from comparo.plans.common import rnd, with_sql
 from comparo.plans.q_baseline import SHRUNK_SQL, shrunk
@@ -22,7 +23,7 @@ ev AS (SELECT *, CASE WHEN pos <= floor(0.7 * n_all) THEN 'train'
 def evaluated(spark, sf_dir):
     """Shrunk baseline as the prediction + 70/10/20 split, materialized once
     (the split needs a row count and the reports several passes)."""
-    s = shrunk(spark, sf_dir).withColumn("pred", F.col("base_ppsf") * F.col("area"))
+    s = with_position(shrunk(spark, sf_dir).withColumn("pred", F.col("base_ppsf") * F.col("area")))
     return temporal_split(materialize(s), (0.7, 0.8))
 
 
