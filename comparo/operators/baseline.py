@@ -51,7 +51,7 @@ def frame_median_by_day(df: DataFrame, groups, value: str, lo: int, hi: int = 1,
                         day: str = "day", method: str = "chunked",
                         value_splits: int | None = None,
                         max_task_rows: int = 2_000_000,
-                        targets: DataFrame | None = None) -> DataFrame:
+                        targets: DataFrame | None = None, q: float = 0.5) -> DataFrame:
     """Median and count of ``value`` over the days ``[t - lo, t - hi]`` of the group.
 
     Returns one row per distinct (group..., day) of ``df`` (or of ``targets``
@@ -64,9 +64,11 @@ def frame_median_by_day(df: DataFrame, groups, value: str, lo: int, hi: int = 1,
     if hi < 0 or lo < hi:
         raise ValueError("need 0 <= hi <= lo")
     if method == "sql":
+        if q != 0.5:
+            raise ValueError("the sql method computes medians only")
         return _frame_sql(df, groups, value, lo, hi, day, targets)
     if method == "chunked":
-        return _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets)
+        return _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets, q)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -104,7 +106,7 @@ def _pick_splits(src: DataFrame, gcols, chunk: int, max_task_rows: int) -> int:
     return max(1, min(1024, math.ceil(2 * biggest / max_task_rows)))
 
 
-def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets=None):
+def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets=None, q=0.5):
     gcols = groups or [_G0]
     if not groups:
         df = df.withColumn(_G0, F.lit(0))
@@ -120,7 +122,7 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
     chunk = lo - hi + 1
     V = value_splits or _pick_splits(src, gcols, chunk, max_task_rows)
     if V == 1:
-        res = _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day)
+        res = _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q)
         return (res.drop(_G0) if not groups else res).select(*groups, day, "med", "n")
     if V > 1:
         fracs = [i / V for i in range(1, V)]
@@ -150,8 +152,10 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
     w_below = w_t.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     fc = (fc.withColumn("n", F.sum("fc").over(w_t))
             .withColumn("below", F.coalesce(F.sum("fc").over(w_below), F.lit(0))))
-    k1 = F.floor((F.col("n") + 1) / 2)
-    k2 = F.floor(F.col("n") / 2) + 1
+    # ranks around position (n-1)q (1-based); q = 0.5 gives (n+1) div 2 and n div 2 + 1
+    pos = (F.col("n") - 1) * F.lit(float(q))
+    k1 = F.floor(pos) + 1
+    k2 = F.ceil(pos) + 1
     reqs = None
     for which, k in ((1, k1), (2, k2)):
         part = (fc.where((F.col("n") > 0) & (F.col("below") < k) & (k <= F.col("below") + F.col("fc")))
@@ -176,15 +180,31 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
     picked = (srcx.select(*gcols, "c", "r", "d", "v").groupBy(*gcols, "c", "r")
                   .cogroup(reqs.groupBy(*rk, "__rc", "__rr"))
                   .applyInPandas(picker, out_schema))
-    med = picked.groupBy(*gcols, "t").agg(F.avg("x").alias("med"))
+    xs = picked.groupBy(*gcols, "t").agg(F.max(F.when(F.col("which") == 1, F.col("x"))).alias("x1"),
+                                          F.max(F.when(F.col("which") == 2, F.col("x"))).alias("x2"))
     sizes = fc.where(F.col("r") == 0).select(*gcols, "t", "n")
-    res = sizes.join(med, gcols + ["t"], "left").withColumnRenamed("t", day)
+    res = sizes.join(xs, gcols + ["t"], "left").withColumnRenamed("t", day)
+    # Spark's percentile interpolation: (hi - pos) * x1 + (pos - lo) * x2
+    p_ = (F.col("n") - 1) * F.lit(float(q))
+    lo_, hi_ = F.floor(p_), F.ceil(p_)
+    res = res.withColumn("med", F.when(lo_ == hi_, F.col("x1"))
+                         .otherwise((hi_ - p_) * F.col("x1") + (p_ - lo_) * F.col("x2"))).drop("x1", "x2")
     if not groups:
         res = res.drop(_G0)
     return res.select(*groups, day, "med", "n")
 
 
-def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day):
+def _quantile(w: np.ndarray, q: float) -> float:
+    """Exact quantile with Spark's ``percentile`` interpolation (bit-identical)."""
+    if q == 0.5:
+        return float(np.median(w))
+    w = np.sort(w)
+    p = (len(w) - 1) * q
+    lo, hi = int(np.floor(p)), int(np.ceil(p))
+    return float(w[lo]) if lo == hi else float((hi - p) * w[lo] + (p - lo) * w[hi])
+
+
+def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q=0.5):
     """No value split needed: one (group, chunk) task holds every value its
     target days need; medians and counts come straight out of the kernel
     (one shuffle).  Target days travel as value-less marker rows."""
@@ -206,7 +226,7 @@ def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day):
         a = np.searchsorted(dv, t_days - lo, side="left")
         b = np.searchsorted(dv, t_days - hi, side="right")
         n = (b - a).astype("int64")
-        med = np.array([np.median(vv[x:y]) if y > x else np.nan for x, y in zip(a, b)], dtype="float64")
+        med = np.array([_quantile(vv[x:y], q) if y > x else np.nan for x, y in zip(a, b)], dtype="float64")
         out = {g: np.repeat(pdf[g].to_numpy()[:1], len(t_days)) for g in gcols}
         out.update({day: t_days.astype("int32"), "med": med, "n": n})
         return pd.DataFrame(out)
@@ -470,8 +490,9 @@ def pick_baseline(df: DataFrame, candidates, value: str = "ppsf", fallback=None,
 # ---------------------------------------------------------------------------
 
 def grouped_median(df: DataFrame, groups, value: str, out: str = "median", *,
-                   max_task_rows: int = 2_000_000, value_splits: int | None = None) -> DataFrame:
-    """Exact median of ``value`` per group (linear interpolation, = ``percentile(v, 0.5)``).
+                   max_task_rows: int = 2_000_000, value_splits: int | None = None,
+                   q: float = 0.5) -> DataFrame:
+    """Exact median (or quantile ``q``) of ``value`` per group, = ``percentile(v, q)``.
 
     ``percentile`` merges every distinct value of a group in one task; here the
     group is one frame of the chunked machinery (all rows on one pseudo-day),
@@ -481,5 +502,10 @@ def grouped_median(df: DataFrame, groups, value: str, out: str = "median", *,
     groups = list(groups)
     one = df.select(*groups, F.col(value).alias(value), F.lit(0).alias("__day"))
     t = frame_median_by_day(one, groups, value, 0, 0, day="__day", method="chunked",
-                            value_splits=value_splits, max_task_rows=max_task_rows)
+                            value_splits=value_splits, max_task_rows=max_task_rows, q=q)
     return t.select(*groups, F.col("med").alias(out))
+
+
+def grouped_quantile(df: DataFrame, groups, value: str, q: float, out: str = "quantile", **kw) -> DataFrame:
+    """Exact quantile per group with bounded tasks (see ``grouped_median``)."""
+    return grouped_median(df, groups, value, out, q=q, **kw)

@@ -43,9 +43,15 @@ def quantile_limits(df: DataFrame, cols, lo: float = 0.005, hi: float = 0.995) -
     """D14 fit: exact linear-interpolated quantiles, one aggregate for all columns.
 
     Returns {col: (lo, hi)} — two numbers per column reach the driver.
+    Columns are cast to double by the unpivot.
     """
-    row = df.agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(c) for c in cols]).first()
-    return {c: tuple(row[c]) if row[c] is not None else (None, None) for c in cols}
+    from comparo.operators.baseline import grouped_quantile
+    long = df.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
+    got = {}
+    for q in (lo, hi):  # exact, per column, bounded tasks (one unpivot, no per-column scans)
+        for r in grouped_quantile(long, ["column"], "value", q).collect():  # one row per column
+            got.setdefault(r[0], []).append(r[1])
+    return {c: tuple(got[c]) if c in got else (None, None) for c in cols}
 
 
 def winsorize(df: DataFrame, limits: dict, suffix: str = "_w") -> DataFrame:
