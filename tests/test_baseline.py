@@ -112,3 +112,14 @@ def test_rows_median_chunks_equal_window(spark):
     m = a.merge(b, on="sale_key")
     assert len(m) == len(a) == len(b)
     assert np.allclose(m.rows_med_x.to_numpy(), m.rows_med_y.to_numpy(), equal_nan=True, rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("q", [0.005, 0.25, 0.5, 0.75])
+def test_grouped_quantile_equals_percentile(spark, q):
+    """Exact grouped quantiles with bounded tasks are bit-identical to ``percentile``."""
+    from comparo.plans.common import priced
+    p = priced(spark, SF001)
+    exp = {r[0]: r[1] for r in p.groupBy("fsa").agg(F.percentile("ppsf", F.lit(q))).collect()}
+    for vs in (1, 4):
+        got = {r[0]: r[1] for r in B.grouped_quantile(p, ["fsa"], "ppsf", q, value_splits=vs).collect()}
+        assert got == exp
