@@ -74,3 +74,14 @@ def null_safe_ratio(spark, sf_dir):
     return s.select("sale_key", safe_div(F.col("tax"), F.col("discount")).alias("tax_per_discount"),
                     safe_div(F.col("maint_fee"), F.col("area")).alias("maint_per_area"),
                     clip(F.col("maint_fee"), 100.0, 5000.0).alias("maint_clipped"))
+
+
+@query("first_sale_per_group_day", sql=with_sql(PRICED_SQL, """
+SELECT fsa, day, arg_min(sale_key, seq) AS first_sale_key, count(*) AS n_sales FROM priced GROUP BY fsa, day"""))
+def first_sale_per_group_day(spark, sf_dir):
+    """One row per (group, day), the first sale in the total order wins —
+    ``min_by`` (partial aggregation) instead of ``dropDuplicates`` (no order) or a
+    ``row_number`` window (one task per hot key)."""
+    p = priced(spark, sf_dir)
+    return p.groupBy("fsa", "day").agg(F.min_by("sale_key", "seq").alias("first_sale_key"),
+                                       F.count(F.lit(1)).alias("n_sales"))

@@ -163,3 +163,14 @@ def standardize(spark, sf_dir):
     """Z-scores with train mean and population sd."""
     s = E.standardize(split_frame(spark, sf_dir), ["area", "list_price"], _TRAIN)
     return s.select("sale_key", rnd("area_z").alias("area_z"), rnd("list_price_z").alias("list_price_z"))
+
+
+@query("onehot_all_values", sql=with_sql(SPLIT_SQL, """
+voc AS (SELECT DISTINCT coalesce(title, 'NA') AS v FROM spl WHERE split = 'train')
+SELECT sale_key, voc.v AS title_hot
+FROM spl LEFT JOIN voc ON coalesce(spl.title, 'NA') = voc.v"""))
+def onehot_all_values(spark, sf_dir):
+    """vocabulary = every train value (NULL → 'NA'); unseen values → all-zero row (NULL)."""
+    s = split_frame(spark, sf_dir).withColumn("title_na", F.coalesce(F.col("title"), F.lit("NA")))
+    voc = s.where(_TRAIN).select("title_na").distinct()
+    return E.map_to_vocab(s, "title_na", voc, "title_hot").select("sale_key", "title_hot")
