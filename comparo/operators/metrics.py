@@ -35,8 +35,8 @@ def with_median(agg: DataFrame, src: DataFrame, by, value: Column | str, out: st
     by = list(by or [])
     v = F.col(value) if isinstance(value, str) else value
     m = grouped_median(src.select(*by, v.alias("__mv")), by, "__mv", out)
-    if not by:
-        return agg.withColumn("__one", F.lit(1)).join(m.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    if not by:  # one number: attach it as a literal
+        return agg.withColumn(out, F.lit(m.first()[0]).cast("double"))
     return agg.join(m, by, "left")
 
 

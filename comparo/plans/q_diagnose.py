@@ -71,11 +71,11 @@ t AS (SELECT * FROM (VALUES {', '.join(f'({s})' for s in TARGET_SIZES)}) v(targe
 SELECT target, floors, round(1e-9 + avg(sold_price), 6) AS mean_price, count(*) AS n
 FROM priced JOIN t ON area BETWEEN target - 3 AND target + 3 GROUP BY target, floors"""))
 def price_near_size(spark, sf_dir):
-    """Price by floors among sales near three target sizes (band table of 3 rows, broadcast)."""
-    spark_ = spark
-    bands = spark_.createDataFrame([(s,) for s in TARGET_SIZES], "target int")
+    """Price by floors among sales near three target sizes."""
+    targets = F.array(*[F.lit(s) for s in TARGET_SIZES])
     p = priced(spark, sf_dir)
-    j = p.join(F.broadcast(bands), (p.area >= bands.target - 3) & (p.area <= bands.target + 3))
+    near = F.filter(targets, lambda t: (F.col("area") >= t - 3) & (F.col("area") <= t + 3))
+    j = p.select("floors", "sold_price", F.explode(near).alias("target"))  # no join: ≤ 3 copies per row
     return j.groupBy("target", "floors").agg(rnd(F.avg("sold_price")).alias("mean_price"),
                                              F.count(F.lit(1)).alias("n"))
 
