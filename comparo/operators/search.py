@@ -52,17 +52,35 @@ def subsets(spark: SparkSession, features, min_size: int = 1, max_size: int = 4)
                       "idx", "features", F.size("idx").alias("n_features"))
 
 
-def gram(df: DataFrame, cols, y: str) -> tuple[np.ndarray, int]:
-    """All pairwise sums of [1, cols..., y] in one aggregate; returns (matrix, n)."""
+def gram(df: DataFrame, cols, y: str, by: str | None = None, levels=()) -> tuple[np.ndarray, int] | dict:
+    """All pairwise sums of [1, cols..., y] in one aggregate; returns (matrix, n).
+
+    With ``by``/``levels`` the sums are conditional, one matrix per level, still in
+    ONE pass over the rows: returns {level: (matrix, n)}.
+    """
     names = ["__one"] + list(cols) + [y]
-    x = df.select(F.lit(1.0).alias("__one"), *[F.col(c).cast("double").alias(c) for c in cols],
-                  F.col(y).cast("double").alias(y))
+    sel = [F.lit(1.0).alias("__one"), *[F.col(c).cast("double").alias(c) for c in cols],
+           F.col(y).cast("double").alias(y)]
+    if by:
+        sel.append(F.col(by).alias("__by"))
+    x = df.select(*sel)
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    row = x.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    m = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = row[f"g{i}_{j}"] or 0.0
-    return m, int(round(m[0, 0]))
+    lv = list(levels) if by else [None]
+    aggs = []
+    for li, lev in enumerate(lv):
+        for i, j in pairs:
+            prod = F.col(names[i]) * F.col(names[j])
+            if by:
+                prod = F.when(F.col("__by") == F.lit(lev), prod)
+            aggs.append(F.sum(prod).alias(f"g{li}_{i}_{j}"))
+    row = x.agg(*aggs).first()
+    out = {}
+    for li, lev in enumerate(lv):
+        m = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = row[f"g{li}_{i}_{j}"] or 0.0
+        out[lev] = (m, int(round(m[0, 0])))
+    return out if by else out[None]
 
 
 def _solve(g: np.ndarray, idx) -> tuple[np.ndarray | None, float]:

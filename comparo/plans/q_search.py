@@ -74,8 +74,9 @@ def subset_counts(spark, sf_dir):
 def scored(spark, sf_dir):
     frame = _search_frame(spark, sf_dir)
     subs, feats = _subsets(spark, sf_dir)
-    g_tr, _ = S.gram(frame.where(F.col("split") == "train"), CATALOGUE, "y_log_price")
-    g_va, _ = S.gram(frame.where(F.col("split") == "val"), CATALOGUE, "y_log_price")
+    gs = S.gram(frame.where(F.col("split") != "test"), CATALOGUE, "y_log_price", by="split",
+                levels=("train", "val"))  # both matrices in one pass
+    g_tr, g_va = gs["train"][0], gs["val"][0]
     # Gram matrices are over the whole catalogue; subset indices refer to ``feats``
     pos = [CATALOGUE.index(f) for f in feats]
     subs = subs.withColumn("idx", F.transform("idx", lambda i: F.element_at(F.array(*[F.lit(p) for p in pos]), i + 1)))
