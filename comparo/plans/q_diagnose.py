@@ -15,7 +15,11 @@ from comparo.operators.metrics import with_median
 from comparo.plans.common import PRICED_ORDERS_SQL, PRICED_SQL, priced, rnd, with_sql
 from comparo.plans.registry import query
 
-_COHORT = F.when(F.col("floors") == 1, F.lit("single")).otherwise(F.lit("multi"))
+
+
+def _cohort():
+    return F.when(F.col("floors") == 1, F.lit("single")).otherwise(F.lit("multi"))
+
 _COHORT_SQL = "CASE WHEN floors = 1 THEN 'single' ELSE 'multi' END"
 _AGE_SQL = "coalesce(greatest(year(list_date) - least(greatest(yr_blt, 1900), year(list_date)), 0), 20)::DOUBLE"
 
@@ -29,7 +33,7 @@ dg AS (SELECT *, {_COHORT_SQL} AS cohort, {_AGE_SQL} AS age,
 def diag(spark, sf_dir):
     """P9 range predicate (0 < area < 5000), cohort, age, flags."""
     p = priced(spark, sf_dir, with_orders=True).where((F.col("area") > 0) & (F.col("area") < 5000))
-    return p.select("*", _COHORT.alias("cohort"),
+    return p.select("*", _cohort().alias("cohort"),
                     age_at_list(F.year("list_date"), F.col("yr_blt")).alias("age"),
                     F.col("restricted").contains("URGENT").cast("int").alias("is_restricted"),
                     F.col("title").contains("R").cast("int").alias("is_leasehold"))

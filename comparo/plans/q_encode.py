@@ -9,7 +9,10 @@ from comparo.operators import split as S
 from comparo.plans.common import SPLIT_SQL, priced, rnd, split_frame, with_sql
 from comparo.plans.registry import query
 
-_TRAIN = F.col("split") == "train"
+
+
+def _train():
+    return F.col("split") == "train"
 
 
 @query("label_encode", sql=with_sql(SPLIT_SQL, """
@@ -34,7 +37,7 @@ FROM spl LEFT JOIN top ON spl.complex = top.complex"""))
 def onehot_top20(spark, sf_dir):
     """Hot value among the 20 most frequent train values (NULL = all-zero row)."""
     s = split_frame(spark, sf_dir)
-    top = E.top_values(s.where(_TRAIN), "complex", 20)
+    top = E.top_values(s.where(_train()), "complex", 20)
     return E.map_to_vocab(s, "complex", top, "complex_hot", small=True).select("sale_key", "complex_hot")
 
 
@@ -45,7 +48,7 @@ FROM spl LEFT JOIN keep ON spl.partkey = keep.partkey"""))
 def onehot_min_freq_other(spark, sf_dir):
     """Addresses with ≥ 30 train rows kept, the rest binned to '__OTHER__'."""
     s = split_frame(spark, sf_dir).withColumn("address", F.col("partkey").cast("string"))
-    keep = E.frequent_values(s.where(_TRAIN), "address", 30)
+    keep = E.frequent_values(s.where(_train()), "address", 30)
     return E.map_to_vocab(s, "address", keep, "address_bin", other="__OTHER__").select("sale_key", "address_bin")
 
 
@@ -63,7 +66,7 @@ SELECT s.sale_key, round(1e-9 + coalesce(l.last_te, g.gm), 6) FROM spl s LEFT JO
 WHERE s.split <> 'train'"""))
 def te_ordered(spark, sf_dir):
     """Expanding mean of earlier train rows per category; val/test take the last train value."""
-    s = E.ordered_te(split_frame(spark, sf_dir), "complex", "y", _TRAIN)
+    s = E.ordered_te(split_frame(spark, sf_dir), "complex", "y", _train())
     return s.select("sale_key", rnd("complex_te").alias("complex_te"))
 
 
@@ -87,7 +90,7 @@ FROM kf LEFT JOIN c USING (complex), g WHERE kf.split <> 'train'"""))
 def te_kfold(spark, sf_dir):
     """Shuffled 5-fold target encoding by subtraction, unsmoothed."""
     s = S.kfold_hash(split_frame(spark, sf_dir))
-    return E.kfold_te(s, "complex", "y", "fold", _TRAIN).select("sale_key", rnd("complex_te").alias("complex_te"))
+    return E.kfold_te(s, "complex", "y", "fold", _train()).select("sale_key", rnd("complex_te").alias("complex_te"))
 
 
 _KFC = SPLIT_SQL + """,
@@ -113,11 +116,11 @@ FROM s80 LEFT JOIN c USING (fsa), g WHERE s80.split80 = 'test'"""))
 def te_kfold_shrunk(spark, sf_dir):
     """Contiguous 5-fold FSA encoding with shrinkage n/(n+10) over the 80% train."""
     s = S.temporal_split(priced(spark, sf_dir).withColumn("y", F.log("ppsf")), (0.8,), ("train", "test"))
-    tr = s.where(_TRAIN)
+    tr = s.where(_train())
     n = tr.count()
     folds = S.kfold_contiguous(tr, n).select("sale_key", "fold")
     s = s.join(folds, "sale_key", "left")
-    return E.kfold_te(s, "fsa", "y", "fold", _TRAIN, shrink_k=10.0).select(
+    return E.kfold_te(s, "fsa", "y", "fold", _train(), shrink_k=10.0).select(
         "sale_key", rnd("fsa_te").alias("fsa_te"))
 
 
@@ -146,11 +149,11 @@ FROM spl LEFT JOIN fullc USING (type_dwel), g WHERE spl.split <> 'train'"""))
 def te_time_series(spark, sf_dir):
     """Expanding-block encoding with smoothing m = 50 (prior = earlier blocks' mean)."""
     s = split_frame(spark, sf_dir)
-    tr = s.where(_TRAIN)
+    tr = s.where(_train())
     n = tr.count()
     blocks, _ = S.time_series_blocks(tr, n)
     s = s.join(blocks.select("sale_key", "block"), "sale_key", "left")
-    return E.time_series_te(s, "type_dwel", "y", "block", _TRAIN, 50.0).select(
+    return E.time_series_te(s, "type_dwel", "y", "block", _train(), 50.0).select(
         "sale_key", rnd("type_dwel_te").alias("type_dwel_te"))
 
 
@@ -161,7 +164,7 @@ SELECT sale_key, round(1e-9 + (area - ma) / sa, 6) AS area_z, round(1e-9 + (list
 FROM spl, st"""))
 def standardize(spark, sf_dir):
     """Z-scores with train mean and population sd."""
-    s = E.standardize(split_frame(spark, sf_dir), ["area", "list_price"], _TRAIN)
+    s = E.standardize(split_frame(spark, sf_dir), ["area", "list_price"], _train())
     return s.select("sale_key", rnd("area_z").alias("area_z"), rnd("list_price_z").alias("list_price_z"))
 
 
@@ -172,5 +175,5 @@ FROM spl LEFT JOIN voc ON coalesce(spl.title, 'NA') = voc.v"""))
 def onehot_all_values(spark, sf_dir):
     """vocabulary = every train value (NULL → 'NA'); unseen values → all-zero row (NULL)."""
     s = split_frame(spark, sf_dir).withColumn("title_na", F.coalesce(F.col("title"), F.lit("NA")))
-    voc = s.where(_TRAIN).select("title_na").distinct()
+    voc = s.where(_train()).select("title_na").distinct()
     return E.map_to_vocab(s, "title_na", voc, "title_hot").select("sale_key", "title_hot")

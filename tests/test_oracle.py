@@ -57,3 +57,13 @@ def test_query_matches_duckdb(spark, con, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "mae" in df.columns
+
+
+def test_catalogue_imports_without_spark():
+    """queries()/oracle_sql() must be callable before any SparkContext exists."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; q = E.queries(); o = E.oracle_sql(); print(len(q), len(o))"
+    r = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert r.returncode == 0, r.stderr[-2000:]
