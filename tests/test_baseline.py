@@ -123,3 +123,17 @@ def test_grouped_quantile_equals_percentile(spark, q):
     for vs in (1, 4):
         got = {r[0]: r[1] for r in B.grouped_quantile(p, ["fsa"], "ppsf", q, value_splits=vs).collect()}
         assert got == exp
+
+
+@pytest.mark.parametrize("splits", [1, 3])
+def test_history_targets_match_sql(spark, splits):
+    """Frames for external target days (B16) agree across methods, with and without value splits."""
+    from comparo.plans.common import priced
+    p = priced(spark, SF01).select("fsa", "day", "ppsf")
+    hist, tg = p.where(F.col("day") < 11000), p.where(F.col("day") >= 11000)
+    k = ["fsa", "day"]
+    a = B.frame_median_by_day(hist, ["fsa"], "ppsf", 90, 1, method="sql", targets=tg).toPandas().sort_values(k)
+    b = B.frame_median_by_day(hist, ["fsa"], "ppsf", 90, 1, value_splits=splits, targets=tg).toPandas().sort_values(k)
+    assert len(a) == len(b) == tg.select("fsa", "day").distinct().count()
+    assert (a["n"].to_numpy() == b["n"].to_numpy()).all()
+    assert np.array_equal(a["med"].to_numpy(), b["med"].to_numpy(), equal_nan=True)
