@@ -85,15 +85,17 @@ def ordered_te(df: DataFrame, cat: str, y: str, is_train: Column, out: str | Non
     """Train rows get the mean of earlier train rows of the category (global
     train mean when none); other rows get the train's last value per category."""
     out = out or f"{cat}_te"
+    is_train = F.coalesce(is_train, F.lit(False))
     train = df.where(is_train)
     gmean = train.agg(F.avg(y)).first()[0]
-    t = exclusive_running(train.select("sale_key", cat, day, seq, y), [cat], [y], day=day, seq=seq)
-    t = t.withColumn(out, F.coalesce(F.col(f"run_{y}") / F.nullif(F.col("run_n"), F.lit(0)), F.lit(gmean)))
+    t = exclusive_running(train, [cat], [y], day=day, seq=seq, prefix="__run_")
+    t = (t.withColumn(out, F.coalesce(F.col(f"__run_{y}") / F.nullif(F.col("__run_n"), F.lit(0)), F.lit(gmean)))
+          .drop("__run_n", f"__run_{y}"))
     last = t.groupBy(cat).agg(F.max_by(out, F.struct(day, seq)).alias("__last"))
-    tr = t.select("sale_key", out)
-    rest = (df.where(~is_train).select("sale_key", cat).join(last, cat, "left")
-              .select("sale_key", F.coalesce("__last", F.lit(gmean)).alias(out)))
-    return df.join(tr.unionByName(rest), "sale_key", "left")
+    # the other rows take the last train value of their category (one row per category)
+    rest = (df.where(~is_train).join(last, cat, "left")
+              .withColumn(out, F.coalesce("__last", F.lit(gmean))).drop("__last"))
+    return t.unionByName(rest)
 
 
 # ---------------------------------------------------------------------------
@@ -111,33 +113,35 @@ def kfold_te(df: DataFrame, cat: str, y: str, fold: str, is_train: Column, out:
         use the full-train smoothing with the train mean as default.
     """
     out = out or f"{cat}_te"
+    is_train = F.coalesce(is_train, F.lit(False))
     train = df.where(is_train)
-    per = train.groupBy(cat, fold).agg(F.sum(y).alias("s_cf"), F.count(y).alias("n_cf"))
-    tot_c = per.groupBy(cat).agg(F.sum("s_cf").alias("s_c"), F.sum("n_cf").alias("n_c"))
-    per_f = per.groupBy(fold).agg(F.sum("s_cf").alias("s_f"), F.sum("n_cf").alias("n_f"))
+    per = train.groupBy(cat, fold).agg(F.sum(y).alias("__s_cf"), F.count(y).alias("__n_cf"))
+    tot_c = per.groupBy(cat).agg(F.sum("__s_cf").alias("__s_c"), F.sum("__n_cf").alias("__n_c"))
+    per_f = per.groupBy(fold).agg(F.sum("__s_cf").alias("__s_f"), F.sum("__n_cf").alias("__n_f"))
     g = train.agg(F.sum(y).alias("s"), F.count(y).alias("n")).first()
     S, N = float(g["s"] or 0.0), int(g["n"])
     gmean = S / N if N else None
-    oof = (train.select("sale_key", cat, fold)
-                .join(tot_c, cat, "left").join(per, [cat, fold], "left").join(F.broadcast(per_f), fold, "left"))
-    n_oof = F.col("n_c") - F.coalesce(F.col("n_cf"), F.lit(0))
-    s_oof = F.col("s_c") - F.coalesce(F.col("s_cf"), F.lit(0.0))
+    oof = (train.join(tot_c, cat, "left").join(per, [cat, fold], "left")
+                .join(F.broadcast(per_f), fold, "left"))  # one row per fold
+    n_oof = F.col("__n_c") - F.coalesce(F.col("__n_cf"), F.lit(0))
+    s_oof = F.col("__s_c") - F.coalesce(F.col("__s_cf"), F.lit(0.0))
     mean_oof = F.when(n_oof > 0, s_oof / n_oof)
     if shrink_k is None:
-        fold_mean = (F.lit(S) - F.col("s_f")) / (F.lit(N) - F.col("n_f"))
+        fold_mean = (F.lit(S) - F.col("__s_f")) / (F.lit(N) - F.col("__n_f"))
         te_tr = F.coalesce(mean_oof, fold_mean)
     else:
         a = n_oof / (n_oof + F.lit(float(shrink_k)))
         te_tr = F.when(n_oof > 0, a * mean_oof + (1 - a) * F.lit(gmean))
-    tr = oof.select("sale_key", te_tr.alias(out))
-    full_mean = F.col("s_c") / F.col("n_c")
+    helpers = ["__s_cf", "__n_cf", "__s_c", "__n_c", "__s_f", "__n_f"]
+    tr = oof.withColumn(out, te_tr).drop(*helpers)
+    full_mean = F.col("__s_c") / F.col("__n_c")
     if shrink_k is None:
         te_full = F.coalesce(full_mean, F.lit(gmean))
     else:
-        a = F.col("n_c") / (F.col("n_c") + F.lit(float(shrink_k)))
+        a = F.col("__n_c") / (F.col("__n_c") + F.lit(float(shrink_k)))
         te_full = F.coalesce(a * full_mean + (1 - a) * F.lit(gmean), F.lit(gmean))
-    rest = df.where(~is_train).select("sale_key", cat).join(tot_c, cat, "left").select("sale_key", te_full.alias(out))
-    return df.join(tr.unionByName(rest), "sale_key", "left")
+    rest = df.where(~is_train).join(tot_c, cat, "left").withColumn(out, te_full).drop("__s_c", "__n_c")
+    return tr.unionByName(rest)
 
 
 # ---------------------------------------------------------------------------
@@ -151,25 +155,27 @@ def time_series_te(df: DataFrame, cat: str, y: str, block: str, is_train: Column
     an unseen category gets the prior; block 0 stays NULL.  Val/test: the same
     formula over all train with prior = train mean."""
     out = out or f"{cat}_te"
+    is_train = F.coalesce(is_train, F.lit(False))
     train = df.where(is_train)
-    per = train.groupBy(cat, block).agg(F.sum(y).alias("s_cb"), F.count(y).alias("n_cb"))
+    per = train.groupBy(cat, block).agg(F.sum(y).alias("__s_cb"), F.count(y).alias("__n_cb"))
     w_c = Window.partitionBy(cat).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    per_b = per.groupBy(block).agg(F.sum("s_cb").alias("s_b"), F.sum("n_cb").alias("n_b"))
+    per_b = per.groupBy(block).agg(F.sum("__s_cb").alias("__s_b"), F.sum("__n_cb").alias("__n_b"))
     w_b = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    prior = per_b.select(block, (F.sum("s_b").over(w_b) / F.sum("n_b").over(w_b)).alias("prior"))
+    prior = per_b.select(block, (F.sum("__s_b").over(w_b) / F.sum("__n_b").over(w_b)).alias("__prior"))
     # every train row's (category, block) has an entry in ``per``: sums over earlier blocks
-    cum = per.select(cat, block, F.sum("s_cb").over(w_c).alias("s_prev"), F.sum("n_cb").over(w_c).alias("n_prev"))
-    rows = train.select("sale_key", cat, block)
-    j = rows.join(cum, [cat, block], "left").join(F.broadcast(prior), block, "left")
+    cum = per.select(cat, block, F.sum("__s_cb").over(w_c).alias("__s_prev"),
+                     F.sum("__n_cb").over(w_c).alias("__n_prev"))
+    j = train.join(cum, [cat, block], "left").join(F.broadcast(prior), block, "left")
     te = F.when(F.col(block) == 0, F.lit(None).cast("double")).otherwise(
-        F.coalesce((F.col("s_prev") + F.lit(m) * F.col("prior")) / (F.col("n_prev") + F.lit(m)), F.col("prior")))
-    tr = j.select("sale_key", te.alias(out))
+        F.coalesce((F.col("__s_prev") + F.lit(m) * F.col("__prior")) / (F.col("__n_prev") + F.lit(m)),
+                   F.col("__prior")))
+    tr = j.withColumn(out, te).drop("__s_prev", "__n_prev", "__prior")
     g = train.agg(F.avg(y)).first()[0]
-    full = per.groupBy(cat).agg(F.sum("s_cb").alias("s_c"), F.sum("n_cb").alias("n_c"))
-    rest = (df.where(~is_train).select("sale_key", cat).join(full, cat, "left")
-              .select("sale_key", F.coalesce((F.col("s_c") + F.lit(m * g)) / (F.col("n_c") + F.lit(m)),
-                                             F.lit(g)).alias(out)))
-    return df.join(tr.unionByName(rest), "sale_key", "left")
+    full = per.groupBy(cat).agg(F.sum("__s_cb").alias("__s_c"), F.sum("__n_cb").alias("__n_c"))
+    rest = (df.where(~is_train).join(full, cat, "left")
+              .withColumn(out, F.coalesce((F.col("__s_c") + F.lit(m * g)) / (F.col("__n_c") + F.lit(m)), F.lit(g)))
+              .drop("__s_c", "__n_c"))
+    return tr.unionByName(rest)
 
 
 # ---------------------------------------------------------------------------
