@@ -103,7 +103,7 @@ def _pick_splits(src: DataFrame, gcols, chunk: int, max_task_rows: int) -> int:
     """
     biggest = (src.groupBy(*gcols, F.floor(F.col("d") / chunk).alias("c"))
                   .count().agg(F.max("count")).first()[0]) or 0
-    return max(1, min(1024, math.ceil(2 * biggest / max_task_rows)))
+    return max(1, min(8192, math.ceil(2 * biggest / max_task_rows)))
 
 
 def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets=None, q=0.5):
@@ -124,23 +124,39 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
     if V == 1:
         res = _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q)
         return (res.drop(_G0) if not groups else res).select(*groups, day, "med", "n")
-    if V > 1:
-        fracs = [i / V for i in range(1, V)]
-        bounds = src.groupBy(*gcols).agg(F.percentile_approx("v", fracs, 10000).alias("bounds"))
-        src = (src.join(bounds, gcols)
-                  .withColumn("r", F.size(F.filter("bounds", lambda b: b <= F.col("v"))))
-                  .drop("bounds"))
-        # approximate bounds are not bit-stable across re-evaluations, and the
-        # range tag feeds two branches (frame counts, rank selection): write it once
-        from comparo.session import materialize
-        src = materialize(src)
+    # Per-group number of ranges: only hot groups are split.  Forced ``value_splits``
+    # applies to every group; otherwise V_g is the power of two that brings the
+    # group's largest chunk under the bound, and its range bounds are every
+    # (V/V_g)-th bound of one V-quantile sketch per group.
+    if value_splits:
+        vg = src.select(*gcols).distinct().withColumn("__V", F.lit(int(V)))
     else:
-        src = src.withColumn("r", F.lit(0))
+        V = 1 << (V - 1).bit_length()  # next power of two
+        per = (src.groupBy(*gcols, F.floor(F.col("d") / chunk).alias("__c")).count()
+                  .groupBy(*gcols).agg(F.max("count").alias("__m")))
+        need = F.ceil(F.col("__m") * 2.0 / max_task_rows)
+        pow2 = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(need, F.lit(1))))).cast("int")
+        vg = per.select(*gcols, F.least(F.lit(V), pow2).alias("__V"))
+    fracs = [i / V for i in range(1, V)]
+    bounds = src.groupBy(*gcols).agg(F.percentile_approx("v", fracs, 10000).alias("__b")).join(vg, gcols)
+    step = F.lit(V) / F.col("__V")
+    sel = F.filter("__b", lambda b, i: ((i + 1) % step) == 0)
+    src = (src.join(bounds, gcols)
+              .withColumn("r", F.size(F.filter(sel, lambda b: b <= F.col("v"))))
+              .drop("__b"))
+    # approximate bounds are not bit-stable across re-evaluations, and the range
+    # tag feeds two branches (frame counts, rank selection): write it once
+    from comparo.session import materialize
+    src = materialize(src)
+    vg = src.select(*gcols, "__V").distinct()
+    src = src.drop("__V")
 
     # (3) frame sizes per (group, target day, range) from day-level counts.
     counts = src.groupBy(*gcols, "r", "d").agg(F.count(F.lit(1)).alias("cnt"))
-    grid = targets.select(*gcols, F.col("t").alias("d"),
-                          F.explode(F.sequence(F.lit(0), F.lit(V - 1))).alias("r"))
+    # a target group without any value has no range table entry: one empty range
+    grid = (targets.join(vg, gcols, "left")  # vg: one row per group
+                   .select(*gcols, F.col("t").alias("d"),
+                           F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__V"), F.lit(1)) - 1)).alias("r")))
     unioned = (grid.select(*gcols, "r", "d", F.lit(0).cast("long").alias("cnt"),
                            F.lit(True).alias("is_t"))
                    .unionByName(counts.withColumn("is_t", F.lit(False))))

@@ -152,3 +152,13 @@ def test_auto_split_picker_engages_for_hot_groups(spark):
     g = B.grouped_median(p, ["fsa"], "ppsf", max_task_rows=40).toPandas().set_index("fsa")["median"]
     exp = p.groupBy("fsa").agg(F.percentile("ppsf", F.lit(0.5)).alias("m")).toPandas().set_index("fsa")["m"]
     assert (g.sort_index() == exp.sort_index()).all()
+
+
+def test_group_without_values_keeps_its_targets(spark):
+    """A group whose values are all NULL still gets its target days (n = 0, NULL median) on every path."""
+    rows = [("a", 100, 1.0), ("a", 101, 2.0), ("a", 102, 3.0), ("b", 101, None), ("b", 102, None)]
+    df = spark.createDataFrame(rows, "g string, day int, v double")
+    for kw in ({"method": "sql"}, {"value_splits": 1}, {"value_splits": 2}, {"max_task_rows": 1}):
+        t = {(r["g"], r["day"]): (r["med"], r["n"]) for r in B.frame_median_by_day(df, ["g"], "v", 5, 1, **kw).collect()}
+        assert t[("b", 101)] == (None, 0) and t[("b", 102)] == (None, 0), kw
+        assert t[("a", 102)] == (1.5, 2), kw
