@@ -51,7 +51,8 @@ def frame_median_by_day(df: DataFrame, groups, value: str, lo: int, hi: int = 1,
                         day: str = "day", method: str = "chunked",
                         value_splits: int | None = None,
                         max_task_rows: int = 2_000_000,
-                        targets: DataFrame | None = None, q: float = 0.5) -> DataFrame:
+                        targets: DataFrame | None = None, q: float = 0.5,
+                        picked: int | None = None) -> DataFrame:
     """Median and count of ``value`` over the days ``[t - lo, t - hi]`` of the group.
 
     Returns one row per distinct (group..., day) of ``df`` (or of ``targets``
@@ -68,7 +69,7 @@ def frame_median_by_day(df: DataFrame, groups, value: str, lo: int, hi: int = 1,
             raise ValueError("the sql method computes medians only")
         return _frame_sql(df, groups, value, lo, hi, day, targets)
     if method == "chunked":
-        return _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets, q)
+        return _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets, q, picked)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -106,7 +107,26 @@ def _pick_splits(src: DataFrame, gcols, chunk: int, max_task_rows: int) -> int:
     return max(1, min(8192, math.ceil(2 * biggest / max_task_rows)))
 
 
-def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets=None, q=0.5):
+def pick_splits_many(df: DataFrame, specs, value: str, *, day: str = "day",
+                     max_task_rows: int = 2_000_000) -> list[int]:
+    """The task-size statistic of ``_pick_splits`` for several (groups, chunk) frames
+    over the same rows in ONE job (a union of small aggregates; one number each)."""
+    parts = []
+    for i, (groups, chunk) in enumerate(specs):
+        gcols = list(groups)
+        part = (_not_null_keys(df, gcols).where(F.col(value).isNotNull())
+                .groupBy(*gcols, F.floor(F.col(day) / chunk).alias("__c")).count()
+                .agg(F.max("count").alias("m")).select(F.lit(i).alias("i"), "m"))
+        parts.append(part)
+    u = parts[0]
+    for part in parts[1:]:
+        u = u.unionByName(part)
+    got = {r["i"]: (r["m"] or 0) for r in u.collect()}  # one row per spec
+    return [max(1, min(8192, math.ceil(2 * got.get(i, 0) / max_task_rows))) for i in range(len(specs))]
+
+
+def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets=None, q=0.5,
+                   picked=None):
     gcols = groups or [_G0]
     if not groups:
         df = df.withColumn(_G0, F.lit(0))
@@ -120,7 +140,7 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
                .select(*gcols, F.col(day).cast("int").alias("d"),
                        F.col(value).cast("double").alias("v")))
     chunk = lo - hi + 1
-    V = value_splits or _pick_splits(src, gcols, chunk, max_task_rows)
+    V = value_splits or picked or _pick_splits(src, gcols, chunk, max_task_rows)
     if V == 1:
         res = _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q)
         return (res.drop(_G0) if not groups else res).select(*groups, day, "med", "n")
@@ -419,9 +439,12 @@ def causal_baseline(df: DataFrame, group: str = "fsa", value: str = "ppsf", leng
     """
     src = df if history is None else history
     tg = None if history is None else df
-    grp = (frame_median_by_day(src, [group], value, length, 1, day=day, method=method, targets=tg)
+    vg = vr = None
+    if method == "chunked":
+        vg, vr = pick_splits_many(src, [([group], length), ([], length)], value, day=day)
+    grp = (frame_median_by_day(src, [group], value, length, 1, day=day, method=method, targets=tg, picked=vg)
            .withColumnRenamed("med", "base_grp").withColumnRenamed("n", "n_grp"))
-    reg = (frame_median_by_day(src, [], value, length, 1, day=day, method=method, targets=tg)
+    reg = (frame_median_by_day(src, [], value, length, 1, day=day, method=method, targets=tg, picked=vr)
            .withColumnRenamed("med", "base_reg").withColumnRenamed("n", "n_reg"))
     n = F.coalesce(F.col("n_grp"), F.lit(0))
     alpha = n / (n + F.lit(float(shrink_k)))
@@ -459,11 +482,16 @@ def level_candidates(df: DataFrame, value: str = "ppsf", levels=V5_LEVELS, windo
     """
     names = []
     out = df
+    picks = {}
+    if mode == "strict" and method == "chunked":
+        specs = [(list(level), length) for level in levels for length, _ in windows]
+        picks = dict(zip([(tuple(g), c) for g, c in specs], pick_splits_many(df, specs, value, day=day)))
     for level in levels:
         for length, min_p in windows:
             name = level_name(level, length)
             if mode == "strict":
-                t = frame_median_by_day(df, list(level), value, length, 1, day=day, method=method)
+                t = frame_median_by_day(df, list(level), value, length, 1, day=day, method=method,
+                                        picked=picks.get((tuple(level), length)))
                 t = t.select(*level, day, F.when(F.col("n") >= min_p, F.col("med")).alias(name))
                 if level:
                     out = out.join(t, list(level) + [day], "left")
