@@ -64,15 +64,16 @@ _WIN_COLS = ("list_price", "area", "maint_fee")
 lim AS (SELECT quantile_cont(list_price, [0.005, 0.995]) AS lp, quantile_cont(area, [0.005, 0.995]) AS ar,
                quantile_cont(maint_fee, [0.005, 0.995]) AS mf FROM spl WHERE split = 'train')
 SELECT sale_key,
-       CASE WHEN list_price IS NOT NULL THEN least(greatest(list_price, lp[1]), lp[2]) END AS list_price_w,
-       CASE WHEN area IS NOT NULL THEN least(greatest(area, ar[1]), ar[2]) END AS area_w,
-       CASE WHEN maint_fee IS NOT NULL THEN least(greatest(maint_fee, mf[1]), mf[2]) END AS maint_fee_w
+       round(1e-9 + CASE WHEN list_price IS NOT NULL THEN least(greatest(list_price, lp[1]), lp[2]) END, 6) AS list_price_w,
+       round(1e-9 + CASE WHEN area IS NOT NULL THEN least(greatest(area, ar[1]), ar[2]) END, 6) AS area_w,
+       round(1e-9 + CASE WHEN maint_fee IS NOT NULL THEN least(greatest(maint_fee, mf[1]), mf[2]) END, 6) AS maint_fee_w
 FROM spl, lim"""))
 def winsorized(spark, sf_dir):
     """Limits fitted on the train split only (§8 Z8), applied to all rows."""
     s = split_frame(spark, sf_dir)
     lim = X.quantile_limits(s.where(F.col("split") == "train"), _WIN_COLS)
-    return X.winsorize(s, lim).select("sale_key", *[f"{c}_w" for c in _WIN_COLS])
+    # interpolated limits differ between engines in the last bits: tie-stable rounding
+    return X.winsorize(s, lim).select("sale_key", *[rnd(f"{c}_w").alias(f"{c}_w") for c in _WIN_COLS])
 
 
 @query("bin_median_impute", sql=with_sql(SPLIT_SQL, """
