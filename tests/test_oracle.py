@@ -16,7 +16,8 @@ from tests.conftest import SF001
 
 DEFAULT = ["baseline_error_by_month", "baseline_shrunk", "baseline_levels_coalesce", "baseline_lag_row_365d",
            "split_70_10_20", "te_ordered", "te_time_series", "metrics_by_split", "leakage_audit",
-           "subsets_1_to_4", "score_new_listings", "simpson_table", "money_parse"]
+           "subsets_1_to_4", "score_new_listings", "simpson_table", "money_parse",
+           "winsorized", "baseline_vs_naive", "baseline_rows_30"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("ORACLE_ALL") else DEFAULT
 
 
