@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from comparo.llm.common import saved, table
 
 CAPACITY, EOS, SALTS = 4096, 1, 64
-#: Words whose ids a worker remembers; emptied when full.
-CACHE = 500_000
+#: Words whose ids a worker remembers; emptied when full (between batches).
+CACHE = 800_000
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,34 +44,75 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Closing marks that the tokenizer parts from a letter before them; none belongs to a special token.
+_TAIL = b".,;:!?*$%&#"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+
+
 class WordIds(dict):
     """White-space delimited word to its ids as little-endian uint32 bytes.  The
-    tokenizer never joins characters across white space, so a text's ids are its words' ids."""
+    tokenizer never joins characters across white space, so a text's ids are its
+    words' ids.  Words not met before are encoded together, in lower case (the
+    tokenizer lower-cases) and without closing marks, which are words of their own."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(_BREAK)
 
-    def __missing__(self, w: bytes) -> bytes:
+    def learn(self, ws: set[bytes]) -> None:
         if len(self) >= CACHE:
             self.clear()
-        ids = self.encode(w.decode("utf-8"), add_special_tokens=False).ids
-        v = self[w] = np.asarray(ids, "<u4").tobytes()
-        return v
-
-
+            missing = ws
+        else:
+            missing = {w for w in ws if w not in self}
+        parts, single = {}, []
+        for w in missing:
+            if b"<" in w:
+                single.append(w)
+                continue
+            core = w.rstrip(_TAIL)
+            low = core.lower()
+            if not low or low[-1] not in _LETTERS:
+                low, tail = w.lower(), b""
+            else:
+                tail = w[len(core):]
+            parts[w] = low, tail
+        fresh = list({x for p in parts.values() for x in p if x and x not in self})
+        for i in range(0, len(fresh), 2000):
+            some = fresh[i:i + 2000]
+            ids = np.array(self._encode(_BREAK.join(w.decode("utf-8") for w in some)), "<u4")
+            cut = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            at = 0
+            for w, end in zip(some, cut.tolist()):
+                self[w] = ids[at:end].tobytes()
+                at = end + 1
+        for w, (low, tail) in parts.items():
+            if w != low or tail:
+                self[w] = self[low] + self[tail] if tail else self[low]
+        for w in single:  # may hold special tokens, whose case and marks matter
+            self[w] = np.array(self._encode(w.decode("utf-8")), "<u4").tobytes()
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+_BREAK = "<|endoftext|>"
 _WORDS: dict[str, WordIds] = {}
 
 
-def token_bytes(text: str | None, path: str, eos: int = EOS) -> bytes:
-    """Ids of a whole text and the closing id, as little-endian uint32."""
+def token_bytes(texts: list[str | None], path: str, eos: int = EOS):
+    """Ids of each whole text and the closing id, as little-endian uint32."""
     ids = _WORDS.get(path)
     if ids is None:
         ids = _WORDS[path] = WordIds(path)
-    body = b"".join(map(ids.__getitem__, text.encode("utf-8").split())) if text else b""
-    return body + int(eos).to_bytes(4, "little")
+    close = int(eos).to_bytes(4, "little")
+    split = [t.encode("utf-8").split() if t else [] for t in texts]
+    ids.learn(set().union(*split))
+    for ws in split:
+        yield b"".join(map(ids.__getitem__, ws)) + close
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
@@ -81,8 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches):
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = token_bytes(text, path, eos)
+            for doc, raw in zip(b.column(0).to_pylist(), token_bytes(b.column(1).to_pylist(), path, eos)):
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at:at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
