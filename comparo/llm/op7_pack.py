@@ -61,40 +61,57 @@ class WordIds(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(_BREAK)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def learn(self, ws: set[bytes]) -> None:
         if len(self) >= CACHE:
             self.clear()
-            missing = ws
-        else:
-            missing = {w for w in ws if w not in self}
-        parts, single = {}, []
+        lows, tails, fresh, special = [], [], set(), []
+        missing = [w for w in ws if w not in self]
         for w in missing:
-            if b"<" in w:
-                single.append(w)
-                continue
             core = w.rstrip(_TAIL)
             low = core.lower()
-            if not low or low[-1] not in _LETTERS:
-                low, tail = w.lower(), b""
-            else:
-                tail = w[len(core):]
-            parts[w] = low, tail
-        fresh = list({x for p in parts.values() for x in p if x and x not in self})
-        for i in range(0, len(fresh), 2000):
-            some = fresh[i:i + 2000]
-            ids = np.array(self._encode(_BREAK.join(w.decode("utf-8") for w in some)), "<u4")
-            cut = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            at = 0
-            for w, end in zip(some, cut.tolist()):
-                self[w] = ids[at:end].tobytes()
-                at = end + 1
-        for w, (low, tail) in parts.items():
-            if w != low or tail:
-                self[w] = self[low] + self[tail] if tail else self[low]
-        for w in single:  # may hold special tokens, whose case and marks matter
+            if b"<" in w:
+                special.append(w)  # may hold special tokens, whose case and marks matter
+            elif not low or low[-1] not in _LETTERS:
+                low, core = w.lower(), w
+            lows.append(low)
+            tail = w[len(core):]
+            tails.append(tail)
+            if low not in self:
+                fresh.add(low)
+            if tail and tail not in self:
+                fresh.add(tail)
+        fresh.discard(b"")
+        plain, other = [], []
+        for w in fresh:
+            t = w.decode("utf-8")
+            (plain if t.isalpha() and "\u0130" not in t else other).append(t)
+        for i in range(0, len(plain), 2000):  # letters only: one piece each, which ends with a word-end token
+            self._store(plain[i:i + 2000], " ", lambda ids: np.flatnonzero(self.last[ids]) + 1, 0)
+        for i in range(0, len(other), 500):
+            self._store(other[i:i + 500], _BREAK, lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+        for w, low, tail in zip(missing, lows, tails):
+            if tail:
+                self[w] = self[low] + self[tail]
+            elif w != low:
+                self[w] = self[low]
+        for w in special:
             self[w] = np.array(self._encode(w.decode("utf-8")), "<u4").tobytes()
 
+    def _store(self, some: list[str], between: str, ends, skip: int) -> None:
+        ids = np.array(self._encode(between.join(some)), "<u4")
+        cut = ends(ids)
+        if len(cut) != len(some) or any("<" in w for w in some):
+            for w in some:
+                self[w.encode("utf-8")] = np.array(self._encode(w), "<u4").tobytes()
+            return
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(some, (4 * cut).tolist()):
+            self[w.encode("utf-8")] = raw[at:end]
+            at = end + 4 * skip
+
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
