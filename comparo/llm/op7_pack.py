@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from comparo.llm.common import saved, table
 
 CAPACITY, EOS, SALTS = 4096, 1, 64
-#: Words whose ids a worker remembers; emptied when full (between batches).
-CACHE = 800_000
+#: Words whose ids a worker remembers between batches.
+CACHE = 700_000
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,10 +50,10 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 class WordIds(dict):
-    """White-space delimited word to its ids as little-endian uint32 bytes.  The
-    tokenizer never joins characters across white space, so a text's ids are its
-    words' ids.  Words not met before are encoded together, in lower case (the
-    tokenizer lower-cases) and without closing marks, which are words of their own."""
+    """Ids (little-endian uint32 bytes) of lower-case words without closing marks.
+    The tokenizer never joins characters across white space, parts closing marks
+    from a letter before them and lower-cases: a text's ids are those of its
+    words, a word's those of its core and marks."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -64,26 +64,33 @@ class WordIds(dict):
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def learn(self, ws: set[bytes]) -> None:
-        if len(self) >= CACHE:
-            self.clear()
-        lows, tails, fresh, special = [], [], set(), []
-        missing = [w for w in ws if w not in self]
-        for w in missing:
+    def forget(self) -> None:
+        """Back to at most CACHE words: the latest go, the frequent ones came early."""
+        while len(self) > CACHE:
+            self.popitem()
+
+    def of(self, ws: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of all the words; new ones are encoded together."""
+        out, later, fresh, get = {}, [], set(), self.get
+        for w in ws:
+            if b"<" in w:  # may hold special tokens, whose case and marks matter
+                out[w] = np.array(self._encode(w.decode("utf-8")), "<u4").tobytes()
+                continue
             core = w.rstrip(_TAIL)
             low = core.lower()
-            if b"<" in w:
-                special.append(w)  # may hold special tokens, whose case and marks matter
-            elif not low or low[-1] not in _LETTERS:
-                low, core = w.lower(), w
-            lows.append(low)
-            tail = w[len(core):]
-            tails.append(tail)
-            if low not in self:
+            if core and low[-1] in _LETTERS:
+                tail = w[len(core):]
+            else:
+                low, tail = w.lower(), b""
+            v = get(low)
+            if v is not None and not tail:
+                out[w] = v
+                continue
+            if v is None:
                 fresh.add(low)
             if tail and tail not in self:
                 fresh.add(tail)
-        fresh.discard(b"")
+            later.append((w, low, tail))
         plain, other = [], []
         for w in fresh:
             t = w.decode("utf-8")
@@ -92,18 +99,14 @@ class WordIds(dict):
             self._store(plain[i:i + 2000], " ", lambda ids: np.flatnonzero(self.last[ids]) + 1, 0)
         for i in range(0, len(other), 500):
             self._store(other[i:i + 500], _BREAK, lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
-        for w, low, tail in zip(missing, lows, tails):
-            if tail:
-                self[w] = self[low] + self[tail]
-            elif w != low:
-                self[w] = self[low]
-        for w in special:
-            self[w] = np.array(self._encode(w.decode("utf-8")), "<u4").tobytes()
+        for w, low, tail in later:
+            out[w] = self[low] + self[tail] if tail else self[low]
+        return out
 
     def _store(self, some: list[str], between: str, ends, skip: int) -> None:
         ids = np.array(self._encode(between.join(some)), "<u4")
         cut = ends(ids)
-        if len(cut) != len(some) or any("<" in w for w in some):
+        if len(cut) != len(some):
             for w in some:
                 self[w.encode("utf-8")] = np.array(self._encode(w), "<u4").tobytes()
             return
@@ -127,9 +130,10 @@ def token_bytes(texts: list[str | None], path: str, eos: int = EOS):
         ids = _WORDS[path] = WordIds(path)
     close = int(eos).to_bytes(4, "little")
     split = [t.encode("utf-8").split() if t else [] for t in texts]
-    ids.learn(set().union(*split))
+    own = ids.of(set().union(*split))
+    ids.forget()
     for ws in split:
-        yield b"".join(map(ids.__getitem__, ws)) + close
+        yield b"".join(map(own.__getitem__, ws)) + close
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
