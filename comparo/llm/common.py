@@ -3,6 +3,7 @@ ASCII-white-space words and rolling hashes."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,6 +51,8 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark's cleaner drops the shuffle files of plans nobody refers to any more
     out = spark.read.schema(df.schema).parquet(path)
     out._comparo_path = path
     return out

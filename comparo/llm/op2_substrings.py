@@ -9,15 +9,14 @@ the same document) is removed; windows are judged on the input.
    counted over all documents; a window whose anchor occurs once cannot recur.
 2. Passages.  Neighbouring windows with one recurring anchor form a passage (at
    most ``2 * window - gram`` words).  Equal passages are confirmed by grouping
-   (128-bit hash): all but the first lose all their words.  An anchor that
-   occurs more than ``dense`` times deals its windows by their own hash
-   instead, so no key gathers many different passages.
+   on the anchor's and the passage's hash (128 bits): all but the first lose all their words.
 3. Automata.  Different passages of one anchor go to one shard.  A shard
    confirms the windows that recur among its passages, compiles them into an
    Aho-Corasick automaton over words (each word one symbol, so matches are
    exact) and streams its passages through it; every hit that is not the
    window's first occurrence is removed.  Shards hold at most ``SHARD_WINDOWS``
-   windows at a time.
+   windows at a time.  An anchor with more than ``dense`` different passages has
+   their windows grouped by hash instead, so no key gathers an unbounded number.
 
 Order of occurrences: doc_id (null first), then text hash, then position; rows
 that share doc_id and text are one document and get equal results.  A null
@@ -43,15 +42,30 @@ _MIN = -(1 << 63)
 _HASH = WordHash()
 
 
-def anchors_of(ws: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all ``gram``-word runs; of each window: position of its anchor; hash of all windows' words."""
-    h = _HASH.of(ws)
+_POS = 21
+_CHUNK = 1 << (_POS - 1)
+
+
+def anchors_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``gram``-word runs and the position of each window's anchor,
+    from the words' hashes.  Minima run over the upper hash bits with the
+    position below them, so that one minimum finds value and leftmost place;
+    texts beyond ``_CHUNK`` words go in overlapping parts."""
     g = rolling(h, gram)
-    w = window - gram + 1
-    if len(ws) < window:
-        return g, np.empty(0, np.int64), h
-    views = np.lib.stride_tricks.sliding_window_view(g, w)
-    return g, np.arange(len(views)) + np.argmin(views, axis=1), h
+    n, w = len(h) - window + 1, window - gram + 1
+    if n < 1:
+        return g, np.empty(0, np.int64)
+    out = []
+    for a in range(0, n, _CHUNK):
+        part = g[a:a + _CHUNK + w - 1]
+        m = (part & ~np.uint64((1 << _POS) - 1)) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while span < w:  # minima over span, then up to twice as much
+            step = min(span, w - span)
+            m = np.minimum(m[:-step], m[step:])
+            span += step
+        out.append((m & np.uint64((1 << _POS) - 1)).astype(np.int64) + a)
+    return g, out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -65,7 +79,7 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for b in batches:
             hs, ks, ps = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g, p, _ = anchors_of(words(t), window, gram)
+                g, p = anchors_of(_HASH.of(words(t)), window, gram)
                 if len(p):
                     u = p[np.flatnonzero(np.diff(p, prepend=-1))]
                     hs.append(g[u])
@@ -78,56 +92,62 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def passage_rows(docs: DataFrame, hints: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, c1, c2, doc, th, start, size, body): passages with a recurring
-    anchor.  ``body`` is given at the passage's first sight in a task."""
+    """(key, c, doc, th, start, size, body): passages with a recurring anchor.
+    ``body`` is given at the passage's first sight in a task."""
     j = (docs.select("doc", "th", "text", F.xxhash64("doc", "th").alias("k")).join(hints, "k").select("doc", "th", "text", "at"))
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for b in batches:
             out: list[tuple] = []
             for doc, th, t, at in zip(*(b.column(i).to_pylist() for i in range(4))):
                 ws = words(t)
-                g, p, h = anchors_of(ws, window, gram)
+                g, p = anchors_of(_HASH.of(ws), window, gram)
                 if not len(p):
                     continue
-                at = np.array(at, np.int64)
-                dense = dict(zip((at >> 1).tolist(), (at & 1).tolist()))
                 first = np.flatnonzero(np.diff(p, prepend=-1))
                 last = np.append(first[1:], len(p))
-                whole = None
-                for a, z in zip(first.tolist(), last.tolist()):
-                    kind = dense.get(int(p[a]))
-                    if kind is None:
-                        continue
-                    if kind:
-                        if whole is None:
-                            whole = rolling(h, window).view(np.int64)
-                        spans = [(int(whole[i]), i, i + window) for i in range(a, z)]
+                mine = np.isin(p[first], np.array(at))
+                first, last = first[mine], last[mine]
+                keys = g[p[first]].view(np.int64).tolist()
+                for key, s, e in zip(keys, first.tolist(), (last - 1 + window).tolist()):
+                    body = b" ".join(ws[s:e])
+                    c = xxhash.xxh3_64_intdigest(body)
+                    if c in seen:
+                        body = None
                     else:
-                        spans = [(int(g[p[a]].view(np.int64)), a, z - 1 + window)]
-                    for key, s, e in spans:
-                        body = b" ".join(ws[s:e])
-                        digest = xxhash.xxh3_128_digest(body)
-                        if digest in seen:
-                            body = None
-                        else:
-                            if len(seen) >= 500_000:
-                                seen.clear()
-                            seen.add(digest)
-                        out.append((key, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, th, s, e - s, body))
+                        if len(seen) >= 500_000:
+                            seen.clear()
+                        seen.add(c)
+                    out.append((key, c - (1 << 64) if c >> 63 else c, doc, th, s, e - s, body))
                 if len(out) > 50_000:
                     yield _batch(out)
                     out = []
             if out:
                 yield _batch(out)
 
-    return j.mapInArrow(run, "key long, c1 long, c2 long, doc long, th long, start int, size int, body binary")
+    return j.mapInArrow(run, "key long, c long, doc long, th long, start int, size int, body binary")
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "c1", "c2", "doc", "th", "start", "size", "body"])
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "c", "doc", "th", "start", "size", "body"])
+
+
+def window_rows(passages: DataFrame, window: int) -> DataFrame:
+    """(a, b, doc, th, start): 128-bit hash of every window of the passages."""
+    def run(batches):
+        for bt in batches:
+            out = []
+            for doc, th, start, body in zip(*(bt.column(i).to_pylist() for i in range(4))):
+                ws = body.split(b" ")
+                for i in range(len(ws) - window + 1):
+                    d = xxhash.xxh3_128_digest(b" ".join(ws[i:i + window]))
+                    out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), doc, th, start + i))
+            if out:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), [pa.int64()] * 4 + [pa.int32()])], ["a", "b", "doc", "th", "start"])
+
+    return passages.select("doc", "th", "start", "body").mapInArrow(run, "a long, b long, doc long, th long, start int")
 
 
 def shard_hits(passages: list[tuple], window: int = WINDOW) -> list[tuple]:
@@ -185,38 +205,42 @@ def automata_hits(several: DataFrame, window: int) -> DataFrame:
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc", "th", "start", "size"])
 
         for b in batches:
-            for key, doc, th, start, size, body in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for key, doc, th, start, body in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if n >= SHARD_WINDOWS and key != last:
                     if rows := shard_hits(held, window):
                         yield emit(rows)
                     held, n = [], 0
                 held.append((doc, th, start, body))
-                n += size - window + 1
+                n += body.count(b" ") + 2 - window
                 last = key
         if held and (rows := shard_hits(held, window)):
             yield emit(rows)
 
-    return several.select("key", "doc", "th", "start", "size", "body").mapInArrow(run, "doc long, th long, start int, size int")
+    return several.select("key", "doc", "th", "start", "body").mapInArrow(run, "doc long, th long, start int, size int")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int = DENSE) -> DataFrame:
-    """(doc, th, gone): for documents that lose words, flat [start, end, ...] of the parts to remove."""
+    """(doc, th, gone): for documents that lose words, their parts to remove (start, size)."""
     d = _keys(docs)
-    a = anchor_rows(d, window, gram)
-    often = a.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    hints = saved(a.join(often, "h").groupBy("k").agg(F.collect_list(F.col("pos").cast("long") * 2 + (F.col("c") > dense).cast("long")).alias("at")), "substr-hints")
+    place = F.struct("doc", "th", "start")
+    a = saved(anchor_rows(d, window, gram), "substr-anchors")
+    often = a.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    hints = saved(a.join(often, "h").groupBy("k").agg(F.collect_list("pos").alias("at")), "substr-hints")
+    dropped(a)
     p = saved(passage_rows(d, hints, window, gram), "substr-passages")
     dropped(hints)
-    kinds = p.groupBy("key", "c1", "c2").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.max("size").alias("size"), F.max("body").alias("body"))
-    kinds = saved(kinds, "substr-kinds")
-    light = kinds.select("key", "c1", "c2", "first")
-    copies = (p.select("key", "c1", "c2", "doc", "th", "start", "size").join(light, ["key", "c1", "c2"])
-              .filter(F.struct("doc", "th", "start") > F.col("first")).select("doc", "th", "start", "size"))
-    shared = kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    several = kinds.join(shared, "key").select("key", "first.doc", "first.th", "first.start", "size", "body")
+    kinds = saved(p.groupBy("key", "c").agg(F.min(place).alias("first"), F.max("body").alias("body")), "substr-kinds")
+    # all but the first of equal passages go whole
+    copies = (p.select("key", "c", "doc", "th", "start", "size").join(kinds.select("key", "c", "first"), ["key", "c"])
+              .filter(place > F.col("first")).select("doc", "th", "start", "size"))
+    shared = kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    several = kinds.join(shared, "key").select("key", "n", "first.doc", "first.th", "first.start", "body")
     n = int(several.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = automata_hits(several.repartition(n, "key").sortWithinPartitions("key"), window)
-    spans = copies.union(hits)
+    hits = automata_hits(several.filter(F.col("n") <= dense).repartition(n, "key").sortWithinPartitions("key"), window)
+    crowd = window_rows(several.filter(F.col("n") > dense), window)
+    least = crowd.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").select("a", "b", "first")
+    crowd = crowd.join(least, ["a", "b"]).filter(place > F.col("first")).select("doc", "th", "start", F.lit(window).alias("size"))
+    spans = copies.union(hits).union(crowd)
     return spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("gone"))
 
 
