@@ -241,7 +241,10 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int
     least = crowd.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").select("a", "b", "first")
     crowd = crowd.join(least, ["a", "b"]).filter(place > F.col("first")).select("doc", "th", "start", F.lit(window).alias("size"))
     spans = copies.union(hits).union(crowd)
-    return spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("gone"))
+    gone = saved(spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("gone")), "substr-gone")
+    dropped(p)
+    dropped(kinds)
+    return gone
 
 
 def kept_words(ws: list[bytes], gone) -> list[bytes]:
