@@ -16,7 +16,8 @@ the same document) is removed; windows are judged on the input.
    exact) and streams its passages through it; every hit that is not the
    window's first occurrence is removed.  Shards hold at most ``SHARD_WINDOWS``
    windows at a time.  An anchor with more than ``dense`` different passages has
-   their windows grouped by hash instead, so no key gathers an unbounded number.
+   their windows grouped by hash instead, so no task gathers an unbounded number
+   (32,768 passages: about half a million windows, some 100 MB).
 
 Order of occurrences: doc_id (null first), then text hash, then position; rows
 that share doc_id and text are one document and get equal results.  A null
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from comparo.llm.common import WordHash, dropped, rolling, saved, table, words
 
-WINDOW, GRAM, DENSE = 20, 5, 256
+WINDOW, GRAM, DENSE = 20, 5, 1 << 15
 SHARD_WINDOWS = 100_000
 _MIN = -(1 << 63)
 _HASH = WordHash()
