@@ -34,6 +34,8 @@ ORDER = 5
 QUANTILE = 0.99
 BINS = 1000  # bins of log-perplexity per unit
 SHARD_TYPES = 1 << 21
+#: Trusted ids are broadcast up to this number (8 bytes each).
+MAX_BROADCAST_IDS = 1 << 22
 #: Types a task gathers before it hands them on; characters handled at once.
 GATHER, BLOCK = 400_000, 1 << 21
 _START, _END = "\x02", "\x03"
@@ -217,7 +219,9 @@ def shard_sums(docs: DataFrame, held, order: int = ORDER) -> DataFrame:
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_types: int = SHARD_TYPES) -> DataFrame:
     """doc_id, lang, trusted, n_grams, log_ppl."""
     spark = docs.sparkSession
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    good = saved(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "kn-trusted")
+    if good.count() <= MAX_BROADCAST_IDS:  # else the texts are joined by a shuffle
+        good = F.broadcast(good)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                     F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
     flagged = d.join(good, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.col("_id").isNotNull()).drop("_id")
