@@ -34,6 +34,9 @@ def leakage_audit(df: DataFrame, target: str, cols, near: float = 5000.0, min_sh
     # each audited column spans the whole table: exact median with bounded tasks
     from comparo.operators.metrics import with_median
     res = with_median(res, both, ["column"], d, "median_abs_diff")
+    # a column without any joint row is reported too
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    res = names.join(res, "column", "left").withColumn("n_joint", F.coalesce("n_joint", F.lit(0).cast("long")))
     skipped = F.col("n_joint") < need
     flag = (~skipped) & (F.col("corr") >= 0.995) & ((F.col("median_abs_diff") <= 10000) | (F.col("share_near") >= 0.5))
     return res.withColumn("skipped", skipped).withColumn("leak", F.coalesce(flag, F.lit(False)))

@@ -104,7 +104,7 @@ def _pick_splits(src: DataFrame, gcols, chunk: int, max_task_rows: int) -> int:
     """
     biggest = (src.groupBy(*gcols, F.floor(F.col("d") / chunk).alias("c"))
                   .count().agg(F.max("count")).first()[0]) or 0
-    return max(1, min(8192, math.ceil(2 * biggest / max_task_rows)))
+    return max(1, math.ceil(2 * biggest / max_task_rows))
 
 
 def pick_splits_many(df: DataFrame, specs, value: str, *, day: str = "day",
@@ -122,7 +122,7 @@ def pick_splits_many(df: DataFrame, specs, value: str, *, day: str = "day",
     for part in parts[1:]:
         u = u.unionByName(part)
     got = {r["i"]: (r["m"] or 0) for r in u.collect()}  # one row per spec
-    return [max(1, min(8192, math.ceil(2 * got.get(i, 0) / max_task_rows))) for i in range(len(specs))]
+    return [max(1, math.ceil(2 * got.get(i, 0) / max_task_rows)) for i in range(len(specs))]
 
 
 def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows, targets=None, q=0.5,

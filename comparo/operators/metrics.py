@@ -34,10 +34,13 @@ def with_median(agg: DataFrame, src: DataFrame, by, value: Column | str, out: st
     from comparo.operators.baseline import grouped_median
     by = list(by or [])
     v = F.col(value) if isinstance(value, str) else value
-    m = grouped_median(src.select(*by, v.alias("__mv")), by, "__mv", out)
+    keys = [f"__k{i}" for i in range(len(by))]  # text keys, so that a NULL group keeps its median
+    safe = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string"))).alias(k)
+            for c, k in zip(by, keys)]
+    m = grouped_median(src.select(*safe, v.alias("__mv")), keys, "__mv", out)
     if not by:  # one number: attach it as a literal
         return agg.withColumn(out, F.lit(m.first()[0]).cast("double"))
-    return agg.join(m, by, "left")
+    return agg.select("*", *safe).join(m, keys, "left").drop(*keys)
 
 
 def metrics(df: DataFrame, y: str, p: str, by=None) -> DataFrame:

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def candidate_features(df: DataFrame, catalogue, min_non_null: int = 100, limit: int = 10) -> list[str]:
-    """Catalogue columns with more than ``min_non_null`` values, first ``limit`` (one aggregate)."""
+def candidate_features(df: DataFrame, catalogue, min_non_null: int = 100, limit: int | None = None) -> list[str]:
+    """Catalogue columns with more than ``min_non_null`` values, all, or the first ``limit`` (T9: 10; one aggregate)."""
     row = df.agg(*[F.count(c).alias(c) for c in catalogue]).first()
     return [c for c in catalogue if row[c] > min_non_null][:limit]
 

@@ -43,12 +43,16 @@ def leakage_audit(spark, sf_dir):
                     rnd("share_near").alias("share_near"), "skipped", "leak")
 
 
+#: Known after listing: never a candidate, flagged or not.
+HARD_EXCLUDES = ("list_price",)
+
+
 @query("leakage_flags", sql=with_sql(_AUDIT_SQL, """
-SELECT "column", leak, NOT leak AND NOT skipped AS safe_candidate FROM aud"""))
+SELECT "column", leak, NOT leak AND "column" <> 'list_price' AS safe_candidate FROM aud"""))
 def leakage_flags(spark, sf_dir):
-    """L2/L4: the safe candidate list = audited − flagged − skipped."""
+    """L2/L4: the safe candidate list = audited - flagged - hard excludes; sparse columns stay."""
     a = _audit(spark, sf_dir)
-    return a.select("column", "leak", (~F.col("leak") & ~F.col("skipped")).alias("safe_candidate"))
+    return a.select("column", "leak", (~F.col("leak") & ~F.col("column").isin(*HARD_EXCLUDES)).alias("safe_candidate"))
 
 
 @query("ppsf_coverage", sql=with_sql(SALES_SQL, """
@@ -117,10 +121,11 @@ pa AS (SELECT ppsf, list_price / NULLIF(area, 0) AS list_ppsf, maint_fee / NULLI
 longf AS (UNPIVOT pa ON {', '.join(_PER_AREA)} INTO NAME "column" VALUE value)
 SELECT "column", count(*) AS n_joint, round(1e-9 + corr(value, ppsf), 6) AS corr,
        median(abs(value - ppsf)) AS median_abs_diff,
-       coalesce(corr(value, ppsf) >= 0.995 AND median(abs(value - ppsf)) <= 10, FALSE) AS leak
+       count(*) >= greatest(100, CAST(floor(0.05 * (SELECT count(*) FROM priced)) AS BIGINT)) AND median(abs(value - ppsf)) <= 10 AS leak
 FROM longf WHERE value IS NOT NULL AND ppsf IS NOT NULL GROUP BY 1"""))
 def leakage_audit_ppsf(spark, sf_dir):
-    """L3: per-area columns against the sold price per area; flag when the median gap is <= 10."""
+    """L3: per-area columns against the sold price per area; flag when the median gap is <= 10
+    over at least max(100, 5%) joint rows, whatever the correlation."""
     p = priced(spark, sf_dir).select(
         "ppsf", (F.col("list_price") / F.nullif(F.col("area"), F.lit(0))).alias("list_ppsf"),
         (F.col("maint_fee") / F.nullif(F.col("area"), F.lit(0))).alias("maint_per_sqft"),
@@ -131,7 +136,7 @@ def leakage_audit_ppsf(spark, sf_dir):
     r = both.groupBy("column").agg(F.count(F.lit(1)).alias("n_joint"), F.corr("value", "ppsf").alias("c"))
     r = with_median(r, both, ["column"], d, "median_abs_diff")
     return r.select("column", "n_joint", rnd("c").alias("corr"), "median_abs_diff",
-                    F.coalesce((F.col("c") >= 0.995) & (F.col("median_abs_diff") <= 10), F.lit(False)).alias("leak"))
+                    ((F.col("n_joint") >= max(100, int(0.05 * p.count()))) & (F.col("median_abs_diff") <= 10)).alias("leak"))
 
 
 @query("sold_only_profile", sql=with_sql(SALES_SQL, """

@@ -221,8 +221,11 @@ def baseline_self_join(spark, sf_dir):
     k = priced(spark, sf_dir).select(F.col("fsa").alias("k_fsa"), F.col("day").alias("k_day"),
                                      F.col("ppsf").alias("k_ppsf"))
     cond = ((k.k_fsa == smp.fsa) & (k.k_day >= smp.day - WINDOW_DAYS) & (k.k_day < smp.day))
-    pairs = F.broadcast(smp).join(k, cond, "left")
-    comp = pairs.groupBy("sale_key", "n_grp", "base_grp").agg(F.count("k_ppsf").alias("comp_n"))
+    # inner, so that the five rows are the broadcast side; samples without comparables join again below
+    pairs = k.join(F.broadcast(smp), cond)
+    seen = pairs.groupBy("sale_key").agg(F.count("k_ppsf").alias("comp_n"))
+    comp = (smp.select("sale_key", "n_grp", "base_grp").join(seen, "sale_key", "left")
+            .withColumn("comp_n", F.coalesce("comp_n", F.lit(0).cast("long"))))
     # a sampled sale in a hot group has a huge frame: exact median with bounded tasks
     comp = with_median(comp, pairs.where(F.col("k_ppsf").isNotNull()), ["sale_key"], "k_ppsf", "comp_med")
     agrees = (F.col("comp_n") == F.col("n_grp")) & (

@@ -18,9 +18,11 @@ from comparo.plans.registry import query
 
 
 def _cohort():
-    return F.when(F.col("floors") == 1, F.lit("single")).otherwise(F.lit("multi"))
+    """'multi' needs more than one floor; unknown floors belong to neither cohort."""
+    return F.when(F.col("floors") == 1, F.lit("single")).when(F.col("floors") > 1, F.lit("multi"))
 
-_COHORT_SQL = "CASE WHEN floors = 1 THEN 'single' ELSE 'multi' END"
+
+_COHORT_SQL = "CASE WHEN floors = 1 THEN 'single' WHEN floors > 1 THEN 'multi' END"
 _AGE_SQL = "coalesce(greatest(year(list_date) - least(greatest(yr_blt, 1900), year(list_date)), 0), 20)::DOUBLE"
 
 DIAG_SQL = PRICED_ORDERS_SQL + f""",

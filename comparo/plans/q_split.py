@@ -8,6 +8,7 @@ from comparo.operators import split as S
 from comparo.operators import weights as W
 from comparo.plans.common import PRICED_SQL, SPLIT_SQL, priced, rnd, split_frame, with_sql
 from comparo.plans.registry import query
+from comparo.sources.sales import sales
 
 
 @query("split_70_10_20", sql=with_sql(SPLIT_SQL, """
@@ -115,10 +116,11 @@ def _weights(spark, sf_dir):
 
 
 @query("weights_recency", sql=with_sql(_WEIGHTS_SQL, """
-SELECT sale_key, split, round(1e-9 + w_recency, 6) AS w_recency FROM wn"""))
+SELECT sale_key, split, round(1e-9 + coalesce(w_recency, 1.0), 6) AS w_recency FROM wn"""))
 def weights_recency(spark, sf_dir):
-    """WT1/WT2/WT6: half-life 365 days from the newest train date, floor 0.05; NULL outside train."""
-    return _weights(spark, sf_dir).select("sale_key", "split", rnd("w_recency").alias("w_recency"))
+    """WT1/WT2/WT6: half-life 365 days from the newest train date, floor 0.05; 1.0 outside train."""
+    w = F.coalesce(F.col("w_recency"), F.lit(1.0))
+    return _weights(spark, sf_dir).select("sale_key", "split", rnd(w).alias("w_recency"))
 
 
 @query("weights_wape_normalized", sql=with_sql(_WEIGHTS_SQL, """
@@ -141,7 +143,7 @@ def weight_quantiles(spark, sf_dir):
 
 
 @query("split_auto", sql=with_sql(PRICED_SQL, """
-c AS (SELECT avg(CAST(list_date IS NOT NULL AS DOUBLE)) AS cov FROM priced),
+c AS (SELECT avg(CAST(list_date IS NOT NULL AS DOUBLE)) AS cov FROM sales),
 p AS (SELECT *, row_number() OVER (ORDER BY day, seq) AS pos, count(*) OVER () AS n_all FROM priced),
 s AS (SELECT p.*, CASE WHEN cov > 0.8 THEN (CASE WHEN pos <= floor(0.8 * n_all) THEN 'train' ELSE 'test' END)
                        ELSE (CASE WHEN ('0x' || substr(md5(sale_key || '|42'), 1, 8))::BIGINT % 100 < 80
@@ -151,7 +153,7 @@ SELECT kind, split, count(*) AS n_rows FROM s GROUP BY 1, 2"""))
 def split_auto(spark, sf_dir):
     """SP6: time split when the date is > 80% non-null, else the repeatable random split."""
     p = priced(spark, sf_dir)
-    cov = p.agg(F.avg(F.col("list_date").isNotNull().cast("double"))).first()[0]
+    cov = sales(spark, sf_dir).agg(F.avg(F.col("list_date").isNotNull().cast("double"))).first()[0]
     if cov > 0.8:
         s, kind = S.temporal_split(p, (0.8,), ("train", "test")), "time"
     else:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
+from comparo.session import ship_package
+
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -35,7 +38,16 @@ def _load():
 
 def all_queries() -> dict[str, Callable]:
     _load()
-    return dict(_QUERIES)
+    return {name: _shipped(fn) for name, fn in _QUERIES.items()}
+
+
+def _shipped(fn: Callable) -> Callable:
+    """The query, with the package sent to the workers first."""
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
 
 
 def all_oracles() -> dict[str, str]:

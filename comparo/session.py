@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +42,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k in ("spark.sql.session.timeZone",):
         spark.conf.set(k, _BASE_CONF[k])
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -55,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="comparo-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -79,3 +83,21 @@ def materialize(df):
     path = scratch_path(spark, f"materialized-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context, so that Python kernels
+    import it wherever the driver runs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_comparo_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="comparo-ship-"), "comparo_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.join("comparo", os.path.relpath(full, top)))
+    sc.addPyFile(path)  # the driver serves the archive to every executor
+    sc._comparo_shipped = True

@@ -32,7 +32,8 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV, every column as text (no inference pass over the file)."""
     header = spark.read.option("header", True).csv(path).schema.fieldNames()
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return spark.read.option("header", True).schema(schema).csv(path)
+    # a file whose header differs is an error, never columns by position
+    return spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').schema(schema).csv(path)
 
 
 def typed_listings(raw: DataFrame) -> DataFrame:

@@ -18,17 +18,19 @@ def score_batch(listings: DataFrame, history: DataFrame, group: str = "fsa", val
 
 def score_stream(listings_stream: DataFrame, history_path: str, out_path: str, checkpoint: str,
                  available_now: bool = True, **kw):
-    """Start a query: micro-batches of listings → ``score_batch`` → parquet (append).
+    """Start a query: micro-batches of listings → ``score_batch`` → parquet, one folder per batch.
 
     ``foreachBatch`` reuses the batch operator unchanged; the history table is
     re-read per batch so that it can grow between batches.  The checkpoint
-    folder (shared storage) gives exactly-once progress across restarts.
+    folder (shared storage) keeps progress across restarts; a replayed batch
+    overwrites its own ``epoch=N`` folder, so it adds no rows.  One ``out_path``
+    belongs to one checkpoint.
     """
     spark = listings_stream.sparkSession
 
     def run(batch: DataFrame, epoch: int) -> None:
         hist = spark.read.parquet(history_path)
-        score_batch(batch, hist, **kw).write.mode("append").parquet(out_path)
+        score_batch(batch, hist, **kw).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     w = listings_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
