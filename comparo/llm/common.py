@@ -4,16 +4,13 @@ ASCII-white-space words and rolling hashes."""
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from comparo.session import scratch_path
+from comparo.session import scratch_path, ship_package
 
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
@@ -25,19 +22,7 @@ def prepare(spark: SparkSession) -> None:
     """Ship this package to the workers once per context and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    sc = spark.sparkContext
-    if getattr(sc, "_comparo_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="comparo-ship-"), "comparo_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.join("comparo", os.path.relpath(full, top)))
-    sc.addPyFile(path)  # the driver serves the archive to every executor
-    sc._comparo_shipped = True
+    ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
