@@ -7,15 +7,12 @@ import gc
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from comparo.session import scratch_path, ship_package
 
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
-#: Entries of a worker's word cache; it is emptied when full.
-CACHE_WORDS = 400_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -58,19 +55,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8").split() if text else []
 
 
-class WordHash(dict):
-    """Word to 64-bit hash, cached; emptied when full so that memory is bounded."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        v = self[w] = xxhash.xxh64_intdigest(w)
-        return v
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
-
-
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -107,6 +91,15 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix((c[k:] - c[:-k]) * inv[: n - k + 1])
 
 
+def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run start..end - 1 of the values; equal runs get equal hashes."""
+    p, inv = _powers(len(h))
+    c = np.empty(len(h) + 1, np.uint64)
+    c[0] = 0
+    np.cumsum(h * p, out=c[1:])
+    return mix((c[end] - c[start]) * inv[start] + (end - start).astype(np.uint64))
+
+
 def ascii_word_count(col) -> "F.Column":
     """Number of ``[^\\x20\\x09-\\x0D]+`` words, in the JVM; null counts 0."""
     flat = F.trim(F.translate(F.coalesce(col, F.lit("")), "\t\n\x0b\x0c\r", "     "))

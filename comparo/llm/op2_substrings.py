@@ -35,12 +35,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from comparo.llm.common import WordHash, dropped, rolling, saved, table, words
+from comparo.llm.common import dropped, rolling, run_hashes, saved, table, words
 
 WINDOW, GRAM, DENSE = 20, 5, 1 << 15
 SHARD_WINDOWS = 100_000
 _MIN = -(1 << 63)
-_HASH = WordHash()
 
 
 _POS = 21
@@ -69,6 +68,10 @@ def anchors_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[n
     return g, out[0] if len(out) == 1 else np.concatenate(out)
 
 
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+
 def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_MIN)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
@@ -80,7 +83,7 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for b in batches:
             hs, ks, ps = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g, p = anchors_of(_HASH.of(words(t)), window, gram)
+                g, p = anchors_of(word_hashes(words(t)), window, gram)
                 if len(p):
                     u = p[np.flatnonzero(np.diff(p, prepend=-1))]
                     hs.append(g[u])
@@ -103,24 +106,27 @@ def passage_rows(docs: DataFrame, hints: DataFrame, window: int, gram: int) -> D
             out: list[tuple] = []
             for doc, th, t, at in zip(*(b.column(i).to_pylist() for i in range(4))):
                 ws = words(t)
-                g, p = anchors_of(_HASH.of(ws), window, gram)
+                h = word_hashes(ws)
+                g, p = anchors_of(h, window, gram)
                 if not len(p):
                     continue
                 first = np.flatnonzero(np.diff(p, prepend=-1))
                 last = np.append(first[1:], len(p))
                 mine = np.isin(p[first], np.array(at))
                 first, last = first[mine], last[mine]
+                if not len(first):
+                    continue
                 keys = g[p[first]].view(np.int64).tolist()
-                for key, s, e in zip(keys, first.tolist(), (last - 1 + window).tolist()):
-                    body = b" ".join(ws[s:e])
-                    c = xxhash.xxh3_64_intdigest(body)
+                ends = last - 1 + window
+                for key, c, s, e in zip(keys, run_hashes(h, first, ends).view(np.int64).tolist(), first.tolist(), ends.tolist()):
                     if c in seen:
                         body = None
                     else:
+                        body = b" ".join(ws[s:e])
                         if len(seen) >= 500_000:
                             seen.clear()
                         seen.add(c)
-                    out.append((key, c - (1 << 64) if c >> 63 else c, doc, th, s, e - s, body))
+                    out.append((key, c, doc, th, s, e - s, body))
                 if len(out) > 50_000:
                     yield _batch(out)
                     out = []
