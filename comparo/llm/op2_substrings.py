@@ -236,12 +236,15 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int
     dropped(a)
     p = saved(passage_rows(d, hints, window, gram), "substr-passages")
     dropped(hints)
-    kinds = saved(p.groupBy("key", "c").agg(F.min(place).alias("first"), F.max("body").alias("body")), "substr-kinds")
+    kinds = saved(p.groupBy("key", "c").agg(F.min(place).alias("first")), "substr-kinds")
     # all but the first of equal passages go whole
-    copies = (p.select("key", "c", "doc", "th", "start", "size").join(kinds.select("key", "c", "first"), ["key", "c"])
+    copies = (p.select("key", "c", "doc", "th", "start", "size").join(kinds, ["key", "c"])
               .filter(place > F.col("first")).select("doc", "th", "start", "size"))
-    shared = kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    several = kinds.join(shared, "key").select("key", "n", "first.doc", "first.th", "first.start", "body")
+    shared = saved(kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "substr-shared")
+    # only passages that share their anchor with a different one need their words
+    bodies = (p.filter("body IS NOT NULL").select("key", "c", "body").join(shared, "key")
+              .groupBy("key", "c").agg(F.max("n").alias("n"), F.max("body").alias("body")))
+    several = kinds.join(bodies, ["key", "c"]).select("key", "n", "first.doc", "first.th", "first.start", "body")
     n = int(several.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = automata_hits(several.filter(F.col("n") <= dense).repartition(n, "key").sortWithinPartitions("key"), window)
     crowd = window_rows(several.filter(F.col("n") > dense), window)
@@ -249,8 +252,8 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int
     crowd = crowd.join(least, ["a", "b"]).filter(place > F.col("first")).select("doc", "th", "start", F.lit(window).alias("size"))
     spans = copies.union(hits).union(crowd)
     gone = saved(spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("gone")), "substr-gone")
-    dropped(p)
-    dropped(kinds)
+    for t in (p, kinds, shared):
+        dropped(t)
     return gone
 
 
