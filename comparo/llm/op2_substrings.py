@@ -250,9 +250,10 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dense: int
     crowd = window_rows(several.filter(F.col("n") > dense), window)
     least = crowd.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1").select("a", "b", "first")
     crowd = crowd.join(least, ["a", "b"]).filter(place > F.col("first")).select("doc", "th", "start", F.lit(window).alias("size"))
-    spans = copies.union(hits).union(crowd)
+    found = saved(hits.union(crowd), "substr-found")  # its shuffles end before those of the copies begin
+    spans = copies.union(found)
     gone = saved(spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "size")).alias("gone")), "substr-gone")
-    for t in (p, kinds, shared):
+    for t in (p, kinds, shared, found):
         dropped(t)
     return gone
 
