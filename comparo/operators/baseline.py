@@ -534,22 +534,74 @@ def pick_baseline(df: DataFrame, candidates, value: str = "ppsf", fallback=None,
 # ---------------------------------------------------------------------------
 
 def grouped_median(df: DataFrame, groups, value: str, out: str = "median", *,
-                   max_task_rows: int = 2_000_000, value_splits: int | None = None,
+                   max_task_rows: int | None = None, value_splits: int | None = None,
                    q: float = 0.5) -> DataFrame:
     """Exact median (or quantile ``q``) of ``value`` per group, = ``percentile(v, q)``.
 
-    ``percentile`` merges every distinct value of a group in one task; here the
-    group is one frame of the chunked machinery (all rows on one pseudo-day),
-    so a group larger than ``max_task_rows`` is cut into value ranges and only
-    the range holding the middle ranks is searched.  Returns (groups..., out).
+    Rank selection between sketch bounds (``grouped_quantiles``).  With ``value_splits``
+    or ``max_task_rows`` the group is one frame of the chunked machinery instead (all
+    rows on one pseudo-day).  Returns (groups..., out).
     """
     groups = list(groups)
+    if value_splits is None and max_task_rows is None:
+        return grouped_quantiles(df, groups, value, {out: q})
     one = df.select(*groups, F.col(value).alias(value), F.lit(0).alias("__day"))
-    t = frame_median_by_day(one, groups, value, 0, 0, day="__day", method="chunked",
-                            value_splits=value_splits, max_task_rows=max_task_rows, q=q)
+    t = frame_median_by_day(one, groups, value, 0, 0, day="__day", method="chunked", value_splits=value_splits,
+                            max_task_rows=max_task_rows or 2_000_000, q=q)
     return t.select(*groups, F.col("med").alias(out))
 
 
 def grouped_quantile(df: DataFrame, groups, value: str, q: float, out: str = "quantile", **kw) -> DataFrame:
     """Exact quantile per group with bounded tasks (see ``grouped_median``)."""
     return grouped_median(df, groups, value, out, q=q, **kw)
+
+
+def grouped_quantiles(df: DataFrame, groups, value: str, outs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles ``{column: q}`` of ``value`` per group, one path at every size.
+
+    One sketch per group brackets every wanted rank between two values (the sketch's
+    rank error is below n / ``accuracy``; the brackets are four times as wide).  Rows
+    outside the brackets are only counted, one number per stretch between brackets;
+    inside, equal values are counted together.  A running count over those few rows
+    finds the two ranks around each quantile, which are interpolated as ``percentile``
+    does.  Map-side combining makes a hot group or a column of few values harmless: a
+    task holds about 8 / ``accuracy`` of a group's distinct values per quantile.  A NULL
+    group is a group; a group without values gets NULL.
+    """
+    from comparo.session import materialize
+    groups = list(groups)
+    keys = [f"__q{i}" for i in range(len(groups))] or [_G0]
+    src = df.select(*([F.col(g).alias(k) for g, k in zip(groups, keys)] or [F.lit(0).alias(_G0)]),
+                    F.col(value).cast("double").alias("v"))
+    eps = 4.0 / accuracy
+    brackets = [(max(0.0, q - eps), min(1.0, q + eps)) for q in outs.values()]
+    # sketches are not bit-stable across re-evaluations: one row per group, written once
+    stats = materialize(src.groupBy(*keys).agg(
+        F.count("v").alias("__n"), F.percentile_approx("v", [f for b in brackets for f in b], accuracy).alias("__b")))
+    right = stats.where("__n > 0").select(*[F.col(k).alias(f"r{k}") for k in keys], "__n", "__b")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r{k}"))
+    near = F.lit(False)
+    for i in range(len(brackets)):
+        near = near | F.col("v").between(F.col("__b")[2 * i], F.col("__b")[2 * i + 1])
+    stretch = sum((F.when(F.col("v") > F.col("__b")[i], 1).otherwise(0) for i in range(2 * len(brackets))), F.lit(0))
+    cells = (src.where("v IS NOT NULL").join(right, same)
+             .select(*keys, "__n", "v", F.when(near, F.col("v")).alias("w"), F.when(~near, stretch).alias("s"))
+             .groupBy(*keys, "__n", "w", "s").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("r")))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = cells.withColumn("upto", upto)
+    aggs, res = [], []
+    for i, (name, q) in enumerate(outs.items()):
+        pos = (F.col("__n") - 1) * F.lit(float(q))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        for x, k in ((f"x{i}", lo + 1), (f"y{i}", hi + 1)):
+            aggs.append(F.max(F.when((F.col("upto") - F.col("c") < k) & (k <= F.col("upto")), F.col("w"))).alias(x))
+        x, y = F.col(f"x{i}"), F.col(f"y{i}")
+        val = F.when(lo == hi, x).otherwise((hi - pos) * x + (pos - lo) * y)
+        res.append(F.when(x.isNull() | y.isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+                   .otherwise(val).alias(name))
+    back = [F.col(k).alias(g) for k, g in zip(keys, groups)]
+    found = ranked.groupBy(*keys, "__n").agg(*aggs).select(*back, *res)
+    none = stats.where("__n = 0").select(*back, *[F.lit(None).cast("double").alias(n) for n in outs])
+    return found.unionByName(none)

@@ -45,13 +45,10 @@ def quantile_limits(df: DataFrame, cols, lo: float = 0.005, hi: float = 0.995) -
     Returns {col: (lo, hi)} — two numbers per column reach the driver.
     Columns are cast to double by the unpivot.
     """
-    from comparo.operators.baseline import grouped_quantile
+    from comparo.operators.baseline import grouped_quantiles
     long = df.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
-    got = {}
-    for q in (lo, hi):  # exact, per column, bounded tasks (one unpivot, no per-column scans)
-        for r in grouped_quantile(long, ["column"], "value", q).collect():  # one row per column
-            got.setdefault(r[0], []).append(r[1])
-    return {c: tuple(got[c]) if c in got else (None, None) for c in cols}
+    got = {r[0]: (r[1], r[2]) for r in grouped_quantiles(long, ["column"], "value", {"lo": lo, "hi": hi}).collect()}  # one row per column
+    return {c: got.get(c, (None, None)) for c in cols}
 
 
 def winsorize(df: DataFrame, limits: dict, suffix: str = "_w") -> DataFrame:

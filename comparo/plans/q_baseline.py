@@ -89,6 +89,24 @@ def baseline_global_90d(spark, sf_dir):
     return t.select("day", F.col("med").alias("base_reg"), F.col("n").alias("n_reg"))
 
 
+@query("baseline_strict_90d_split", sql=with_sql(PRICED_SQL, f"""
+SELECT DISTINCT fsa, day, median(ppsf) OVER w AS base_grp, count(ppsf) OVER w AS n_grp
+FROM priced WINDOW w AS (PARTITION BY fsa ORDER BY day {_STRICT})"""))
+def baseline_strict_90d_split(spark, sf_dir):
+    """B1 with every group cut into value ranges, as hot groups are."""
+    t = B.frame_median_by_day(priced(spark, sf_dir), ["fsa"], "ppsf", WINDOW_DAYS, 1, value_splits=7)
+    return t.select("fsa", "day", F.col("med").alias("base_grp"), F.col("n").alias("n_grp"))
+
+
+@query("baseline_global_90d_split", sql=with_sql(PRICED_SQL, f"""
+SELECT DISTINCT day, median(ppsf) OVER w AS base_reg, count(ppsf) OVER w AS n_reg
+FROM priced WINDOW w AS (ORDER BY day {_STRICT})"""))
+def baseline_global_90d_split(spark, sf_dir):
+    """B3 with the table cut into value ranges."""
+    t = B.frame_median_by_day(priced(spark, sf_dir), [], "ppsf", WINDOW_DAYS, 1, value_splits=7)
+    return t.select("day", F.col("med").alias("base_reg"), F.col("n").alias("n_reg"))
+
+
 @query("baseline_shrunk", sql=with_sql(SHRUNK_SQL, """
 SELECT sale_key, n_grp, base_grp, base_reg, alpha, base_ppsf FROM shrunk"""))
 def baseline_shrunk(spark, sf_dir):
@@ -179,20 +197,35 @@ def baseline_rows_30(spark, sf_dir):
     return t.select("sale_key", "rows_med")
 
 
+# Fixed values: (rows, min_periods) of the wider row-count frames.
+def _rows_sql(part: str, n: int, least: int) -> str:
+    return with_sql(PRICED_SQL, f"""
+SELECT sale_key, CASE WHEN count(ppsf) OVER w >= {least} THEN median(ppsf) OVER w END AS rows_med
+FROM priced WINDOW w AS ({part}ORDER BY day, seq ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)""")
+
+
+def _rows_query(groups, n, least):
+    def run(spark, sf_dir):
+        return B.rows_median(priced(spark, sf_dir), groups, "ppsf", n, least).select("sale_key", "rows_med")
+    run.__doc__ = f"B8: median of the previous {n} rows per {groups or 'table'}, at least {least} values."
+    return run
+
+
+query("baseline_rows_90", sql=_rows_sql("PARTITION BY fsa ", 90, 5))(_rows_query(["fsa"], 90, 5))
+query("baseline_rows_365", sql=_rows_sql("PARTITION BY fsa ", 365, 5))(_rows_query(["fsa"], 365, 5))
+query("baseline_rows_90_global", sql=_rows_sql("", 90, 5))(_rows_query([], 90, 5))
+
+
 # ---- B6: window ending at the previous row ------------------------------------------------
 
+# the frame ends at the previous row: rows of one day are numbered, so that a RANGE over
+# day * 10^7 + number covers the last 364 days (364 * 10^7) up to the row itself; lag moves it on
 @query("baseline_lag_row_365d", sql=with_sql(PRICED_SQL, """
-o AS (SELECT sale_key, fsa, day, seq, ppsf,
-             lag(day) OVER (PARTITION BY fsa ORDER BY day, seq) AS pday,
-             lag(seq) OVER (PARTITION BY fsa ORDER BY day, seq) AS pseq
-      FROM priced),
-f AS (SELECT o.sale_key, count(k.ppsf) AS n, median(k.ppsf) AS m
-      FROM o JOIN priced k ON k.fsa = o.fsa
-        AND (k.day < o.pday OR (k.day = o.pday AND k.seq <= o.pseq))
-        AND k.day > o.pday - 365
-      GROUP BY o.sale_key)
-SELECT o.sale_key, CASE WHEN f.n >= 12 THEN f.m END AS lag_med
-FROM o LEFT JOIN f USING (sale_key)"""))
+r AS (SELECT *, row_number() OVER (PARTITION BY fsa, day ORDER BY seq) AS rn FROM priced),
+k AS (SELECT *, CAST(day AS BIGINT) * 10000000 + rn AS k FROM r),
+m AS (SELECT sale_key, fsa, day, seq, CASE WHEN count(ppsf) OVER w >= 12 THEN median(ppsf) OVER w END AS m
+      FROM k WINDOW w AS (PARTITION BY fsa ORDER BY k RANGE BETWEEN (3640000000 + rn) PRECEDING AND CURRENT ROW))
+SELECT sale_key, lag(m) OVER (PARTITION BY fsa ORDER BY day, seq) AS lag_med FROM m"""))
 def baseline_lag_row_365d(spark, sf_dir):
     t = B.lag_row_median(priced(spark, sf_dir), ["fsa"], "ppsf", 365, 12, out="lag_med")
     return t.select("sale_key", "lag_med")

@@ -118,8 +118,7 @@ def te_kfold_shrunk(spark, sf_dir):
     s = S.temporal_split(priced(spark, sf_dir).withColumn("y", F.log("ppsf")), (0.8,), ("train", "test"))
     tr = s.where(_train())
     n = tr.count()
-    folds = S.kfold_contiguous(tr, n).select("sale_key", "fold")
-    s = s.join(folds, "sale_key", "left")
+    s = S.kfold_contiguous(s, n).withColumn("fold", F.when(_train(), F.col("fold")))
     return E.kfold_te(s, "fsa", "y", "fold", _train(), shrink_k=10.0).select(
         "sale_key", rnd("fsa_te").alias("fsa_te"))
 
@@ -151,8 +150,7 @@ def te_time_series(spark, sf_dir):
     s = split_frame(spark, sf_dir)
     tr = s.where(_train())
     n = tr.count()
-    blocks, _ = S.time_series_blocks(tr, n)
-    s = s.join(blocks.select("sale_key", "block"), "sale_key", "left")
+    s = S.time_series_blocks(s, n)[0].withColumn("block", F.when(_train(), F.col("block")))
     return E.time_series_te(s, "type_dwel", "y", "block", _train(), 50.0).select(
         "sale_key", rnd("type_dwel_te").alias("type_dwel_te"))
 

@@ -162,3 +162,18 @@ def test_group_without_values_keeps_its_targets(spark):
         t = {(r["g"], r["day"]): (r["med"], r["n"]) for r in B.frame_median_by_day(df, ["g"], "v", 5, 1, **kw).collect()}
         assert t[("b", 101)] == (None, 0) and t[("b", 102)] == (None, 0), kw
         assert t[("a", 102)] == (1.5, 2), kw
+
+
+def test_grouped_quantiles_few_values_null_and_empty_groups(spark):
+    """One path for every size: few-valued columns, NULL groups, groups without values, many quantiles."""
+    from comparo.plans.common import priced
+    p = priced(spark, SF01).select(F.when(F.col("floors") > 1, F.col("floors")).alias("g"), "area", "ppsf")
+    p = p.unionByName(spark.createDataFrame([(99, None, None)], "g int, area double, ppsf double"))
+    outs = {"a": 0.005, "b": 0.25, "c": 0.5, "d": 0.995, "e": 0.0, "f": 1.0}
+    for value in ("area", "ppsf"):
+        exp = {r[0]: tuple(r)[1:] for r in p.groupBy("g").agg(*[F.percentile(value, F.lit(q)) for q in outs.values()]).collect()}
+        for accuracy in (10_000, 50):
+            got = B.grouped_quantiles(p, ["g"], value, outs, accuracy).collect()
+            assert {r[0]: tuple(r)[1:] for r in got} == exp and len(got) == len(exp)
+    assert B.grouped_quantiles(p.where("g = 99"), [], "area", outs).collect() == [(None,) * 6]
+    assert B.grouped_quantiles(p.where("g = -1"), [], "area", outs).collect() == []
