@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from comparo.functions.keys import hash60
 from comparo.operators import baseline as B
-from comparo.plans.common import PRICED_SQL, priced, rnd, with_sql
+from comparo.plans.common import PRICED_SQL, SPLIT_SQL, priced, rnd, split_frame, with_sql
 from comparo.plans.registry import query
 from comparo.sources.tables import read_table
 from comparo.session import materialize
@@ -152,7 +152,7 @@ def _level_sql():
     parts.append(f"""cand AS (
   SELECT priced.*, {', '.join(names)} FROM priced
 {joins}),
-fb AS (SELECT median(ppsf) AS fb FROM priced),
+fb AS (SELECT median(ppsf) AS fb FROM spl WHERE split = 'train'),
 lvl AS (
   SELECT cand.*, coalesce({', '.join(names)}, fb.fb) AS ppsf_baseline,
          {level_case} AS baseline_level
@@ -160,12 +160,12 @@ lvl AS (
     return ",\n".join(parts)
 
 
-LEVELS_SQL = PRICED_SQL + ",\n" + _level_sql()
+LEVELS_SQL = SPLIT_SQL + ",\n" + _level_sql()
 
 
 def levels(spark, sf_dir, mode="strict"):
-    p = materialize(priced(spark, sf_dir))  # eight candidate frames read these rows
-    fb = B.grouped_median(p, [], "ppsf").first()[0]
+    p = split_frame(spark, sf_dir)  # written once: eight candidate frames read these rows
+    fb = B.grouped_median(p.where(F.col("split") == "train"), [], "ppsf").first()[0]  # B12: train only
     cand, names = B.level_candidates(p, "ppsf", mode=mode)
     return B.pick_baseline(cand, names, "ppsf", fallback=fb)
 
