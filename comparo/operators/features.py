@@ -51,6 +51,15 @@ def quantile_limits(df: DataFrame, cols, lo: float = 0.005, hi: float = 0.995) -
     return {c: got.get(c, (None, None)) for c in cols}
 
 
+def median_fill(df: DataFrame, cols, fit_mask: Column) -> DataFrame:
+    """NULLs of each column become its exact median over the rows of ``fit_mask``
+    (NULL where those rows hold no value); one row per column reaches the driver."""
+    from comparo.operators.baseline import grouped_quantiles
+    long = df.where(fit_mask).select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    med = {r[0]: r[1] for r in grouped_quantiles(long, ["column"], "value", {"m": 0.5}).collect()}
+    return df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double")).alias(f"{c}_filled") for c in cols])
+
+
 def winsorize(df: DataFrame, limits: dict, suffix: str = "_w") -> DataFrame:
     """D14 apply: clip each column into its fitted limits (NULL stays NULL)."""
     return df.select("*", *[clip(F.col(c), lo, hi).alias(f"{c}{suffix}") for c, (lo, hi) in limits.items()])

@@ -128,3 +128,13 @@ def log_targets(spark, sf_dir):
     return p.select("sale_key", rnd(F.log("sold_price")).alias("log_price"),
                     rnd(F.log1p("sold_price")).alias("log1p_price"), rnd(F.log("ppsf")).alias("log_ppsf"),
                     rnd(F.abs(F.exp(F.log("sold_price")) - F.col("sold_price"))).alias("back_transform_err"))
+
+
+@query("median_fill", sql=with_sql(SPLIT_SQL, """
+m AS (SELECT median(CAST(maint_fee AS DOUBLE)) AS mm, median(CAST(tax AS DOUBLE)) AS mt FROM spl WHERE split = 'train')
+SELECT sale_key, round(1e-9 + coalesce(CAST(maint_fee AS DOUBLE), mm), 6) AS maint_fee_filled,
+       round(1e-9 + coalesce(CAST(tax AS DOUBLE), mt), 6) AS tax_filled FROM spl, m"""))
+def median_fill(spark, sf_dir):
+    """Missing fees and taxes get the column's median over train."""
+    s = X.median_fill(split_frame(spark, sf_dir), ["maint_fee", "tax"], F.col("split") == "train")
+    return s.select("sale_key", rnd("maint_fee_filled").alias("maint_fee_filled"), rnd("tax_filled").alias("tax_filled"))
