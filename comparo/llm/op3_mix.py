@@ -4,11 +4,11 @@ Weights 5, 2, 1 repeat over the sources in code-point order (null last).  The
 mix is as large as all documents together; a target stops at ``max_repeat``
 times its source's size and the excess is shared again by weight.
 
-Sources are cut into shards (seeded hash of the row), shards into blocks of
-nearly equal tokens.  Sainte-Lague (highest quotients v / (2s + 1)) gives each
-source a number of blocks, then each shard of the source.  A shard whose quota
-is q of its n blocks takes q // n whole passes and, from a seeded start, the
-next q % n blocks of its seeded document order, cyclically.
+Sources are cut into shards (seeded hash of the row).  A source at its cap gets
+``max_repeat`` whole passes; Sainte-Lague (highest quotients v / (2s + 1)) deals
+the other targets in words, first to the sources, then to the shards of each.
+A shard whose quota is q of its n words takes q // n whole passes and, from a
+seeded start, the next q % n words of its seeded document order, cyclically.
 
 Bounds: shards number at most ``MAX_SHARDS`` plus the sources (their size
 grows with the input instead), and one row per source and shard reaches the
@@ -34,7 +34,6 @@ MAX_REPEAT = 3
 SEED = 20240611
 MAX_SHARDS = 1 << 14
 MIN_SHARD = 1 << 15
-MAX_BLOCK = 512
 MAX_SOURCES = 1_000_000
 
 
@@ -104,7 +103,6 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: i
     total = sum(sizes)
     target = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total, max_repeat)
     shard_tokens = max(MIN_SHARD, -(-total // MAX_SHARDS))
-    block = int(min(MAX_BLOCK, max(1, total // (1 << 16))))
 
     shards = [max(1, -(-s // shard_tokens)) for s in sizes]
     known = spark.createDataFrame([(r.source, i, sizes[i], float(target[i]), shards[i]) for i, r in enumerate(per_source)],
@@ -113,22 +111,21 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: i
     dealt = (slim.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("src")))
              .withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), F.col("n_shards").cast("long")).cast("int")))
     cells = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("size")).collect()  # at most MAX_SHARDS + sources rows
-    quota = sainte_lague(target, int(round(sum(target) / block)))
+    full = [t >= max_repeat * n for t, n in zip(target, sizes)]
+    open_ = [0.0 if f else t for f, t in zip(full, target)]
+    quota = [max_repeat * n if f else q for f, n, q in zip(full, sizes, sainte_lague(open_, int(round(sum(open_)))))]
     by_source: dict[int, list] = {}
     for c in sorted(cells, key=lambda c: (c.source_no, c.shard)):
         by_source.setdefault(c.source_no, []).append(c)
     plan = []
     for i, own in by_source.items():
-        blocks = [max(1, int(round(c["size"] / block))) if c["size"] else 0 for c in own]
-        got = sainte_lague([float(c["size"]) for c in own], quota[i], [max_repeat * b for b in blocks])
-        for c, n, q in zip(own, blocks, got):
-            t = int(c["size"])
+        held = [int(c["size"]) for c in own]
+        got = sainte_lague([float(n) for n in held], quota[i], [max_repeat * n for n in held])
+        for c, n, q in zip(own, held, got):
             start = int(np.random.default_rng([seed, i, c.shard]).integers(n)) if n else 0
             passes, rest = divmod(q, n) if n else (0, 0)
-            # the rest: blocks start .. start + rest - 1, cyclic; block j covers tokens j*t//n to (j+1)*t//n
-            a, b = (start * t // n, (start + rest) * t // n if start + rest <= n else t) if n else (0, 0)
-            wrap = (start + rest - n) * t // n if n and start + rest > n else 0
-            plan.append((i, c.shard, passes, a if rest else 0, b if rest else 0, wrap))
+            # the rest: words start .. start + rest - 1, cyclic
+            plan.append((i, c.shard, passes, start if rest else 0, min(start + rest, n) if rest else 0, max(start + rest - n, 0) if rest else 0))
     quotas = spark.createDataFrame(plan, "source_no int, shard int, passes int, a long, b long, wrap long")
     order = Window.partitionBy("source_no", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum("size").over(order)

@@ -158,6 +158,15 @@ def test_mixture(docs, rows, empty):
     assert op3_mix.mixture(docs.filter("text is null")).select("taken").distinct().collect()[0][0] == 0
 
 
+def test_small_sources_meet_their_targets(spark):
+    hot = spark.range(700).selectExpr("id doc_id", "repeat('a ', 50000) text", "'hot' source")  # 35 million words
+    small = [(1000 + n, "w " * n, f"t{n:03d}") for n in range(20, 501, 20)]
+    got = op3_mix.mixture(hot.union(spark.createDataFrame(small, "doc_id long, text string, source string"))).collect()
+    assert {r.doc_id: r.taken for r in got if r.doc_id >= 1000} == {d: 3 * (d - 1000) for d, _, _ in small}
+    want = next(r.target for r in got if r.doc_id < 1000)
+    assert sum(r.taken for r in got if r.doc_id < 1000) == pytest.approx(want, abs=1)
+
+
 def test_mixed_documents(docs, rows):
     m = op3_mix.mixed_documents(docs)
     assert m.columns == docs.columns
