@@ -88,7 +88,7 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int] | None = None)
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """doc_id, h (seeded hash of doc_id, text and source), size, source_size,
+    """doc_id, source_no, shard, h (seeded hash of doc_id, text and source), size, source_size,
     target, taken: words of each document that the mix takes, repeats counted."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -131,18 +131,49 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: i
     end = F.sum("size").over(order)
     placed = dealt.withColumn("e", end).withColumn("s", F.col("e") - F.col("size")).join(F.broadcast(quotas), ["source_no", "shard"])
     cut = lambda lo, hi: F.greatest(F.lit(0), F.least("e", hi) - F.greatest("s", lo))
-    return placed.select("doc_id", "h", "size", "source_size", "target",
+    return placed.select("doc_id", "source_no", "shard", "h", "size", "source_size", "target",
                          (F.col("passes") * F.col("size") + cut("a", "b") + cut(F.lit(0), "wrap")).cast("long").alias("taken"))
 
 
+def whole_copies(odd: list) -> dict[int, int]:
+    """h to copies for rows (source_no, shard, h, taken, size), each rounded up or
+    down.  What rounding leaves over of a source's words goes on to its next
+    document: long ones first, so that short ones make up for them, then in seeded order."""
+    out, left = {}, {}
+    for r in sorted(odd, key=lambda r: (r.source_no, -int(r["size"]).bit_length(), r.shard, r.h)):
+        n, part = divmod(r.taken, r["size"])
+        have = left.get(r.source_no, 0) + part
+        up = part > 0 and 2 * have >= r["size"]
+        left[r.source_no] = have - r["size"] * up
+        out[r.h] = n + up
+    return out
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows of ``docs``: each document as often as it is taken,
-    a block's cut document rounded to the nearest whole copy (at most two per shard)."""
-    seed = options.get("seed", SEED)
-    m = mixture(docs, **options).select(F.col("h").alias("_h"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_n"))
-    m = m.filter("_n > 0").groupBy("_h").agg(F.max("_n").alias("_n"))  # rows alike in all three get the same number
-    d = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("_h"))
-    return d.join(m, "_h").select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
+    """The mix as rows of ``docs``: each document as often as it is taken.  Cut
+    documents (those at the ends of a shard's run of words, at most three a shard)
+    are rounded to whole copies by ``whole_copies`` on the driver; rows alike in
+    doc_id, text and source count together."""
+    seed, spark = options.get("seed", SEED), docs.sparkSession
+    m = saved(mixture(docs, **options).filter("size > 0").groupBy("source_no", "shard", "h")
+              .agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows")), "mix-taken")
+    even = (F.col("taken") % (F.col("size") * F.col("rows"))) == 0
+    odd = m.filter(~even).collect()  # at most three a shard
+    copies = whole_copies(odd)
+    dealt = [(r.h, *divmod(copies[r.h], r.rows)) for r in odd]  # copies of every row, rows that get one more
+    cut = spark.createDataFrame(dealt, "_h long, _n long, _more long")
+    m = m.filter(even & (F.col("taken") > 0)).select(F.col("h").alias("_h"), (F.col("taken") / (F.col("size") * F.col("rows"))).cast("long").alias("_n"),
+                                                     F.lit(0).cast("long").alias("_more")).union(cut.filter("_n > 0 or _more > 0"))
+    d = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("_h")).join(m, "_h")
+    if any(more for _, _, more in dealt):  # number those rows within the partitions they lie in, then across them
+        some = saved(d.filter("_more > 0").withColumn("_part", F.spark_partition_id()), "mix-repeated")
+        before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = (some.groupBy("_h", "_part").agg(F.count("*").alias("_rows"))
+                 .select("_h", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")))
+        rank = F.row_number().over(Window.partitionBy("_h", "_part").orderBy(F.lit(1))) + F.col("_before")
+        some = some.join(parts, ["_h", "_part"]).withColumn("_n", F.col("_n") + (rank <= F.col("_more")).cast("long")).filter("_n > 0")
+        d = d.filter("_more = 0").select("row", "_n").union(some.select("row", "_n"))
+    return d.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("row.*")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,32 @@ def test_mixed_documents(docs, rows):
     assert {(r.doc_id, r.text) for r in m.collect()} <= {(d, t) for d, t, _, _ in rows}
 
 
+@pytest.mark.parametrize("long_words", [40_000, 90_000])
+def test_mixed_documents_meet_targets_with_long_documents(spark, long_words):
+    make = lambda lo, hi, words, source: spark.range(lo, hi).selectExpr("id doc_id", f"repeat('a ', {words}) text", f"'{source}' source")
+    docs = make(0, 60, long_words, "long").union(make(100, 108, long_words, "few")).union(make(1000, 1100, 4 * long_words // 100, "short"))
+    target = {0: 0, 1: 0, 2: 0}
+    part = lambda d: 0 if d < 100 else 1 if d < 1000 else 2
+    for weights in ((5.0, 2.0, 1.0), (1.0, 0.7, 0.1), (0.2, 1.0, 0.02)):
+        m = op3_mix.mixture(docs, weights=weights).collect()
+        for r in m:
+            target[part(r.doc_id)] = r.target
+        got = Counter()
+        for r in op3_mix.mixed_documents(docs, weights=weights).selectExpr("doc_id", "length(text) div 2 n").collect():
+            got[part(r.doc_id)] += r.n
+        for i, longest in ((0, long_words), (1, long_words), (2, 4 * long_words // 100)):
+            assert abs(got[i] - target[i]) <= longest / 2 + 2
+
+
+def test_repeated_rows_count_together(spark):
+    rows = [(1, "a b c d e f g h i j", "hot")] * 50 + [(2 + i, "k " * 10, "small") for i in range(5)] + [(100 + i, "x " * 10, "z") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for weights in ((1.0, 1.0, 5.0), (2.0, 0.1, 3.0), (5.0, 1.0, 1.0)):
+        taken = sum(r.taken for r in op3_mix.mixture(docs, weights=weights).collect() if r.doc_id == 1)
+        got = op3_mix.mixed_documents(docs, weights=weights).filter("doc_id = 1").count()
+        assert abs(10 * got - taken) <= 5 and taken > 0
+
+
 # ---- 6 SimHash
 
 def brute_fp(t):
