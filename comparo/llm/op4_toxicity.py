@@ -2,7 +2,9 @@
 
 Every word enters as a word embedding (vocabulary of the training sample, one
 entry for all other words) joined with the mean embedding of its character
-trigrams.  Forward and backward GRUs read windows of ``WINDOW`` words, an
+trigrams, all of them.  A run of more than ``PIECE`` bytes without white space
+enters as several words: its parts between separators (punctuation, no-break
+spaces), those still longer as overlapping pieces.  Forward and backward GRUs read windows of ``WINDOW`` words, an
 attention layer pools their states, a logistic layer scores the window.  All
 overlapping windows of a whole text are scored; the text's logit is the largest,
 calibrated on the training sample.  Training and inference are numpy.
@@ -24,6 +26,7 @@ No rows: empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -34,22 +37,55 @@ from comparo.llm.common import table
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
-MAX_VOCAB, MIN_DF, CHAR_ROWS, GRAMS = 20_000, 3, 2048, 16
+MAX_VOCAB, MIN_DF, CHAR_ROWS = 20_000, 3, 2048
 MAX_PER_CLASS, MAX_TRAIN_CHARS, ROUNDS, MIN_STEPS, BATCH, SEED = 1200, 20_000, 10, 200, 256, 7
 THRESHOLD = 0.7
 #: Rows of a worker's table of input projections, and windows computed at once.
 CACHE_ROWS, WINDOWS = 300_000, 2048
+#: Longest word in bytes, and the step between the pieces of a longer one.
+PIECE, STEP = 32, 16
 _EDGE = b".,;:!?\"'()[]{}|#*$%&<>-_/\\"
 
 
+_SEPARATOR = re.compile(b"(?:[" + re.escape(_EDGE) + b"+=@~^`]|\xc2\xa0|\xe2\x80[\x80-\x8b\xaf]|\xe3\x80[\x80-\x82]|\xef\xbc\x8c)+")
+
+
 def normal(w: bytes) -> bytes:
     return w.strip(_EDGE).lower()
 
 
+def pieces(run: bytes) -> list[bytes]:
+    """Words of a run longer than ``PIECE``: parts between separators, longer
+    parts cut at characters into pieces that overlap by about PIECE - STEP bytes."""
+    out = []
+    for part in _SEPARATOR.split(run):
+        a = 0
+        while len(part) - a > PIECE:
+            b = a + PIECE
+            while b > a + PIECE - 4 and part[b] & 0xC0 == 0x80:  # not inside a character
+                b -= 1
+            out.append(part[a:b])
+            a += STEP
+            while a < b and part[a] & 0xC0 == 0x80:
+                a += 1
+        if part[a:]:
+            out.append(part[a:])
+    return out or [b""]
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """White-space words as bytes, runs longer than ``PIECE`` in pieces."""
+    ws = text.encode("utf-8").split() if text else []
+    if ws and max(map(len, ws)) > PIECE:
+        ws = [p for w in ws for p in (pieces(w) if len(w) > PIECE else (w,))]
+    return ws
+
+
 def trigrams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Character trigram rows (words x GRAMS, 0 = none) and their numbers."""
-    flat = np.array([b"^" + w + b"$" for w in ws], dtype=f"S{GRAMS + 2}")
-    c = flat.view(np.uint8).reshape(len(ws), GRAMS + 2).astype(np.int64)
+    """Character trigram rows (words x those of the longest, 0 = none) and their numbers."""
+    width = max(map(len, ws), default=0) or 1
+    flat = np.array([b"^" + w + b"$" for w in ws], dtype=f"S{width + 2}")
+    c = flat.view(np.uint8).reshape(len(ws), width + 2).astype(np.int64)
     g = ((c[:, :-2] * 131 + c[:, 1:-1]) * 137 + c[:, 2:]) * 2654435761 % 2**32 % (CHAR_ROWS - 1) + 1
     g[c[:, 2:] == 0] = 0
     return g, np.maximum((g > 0).sum(axis=1), 1)
@@ -114,7 +150,7 @@ def _run_back(dout, kept, u, mask):
 
 
 def forward(p, vid, grams, count, mask):
-    """Logits of windows.  vid: windows x time; grams: windows x time x GRAMS."""
+    """Logits of windows.  vid: windows x time; grams: windows x time x trigrams."""
     x = np.concatenate([p["word"][vid], p["char"][grams].sum(axis=2) / count[:, :, None]], axis=2)
     runs = [_run(x @ p[f"w{s}"] + p[f"g{s}"], p[f"u{s}"], mask, s == "b") for s in "fb"]
     hs = np.concatenate([runs[0][0], runs[1][0]], axis=2)
@@ -166,7 +202,7 @@ def train(rows: list[tuple[str, int]], prior_weight: tuple[float, float] = (1.0,
     if len({y for _, y in rows}) < 2:
         return {}
     rng = np.random.default_rng(seed)
-    docs = [[normal(w) for w in (t or "").encode("utf-8").split()] for t, _ in rows]
+    docs = [[normal(w) for w in tokens(t)] for t, _ in rows]
     y = np.array([lab for _, lab in rows], float)
     df: dict[bytes, list[int]] = {}
     for d, lab in zip(docs, y):
@@ -182,8 +218,9 @@ def train(rows: list[tuple[str, int]], prior_weight: tuple[float, float] = (1.0,
     spell = sorted({w for d in docs for w in d})
     at = {w: i + 1 for i, w in enumerate(spell)}
     g, c = trigrams(spell)
-    grams = np.concatenate([np.zeros((1, GRAMS), np.int64), g])
+    grams = np.concatenate([np.zeros((1, g.shape[1]), np.int64), g])
     count = np.concatenate([[1], c]).astype(float)
+    width = np.array([1] + [max(len(w), 1) for w in spell])
     vids = np.array([0] + [ids.get(w, 0) for w in spell])
     starts = [(d, s) for d, ws in enumerate(docs) for s in window_starts(len(ws))]
     of = np.array([d for d, _ in starts])
@@ -216,7 +253,8 @@ def train(rows: list[tuple[str, int]], prior_weight: tuple[float, float] = (1.0,
             some = pick[i:i + batch]
             w = win[[int(a) for a, _ in some]]
             lab = np.array([b for _, b in some])
-            grad = gradients(p, vids[w], grams[w], count[w], (w > 0).astype(float), lab, np.full(len(lab), 1 / len(lab)))
+            some_grams = grams[:, :int(width[w].max())][w]
+            grad = gradients(p, vids[w], some_grams, count[w], (w > 0).astype(float), lab, np.full(len(lab), 1 / len(lab)))
             step += 1
             for k in p:
                 m, v = moments[k]
@@ -267,7 +305,12 @@ class Projections(dict):
     def project(self, vid, grams, count) -> np.ndarray:
         out = self.of_word[vid]
         for a in range(0, len(vid), 8192):
-            out[a:a + 8192] += self.of_char[grams[a:a + 8192]].sum(axis=1) / count[a:a + 8192, None].astype(np.float32)
+            g = grams[a:a + 8192]
+            n = np.count_nonzero(g, axis=1)
+            has = np.flatnonzero(n)
+            if len(has):
+                sums = np.add.reduceat(self.of_char[g[g > 0]], np.cumsum(n[has]) - n[has], axis=0)
+                out[a + has] += sums / count[a + has, None].astype(np.float32)
         return out
 
     def __missing__(self, w: bytes) -> int:
@@ -343,7 +386,7 @@ class Scorer:
 
         held = 0
         for d, t in enumerate(texts):
-            ws = t.encode("utf-8").split() if t else []
+            ws = tokens(t)
             if not ws:
                 continue
             for a in range(0, len(ws), 1 << 16):  # long texts in parts that overlap by a window

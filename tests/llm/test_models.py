@@ -90,6 +90,21 @@ def test_toxicity_whole_long_text(model):
     assert s.scores([long + " idiot dreckhund idiot dreckerei"])[0] > 0.9 > s.scores([calm])[0]
 
 
+def test_toxicity_scores_the_whole_of_a_long_run(model):
+    s = tox.Scorer(model)
+    calm = ["thean", "ingre", "ouha", "erth", "stan", "theed", "inghareon"]
+    long = [calm[i % 7] for i in range(40)]
+    for sep in ("_", "-", "\u00a0", "/", ""):
+        clean, toxic = sep.join(long), sep.join(long[:35] + ["dreckhund", "idiot", "dreckerei"] + long[35:])
+        a, b = s.scores([clean, toxic])
+        assert a < b and (b > 0.9 > a if sep else b - a > 0.01), (sep, a, b)
+    word = b"\xe4\xb8\xad\xe6\x96\x87" * 200
+    got = tox.pieces(word)
+    assert all(len(p) <= tox.PIECE for p in got) and all(p.decode() for p in got)
+    assert {word[i:i + 9] for i in range(0, len(word) - 8, 3)} <= {p[i:i + 9] for p in got for i in range(len(p) - 8)}
+    assert tox.trigrams([b"a" * 17 + b"bcd"])[1][0] == 20
+
+
 def test_toxicity_odd_rows(spark, model):
     rows = odd_rows()
     docs = docs_frame(spark, rows)
