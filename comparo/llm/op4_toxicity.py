@@ -9,8 +9,8 @@ attention layer pools their states, a logistic layer scores the window.  All
 overlapping windows of a whole text are scored; the text's logit is the largest,
 calibrated on the training sample.  Training and inference are numpy.
 
-Labels: at most ``max_per_class`` labelled documents of each class (smallest
-seeded hash of doc_id; texts up to ``MAX_TRAIN_CHARS`` characters) are fetched to
+Labels: at most ``max_per_class`` different labelled documents of each class (smallest
+seeded hash of doc_id; repeated rows count once; texts up to ``MAX_TRAIN_CHARS`` characters) are fetched to
 train on; that bound holds at any input size.  Label, language, source and id are
 never inputs of a score.  Training picks, for each document, its highest windows
 and a random one, again in every round.
@@ -31,7 +31,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from comparo.llm.common import table
 
@@ -414,16 +414,21 @@ def held_out(doc_id) -> "F.Column":
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, seed: int = SEED) -> dict:
     """Train on at most ``max_per_class`` labelled documents of each class, never held-out ones."""
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-           .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))))
+           .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct())
     total = {r.toxic: r.n for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = None
     for c in (0, 1):
         part = lab.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_per_class)
         some = part if some is None else some.union(part)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
-    # at most 2 x max_per_class ids: a bounded broadcast
-    rows = text.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").limit(8 * max_per_class).collect()
-    rows = sorted({(r.doc_id, r.toxic, r.text) for r in rows})
+    # at most 2 x max_per_class ids: a bounded broadcast; repeated rows are merged before anything is counted
+    found = (text.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text"))
+             .withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "toxic").orderBy("th"))).filter(F.col("nth") <= max_per_class))
+    rows = []
+    for c in (0, 1):  # one text of every id before a second of any
+        rows += (found.filter(F.col("toxic") == c).orderBy("nth", F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_per_class)
+                 .select("doc_id", "toxic", "text").collect())
+    rows = sorted((r.doc_id, r.toxic, r.text) for r in rows)
     n = {c: max(1, sum(r[1] == c for r in rows)) for c in (0, 1)}
     return train([(t, lab_) for _, lab_, t in rows], (total.get(0, 1) / n[0], total.get(1, 1) / n[1]), seed)
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -117,6 +118,18 @@ def test_toxicity_odd_rows(spark, model):
     assert tox.scored(spark.createDataFrame([], SCHEMA), model).collect() == []
 
 
+def test_toxicity_repeated_rows_do_not_fill_the_sample(spark, monkeypatch):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1][:24]
+    rows = [(i, f"text {i}", "en", "s") for i in ids]
+    flat = [(i, 1, n % 2) for n, i in enumerate(ids)]
+    seen = []
+    monkeypatch.setattr(tox, "train", lambda some, weight, seed: seen.append((sorted(some), weight)) or {})
+    tox.fit(docs_frame(spark, rows), spark.createDataFrame(flat, "doc_id long, quality int, toxic int"), max_per_class=12)
+    for hot in (0, 1):
+        tox.fit(docs_frame(spark, rows + rows[hot:hot + 1] * 300), spark.createDataFrame(flat + flat[hot:hot + 1] * 300, "doc_id long, quality int, toxic int"), max_per_class=12)
+    assert len(seen[0][0]) == 24 and seen == [seen[0]] * 3
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = tox.op4_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert len(d) > 50 and sum(r.predicted == r.toxic for r in d) / len(d) > 0.93
