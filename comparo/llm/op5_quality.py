@@ -10,7 +10,8 @@ Scoring: types are cut into shards of at most ``SHARD_TYPES`` (hash ranges).
 One shard at a time, of that proven size, is broadcast and joined with the
 n-grams of all documents, which adds up to each document's log-probability.
 Perplexities are compared with a quantile of the trusted documents of the same
-language (exact to the stated bin width; languages without trusted documents
+language, which are scored for it by a model that has not seen them: trusted ids
+are dealt to two folds, and each fold is scored by a model of the other (exact to the stated bin width; languages without trusted documents
 use that of all trusted ones).
 
 Nulls: a null text is empty (one n-gram, the end mark); null language is a
@@ -38,6 +39,10 @@ SHARD_TYPES = 1 << 21
 MAX_BROADCAST_IDS = 1 << 22
 #: Types a task gathers before it hands them on; characters handled at once.
 GATHER, BLOCK = 400_000, 1 << 21
+#: Names of the models: of all trusted text, and without the text of fold 0 or 1.
+MODELS = ("", "0", "1")
+FOLD_SEED = 11
+_LOW = (1 << 64) - 1
 _START, _END = "\x02", "\x03"
 
 
@@ -87,31 +92,39 @@ def _grams(some: list[tuple[int, str]], order: int) -> tuple[str, np.ndarray, np
     return text, codes(code_points(text), order)[at], at, np.cumsum(n - order + 1) - (n - order + 1)
 
 
+def fold_of(doc_id) -> "F.Column":
+    return F.pmod(F.xxhash64(doc_id, F.lit(FOLD_SEED)), F.lit(2)).cast("int")
+
+
 def type_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, c): every n-gram type of ``docs`` (text, trusted) and its count in trusted text (0 for others)."""
+    """(g, c, c0, c1): every n-gram type of ``docs`` (text, fold: 0 or 1, null if not trusted)
+    and its count in trusted text (0 for others), in all and without fold 0 or 1."""
     def run(batches):
-        held: dict[str, int] = {}
+        held: dict[str, int] = {}  # count in fold 1 plus 2^64 times that in fold 0
 
         def out():
-            rows = pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["g", "c"])
+            n = list(held.values())
+            rows = pa.record_batch([pa.array(list(held), pa.string()), pa.array([x & _LOW for x in n], pa.int64()), pa.array([x >> 64 for x in n], pa.int64())],
+                                   ["g", "c0", "c1"])
             held.clear()
             return rows
 
         for b in batches:
             texts, flags = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for flag in (True, False):
+            for flag, one in ((0, 1 << 64), (1, 1), (None, 0)):
                 for some in _blocks([t for t, f in zip(texts, flags) if f == flag], order):
                     text, h, at, _ = _grams(some, order)
                     _, i, c = np.unique(h, return_index=True, return_counts=True)
-                    for j, n in zip(at[i].tolist(), c.tolist() if flag else (0,) * len(c)):
+                    for j, n in zip(at[i].tolist(), c.tolist()):
                         g = text[j:j + order]
-                        held[g] = held.get(g, 0) + n
+                        held[g] = held.get(g, 0) + n * one
                     if len(held) > GATHER:
                         yield out()
         if held:
             yield out()
 
-    return docs.select("text", "trusted").mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    counted = docs.select("text", "fold").mapInArrow(run, "g string, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return counted.select("g", (F.col("c0") + F.col("c1")).alias("c"), "c0", "c1")
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -127,42 +140,44 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def probabilities(types: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, p): interpolated probability of the last character after the others, for all types."""
-    levels = {order: types.select("g", "c")}
+    """(g, p, p0, p1): interpolated probability of the last character after the others, for
+    all types, by the models of the counts c, c0 and c1."""
+    levels = {order: types.select("g", *(f"c{m}" for m in MODELS))}
     for n in range(order - 1, 0, -1):  # continuation counts: how many types one longer end in this one
         up = levels[n + 1]
-        levels[n] = saved(up.groupBy(F.substring("g", 2, n).alias("g")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")), f"kn-{n}")
+        levels[n] = saved(up.groupBy(F.substring("g", 2, n).alias("g")).agg(*[F.sum((F.col(f"c{m}") > 0).cast("long")).alias(f"c{m}") for m in MODELS]), f"kn-{n}")
     p = None
     for n in range(1, order + 1):
         t = levels[n]
-        k = t.agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)], F.count("*").alias("v")).first()
-        d = discounts([k[f"n{i}"] or 0 for i in range(1, 5)])
-        c = F.col("c")
-        cut = F.when(c >= 3, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
-        ctx = t.withColumn("ctx", F.substring("g", 1, n - 1) if n > 1 else F.lit("")).groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(cut).alias("mass"))
+        k = t.agg(*[F.sum((F.col(f"c{m}") == i).cast("long")).alias(f"n{m}_{i}") for m in MODELS for i in range(1, 5)], F.count("*").alias("v")).first()
+        d = {m: discounts([k[f"n{m}_{i}"] or 0 for i in range(1, 5)]) for m in MODELS}
+        cut = {m: F.when(F.col(f"c{m}") >= 3, d[m][2]).when(F.col(f"c{m}") == 2, d[m][1]).when(F.col(f"c{m}") == 1, d[m][0]).otherwise(0.0) for m in MODELS}
+        over = {m: F.greatest(F.col(f"c{m}") - cut[m], F.lit(0.0)) for m in MODELS}
         t = t.withColumn("ctx", F.substring("g", 1, n - 1) if n > 1 else F.lit(""))
+        ctx = t.groupBy("ctx").agg(*[F.sum(f"c{m}").alias(f"total{m}") for m in MODELS], *[F.sum(cut[m]).alias(f"mass{m}") for m in MODELS])
         if n == 1:
             one = ctx.first()
-            total, mass = (one.total or 0, one.mass or 0.0) if one else (0, 0.0)
+            total, mass = ({m: (one[f"{x}{m}"] or 0) if one else 0 for m in MODELS} for x in ("total", "mass"))
             v = max(k.v, 1)
-            p = t.select("g", (F.greatest(c - cut, F.lit(0.0)) / total + mass / total / v if total else F.lit(1.0 / v)).alias("p"))
+            p = t.select("g", *[(over[m] / total[m] + mass[m] / total[m] / v if total[m] else F.lit(1.0 / v)).alias(f"p{m}") for m in MODELS])
         else:
-            low = p.select(F.col("g").alias("tail"), F.col("p").alias("q"))
+            low = p.select(F.col("g").alias("tail"), *[F.col(f"p{m}").alias(f"q{m}") for m in MODELS])
             t = t.withColumn("tail", F.substring("g", 2, n - 1)).join(low, "tail").join(ctx, "ctx")
-            p = t.select("g", F.when(F.col("total") > 0, F.greatest(c - cut, F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * F.col("q"))
-                         .otherwise(F.col("q")).alias("p"))
+            p = t.select("g", *[F.when(F.col(f"total{m}") > 0, over[m] / F.col(f"total{m}") + F.col(f"mass{m}") / F.col(f"total{m}") * F.col(f"q{m}"))
+                                .otherwise(F.col(f"q{m}")).alias(f"p{m}") for m in MODELS])
         if n < order:
             p = saved(p, f"kn-p{n}")
     return p
 
 
 class Table:
-    """Open addressing from n-gram codes to log-probabilities."""
+    """Open addressing from n-gram codes to rows of log-probabilities, one column a model."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         size = 1 << max(4, int(2 * len(keys)).bit_length())
         self.mask = np.uint64(size - 1)
-        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float64)
+        self.keys, self.rows = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.values = np.concatenate([np.zeros((1, values.shape[1])), values])
         left = np.arange(len(keys))
         slot = keys & self.mask
         while len(left):
@@ -170,23 +185,23 @@ class Table:
             some = left[free]
             self.keys[slot[some]] = keys[some]
             won = self.keys[slot[some]] == keys[some]
-            self.values[slot[some[won]]] = values[some[won]]
+            self.rows[slot[some[won]]] = some[won] + 1
             left = np.concatenate([left[~free], some[~won]])
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
     def get(self, h: np.ndarray) -> np.ndarray:
-        """Values; 0 where a code is not held."""
+        """Rows of ``values``; 0, a row of zeros, where a code is not held."""
         at = h & self.mask
-        out = np.zeros(len(h))
+        out = np.zeros(len(h), np.int32)
         k = self.keys[at]
         hit = k == h
-        out[hit] = self.values[at[hit]]
+        out[hit] = self.rows[at[hit]]
         left = np.flatnonzero(~hit & (k != 0))
         while len(left):
             at[left] = (at[left] + np.uint64(1)) & self.mask
             k = self.keys[at[left]]
             hit = k == h[left]
-            out[left[hit]] = self.values[at[left[hit]]]
+            out[left[hit]] = self.rows[at[left[hit]]]
             left = left[~hit & (k != 0)]
         return out
 
@@ -195,7 +210,8 @@ _TABLES: dict[str, Table] = {}
 
 
 def shard_sums(docs: DataFrame, held, order: int = ORDER) -> DataFrame:
-    """lang, doc_id, th, n (n-grams) and lp (log-probability of those in the shard)."""
+    """lang, doc_id, th, n (n-grams), lp (log-probability of those in the shard) and
+    own (that by the model without the document's fold; lp if not trusted)."""
     token = uuid.uuid4().hex
 
     def run(batches):
@@ -205,26 +221,29 @@ def shard_sums(docs: DataFrame, held, order: int = ORDER) -> DataFrame:
         t = _TABLES[token]
         for b in batches:
             texts = b.column(3).to_pylist()
-            lp, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            model = np.array([0 if f is None else f + 1 for f in b.column(4).to_pylist()], np.int64)
+            lp, own, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for some in _blocks(texts, order):
                 _, h, _, first = _grams(some, order)
                 doc = np.array([d for d, _ in some])
-                np.add.at(lp, doc, np.add.reduceat(t.get(h), first))
-                np.add.at(n, doc, np.diff(np.append(first, len(h))))
-            yield pa.record_batch([*(b.column(i) for i in range(3)), pa.array(n), pa.array(lp)], ["doc_id", "lang", "th", "n", "lp"])
+                at, size = t.get(h), np.diff(np.append(first, len(h)))
+                np.add.at(lp, doc, np.add.reduceat(t.values[at, 0], first))
+                np.add.at(own, doc, np.add.reduceat(t.values[at, np.repeat(model[doc], size)], first))
+                np.add.at(n, doc, size)
+            yield pa.record_batch([*(b.column(i) for i in range(3)), pa.array(n), pa.array(lp), pa.array(own)], ["doc_id", "lang", "th", "n", "lp", "own"])
 
-    return docs.select("doc_id", "lang", "th", "text").mapInArrow(run, "doc_id long, lang string, th long, n long, lp double")
+    return docs.select("doc_id", "lang", "th", "text", "fold").mapInArrow(run, "doc_id long, lang string, th long, n long, lp double, own double")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_types: int = SHARD_TYPES) -> DataFrame:
-    """doc_id, lang, trusted, n_grams, log_ppl."""
+    """doc_id, lang, trusted, n_grams, log_ppl, unseen_ppl (a trusted document's by the model without its fold)."""
     spark = docs.sparkSession
     good = saved(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "kn-trusted")
     if good.count() <= MAX_BROADCAST_IDS:  # else the texts are joined by a shuffle
         good = F.broadcast(good)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                     F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
-    flagged = d.join(good, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.col("_id").isNotNull()).drop("_id")
+    flagged = d.join(good, F.col("doc_id") == F.col("_id"), "left").withColumn("fold", F.when(F.col("_id").isNotNull(), fold_of(F.col("doc_id")))).drop("_id")
     types = saved(type_counts(flagged, order), "kn-types")
 
     def coded(batches):
@@ -232,30 +251,32 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_t
             gs = b.column(0).to_pylist()
             cp = code_points("".join(gs)).reshape(-1, order)
             h = codes(cp.ravel(), order)[::order] if len(gs) else np.empty(0, np.uint64)
-            yield pa.record_batch([pa.array(h.view(np.int64)), b.column(1)], ["code", "lp"])
+            yield pa.record_batch([pa.array(h.view(np.int64)), *(b.column(i + 1) for i in range(len(MODELS)))], ["code", *(f"lp{m}" for m in MODELS)])
 
-    p = saved(probabilities(types, order).select("g", F.log("p").alias("lp")).mapInArrow(coded, "code long, lp double"), "kn-scores")
+    p = saved(probabilities(types, order).select("g", *[F.log(f"p{m}").alias(f"lp{m}") for m in MODELS])
+              .mapInArrow(coded, ", ".join(["code long", *(f"lp{m} double" for m in MODELS)])), "kn-scores")
     shards = max(1, -(-p.count() // (shard_types // 2)))  # half full on average
     parts = []
     for s in range(shards):
         own = p.filter(F.pmod(F.xxhash64("code"), F.lit(shards)) == s).limit(shard_types + 1).toArrow()
         if len(own) > shard_types:
             raise RuntimeError("a shard of the model is larger than its bound")
-        held = spark.sparkContext.broadcast((own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy()))
-        parts.append(shard_sums(d, held, order).withColumn("shard", F.lit(s)))
+        held = spark.sparkContext.broadcast((own.column(0).to_numpy().view(np.uint64), np.stack([own.column(i + 1).to_numpy() for i in range(len(MODELS))], axis=1)))
+        parts.append(shard_sums(flagged, held, order).withColumn("shard", F.lit(s)))
     total = parts[0]
     for x in parts[1:]:
         total = total.union(x)
-    lp = [F.max(F.when(F.col("shard") == s, F.col("lp"))) for s in range(shards)]
-    sums = total.groupBy("doc_id", "lang", "th").agg(F.max("n").alias("n_grams"), sum(lp[1:], lp[0]).alias("lp"))
+    lp, own = ([F.max(F.when(F.col("shard") == s, F.col(c))) for s in range(shards)] for c in ("lp", "own"))
+    sums = total.groupBy("doc_id", "lang", "th").agg(F.max("n").alias("n_grams"), sum(lp[1:], lp[0]).alias("lp"), sum(own[1:], own[0]).alias("own"))
     sums = sums.join(good, F.col("doc_id") == F.col("_id"), "left")
-    return sums.select("doc_id", "lang", F.col("_id").isNotNull().alias("trusted"), "n_grams", (-F.col("lp") / F.col("n_grams")).alias("log_ppl"))
+    return sums.select("doc_id", "lang", F.col("_id").isNotNull().alias("trusted"), "n_grams", (-F.col("lp") / F.col("n_grams")).alias("log_ppl"),
+                       F.when(F.col("_id").isNotNull(), -F.col("own") / F.col("n_grams")).alias("unseen_ppl"))
 
 
 def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, shard_types: int = SHARD_TYPES) -> DataFrame:
     """doc_id, lang, trusted, n_grams, perplexity, threshold, kept."""
     p = saved(perplexities(docs, labels, order, shard_types).withColumn("bin", F.floor(F.col("log_ppl") * BINS).cast("long")), "kn-perplexity")
-    hist = p.filter("trusted").groupBy("lang", "bin").agg(F.count("*").alias("c"))
+    hist = p.filter("trusted").groupBy("lang", F.floor(F.col("unseen_ppl") * BINS).cast("long").alias("bin")).agg(F.count("*").alias("c"))
 
     def limits(h: DataFrame, by: list[str]) -> DataFrame:
         order_ = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -198,6 +198,18 @@ def test_quality_classes(spark):
     assert sum(not r.kept for r in got if r.quality == 0) / max(1, sum(r.quality == 0 for r in got)) > 0.3
 
 
+def test_quality_keeps_unseen_documents_of_a_rare_language(spark):
+    rng = random.Random(8)
+    stems = {la: ["".join(rng.choice(ab) for _ in range(rng.randint(3, 7))) for _ in range(600)] for la, ab in (("en", "etaoinshrdlu"), ("es", "eaosrnidlctumpqvz"))}
+    text = lambda la, n: " ".join(rng.choice(stems[la]) for _ in range(n))
+    rows = [(i, text("en", 60), "en", "s") for i in range(300)] + [(1000 + i, text("es", 60), "es", "s") for i in range(140)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in (*range(200), *range(1000, 1040))], "doc_id long, quality int, toxic int")
+    got = lm.classified(docs_frame(spark, rows), labels).collect()
+    for la in ("en", "es"):
+        unseen = [r.kept for r in got if r.lang == la and not r.trusted]
+        assert len(unseen) == 100 and sum(unseen) >= 90
+
+
 def test_quality_odd(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = docs_frame(spark, odd_rows())
