@@ -54,3 +54,18 @@ def test_leakage_audit_fx7(spark):
     r = {x["column"]: x for x in A.leakage_audit(df, "target", ["copy", "noisy", "unrelated", "sparse"]).collect()}
     assert r["copy"]["leak"] and r["noisy"]["leak"] and not r["unrelated"]["leak"]
     assert r["sparse"]["skipped"] and not r["sparse"]["leak"]
+
+
+def test_every_subset_has_its_test_error(spark):
+    from comparo.plans import q_search
+    sf = "/root/testdata/sf0.001"
+    got = {r.subset_id: r for r in q_search.subset_scores_linear(spark, sf).collect()}
+    scores, frame = q_search.scored(spark, sf)
+    test = frame.where("split = 'test'").toPandas()
+    ok = [r for r in scores.collect() if r.status == "ok"]
+    assert len(ok) > 20 and len(got) >= len(ok)
+    for r in ok:
+        x = test[list(r.features)].to_numpy(float)
+        want = np.abs(test.y_log_price.to_numpy(float) - r.coef[0] - x @ np.array(r.coef[1:]))
+        assert abs(got[r.subset_id].mae_test - np.nanmean(want)) < 1e-3
+    assert all(r.mae_test is None for r in got.values() if r.status != "ok")
