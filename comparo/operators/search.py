@@ -1,4 +1,4 @@
-"""Feature-subset search.
+"""Feature-subset search.
 
 Instead of fitting one model per subset in a driver loop, the search is:
 

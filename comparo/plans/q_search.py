@@ -1,4 +1,4 @@
-"""Queries: feature-subset search."""
+"""Queries: feature-subset search."""
 
 from __future__ import annotations
 
@@ -54,7 +54,7 @@ SUBSETS_SQL = _subsets_sql()
 @query("subsets_1_to_4", sql=with_sql(SUBSETS_SQL, """
 SELECT subset_id, features_text, CAST(n_features AS INTEGER) AS n_features FROM subs"""))
 def subsets_1_to_4(spark, sf_dir):
-    """All subsets of sizes 1-4 of the data-qualified candidates, generated by joins."""
+    """All subsets of sizes 1-4 of the data-qualified candidates, generated by joins."""
     subs, _ = _subsets(spark, sf_dir)
     return subs.select("subset_id", F.concat_ws(",", "features").alias("features_text"), "n_features")
 
