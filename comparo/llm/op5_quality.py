@@ -288,7 +288,7 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, o
     # one histogram of at most a few ten thousand bins
     rest = limits(hist.groupBy("bin").agg(F.sum("c").alias("c")).withColumn("one", F.lit(1)), ["one"]).first()
     fall = F.lit(rest.limit if rest else (1 << 62))
-    j = p.join(F.broadcast(own.limit(100_000)), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    j = p.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = F.coalesce(F.col("limit"), fall)
     return j.select("doc_id", "lang", "trusted", "n_grams", F.exp("log_ppl").alias("perplexity"),
                     F.exp((limit + 1) / F.lit(float(BINS))).alias("threshold"), (F.col("bin") <= limit).alias("kept"))
