@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline over ``documents`` and ``embeddings``.
+"""Operators of a training-data pipeline over ``documents``, ``embeddings`` and ``conversations``.
 
 Nothing else in the library imports this subpackage.  Each operator module
 has a general function (texts, spans and tables in and out) and a thin
