@@ -10,8 +10,9 @@ overlapping windows of a whole text are scored; the text's logit is the largest,
 calibrated on the training sample.  Training and inference are numpy.
 
 Labels: at most ``max_per_class`` different labelled documents of each class (smallest
-seeded hash of doc_id; repeated rows count once; texts up to ``MAX_TRAIN_CHARS`` characters) are fetched to
-train on; that bound holds at any input size.  Label, language, source and id are
+seeded hash of doc_id; repeated rows count once) are fetched to train on; of a text longer than
+``MAX_TRAIN_CHARS`` characters, ``SECTIONS`` sections of together that length, evenly spaced from its first to its
+last character.  That bound holds at any input size.  Label, language, source and id are
 never inputs of a score.  Training picks, for each document, its highest windows
 and a random one, again in every round.
 
@@ -40,6 +41,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 MAX_VOCAB, MIN_DF, CHAR_ROWS = 20_000, 3, 2048
 MAX_PER_CLASS, MAX_TRAIN_CHARS, ROUNDS, MIN_STEPS, BATCH, SEED = 1200, 20_000, 10, 200, 256, 7
 THRESHOLD = 0.7
+#: Sections that a longer labelled text is trained on.
+SECTIONS = 20
 #: Rows of a worker's table of input projections, and windows computed at once.
 CACHE_ROWS, WINDOWS = 300_000, 2048
 #: Longest word in bytes, and the step between the pieces of a longer one.
@@ -278,44 +281,59 @@ def train(rows: list[tuple[str, int]], prior_weight: tuple[float, float] = (1.0,
 def fast_logits(p, vids, grams, count, win) -> np.ndarray:
     """Logits of training windows through per-word input projections."""
     q = Projections(p, None)
-    q.rows = q.project(vids, grams, count)
+    q.add(vids[1:], grams[1:], count[1:])  # row 0 is there
     return np.concatenate([q.logits(win[i:i + WINDOWS]) for i in range(0, len(win), WINDOWS)]) if len(win) else np.zeros(0)
 
 
 class Projections(dict):
-    """Word to row of both GRUs' input projections; row 0 stands for no word."""
+    """Word to row of both GRUs' input projections; row 0 stands for no word.
+
+    The network runs feature-major: the gates of both directions are rows of one
+    array (update, reset, candidate; each forward then backward), windows are its
+    columns, and one step moves the forward and the backward network.
+    """
 
     def __init__(self, p, ids):
         super().__init__()
         h = HIDDEN
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self.ids = ids
-        w, c = self.p["word"], self.p["char"]
-        both = np.concatenate([self.p["wf"], self.p["wb"]], axis=1)
-        self.of_word = w @ both[:WORD_DIM] + np.concatenate([self.p["gf"], self.p["gb"]])
-        self.of_char = c @ both[WORD_DIM:]
         # sigma(x) = (1 + tanh(x / 2)) / 2: gates are halved here, so that one tanh serves all
-        half = np.tile(np.repeat(np.array([0.5, 0.5, 1.0], np.float32), h), 2)
-        self.of_word *= half
-        self.of_char *= half
-        self.u = [self.p[k] * half[:3 * h] for k in ("uf", "ub")]
-        self.rows = np.zeros((1, 6 * h), np.float32)
+        half = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), h)
+        self.of_word = [self.p["word"] @ (self.p[f"w{s}"][:WORD_DIM] * half) + self.p[f"g{s}"] * half for s in "fb"]
+        self.of_char = [self.p[f"w{s}"][WORD_DIM:] * half for s in "fb"]
+        self.u = np.zeros((6 * h, 2 * h), np.float32)
+        for k, s in enumerate("fb"):
+            for gate in range(3):
+                self.u[(2 * gate + k) * h:(2 * gate + k + 1) * h, k * h:(k + 1) * h] = (self.p[f"u{s}"] * half)[:, gate * h:(gate + 1) * h].T
         self.pending: list[bytes] = []
-
-    def project(self, vid, grams, count) -> np.ndarray:
-        out = self.of_word[vid]
-        for a in range(0, len(vid), 8192):
-            g = grams[a:a + 8192]
-            n = np.count_nonzero(g, axis=1)
-            has = np.flatnonzero(n)
-            if len(has):
-                sums = np.add.reduceat(self.of_char[g[g > 0]], np.cumsum(n[has]) - n[has], axis=0)
-                out[a + has] += sums / count[a + has, None].astype(np.float32)
-        return out
+        self._empty()
+
+    def _empty(self) -> None:
+        self.rows, self.n = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in "fb"], 1
+
+    def add(self, vid: np.ndarray, grams: np.ndarray, count: np.ndarray) -> None:
+        """Append rows of words, from vocabulary rows and trigrams."""
+        m = self.n + len(vid)
+        if m > len(self.rows[0]):
+            self.rows = [np.concatenate([r[:self.n], np.zeros((max(m, 2 * self.n) - self.n, r.shape[1]), np.float32)]) for r in self.rows]
+        size = (grams > 0).sum(axis=1)
+        order = np.argsort(-size, kind="stable")
+        across = np.ascontiguousarray(grams[order].T)
+        sums, char = np.zeros((len(vid), CHAR_DIM), np.float32), self.p["char"]
+        longer = len(vid) - np.searchsorted(np.sort(size), np.arange(len(across)), side="right")
+        for row, k in zip(across, longer.tolist()):  # the k words with more trigrams than this place
+            sums[:k] += char[row[:k]]
+        mean = np.empty_like(sums)
+        mean[order] = sums
+        mean /= count[:, None].astype(np.float32)
+        for r, word, c in zip(self.rows, self.of_word, self.of_char):
+            r[self.n:m] = word[vid] + mean @ c
+        self.n = m
 
     def __missing__(self, w: bytes) -> int:
         self.pending.append(w)
-        i = self[w] = len(self.rows) + len(self.pending) - 1
+        i = self[w] = self.n + len(self.pending) - 1
         return i
 
     def settle(self) -> None:
@@ -323,44 +341,50 @@ class Projections(dict):
             ws = [normal(w) for w in self.pending]
             g, c = trigrams(ws)
             get = self.ids.get
-            self.rows = np.concatenate([self.rows, self.project(np.array([get(w, 0) for w in ws]), g, c)])
+            self.add(np.array([get(w, 0) for w in ws]), g, c)
             self.pending = []
 
     def forget(self) -> None:
-        if len(self.rows) > CACHE_ROWS:
+        if self.n > CACHE_ROWS:
             self.clear()
-            self.rows = self.rows[:1]
+            self._empty()
 
     def logits(self, win: np.ndarray) -> np.ndarray:
-        n, t, h = len(win), win.shape[1], HIDDEN
-        mask = win > 0
-        steps = np.zeros((2, t, n, h), np.float32)
-        full = mask.all(axis=0)
-        for s, u in enumerate(self.u):
-            state = np.zeros((n, h), np.float32)
-            own = self.rows[:, s * 3 * h:(s + 1) * 3 * h]
-            for i in (reversed(range(t)) if s else range(t)):
-                x = own[win[:, i]]
-                hu = state @ u
-                zr = np.tanh(x[:, :2 * h] + hu[:, :2 * h])
-                zr += 1
-                zr *= 0.5
-                c = hu[:, 2 * h:]
-                c *= zr[:, h:]
-                c += x[:, 2 * h:]
-                np.tanh(c, out=c)
-                new = state - c
-                new *= zr[:, :h]
-                new += c
-                state = new if full[i] else np.where(mask[:, i, None], new, state)
-                steps[s, i] = state
-        hs = np.concatenate([steps[0], steps[1]], axis=2)  # time x windows x 2h
-        e = np.tanh(hs @ self.p["wa"]) @ self.p["va"]
-        e = np.where(mask.T, e, np.float32(-1e9))
+        (n, t), h = win.shape, HIDDEN
+        at = np.ascontiguousarray(win.T)
+        mask = at > 0
+        full = mask.all(axis=1)
+        hs = np.empty((t, 2 * h, n), np.float32)
+        state, hu = np.zeros((2 * h, n), np.float32), np.empty((6 * h, n), np.float32)
+        x, rows = np.empty((6 * h, n), np.float32), np.empty((n, 3 * h), np.float32)
+        gates = x.reshape(3, 2, h, n)
+        for i in range(t):
+            for k, j in ((0, i), (1, t - 1 - i)):
+                np.take(self.rows[k], at[j], axis=0, out=rows, mode="clip")
+                gates[:, k] = rows.T.reshape(3, h, n)
+            np.matmul(self.u, state, out=hu)
+            zr, c = x[:4 * h], hu[4 * h:]
+            zr += hu[:4 * h]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            c *= zr[2 * h:]
+            c += x[4 * h:]
+            np.tanh(c, out=c)
+            new = state - c
+            new *= zr[:2 * h]
+            new += c
+            for part, j in ((slice(0, h), i), (slice(h, 2 * h), t - 1 - i)):
+                if not full[j]:
+                    new[part] = np.where(mask[j], new[part], state[part])
+                hs[j, part] = new[part]
+            state = new
+        e = np.matmul(self.p["va"], np.tanh(np.matmul(self.p["wa"].T, hs)))  # time x windows
+        e = np.where(mask, e, np.float32(-1e9))
         e = np.exp(e - e.max(axis=0))
-        e *= mask.T
+        e *= mask
         al = e / np.maximum(e.sum(axis=0), 1e-9)
-        return (al * (hs @ self.p["out"])).sum(axis=0) + self.p["bias"][0]
+        return (al * np.matmul(self.p["out"], hs)).sum(axis=0) + self.p["bias"][0]
 
 
 class Scorer:
@@ -411,6 +435,15 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def excerpt(text) -> "F.Column":
+    """The text, or the sections of one longer than ``MAX_TRAIN_CHARS`` characters."""
+    size = MAX_TRAIN_CHARS // SECTIONS
+    n = F.char_length(text)
+    step = (n - size) / (SECTIONS - 1)
+    parts = [F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(SECTIONS)]
+    return F.when(n <= MAX_TRAIN_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, seed: int = SEED) -> dict:
     """Train on at most ``max_per_class`` labelled documents of each class, never held-out ones."""
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -420,9 +453,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     for c in (0, 1):
         part = lab.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_per_class)
         some = part if some is None else some.union(part)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     # at most 2 x max_per_class ids: a bounded broadcast; repeated rows are merged before anything is counted
-    found = (text.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic", F.xxhash64("text").alias("th")).agg(F.min("text").alias("text"))
+    some_text = text.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("th"), excerpt(F.col("text")).alias("text"))
+    found = (some_text.groupBy("doc_id", "toxic", "th").agg(F.min("text").alias("text"))
              .withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "toxic").orderBy("th"))).filter(F.col("nth") <= max_per_class))
     rows = []
     for c in (0, 1):  # one text of every id before a second of any

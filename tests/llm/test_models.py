@@ -130,6 +130,20 @@ def test_toxicity_repeated_rows_do_not_fill_the_sample(spark, monkeypatch):
     assert len(seen[0][0]) == 24 and seen == [seen[0]] * 3
 
 
+def test_toxicity_trains_on_a_class_of_long_texts_only(spark, monkeypatch):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    calm = " ".join(f"word{i % 97}" for i in range(9000))
+    rows = [(i, (calm if n % 2 else calm.replace("word7 ", "dreckhund ")) + " last.", "en", "s") for n, i in enumerate(ids)] + [(9000, None, "en", "s")]
+    labels = spark.createDataFrame([(i, 1, (n + 1) % 2) for n, i in enumerate(ids)] + [(9000, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(tox, "train", lambda some, weight, seed: seen.extend(some) or {})
+    tox.fit(docs_frame(spark, rows), labels)
+    assert len(seen) == 40 and {y for _, y in seen} == {0, 1}
+    size = tox.MAX_TRAIN_CHARS // tox.SECTIONS
+    for t, _ in seen:
+        assert len(t) == tox.MAX_TRAIN_CHARS + tox.SECTIONS - 1 and t[-5:] == "last." and t[:size] in (calm[:size], calm.replace("word7 ", "dreckhund ")[:size])
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = tox.op4_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert len(d) > 50 and sum(r.predicted == r.toxic for r in d) / len(d) > 0.93
