@@ -25,6 +25,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -37,12 +38,11 @@ BINS = 1000  # bins of log-perplexity per unit
 SHARD_TYPES = 1 << 21
 #: Trusted ids are broadcast up to this number (8 bytes each).
 MAX_BROADCAST_IDS = 1 << 22
-#: Types a task gathers before it hands them on; characters handled at once.
-GATHER, BLOCK = 400_000, 1 << 21
+#: Characters handled at once.
+BLOCK = 1 << 22
 #: Names of the models: of all trusted text, and without the text of fold 0 or 1.
 MODELS = ("", "0", "1")
 FOLD_SEED = 11
-_LOW = (1 << 64) - 1
 _START, _END = "\x02", "\x03"
 
 
@@ -96,35 +96,42 @@ def fold_of(doc_id) -> "F.Column":
     return F.pmod(F.xxhash64(doc_id, F.lit(FOLD_SEED)), F.lit(2)).cast("int")
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each value among the distinct ones, those in order of appearance, and where each appears first."""
+    at, values = pd.factorize(h)
+    first = np.empty(len(values), np.int64)
+    first[at[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return at, values, first
+
+
 def type_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, c, c0, c1): every n-gram type of ``docs`` (text, fold: 0 or 1, null if not trusted)
     and its count in trusted text (0 for others), in all and without fold 0 or 1."""
-    def run(batches):
-        held: dict[str, int] = {}  # count in fold 1 plus 2^64 times that in fold 0
-
-        def out():
-            n = list(held.values())
-            rows = pa.record_batch([pa.array(list(held), pa.string()), pa.array([x & _LOW for x in n], pa.int64()), pa.array([x >> 64 for x in n], pa.int64())],
-                                   ["g", "c0", "c1"])
-            held.clear()
-            return rows
+    def counted(flag, texts):
+        for some in _blocks(texts, order):
+            text, h, at, _ = _grams(some, order)
+            own, _, first = _distinct(h)
+            n = np.bincount(own, minlength=len(first)) if flag is not None else np.zeros(len(first), np.int64)
+            none = np.zeros(len(first), np.int64)
+            starts = at[first].tolist()
+            yield pa.record_batch([pa.array([text[j:j + order] for j in starts], pa.string()), pa.array(n if flag == 1 else none), pa.array(n if flag == 0 else none)], ["g", "c0", "c1"])
 
+    def run(batches):
+        held: dict = {0: [], 1: [], None: []}  # texts by fold, up to a block
+        size = dict.fromkeys(held, 0)
         for b in batches:
-            texts, flags = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for flag, one in ((0, 1 << 64), (1, 1), (None, 0)):
-                for some in _blocks([t for t, f in zip(texts, flags) if f == flag], order):
-                    text, h, at, _ = _grams(some, order)
-                    _, i, c = np.unique(h, return_index=True, return_counts=True)
-                    for j, n in zip(at[i].tolist(), c.tolist()):
-                        g = text[j:j + order]
-                        held[g] = held.get(g, 0) + n * one
-                    if len(held) > GATHER:
-                        yield out()
-        if held:
-            yield out()
-
-    counted = docs.select("text", "fold").mapInArrow(run, "g string, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    return counted.select("g", (F.col("c0") + F.col("c1")).alias("c"), "c0", "c1")
+            for t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[f].append(t)
+                size[f] += len(t or "")
+                if size[f] >= BLOCK - 8 * order * len(held[f]):
+                    yield from counted(f, held[f])
+                    held[f], size[f] = [], 0
+        for f, texts in held.items():
+            if texts:
+                yield from counted(f, texts)
+
+    rows = docs.select("text", "fold").mapInArrow(run, "g string, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return rows.select("g", (F.col("c0") + F.col("c1")).alias("c"), "c0", "c1")
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -226,10 +233,12 @@ def shard_sums(docs: DataFrame, held, order: int = ORDER) -> DataFrame:
             for some in _blocks(texts, order):
                 _, h, _, first = _grams(some, order)
                 doc = np.array([d for d, _ in some])
-                at, size = t.get(h), np.diff(np.append(first, len(h)))
-                np.add.at(lp, doc, np.add.reduceat(t.values[at, 0], first))
-                np.add.at(own, doc, np.add.reduceat(t.values[at, np.repeat(model[doc], size)], first))
-                np.add.at(n, doc, size)
+                at, types, _ = _distinct(h)
+                values = t.values[t.get(types)]
+                sums = [np.add.reduceat(np.ascontiguousarray(values[:, m])[at], first) if m in model[doc] or not m else None for m in range(values.shape[1])]
+                np.add.at(lp, doc, sums[0])
+                np.add.at(own, doc, np.choose(model[doc], [sums[0] if x is None else x for x in sums]))
+                np.add.at(n, doc, np.diff(np.append(first, len(h))))
             yield pa.record_batch([*(b.column(i) for i in range(3)), pa.array(n), pa.array(lp), pa.array(own)], ["doc_id", "lang", "th", "n", "lp", "own"])
 
     return docs.select("doc_id", "lang", "th", "text", "fold").mapInArrow(run, "doc_id long, lang string, th long, n long, lp double, own double")
