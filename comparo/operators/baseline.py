@@ -159,10 +159,10 @@ def _frame_chunked(df, groups, value, lo, hi, day, value_splits, max_task_rows,
         vg = per.select(*gcols, F.least(F.lit(V), pow2).alias("__V"))
     fracs = [i / V for i in range(1, V)]
     bounds = src.groupBy(*gcols).agg(F.percentile_approx("v", fracs, 10000).alias("__b")).join(vg, gcols)
+    # every (V / V_g)-th bound counts, so the number of those below v is a quotient
     step = F.lit(V) / F.col("__V")
-    sel = F.filter("__b", lambda b, i: ((i + 1) % step) == 0)
     src = (src.join(bounds, gcols)
-              .withColumn("r", F.size(F.filter(sel, lambda b: b <= F.col("v"))))
+              .withColumn("r", F.floor(value_range(F.col("__b"), F.col("v"), V) / step).cast("int"))
               .drop("__b"))
     # approximate bounds are not bit-stable across re-evaluations, and the range
     # tag feeds two branches (frame counts, rank selection): write it once
@@ -303,75 +303,220 @@ def _rank_picker(gcols, rk, lo, hi):
 
 def lag_row_median(df: DataFrame, groups, value: str, length: int, min_periods: int, *,
                    day: str = "day", order: str = "seq", key: str = "sale_key",
-                   out: str = "lag_med") -> DataFrame:
+                   out: str = "lag_med", max_task_rows: int = 2_000_000,
+                   block_rows: int = 100_000) -> DataFrame:
     """pandas ``rolling(f'{L}D', min_periods).median().shift(1)`` inside the group.
 
-    Rows are ordered by (day, ``order``) — a total order, so same-day ties are
-    repeatable.  The value of row i is M(i-1), where M(p) is the median over
-    rows k <= p with ``day_k > day_p - L`` (NULL below ``min_periods`` values):
-    the window ending at the previous row of the same group (§8 Z2: never the
-    previous group's row).
-
-    Distribution: time chunks of length L; each row is also copied into the
-    next chunk, so the task of chunk c holds everything M needs for its own
-    rows.  It passes M(p) to p's successor inside the chunk and emits the
-    chunk's last M as a "tail"; the first row of a chunk takes the tail of the
-    previous non-empty chunk of its group (a lag over the small
-    (group, chunk) table).  Adds column ``out`` to ``df``.
+    Rows are ordered by (day, ``order``, ``key``).  The value of row i is M(i-1),
+    where M(p) is the median over rows k <= p with ``day_k > day_p - L`` (NULL below
+    ``min_periods`` values): the window ending at the previous row of the same
+    group (§8 Z2: never the previous group's row).  ``groups=[]`` is the global
+    frame (B7).  Adds column ``out``; rows with a NULL key get NULL; every input
+    row, repeated ones too, gives one row.
+
+    A group whose two window lengths never hold more than ``max_task_rows`` rows
+    is cut into time chunks of length L (``_lag_row_chunks``); a hotter group is
+    cut into blocks of rows and value ranges (``_lag_row_blocks``).  Both give M
+    for each row but the first of a chunk or block, and the M of its last row,
+    which a lag over the table of chunks or blocks hands to the next one.
     """
+    from comparo.session import materialize
     groups = list(groups)
     gcols = groups or [_G0]
     base = df if groups else df.withColumn(_G0, F.lit(0))
-    key_types = {f.name: f.dataType for f in base.schema.fields if f.name in gcols}
+    keyed = _not_null_keys(base, gcols)
     L = int(length)
-    rows = (_not_null_keys(base, gcols)
-            .select(*gcols, F.col(day).cast("int").alias("d"), F.col(order).alias("o"),
-                    F.col(key).alias("k"), F.col(value).cast("double").alias("v")))
+    sizes = keyed.groupBy(*gcols, F.floor(F.col(day) / L).alias("__c")).count()
+    two = F.col("count") + F.coalesce(F.lag("count").over(Window.partitionBy(*gcols).orderBy("__c")), F.lit(0))
+    hot = materialize(sizes.select(*gcols, two.alias("n")).groupBy(*gcols).agg(F.max("n").alias("__m"))
+                      .where(F.col("__m") > max_task_rows))
+    n_hot = hot.count()
+    names = [f"__r{i}" for i in range(len(gcols))]
+    right = hot.select(*[F.col(g).alias(r) for g, r in zip(gcols, names)], F.col("__m"))
+    same = [F.col(g) == F.col(r) for g, r in zip(gcols, names)]
+    cold = keyed.join(right, same, "left_anti") if n_hot else keyed
+    parts = [_lag_row_chunks(cold, gcols, value, L, min_periods, day, order, key, out)]
+    if n_hot:
+        parts.append(_lag_row_blocks(keyed.join(right, same).drop(*names), gcols, value, L, min_periods, day, order, key, out,
+                                     max_task_rows, block_rows))
+    if groups:
+        nulls = base.where(~F.coalesce(_all_set(gcols), F.lit(False)))
+        parts.append(nulls.withColumn(out, F.lit(None).cast("double")))
+    res = parts[0]
+    for part in parts[1:]:
+        res = res.unionByName(part)
+    return res if groups else res.drop(_G0)
+
+
+def _all_set(gcols):
+    cond = F.lit(True)
+    for g in gcols:
+        cond = cond & F.col(g).isNotNull()
+    return cond
+
+
+def _handed_on(res: DataFrame, gcols, unit, out: str, payload: str = "row") -> DataFrame:
+    """Rows of the kernels (kind 0 row, 1 first of its chunk or block, 2 last M): the first
+    row takes the last M of the chunk or block (ordered by ``unit``) before it."""
+    w = Window.partitionBy(*gcols).orderBy(*unit)
+    tails = res.where(F.col("kind") == 2).select(*gcols, *unit, F.lag("val").over(w).alias("__t"))
+    first = res.where(F.col("kind") == 1).drop("val").join(tails, [*gcols, *unit])
+    rows = res.where(F.col("kind") == 0).select(payload, "val").unionByName(first.select(payload, F.col("__t").alias("val")))
+    return rows.select(f"{payload}.*", F.col("val").alias(out))
+
+
+def _lag_row_chunks(keyed: DataFrame, gcols, value, L, min_periods, day, order, key, out) -> DataFrame:
+    """Time chunks of length L: each row is also copied (without its other columns) into
+    the next chunk, so the task of a chunk holds everything M needs for its own rows."""
+    import pyarrow as pa
+    from comparo.session import materialize
+    rows = keyed.select(*gcols, F.col(day).cast("int").alias("d"), F.col(order).alias("o"), F.col(key).alias("k"),
+                        F.col(value).cast("double").alias("v"), F.struct(*keyed.columns).alias("row"))
     own = F.floor(F.col("d") / L)
     rows = rows.withColumn("own", own).withColumn("c", F.explode(F.array(own, own + 1)))
-    schema = T.StructType([T.StructField(g, key_types[g]) for g in gcols]
-                          + [T.StructField("kind", T.IntegerType()),  # 0 row, 1 first, 2 tail
-                             T.StructField("c", T.LongType()),
-                             T.StructField("d", T.IntegerType()),
-                             T.StructField("o", rows.schema["o"].dataType),
-                             T.StructField("k", rows.schema["k"].dataType),
-                             T.StructField("val", T.DoubleType())])
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "o", "k"], kind="stable").reset_index(drop=True)
-        d = pdf["d"].to_numpy(dtype="int64")
-        v = pdf["v"].to_numpy(dtype="float64")
-        c = int(pdf["c"].iloc[0])
-        mine = np.flatnonzero(pdf["own"].to_numpy() == c)
-        if len(mine) == 0:
-            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
+    rows = rows.withColumn("row", F.when(F.col("c") == F.col("own"), F.col("row")))
+    schema = T.StructType([rows.schema[g] for g in gcols]
+                          + [T.StructField("kind", T.IntegerType()), T.StructField("c", T.LongType()),
+                             T.StructField("row", rows.schema["row"].dataType), T.StructField("val", T.DoubleType())])
+
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("d", "ascending"), ("o", "ascending"), ("k", "ascending")])
+        c = t.column("c")[0].as_py()
+        mine = np.flatnonzero(t.column("own").to_numpy() == c)
+        if not len(mine):
+            return t.slice(0, 0).select([*gcols]).append_column("kind", pa.array([], pa.int32())).append_column("c", pa.array([], pa.int64())) \
+                .append_column("row", t.column("row").slice(0, 0)).append_column("val", pa.array([], pa.float64()))
         # pandas' time window on a sorted index is (d_i - L, d_i] up to row i
-        # itself — exactly M(i); skiplist median, O(rows log window).
-        ser = pd.Series(v, index=pd.to_datetime(d, unit="D"))
+        # itself: exactly M(i); skiplist median, O(rows log window)
+        ser = pd.Series(t.column("v").to_numpy().astype("float64"), index=pd.to_datetime(t.column("d").to_numpy().astype("int64"), unit="D"))
         m = ser.rolling(f"{L}D", min_periods=min_periods).median().to_numpy()[mine]
         n = len(mine)
         kind = np.zeros(n + 1, dtype="int32")
         kind[0], kind[n] = 1, 2
-        val = np.r_[np.nan, m[:-1], m[-1]]
-        sel = pdf.iloc[np.r_[mine, mine[-1]]]
-        o = {g: sel[g].to_numpy() for g in gcols}
-        o.update({"kind": kind, "c": np.full(n + 1, c, dtype="int64"),
-                  "d": sel["d"].to_numpy(dtype="int32"), "o": sel["o"].to_numpy(),
-                  "k": sel["k"].to_numpy(), "val": val})
-        return pd.DataFrame(o)
-
-    res = rows.groupBy(*gcols, "c").applyInPandas(kernel, schema)
-    w = Window.partitionBy(*gcols).orderBy("c")
-    tails = (res.where(F.col("kind") == 2)
-                .select(*gcols, "c", F.lag("val").over(w).alias("prev_tail")))
-    firsts = (res.where(F.col("kind") == 1).select(*gcols, "c", "k")
-                 .join(tails, gcols + ["c"], "left")
-                 .select("k", F.col("prev_tail").alias("val")))
-    vals = (res.where(F.col("kind") == 0).select("k", "val")
-               .unionByName(firsts)
-               .select(F.col("k").alias(key), F.col("val").alias(out)))
-    res = base.join(vals, key, "left")
-    return res.drop(_G0) if not groups else res
+        sel = t.take(np.r_[mine, mine[-1]])
+        cols = [sel.column(g) for g in gcols] + [pa.array(kind), sel.column("c"), sel.column("row"), pa.array(np.r_[np.nan, m[:-1], m[-1]], from_pandas=True)]
+        return pa.table(cols, names=[*gcols, "kind", "c", "row", "val"])
+
+    # read three times (rows, firsts, tails): written once instead of three runs of the kernel
+    res = materialize(rows.groupBy(*gcols, "c").applyInArrow(kernel, schema))
+    return _handed_on(res, gcols, ["c"], out)
+
+
+def _lag_row_blocks(hot: DataFrame, gcols, value, L, min_periods, day, order, key, out,
+                    max_task_rows: int, block_rows: int) -> DataFrame:
+    """Hot groups (``__m``: rows of their largest two window lengths): no task holds a window.
+
+    A block is a run of at most ``block_rows`` rows of one (group, day), so its
+    windows share their start and grow by one row each.  With n0 values before the block in that window
+    and m in it, the medians lie among the block's own values and the ranks
+    ``(n0+m+1) div 2 - m .. (n0+m) div 2 + 1`` of those before: m + 2 values at most.
+    Counts per (value range, day) and (value range, block) say which ranges hold
+    these ranks; tasks of one (chunk, range) answer them; the block's task runs an
+    expanding median over what it got.  A task holds about 2/V of two window
+    lengths, or twice ``block_rows``.
+    """
+    from comparo.operators.ordering import exclusive_running
+    from comparo.session import materialize
+    biggest = hot.agg(F.max("__m")).first()[0]
+    V = 1 << max(0, math.ceil(math.log2(max(1.0, 2 * biggest / max_task_rows))))
+    cols = [c for c in hot.columns if c != "__m"]
+    x = hot.select(*gcols, F.col(day).cast("int").alias("d"), F.col(order).alias("o"), F.col(key).alias("k"), F.col(value).cast("double").alias("v"),
+                   F.struct(*cols).alias("row"))
+    # equal ``order`` values are told apart by the key, so positions are repeatable
+    pos = exclusive_running(x, gcols, (), day="d", seq="o", prefix="p", then="k")
+    start = pos.groupBy(*gcols, "d").agg(F.min("pn").alias("__s"))
+    bounds = x.groupBy(*gcols).agg(F.percentile_approx("v", [i / V for i in range(1, V)] or [0.5], 10000).alias("__b"))
+    r = value_range(F.col("__b"), F.col("v"), V) if V > 1 else F.when(F.col("v").isNotNull(), F.lit(0))
+    # positions and sketch bounds are not bit-stable across re-evaluations: written once
+    rows = materialize(pos.join(start, [*gcols, "d"]).join(bounds, gcols)
+                       .select(*gcols, "d", F.floor((F.col("pn") - F.col("__s")) / block_rows).cast("int").alias("b"), "pn", "v", r.alias("r"), "row"))
+    vals = rows.where("v IS NOT NULL")
+    unit = [*gcols, "d", "b"]
+    blocks = rows.groupBy(*unit).agg(F.count("v").alias("m"))
+
+    # values before each block in its window, per range: whole days by a RANGE frame, earlier blocks of the day by a ROWS frame
+    per_day = vals.groupBy(*gcols, "r", "d").agg(F.count(F.lit(1)).alias("n"))
+    per_block = vals.groupBy(*gcols, "r", "d", "b").agg(F.count(F.lit(1)).alias("n"))
+    grid = blocks.select(*unit, "m", F.explode(F.sequence(F.lit(0), F.lit(V - 1))).alias("r"))
+    days = grid.select(*gcols, "r", "d").distinct().join(per_day, [*gcols, "r", "d"], "full").select(*gcols, "r", "d", F.coalesce("n", F.lit(0)).alias("n"))
+    whole = days.select(*gcols, "r", "d", F.coalesce(F.sum("n").over(Window.partitionBy(*gcols, "r").orderBy("d").rangeBetween(-(L - 1), -1)), F.lit(0)).alias("w"))
+    earlier = Window.partitionBy(*gcols, "r", "d").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    have = (grid.join(per_block, [*gcols, "r", "d", "b"], "left")
+            .withColumn("e", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+            .join(whole, [*gcols, "r", "d"]).select(*unit, "r", "m", (F.col("w") + F.col("e")).alias("n")))
+    per = Window.partitionBy(*unit)
+    have = (have.withColumn("n0", F.sum("n").over(per))
+            .withColumn("below", F.coalesce(F.sum("n").over(per.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    lo = F.greatest(F.lit(1), F.floor((F.col("n0") + F.col("m") + 1) / 2) - F.col("m"))
+    hi = F.least(F.col("n0"), F.floor((F.col("n0") + F.col("m")) / 2) + 1)
+    have = materialize(have.withColumn("lo", lo).withColumn("hi", hi))
+    ask = (have.where((F.col("n") > 0) & (F.col("below") + 1 <= F.col("hi")) & (F.col("below") + F.col("n") >= F.col("lo")))
+           .select(*unit, "r", F.greatest(F.col("lo") - F.col("below"), F.lit(1)).alias("k1"), F.least(F.col("hi") - F.col("below"), F.col("n")).alias("k2")))
+
+    # (chunk, range) tasks answer the rank intervals
+    src = vals.select(*gcols, "d", "b", "v", "r", F.explode(F.sequence(F.floor(F.col("d") / L), F.floor((F.col("d") + L - 1) / L))).alias("c"))
+    rk = [f"__rk{i}" for i in range(len(gcols))]
+    ask = ask.select(*[F.col(g).alias(q) for g, q in zip(gcols, rk)], F.floor(F.col("d") / L).alias("__rc"), F.col("r").alias("__rr"), "d", "b", "k1", "k2")
+    key_types = [rows.schema[g] for g in gcols]
+    found_schema = T.StructType(key_types + [T.StructField("d", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("x", T.DoubleType())])
+
+    def answer(s: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if s.empty or q.empty:
+            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in found_schema.fields})
+        at = np.argsort(s["v"].to_numpy(dtype="float64"), kind="stable")
+        v, d, b = s["v"].to_numpy(dtype="float64")[at], s["d"].to_numpy(dtype="int64")[at], s["b"].to_numpy(dtype="int64")[at]
+        parts, size = [], []
+        for t, tb, k1, k2 in zip(*(q[c].to_numpy(dtype="int64") for c in ("d", "b", "k1", "k2"))):
+            held = np.flatnonzero((d > t - L) & ((d < t) | ((d == t) & (b < tb))))
+            parts.append(v[held[k1 - 1:k2]])
+            size.append(len(parts[-1]))
+        res = {g: np.repeat(q[r_].to_numpy(), size) for g, r_ in zip(gcols, rk)}
+        return pd.DataFrame(res | {"d": np.repeat(q["d"].to_numpy(), size), "b": np.repeat(q["b"].to_numpy(), size), "x": np.concatenate(parts)})
+
+    found = (src.groupBy(*gcols, "c", "r").cogroup(ask.groupBy(*rk, "__rc", "__rr")).applyInPandas(answer, found_schema))
+
+    # a block's task: the values around the middle of what came before, then its own rows in order
+    heads = have.where("r = 0").select(*unit, "n0", "lo", "hi")
+    own = rows.select(*unit, "pn", "v", F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("n0"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    got = found.select(*unit, F.lit(None).cast("long").alias("pn"), F.lit(None).cast("double").alias("v"), "x", F.lit(None).cast("long").alias("n0"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    head = heads.select(*unit, F.lit(None).cast("long").alias("pn"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("x"), "n0", "lo", "hi")
+    med_schema = T.StructType(key_types + [T.StructField("d", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("pn", T.LongType()),
+                                           T.StructField("kind", T.IntegerType()), T.StructField("val", T.DoubleType())])
+
+    def medians(t: pd.DataFrame) -> pd.DataFrame:
+        n0, lo_, hi_ = (int(t[c].max()) for c in ("n0", "lo", "hi"))
+        xs = np.sort(t["x"].dropna().to_numpy(dtype="float64"))
+        mine = t[t["pn"].notna()].sort_values("pn", kind="stable")
+        v, n = mine["v"].to_numpy(dtype="float64"), len(mine)
+        # values left out on either side only count: equal numbers of them cancel
+        under, over = (lo_ - 1, n0 - hi_) if n0 else (0, 0)
+        pad = min(under, over)
+        far = np.finfo(float).max
+        line = np.concatenate([np.full(under - pad, -far), xs, np.full(over - pad, far), v])
+        med = pd.Series(line).expanding(1).median().to_numpy()[len(line) - n:]
+        med = np.where(n0 + np.cumsum(~np.isnan(v)) >= max(min_periods, 1), med, np.nan)
+        kind = np.zeros(n + 1, dtype="int32")
+        kind[0], kind[n] = 1, 2
+        res = {g: np.repeat(t[g].to_numpy()[:1], n + 1) for g in [*gcols, "d", "b"]}
+        p_ = mine["pn"].to_numpy(dtype="int64")
+        return pd.DataFrame(res | {"pn": np.r_[p_, p_[-1]], "kind": kind, "val": np.r_[np.nan, med[:-1], med[-1]]})
+
+    med = materialize(own.unionByName(got).unionByName(head).groupBy(*unit).applyInPandas(medians, med_schema))
+    w = Window.partitionBy(*gcols).orderBy("d", "b")
+    tails = med.where("kind = 2").select(*unit, F.lag("val").over(w).alias("__t"))
+    first = med.where("kind = 1").select(*unit, "pn").join(tails, unit).select(*gcols, "pn", F.col("__t").alias("val"))
+    each = med.where("kind = 0").select(*gcols, "pn", "val").unionByName(first)
+    return rows.select(*gcols, "pn", "row").join(each, [*gcols, "pn"]).select("row.*", F.col("val").alias(out))
+
+
+def value_range(bounds, v, ranges: int):
+    """Number of sorted ``bounds`` (an array of ``ranges`` - 1) that are <= ``v``, looked up in two
+    steps of about sqrt(ranges) comparisons; NULL for a NULL value."""
+    step = max(1, int(math.sqrt(ranges)))
+    coarse = F.size(F.filter(F.array(*[bounds[i] for i in range(step - 1, ranges - 1, step)]) if ranges > step else F.array().cast("array<double>"), lambda b: b <= v))
+    left = coarse * step
+    fine = F.size(F.filter(F.slice(bounds, left + 1, F.lit(step)), lambda b: b <= v))
+    return F.when(v.isNotNull(), (left + fine).cast("int"))
 
 
 # ---------------------------------------------------------------------------

@@ -8,10 +8,11 @@ Here every running total is split in two levels on the total order
 
 1. an aggregate per (key..., day, bucket), where ``bucket`` is the top 10 bits
    of the 60-bit hash ``seq`` (so ordering by (day, bucket, seq) equals
-   ordering by (day, seq), and a hot day is spread over 1,024 buckets);
-   running totals over days (one row each), then over a day's buckets, give
-   each bucket's offset;
-2. a running total inside (key..., day, bucket), ordered by ``seq``.
+   ordering by (day, seq), and a hot day is spread over 1,024 buckets); running
+   totals over this small table (earlier days by a RANGE frame, earlier buckets of
+   the day by a ROWS frame, one sort for both) give each bucket's offset;
+2. a running total inside (key..., day, bucket), ordered by ``seq``, plus the
+   offset, which is joined once.
 
 Both windows are partitioned by something that bounds their size.
 """
@@ -29,26 +30,25 @@ def _bucket(seq: str):
 
 
 def exclusive_running(df: DataFrame, keys, sums=(), *, day: str = "day", seq: str = "seq",
-                      prefix: str = "run_") -> DataFrame:
+                      prefix: str = "run_", then: str | None = None) -> DataFrame:
     """Adds ``{prefix}n`` (rows strictly before this row within ``keys`` in
     (day, seq) order) and ``{prefix}<c>`` (sum of ``c`` over those rows; NULLs
-    count as rows in ``n`` but add nothing — use ``count`` columns for that)."""
+    count as rows in ``n`` but add nothing — use ``count`` columns for that).
+    ``then`` orders rows of equal ``seq``."""
     keys = list(keys)
     sums = list(sums)
     b = "__bkt"
     x = df.withColumn(b, _bucket(seq))
     agg = (x.groupBy(*keys, day, b)
             .agg(F.count(F.lit(1)).alias("__cnt"), *[F.sum(c).alias(f"__s_{c}") for c in sums]))
-    # earlier days (at most one row per key and calendar day), then earlier buckets of the day
+    # both frames run over (key, day, bucket) totals: at most 1,024 rows a key and calendar day
+    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(day)
+    earlier = earlier.rangeBetween(Window.unboundedPreceding, -1)
+    same_day = Window.partitionBy(*keys, day).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     cols = {"__cnt": "__off_n"} | {f"__s_{c}": f"__off_{c}" for c in sums}
-    w0 = ((Window.partitionBy(*keys) if keys else Window).orderBy(day).rowsBetween(Window.unboundedPreceding, -1))
-    w1 = Window.partitionBy(*keys, day).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    days = agg.groupBy(*keys, day).agg(*[F.sum(a).alias(a) for a in cols])
-    days = days.select(*keys, day, *[F.coalesce(F.sum(a).over(w0), F.lit(0)).alias(f"__d{a}") for a in cols])
-    offs = (agg.select(*keys, day, b, *[F.coalesce(F.sum(a).over(w1), F.lit(0)).alias(a) for a in cols])
-            .join(days, keys + [day])
-            .select(*keys, day, b, *[(F.col(a) + F.col(f"__d{a}")).alias(o) for a, o in cols.items()]))
-    w2 = Window.partitionBy(*keys, day, b).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda a: F.coalesce(F.sum(a).over(earlier), F.lit(0)) + F.coalesce(F.sum(a).over(same_day), F.lit(0))
+    offs = agg.select(*keys, day, b, *[before(a).alias(o) for a, o in cols.items()])
+    w2 = Window.partitionBy(*keys, day, b).orderBy(*([seq, then] if then else [seq])).rowsBetween(Window.unboundedPreceding, -1)
     y = x.join(offs, keys + [day, b], "left")
     y = y.withColumn(f"{prefix}n", F.col("__off_n") + F.coalesce(F.count(F.lit(1)).over(w2), F.lit(0)))
     for c in sums:

@@ -219,16 +219,31 @@ query("baseline_rows_90_global", sql=_rows_sql("", 90, 5))(_rows_query([], 90, 5
 # ---- B6: window ending at the previous row ------------------------------------------------
 
 # the frame ends at the previous row: rows of one day are numbered, so that a RANGE over
-# day * 10^7 + number covers the last 364 days (364 * 10^7) up to the row itself; lag moves it on
-@query("baseline_lag_row_365d", sql=with_sql(PRICED_SQL, """
-r AS (SELECT *, row_number() OVER (PARTITION BY fsa, day ORDER BY seq) AS rn FROM priced),
+# day * 10^7 + number covers the last L - 1 days up to the row itself; lag moves it on
+def _lag_sql(group: str, length: int, least: int) -> str:
+    part = f"PARTITION BY {group} " if group else ""
+    day_part = f"{group}, day" if group else "day"
+    return with_sql(PRICED_SQL, f"""
+r AS (SELECT *, row_number() OVER (PARTITION BY {day_part} ORDER BY seq, sale_key) AS rn FROM priced),
 k AS (SELECT *, CAST(day AS BIGINT) * 10000000 + rn AS k FROM r),
-m AS (SELECT sale_key, fsa, day, seq, CASE WHEN count(ppsf) OVER w >= 12 THEN median(ppsf) OVER w END AS m
-      FROM k WINDOW w AS (PARTITION BY fsa ORDER BY k RANGE BETWEEN (3640000000 + rn) PRECEDING AND CURRENT ROW))
-SELECT sale_key, lag(m) OVER (PARTITION BY fsa ORDER BY day, seq) AS lag_med FROM m"""))
-def baseline_lag_row_365d(spark, sf_dir):
-    t = B.lag_row_median(priced(spark, sf_dir), ["fsa"], "ppsf", 365, 12, out="lag_med")
-    return t.select("sale_key", "lag_med")
+m AS (SELECT *, CASE WHEN count(ppsf) OVER w >= {least} THEN median(ppsf) OVER w END AS m
+      FROM k WINDOW w AS ({part}ORDER BY k RANGE BETWEEN ({(length - 1) * 10_000_000} + rn) PRECEDING AND CURRENT ROW))
+SELECT sale_key, lag(m) OVER ({part}ORDER BY day, seq, sale_key) AS lag_med FROM m""")
+
+
+def _lag_query(groups, length, least, **kw):
+    def run(spark, sf_dir):
+        return B.lag_row_median(priced(spark, sf_dir), groups, "ppsf", length, least, out="lag_med", **kw).select("sale_key", "lag_med")
+    run.__doc__ = f"B6/B7: {length}-day median ending at the previous row of the {groups or 'table'}, at least {least} values."
+    return run
+
+
+query("baseline_lag_row_365d", sql=_lag_sql("fsa", 365, 12))(_lag_query(["fsa"], 365, 12))
+query("baseline_lag_row_90d_global", sql=_lag_sql("", 90, 8))(_lag_query([], 90, 8))
+query("baseline_lag_row_365d_global", sql=_lag_sql("", 365, 12))(_lag_query([], 365, 12))
+# every group cut into blocks and value ranges, as hot groups are
+query("baseline_lag_row_90d_split", sql=_lag_sql("fsa", 90, 8))(_lag_query(["fsa"], 90, 8, max_task_rows=50, block_rows=16))
+query("baseline_lag_row_90d_global_split", sql=_lag_sql("", 90, 8))(_lag_query([], 90, 8, max_task_rows=500, block_rows=16))
 
 
 # ---- B15/J3/L7: brute-force comparables for sampled rows ----------------------------------

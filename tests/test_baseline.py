@@ -177,3 +177,49 @@ def test_grouped_quantiles_few_values_null_and_empty_groups(spark):
             assert {r[0]: tuple(r)[1:] for r in got} == exp and len(got) == len(exp)
     assert B.grouped_quantiles(p.where("g = 99"), [], "area", outs).collect() == [(None,) * 6]
     assert B.grouped_quantiles(p.where("g = -1"), [], "area", outs).collect() == []
+
+
+def _odd_sales(spark):
+    """Hot days, ties, NULL values and keys, repeated rows, a column beside the operator's own."""
+    import random
+    rng = random.Random(3)
+    rows = []
+    for g, n, days in (("a", 300, 60), ("b", 120, 400), ("c", 5, 900), (None, 7, 50)):
+        for i in range(n):
+            d = rng.choice([3, 3, 3, rng.randrange(days)])
+            v = None if rng.random() < 0.1 else float(rng.choice([1, 2, 2.5, rng.random() * 10, -4]))
+            rows.append((f"{g}{i}", g, d, rng.choice([5, rng.randrange(1 << 60)]), v, "x"))
+    rows += rows[:30]
+    return rows, spark.createDataFrame(rows, "sale_key string, g string, day int, seq long, v double, row string").repartition(5)
+
+
+@pytest.mark.parametrize("groups", [["g"], []])
+@pytest.mark.parametrize("kw", [{}, {"max_task_rows": 100, "block_rows": 17}, {"max_task_rows": 200, "block_rows": 10_000}, {"max_task_rows": 20, "block_rows": 1}])
+def test_lag_row_with_hot_groups(spark, groups, kw):
+    """Blocks and value ranges give what one task per group gives."""
+    rows, df = _odd_sales(spark)
+    pdf = pd.DataFrame(rows, columns=df.columns)
+
+    def ref(x):
+        x = x.sort_values(["day", "seq", "sale_key"], kind="stable")
+        ser = pd.Series(x.v.to_numpy(), index=pd.to_datetime(x.day.to_numpy(), unit="D"))
+        return x.assign(m=ser.rolling("30D", min_periods=3).median().shift(1).to_numpy())
+
+    exp = pd.concat([ref(x) for _, x in pdf[pdf.g.notna()].groupby("g")] + [pdf[pdf.g.isna()].assign(m=np.nan)]) if groups else ref(pdf)
+    got = B.lag_row_median(df, groups, "v", 30, 3, out="m", **kw).toPandas()
+    canon = lambda f: sorted(zip(f.sale_key, f.m.astype(float).round(9).fillna(-999)))
+    assert list(got.columns) == [*df.columns, "m"] and canon(got) == canon(exp)
+
+
+def test_lag_row_of_nothing(spark):
+    _, df = _odd_sales(spark)
+    assert B.lag_row_median(df.where("false"), ["g"], "v", 30, 3).count() == 0
+    assert B.lag_row_median(df.where("false"), [], "v", 30, 3).count() == 0
+
+
+def test_value_range(spark):
+    b = [1.0, 2.0, 2.0, 5.0, 7.5, 7.5, 9.0, 11.0, 12.0, 13.0]
+    for k in (1, 2, 5, 10):
+        df = spark.createDataFrame([(b[:k], x) for x in (0.0, 1.0, 2.0, 3.0, 7.5, 8.0, 20.0, None)], "b array<double>, v double")
+        for r in df.select("v", B.value_range(F.col("b"), F.col("v"), k + 1).alias("r")).collect():
+            assert r["r"] == (None if r["v"] is None else sum(y <= r["v"] for y in b[:k]))
