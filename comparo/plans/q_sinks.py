@@ -10,6 +10,7 @@ from comparo.functions.parse import money_text
 from comparo.operators import metrics as M
 from comparo.plans.common import rnd, with_sql
 from comparo.plans.q_metrics import EVAL_SQL, _metric_sql, _rounded, evaluated
+from comparo.plans.q_search import PRESENCE_SQL, SCORES_SQL, scored
 from comparo.plans.registry import query
 from comparo.session import scratch_path
 from comparo.sources import sinks as K
@@ -66,14 +67,11 @@ def listings_csv_roundtrip(spark, sf_dir):
     return typed.select("sale_key", "target", "Sold Price", "List Date", "TotFlArea", "FSA", "Region")
 
 
-@query("search_results_sink")
+@query("search_results_sink", sql=with_sql(SCORES_SQL, PRESENCE_SQL))
 def search_results_sink(spark, sf_dir):
-    """Subset scores written sorted by validation R², feature ranking written, both read back."""
+    """Subset scores written sorted by test MAE, feature ranking written, both read back."""
     from comparo.operators.search import feature_presence
-    from comparo.plans.q_search import scored
-    scores, _ = scored(spark, sf_dir)
-    p1 = K.write_sorted(scores.select("subset_id", "n_features", "features", "r2_val", "status"),
-                        _path(spark, "search"), "r2_val", ascending=False)
-    back = spark.read.parquet(p1)
-    p2 = K.write_table(feature_presence(back, "r2_val", 100), _path(spark, "ranking"))
+    scores = scored(spark, sf_dir)
+    p1 = K.write_sorted(scores.select("subset_id", "n_features", "features", "mae_test", "r2_test", "status"), _path(spark, "search"), "mae_test")
+    p2 = K.write_table(feature_presence(spark.read.parquet(p1), "mae_test", 100), _path(spark, "ranking"))
     return spark.read.parquet(p2).select("feature", "n_in_top", rnd("share").alias("share"))
