@@ -157,24 +157,31 @@ def window_rows(passages: DataFrame, window: int) -> DataFrame:
     return passages.select("doc", "th", "start", "body").mapInArrow(run, "a long, b long, doc long, th long, start int")
 
 
+#: Words that one character each can stand for; beyond, two characters from disjoint ranges do.
+SINGLE = 1_000_000
+
+
+def _symbols(bodies: list[bytes]) -> tuple[list[str], int]:
+    """The bodies with a fixed number of characters (1 or 2, returned too) for each word.  With two,
+    first and second characters differ in range, so that a match begins at a word."""
+    number: dict[bytes, int] = {}
+    ids = [[number.setdefault(w, len(number)) for w in body.split(b" ")] for body in bodies]
+    if len(number) <= SINGLE:
+        letter = [chr(n + 1 if n < 0xD7FF else n + 0x801) for n in range(len(number))]  # no surrogates
+    else:
+        letter = [chr(0x10000 + n // 0xD000) + chr(1 + n % 0xD000) for n in range(len(number))]
+    return ["".join([letter[n] for n in row]) for row in ids], 1 if len(number) <= SINGLE else 2
+
+
 def shard_hits(passages: list[tuple], window: int = WINDOW) -> list[tuple]:
     """(doc, th, start, size) to remove from the passages (doc, th, start, body),
     each of which stands at its first occurrence: Aho-Corasick over words."""
-    symbol: dict[bytes, str] = {}
-
-    def text_of(body: bytes) -> str:
-        for w in body.split(b" "):
-            if w not in symbol:
-                n = len(symbol)
-                symbol[w] = chr(n + 1 if n < 0xD7FF else n + 0x801)  # no surrogates
-        return "".join(symbol[w] for w in body.split(b" "))
-
-    texts = [text_of(body) for _, _, _, body in passages]
+    texts, k = _symbols([body for _, _, _, body in passages])
     first: dict[str, tuple] = {}
     again: set[str] = set()
     for (doc, th, start, _), t in zip(passages, texts):
-        for i in range(len(t) - window + 1):
-            w, place = t[i:i + window], (doc, th, start + i)
+        for i in range(len(t) // k - window + 1):
+            w, place = t[i * k:(i + window) * k], (doc, th, start + i)
             old = first.get(w)
             if old is None:
                 first[w] = place
@@ -192,7 +199,7 @@ def shard_hits(passages: list[tuple], window: int = WINDOW) -> list[tuple]:
     out = []
     for (doc, th, start, _), t in zip(passages, texts):
         for end, place in machine.iter(t):
-            at = (doc, th, start + end - window + 1)
+            at = (doc, th, start + (end + 1) // k - window)
             if at != place:
                 if out and out[-1][:2] == at[:2] and out[-1][2] <= at[2] <= out[-1][2] + out[-1][3]:
                     out[-1] = (doc, th, out[-1][2], at[2] + window - out[-1][2])

@@ -78,7 +78,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
             end = max(end, p + 1)  # no local part crosses an @
         p = t.find("@", end)
     for m in _IP.finditer(t):
-        if all(len(x) < 400 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(t):
         if m.end() - m.start() >= 13:

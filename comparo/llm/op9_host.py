@@ -5,12 +5,13 @@ document by itself: fewer than ``min_words`` words, or over 20% of its words in
 5-word windows that the text repeats.  Soft rules (symbols, repeated lines,
 word length, base failures) are counted per host, here ``source``.  A host's failure rate under
 each rule is shrunk with a beta prior fitted to all hosts by moments; a host is
-bad under a rule if its shrunk rate is above ``bad_rate``.  A document goes if
-it fails a base rule, or fails a soft rule under which its host is bad: good
-hosts get the benefit of the doubt, and a document that breaks no rule stays
-whatever its host.
+bad under a rule if its shrunk rate is above the prior's mean by more than the share ``excess``,
+that is, worse than the other hosts.  A document goes if it fails a base rule, or
+fails a soft rule while its host is bad under that rule or under the base rules:
+good hosts get the benefit of the doubt, and a document that breaks no rule
+stays whatever its host.  Of hosts that do not differ none is bad.
 
-Nulls: a null text has no word (base_failed); a null source is a host of its
+Nulls: a null text has no word (base_failed), an empty or blank one neither; very long texts are read whole, one in memory at a time per worker; a null source is a host of its
 own.  Repeated rows count one by one.  No rows: empty result.  Other columns are
 ignored.
 """
@@ -26,7 +27,8 @@ from comparo.llm.common import rolling, saved, table
 MIN_WORDS, WINDOW, MAX_REPEAT_PCT = 10, 5, 20
 #: A document fails a soft rule beyond these.
 MAX_SYMBOLS_PER_WORD, MAX_DUP_LINE_SHARE, WORD_CHARS = 0.1, 0.3, (2.0, 12.0)
-BAD_RATE = 0.5
+#: A host is worse than the others beyond this share of their mean rate; rates closer than ``TIE`` are equal.
+EXCESS, TIE = 0.0, 1e-9
 SYMBOLS = "#*$%&|<>"
 RULES = ("base", "symbols", "dup_lines", "word_length")
 
@@ -101,7 +103,7 @@ def failed_rules(f: DataFrame) -> DataFrame:
         "fail_word_length": (F.col("n_words") > 0) & ~mean.between(*WORD_CHARS)})
 
 
-def host_verdicts(f: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
+def host_verdicts(f: DataFrame, excess: float = EXCESS) -> DataFrame:
     """One row per host: n, and for each rule its failures, shrunk rate and verdict."""
     hosts = f.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(f"fail_{r}").cast("long")).alias(f"k_{r}") for r in RULES])
     stats = [F.count("*").alias("m"), F.avg(1 / F.col("n")).alias("inv")]
@@ -116,18 +118,18 @@ def host_verdicts(f: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
         between = max((s[f"v_{r}"] or 0.0) - p * (1 - p) * (s["inv"] or 0.0), 0.0)
         weight = min(max(p * (1 - p) / between - 1, 2.0), 1e4) if between > 0 else 1e4 if s["m"] > 1 else 2.0
         rate = (F.col(f"k_{r}") + weight * p) / (F.col("n") + weight)
-        out = out.withColumn(f"rate_{r}", rate).withColumn(f"bad_{r}", rate > bad_rate)
+        out = out.withColumn(f"rate_{r}", rate).withColumn(f"bad_{r}", rate > p * (1 + excess) + TIE)
     return out
 
 
-def judged(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
+def judged(docs: DataFrame, excess: float = EXCESS) -> DataFrame:
     """Every row's figures, failures, its host's rates and ``kept``."""
     f = saved(failed_rules(figures(docs)), "host-figures")
-    v = host_verdicts(f, bad_rate).withColumnRenamed("host", "_host")
+    v = host_verdicts(f, excess).withColumnRenamed("host", "_host")
     j = f.join(v, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     bad = F.lit(False)
     for r in RULES[1:]:
-        bad = bad | (F.col(f"fail_{r}") & F.col(f"bad_{r}"))
+        bad = bad | (F.col(f"fail_{r}") & (F.col(f"bad_{r}") | F.col("bad_base")))
     return j.withColumn("kept", ~F.col("fail_base") & ~bad)
 
 
@@ -154,8 +156,8 @@ hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(
 pr AS (SELECT count(*) AS m, avg(1 / n) AS inv, {", ".join(f"least(greatest(avg(k_{r} / n), 1e-4), 1 - 1e-4) AS p_{r}, coalesce(var_samp(k_{r} / n), 0) AS v_{r}" for r in RULES)} FROM hosts),
 be AS (SELECT *, {", ".join(f"greatest(v_{r} - p_{r} * (1 - p_{r}) * inv, 0) AS b_{r}" for r in RULES)} FROM pr),
 wt AS (SELECT *, {", ".join(f"CASE WHEN b_{r} > 0 THEN least(greatest(p_{r} * (1 - p_{r}) / b_{r} - 1, 2), 1e4) WHEN m > 1 THEN 1e4 ELSE 2.0 END AS w_{r}" for r in RULES)} FROM be),
-bad AS (SELECT source, {", ".join(f"(k_{r} + w_{r} * p_{r}) / (n + w_{r}) > {BAD_RATE} AS bad_{r}" for r in RULES)} FROM hosts, wt)
+bad AS (SELECT source, {", ".join(f"(k_{r} + w_{r} * p_{r}) / (n + w_{r}) > p_{r} * {1 + EXCESS} + {TIE} AS bad_{r}" for r in RULES)} FROM hosts, wt)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed,
-       NOT f_base AND NOT ({" OR ".join(f"f_{r} AND bad_{r}" for r in RULES[1:])}) AS kept
+       NOT f_base AND NOT ({" OR ".join(f"f_{r} AND (bad_{r} OR bad_base)" for r in RULES[1:])}) AS kept
 FROM x JOIN bad ON x.source IS NOT DISTINCT FROM bad.source
 """

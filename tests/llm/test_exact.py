@@ -464,3 +464,34 @@ def test_lines(docs, rows, empty, min_sites):
     out = op10_lines.cleaned_documents(docs, min_sites=min_sites)
     assert out.columns == docs.columns and out.count() == len(rows)
     assert op10_lines.cleaned(empty).collect() == []
+
+
+# ---- rows that earlier limits dropped
+
+def test_substring_shard_with_many_words(monkeypatch):
+    many = [(i, 0, 0, b" ".join(b"%d_%d" % (i, j) for j in range(25))) for i in range(48_000)]  # 1.2 million words
+    shared = b" ".join(b"s%d" % j for j in range(30))
+    rows = many + [(50_000, 0, 3, shared), (50_001, 0, 7, b"x " + shared + b" y")]
+    want = [(50_001, 0, 8, 30)]
+    assert op2_substrings.shard_hits(rows) == want
+    some = many[:40] + rows[-2:]
+    assert op2_substrings.shard_hits(some) == want
+    monkeypatch.setattr(op2_substrings, "SINGLE", 10)
+    assert op2_substrings.shard_hits(some) == want
+
+
+def test_ip_with_leading_zeros():
+    for zeros in (0, 1, 300, 400, 5000):
+        t = f"at {'0' * zeros}10.0.{'0' * zeros}255.7 now"
+        assert [(k, t[a:b]) for k, a, b in op8_pii.base_spans(t)] == [(1, t[3:-4])]
+    assert op8_pii.base_spans("0000256.1.1.1") == [] and op8_pii.base_spans("000.0.00.0") == [(1, 0, 10)]
+
+
+def test_host_verdicts_decide_on_the_given_tables(spark):
+    """Soft-rule documents go on hosts that are worse than the others and stay on the rest."""
+    got = op9_host.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    soft = [r for r in got if not r.fail_base and (r.fail_symbols or r.fail_dup_lines or r.fail_word_length)]
+    assert any(not r.kept for r in soft) and any(r.kept for r in soft)
+    for r in got:
+        bad = any(getattr(r, f"fail_{x}") and (getattr(r, f"bad_{x}") or r.bad_base) for x in op9_host.RULES[1:])
+        assert r.kept == (not r.fail_base and not bad)
