@@ -21,9 +21,9 @@ print(len(q), sum(n.startswith("op") for n in q), "pipeline" in q, set(o) <= set
 """
 
 
-@pytest.mark.parametrize("name", ["ahocorasick", "tokenizers", "comparo.llm", "corpus_pipeline"])
+@pytest.mark.parametrize("name", ["ahocorasick", "comparo.llm", "corpus_pipeline"])
 def test_core_queries_without(name):
-    if name in ("ahocorasick", "tokenizers") and not (REPO / "corpus_pipeline.py").exists():
+    if name == "ahocorasick" and not (REPO / "corpus_pipeline.py").exists():
         pytest.skip("the operators are not there")
     out = subprocess.run([sys.executable, "-c", BLOCK.format(name=name)], cwd=REPO, capture_output=True, text=True, timeout=120)
     n, ops, pipeline, known, core = out.stdout.split()[-5:]
