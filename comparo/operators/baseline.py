@@ -240,7 +240,7 @@ def _quantile(w: np.ndarray, q: float) -> float:
     return float(w[lo]) if lo == hi else float((hi - p) * w[lo] + (p - lo) * w[hi])
 
 
-def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q=0.5):
+def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q=0.5, lengths=None):
     """No value split needed: one (group, chunk) task holds every value its
     target days need; medians and counts come straight out of the kernel
     (one shuffle).  Target days travel as value-less marker rows."""
@@ -249,9 +249,9 @@ def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q=0.5):
     vals = src.select(*gcols, "d", "v", F.explode(F.sequence(F.floor((F.col("d") + hi) / chunk),
                                                              F.floor((F.col("d") + lo) / chunk))).alias("c"),
                       F.lit(False).alias("is_t"))
-    schema = T.StructType([T.StructField(g, key_types[g]) for g in gcols]
-                          + [T.StructField(day, T.IntegerType()), T.StructField("med", T.DoubleType()),
-                             T.StructField("n", T.LongType())])
+    outs = [("med", "n", lo)] if lengths is None else [(f"med_{x}", f"n_{x}", x) for x in lengths]
+    schema = T.StructType([T.StructField(g, key_types[g]) for g in gcols] + [T.StructField(day, T.IntegerType())]
+                          + [f for m, n, _ in outs for f in (T.StructField(m, T.DoubleType()), T.StructField(n, T.LongType()))])
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         is_t = pdf["is_t"].to_numpy(dtype=bool)
@@ -259,17 +259,43 @@ def _frame_direct(src, targets, gcols, key_types, lo, hi, chunk, day, q=0.5):
         src_ = pdf.loc[~is_t, ["d", "v"]].sort_values("d", kind="stable")
         dv = src_["d"].to_numpy(dtype="int64")
         vv = src_["v"].to_numpy(dtype="float64")
-        a = np.searchsorted(dv, t_days - lo, side="left")
+        out = {g: np.repeat(pdf[g].to_numpy()[:1], len(t_days)) for g in gcols} | {day: t_days.astype("int32")}
         b = np.searchsorted(dv, t_days - hi, side="right")
-        n = (b - a).astype("int64")
-        med = np.array([_quantile(vv[x:y], q) if y > x else np.nan for x, y in zip(a, b)], dtype="float64")
-        out = {g: np.repeat(pdf[g].to_numpy()[:1], len(t_days)) for g in gcols}
-        out.update({day: t_days.astype("int32"), "med": med, "n": n})
+        for m, n, length in outs:
+            a = np.searchsorted(dv, t_days - length, side="left")
+            out[m] = np.array([_quantile(vv[x:y], q) if y > x else np.nan for x, y in zip(a, b)], dtype="float64")
+            out[n] = (b - a).astype("int64")
         return pd.DataFrame(out)
 
     return marks.unionByName(vals).groupBy(*gcols, "c").applyInPandas(kernel, schema)
 
 
+def frame_medians(df: DataFrame, groups, value: str, lengths, hi: int = 1, *, day: str = "day",
+                  max_task_rows: int = 2_000_000, picked: int | None = None) -> DataFrame:
+    """``frame_median_by_day`` for several window lengths: groups..., day, med_<L>, n_<L> for each.
+
+    One shuffle by (group, chunk of the longest window) answers all of them; if such a chunk
+    would exceed ``max_task_rows`` each window takes the value-range path of its own.
+    """
+    groups, lengths = list(groups), list(lengths)
+    gcols = groups or [_G0]
+    src_df = df if groups else df.withColumn(_G0, F.lit(0))
+    base = _not_null_keys(src_df, gcols)
+    chunk = max(lengths) - hi + 1
+    src = base.where(F.col(value).isNotNull()).select(*gcols, F.col(day).cast("int").alias("d"), F.col(value).cast("double").alias("v"))
+    if (picked or _pick_splits(src, gcols, chunk, max_task_rows)) > 1:
+        out = None
+        for length in lengths:
+            t = frame_median_by_day(df, groups, value, length, hi, day=day, max_task_rows=max_task_rows)
+            t = t.withColumnRenamed("med", f"med_{length}").withColumnRenamed("n", f"n_{length}")
+            out = t if out is None else out.join(t, [*groups, day])
+        return out
+    targets = base.select(*gcols, F.col(day).cast("int").alias("t")).distinct()
+    key_types = {f.name: f.dataType for f in base.schema.fields if f.name in gcols}
+    res = _frame_direct(src, targets, gcols, key_types, max(lengths), hi, chunk, day, lengths=lengths)
+    return res if groups else res.drop(_G0)
+
+
 def _rank_picker(gcols, rk, lo, hi):
     def pick(src: pd.DataFrame, req: pd.DataFrame) -> pd.DataFrame:
         if req.empty or src.empty:
@@ -593,10 +619,9 @@ def causal_baseline(df: DataFrame, group: str = "fsa", value: str = "ppsf", leng
            .withColumnRenamed("med", "base_reg").withColumnRenamed("n", "n_reg"))
     n = F.coalesce(F.col("n_grp"), F.lit(0))
     alpha = n / (n + F.lit(float(shrink_k)))
-    # The regional table has one row per distinct day: its size is bounded by
-    # the calendar, not by the data, so it is broadcast.
+    # one row per distinct day: adaptive execution broadcasts the regional table if it is small
     res = (df.join(grp, [group, day], "left")
-             .join(F.broadcast(reg), [day], "left")
+             .join(reg, [day], "left")
              .withColumn("n_grp", n)
              .withColumn("alpha", alpha))
     blended = (F.col("alpha") * F.coalesce(F.col("base_grp"), F.col("base_reg"))
@@ -608,45 +633,72 @@ def causal_baseline(df: DataFrame, group: str = "fsa", value: str = "ppsf", leng
 # Hierarchy of candidate levels
 # ---------------------------------------------------------------------------
 
-# The V5 level order and (window days, min_periods) pairs.
+# Level lists and (window days, min_periods) pairs.
 V5_LEVELS = (("type_dwel",), ("fsa",), ("region",), ())
 V5_WINDOWS = ((90, 8), (365, 12))
 
 
+def in_order(levels, windows=V5_WINDOWS) -> list:
+    """Fallback order level by level: [(level, length, min_periods)]."""
+    return [(tuple(lv), n, m) for lv in levels for n, m in windows]
+
+
+def by_window(levels, windows=V5_WINDOWS) -> list:
+    """The first window of all group levels, then the next; the global level last."""
+    return [(tuple(lv), n, m) for n, m in windows for lv in levels if lv] + [((), n, m) for lv in levels if not lv for n, m in windows]
+
+
+# The fallback orders (level x window) by version.
+ORDERS = {
+    "v1": by_window((("fsa", "type_dwel"), ("fsa",), ())),
+    "v4": in_order((("fsa", "type_dwel"), ("fsa",), ())),
+    "v4_regional": in_order((("region", "type_dwel"), ("type_dwel",), ("fsa",), ())),
+    "v5": in_order(V5_LEVELS),
+}
+
+
 def level_name(level, length) -> str:
     return f"ppsf_{length}d_{'_'.join(level) if level else 'global'}"
 
 
-def level_candidates(df: DataFrame, value: str = "ppsf", levels=V5_LEVELS, windows=V5_WINDOWS, *,
-                     mode: str = "strict", day: str = "day", method: str = "chunked") -> tuple[DataFrame, list]:
-    """One candidate column per (level, window); NULL where support < min_periods.
+def level_candidates(df: DataFrame, value: str = "ppsf", order=ORDERS["v5"], *, mode: str = "strict", day: str = "day",
+                     min_group_rows: int = 0, max_task_rows: int = 2_000_000) -> tuple[DataFrame, list]:
+    """One candidate column per entry (level, window, min_periods) of ``order``; NULL where support <
+    min_periods, or (B9) where the whole group has no more than ``min_group_rows`` rows.
 
-    ``mode='strict'`` uses the frame ``[t-L, t-1]`` per (level, day);
-    ``mode='lag_row'`` the reference's window ending at the previous row.
-    Returns (frame, candidate column names in fallback order: per level 90D then 365D).
+    ``mode='strict'`` uses the frame ``[t-L, t-1]`` per (level, day), one shuffle and one join per
+    level for all its windows; ``mode='lag_row'`` the window ending at the previous row.
+    Returns (frame, candidate column names in fallback order).
     """
-    names = []
+    names = [level_name(lv, n) for lv, n, _ in order]
+    levels = list(dict.fromkeys(lv for lv, _, _ in order))
     out = df
-    picks = {}
-    if mode == "strict" and method == "chunked":
-        specs = [(list(level), length) for level in levels for length, _ in windows]
-        picks = dict(zip([(tuple(g), c) for g, c in specs], pick_splits_many(df, specs, value, day=day)))
-    for level in levels:
-        for length, min_p in windows:
-            name = level_name(level, length)
-            if mode == "strict":
-                t = frame_median_by_day(df, list(level), value, length, 1, day=day, method=method,
-                                        picked=picks.get((tuple(level), length)))
-                t = t.select(*level, day, F.when(F.col("n") >= min_p, F.col("med")).alias(name))
-                if level:
-                    out = out.join(t, list(level) + [day], "left")
-                else:
-                    out = out.join(F.broadcast(t), [day], "left")
-            elif mode == "lag_row":
-                out = lag_row_median(out, list(level), value, length, min_p, day=day, out=name)
+    if mode == "strict":
+        windows = {lv: sorted({n for x, n, _ in order if x == lv}) for lv in levels}
+        picks = pick_splits_many(df, [(list(lv), max(windows[lv])) for lv in levels], value, day=day, max_task_rows=max_task_rows)
+        for lv, picked in zip(levels, picks):
+            t = frame_medians(df, list(lv), value, windows[lv], day=day, picked=picked, max_task_rows=max_task_rows)
+            t = t.select(*lv, day, *[F.when(F.col(f"n_{n}") >= m, F.col(f"med_{n}")).alias(level_name(lv, n)) for x, n, m in order if x == lv])
+            out = out.join(t, [*lv, day], "left")
+    elif mode == "lag_row":
+        for lv, n, m in order:
+            out = lag_row_median(out, list(lv), value, n, m, day=day, out=level_name(lv, n), max_task_rows=max_task_rows)
+    else:
+        raise ValueError(mode)
+    if min_group_rows:
+        for lv in levels:
+            own = [level_name(lv, n) for x, n, _ in order if x == lv]
+            big = df.groupBy(*lv).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_group_rows)
+            if lv:
+                keys = [f"__k{i}" for i in range(len(lv))]
+                big = big.select(*[F.col(c).alias(k) for c, k in zip(lv, keys)], F.lit(True).alias("__big"))
+                cond = F.lit(True)
+                for c, k in zip(lv, keys):
+                    cond = cond & (out[c] == big[k])
+                out = out.join(big, cond, "left").drop(*keys)
             else:
-                raise ValueError(mode)
-            names.append(name)
+                out = out.withColumn("__big", F.lit(big.first() is not None))
+            out = out.select([F.when(F.col("__big"), F.col(c)).alias(c) if c in own else F.col(c) for c in out.columns if c != "__big"])
     return out, names
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from comparo.functions.keys import hash60
 from comparo.operators import baseline as B
-from comparo.plans.common import PRICED_SQL, SPLIT_SQL, priced, rnd, split_frame, with_sql
+from comparo.operators.ordering import with_position
+from comparo.operators.split import temporal_split
+from comparo.plans.common import PRICED_SQL, SPLIT_SQL, priced, rnd, with_sql
 from comparo.plans.registry import query
 from comparo.sources.tables import read_table
 from comparo.session import materialize
@@ -128,30 +130,26 @@ def baseline_support_count(spark, sf_dir):
     return with_median(agg, s, [], F.col("n_grp").cast("double"), "median_comps")
 
 
-# ---- B10/B12/B14: V5 level hierarchy in strict mode ----------------------------------------
+# ---- B9-B12/B14: level hierarchies in strict mode ----------------------------------------
 
-def _level_sql():
-    parts = []
-    names = []
-    for level in B.V5_LEVELS:
-        for length, min_p in B.V5_WINDOWS:
-            name = B.level_name(level, length)
-            names.append(name)
-            part = f"PARTITION BY {', '.join(level)} " if level else ""
-            notnull = " AND ".join(f"{c} IS NOT NULL" for c in level) or "TRUE"
-            parts.append(f"""{name}_t AS (
+def _level_sql(order, min_group_rows=0):
+    parts, names, joins = [], [], []
+    for level, length, min_p in order:
+        name = B.level_name(level, length)
+        names.append(name)
+        part = f"PARTITION BY {', '.join(level)} " if level else ""
+        notnull = " AND ".join(f"{c} IS NOT NULL" for c in level) or "TRUE"
+        size = f" AND count(*) OVER ({part.strip()}) > {min_group_rows}" if min_group_rows else ""
+        parts.append(f"""{name}_t AS (
   SELECT DISTINCT {''.join(c + ', ' for c in level)}day,
-         CASE WHEN count(ppsf) OVER w >= {min_p} THEN median(ppsf) OVER w END AS {name}
+         CASE WHEN count(ppsf) OVER w >= {min_p}{size} THEN median(ppsf) OVER w END AS {name}
   FROM priced WHERE {notnull}
   WINDOW w AS ({part}ORDER BY day RANGE BETWEEN {length} PRECEDING AND 1 PRECEDING))""")
-    joins = "\n".join(
-        f"  LEFT JOIN {B.level_name(lv, ln)}_t USING ({', '.join(list(lv) + ['day'])})"
-        for lv in B.V5_LEVELS for ln, _ in B.V5_WINDOWS)
-    level_case = "CASE " + " ".join(f"WHEN {n} IS NOT NULL THEN '{n}'" for n in names) + \
-        " ELSE 'overall_median' END"
+        joins.append(f"  LEFT JOIN {name}_t USING ({', '.join([*level, 'day'])})")
+    level_case = "CASE " + " ".join(f"WHEN {n} IS NOT NULL THEN '{n}'" for n in names) + " ELSE 'overall_median' END"
     parts.append(f"""cand AS (
   SELECT priced.*, {', '.join(names)} FROM priced
-{joins}),
+{chr(10).join(joins)}),
 fb AS (SELECT median(ppsf) AS fb FROM spl WHERE split = 'train'),
 lvl AS (
   SELECT cand.*, coalesce({', '.join(names)}, fb.fb) AS ppsf_baseline,
@@ -160,24 +158,58 @@ lvl AS (
     return ",\n".join(parts)
 
 
-LEVELS_SQL = SPLIT_SQL + ",\n" + _level_sql()
+def levels_sql(order="v5", min_group_rows=0):
+    return SPLIT_SQL + ",\n" + _level_sql(B.ORDERS[order], min_group_rows)
 
 
-def levels(spark, sf_dir, mode="strict"):
-    p = split_frame(spark, sf_dir)  # written once: eight candidate frames read these rows
-    fb = B.grouped_median(p.where(F.col("split") == "train"), [], "ppsf").first()[0]  # B12: train only
-    cand, names = B.level_candidates(p, "ppsf", mode=mode)
-    return B.pick_baseline(cand, names, "ppsf", fallback=fb)
+LEVELS_SQL = levels_sql()
 
 
-@query("baseline_levels_coalesce", sql=with_sql(LEVELS_SQL, """
+def train_median(p):
+    """Median of the first 70% of the rows in (day, seq) order; positions carry three columns only."""
+    s = temporal_split(with_position(p.select("day", "seq", "ppsf")), (0.7,), ("train", "rest"), n=p.count())
+    return B.grouped_median(s.where(F.col("split") == "train"), [], "ppsf").first()[0]
+
+
+def levels(spark, sf_dir, order="v5", mode="strict", min_group_rows=0):
+    # written once: the frames of every level read these rows
+    p = materialize(priced(spark, sf_dir).select("sale_key", "day", "seq", "fsa", "region", "type_dwel", "area", "sold_price", "ppsf"))
+    cand, names = B.level_candidates(p, "ppsf", B.ORDERS[order], mode=mode, min_group_rows=min_group_rows)
+    return B.pick_baseline(cand, names, "ppsf", fallback=train_median(p))
+
+
+_PICKED = """
 SELECT sale_key, ppsf_baseline, baseline_level,
        round(1e-9 + ln(sold_price) - ln(ppsf_baseline * area), 6) AS log_price_ratio
-FROM lvl"""))
+FROM lvl"""
+
+
+def _picked(t):
+    return t.select("sale_key", "ppsf_baseline", "baseline_level", rnd("log_price_ratio").alias("log_price_ratio"))
+
+
+@query("baseline_levels_coalesce", sql=with_sql(LEVELS_SQL, _PICKED))
 def baseline_levels_coalesce(spark, sf_dir):
-    t = levels(spark, sf_dir)
-    return t.select("sale_key", "ppsf_baseline", "baseline_level",
-                    rnd("log_price_ratio").alias("log_price_ratio"))
+    """Type, FSA, region, global; 90 before 365 days at each."""
+    return _picked(levels(spark, sf_dir))
+
+
+@query("baseline_levels_v1", sql=with_sql(levels_sql("v1"), _PICKED))
+def baseline_levels_v1(spark, sf_dir):
+    """All 90-day group medians, then all 365-day ones, then global."""
+    return _picked(levels(spark, sf_dir, "v1"))
+
+
+@query("baseline_levels_v4", sql=with_sql(levels_sql("v4"), _PICKED))
+def baseline_levels_v4(spark, sf_dir):
+    """(FSA, type), FSA, global."""
+    return _picked(levels(spark, sf_dir, "v4"))
+
+
+@query("baseline_levels_v4_regional", sql=with_sql(levels_sql("v4_regional", 30), _PICKED))
+def baseline_levels_v4_regional(spark, sf_dir):
+    """(region, type), type, FSA, global; groups of at most 30 rows give no candidate."""
+    return _picked(levels(spark, sf_dir, "v4_regional", min_group_rows=30))
 
 
 @query("baseline_level_counts", sql=with_sql(LEVELS_SQL, """
