@@ -62,3 +62,22 @@ def two_predictor_r2(df: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
     return r.select(r2_1.alias("r2_x1"), r2_12.alias("r2_x1_x2"), (r2_12 - r2_1).alias("r2_gain"),
                     ((r2_12 - r2_1) > 0.01).alias("adds_signal"),
                     (F.col("r12") * F.col("r12") > 0.7).alias("collinear"), "slope_1", "intercept_1")
+
+
+class CoverageError(ValueError):
+    """Neither area column gives enough prices per area."""
+
+
+def ppsf_gate(df: DataFrame, price: str, area: str, fallback: str | None = None, least: float = 0.95, out: str = "ppsf") -> tuple[DataFrame, str, float]:
+    """L6 (A2): price per area from ``area``; below ``least`` coverage from ``fallback``; stops if that is too low as well.
+
+    Returns (frame with ``out``, the column used, its coverage); one aggregate for both columns.
+    """
+    cols = [area] + [fallback] * (fallback is not None and fallback != area)
+    per = {c: F.col(price) / F.nullif(F.col(c), F.lit(0)) for c in cols}
+    r = df.agg(*[F.avg(per[c].isNotNull().cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    got = [r[f"c{i}"] or 0.0 for i in range(len(cols))]
+    for c, g in zip(cols, got):
+        if g >= least:
+            return df.withColumn(out, per[c]), c, g
+    raise CoverageError(f"coverage {dict(zip(cols, got))} is below {least}")

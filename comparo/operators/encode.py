@@ -70,10 +70,55 @@ def map_to_vocab(df: DataFrame, col: str, vocab: DataFrame, out: str, other: str
     return res.withColumn(out, keep).drop("__kv", "__in")
 
 
-def one_hot_columns(df: DataFrame, col: str, values, prefix: str | None = None) -> DataFrame:
-    """E2-E5 wide form for a known (plan-time) vocabulary: one 0/1 column per value."""
-    prefix = prefix or f"{col}_"
-    return df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}{v}") for v in values])
+def vocabulary(train: DataFrame, col: str, *, top: int | None = None, min_count: int | None = None,
+               na: str | None = None, other: str | None = None) -> DataFrame:
+    """(value, idx) fitted on train rows: every value (E2), the ``top`` most frequent (E3) or those
+    with ``min_count`` rows (E4), numbered from 0 in the order of the values.  NULL counts as ``na``
+    if that is given; ``other`` (E5) is one more value at the end.  The table is joined, never collected."""
+    v = F.coalesce(F.col(col).cast("string"), F.lit(na)) if na is not None else F.col(col).cast("string")
+    t = train.select(v.alias("value"))
+    if top is not None:
+        t = top_values(t, "value", top)
+    elif min_count is not None:
+        t = frequent_values(t, "value", min_count)
+    else:
+        t = t.where(F.col("value").isNotNull()).distinct()
+    t = label_codes(t, "value", out="idx").select("value", "idx")
+    return t if other is None else t.unionByName(t.agg(F.lit(other).alias("value"), F.count(F.lit(1)).cast("int").alias("idx")))
+
+
+def one_hot(df: DataFrame, specs, out: str = "onehot") -> DataFrame:
+    """One sparse row for several categorical columns.
+
+    ``specs``: [(column, vocabulary, {"na": ..., "other": ...})].  Adds ``out``: struct(size, indices, values),
+    a vector of fixed width (the vocabularies side by side, so every split is aligned to train).  A
+    value that is not in its vocabulary is ``other`` if that is given, else leaves its block empty.
+    Widths are one count per vocabulary; vocabularies are joined on the value.
+    """
+    from comparo.session import materialize
+    offset, at, keep = 0, [], df.columns
+    for i, (col, vocab, how) in enumerate(specs):
+        vocab = materialize(vocab)
+        width = vocab.count()
+        v = F.col(col).cast("string")
+        if how.get("na") is not None:
+            v = F.coalesce(v, F.lit(how["na"]))
+        df = df.withColumn(f"__v{i}", v).join(vocab.select(F.col("value").alias(f"__v{i}"), F.col("idx").alias(f"__i{i}")), f"__v{i}", "left").drop(f"__v{i}")
+        idx = F.col(f"__i{i}")
+        if how.get("other") is not None:
+            idx = F.coalesce(idx, F.lit(width - 1))
+        at.append(idx + F.lit(offset))
+        offset += width
+    hot = F.filter(F.array(*at), lambda x: x.isNotNull())
+    return df.select(*keep, F.struct(F.lit(offset).alias("size"), hot.alias("indices"), F.transform(hot, lambda x: F.lit(1.0)).alias("values")).alias(out))
+
+
+def to_vector(df: DataFrame, col: str = "onehot", out: str = "onehot_vector") -> DataFrame:
+    """The struct of ``one_hot`` as a Spark ML sparse vector (a reinterpreted struct, no Python rows)."""
+    from pyspark.ml.functions import array_to_vector
+    c = F.col(col)
+    dense = F.transform(F.sequence(F.lit(0), c["size"] - 1), lambda i: F.when(F.array_contains(c["indices"], i), 1.0).otherwise(0.0))
+    return df.withColumn(out, array_to_vector(dense))
 
 
 # ---------------------------------------------------------------------------

@@ -81,3 +81,14 @@ def poly_features(df: DataFrame, age: str = "age_at_list", area: str = "area", c
                      F.log1p(F.col(area)).alias("sqft_log"),
                      (F.col(code) * F.col(age)).alias("location_age"),
                      (F.col(code) * F.col(area)).alias("location_size"))
+
+
+def per_bedroom(x: Column, bedrooms: Column) -> Column:
+    """X / max(bedrooms, 1), missing bedrooms as 1 (parking, baths, area)."""
+    return x / F.greatest(F.coalesce(bedrooms, F.lit(1)), F.lit(1))
+
+
+def list_date_columns(d: Column, month: int = 6, quarter: int = 2, year: int = 2020) -> list[Column]:
+    """Month, quarter and year of listing, constants where the date is missing."""
+    return [F.coalesce(F.month(d), F.lit(month)).alias("list_month"), F.coalesce(F.quarter(d), F.lit(quarter)).alias("list_quarter"),
+            F.coalesce(F.year(d), F.lit(year)).alias("list_year")]

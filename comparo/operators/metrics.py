@@ -58,3 +58,18 @@ def error_by_group(df: DataFrame, y: str, p: str, group: str, k: int = 10, min_n
               .agg(F.avg(ape).alias("mape"), F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_n)
               .orderBy(F.desc("mape"), F.asc(group)).limit(k))
+
+
+def against_baseline(df: DataFrame, y: str, base: str, model: str, log_y: str, log_p: str, by: str) -> DataFrame:
+    """Q9 (baseline and model side by side per group, improvement in percent) and Q4 (R² on the log
+    target, NULL if it does not vary), one pass."""
+    from comparo.plans.common import rnd
+    yc, n = F.col(y), F.count(F.lit(1))
+    ae = {c: F.abs(yc - F.col(c)) for c in (base, model)}
+    r2 = lambda c: 1 - F.sum((yc - F.col(c)) ** 2) / F.nullif(F.var_pop(y) * n, F.lit(0.0))
+    out = {"mae_baseline": (F.avg(ae[base]), 4), "mae_model": (F.avg(ae[model]), 4), "wape_baseline": (F.sum(ae[base]) / F.sum(F.abs(yc)), 6),
+           "wape_model": (F.sum(ae[model]) / F.sum(F.abs(yc)), 6), "r2_baseline": (r2(base), 6), "r2_model": (r2(model), 6),
+           "within_10pct": (100 * F.avg((ae[model] / yc <= 0.10 + 1e-9).cast("double")), 6),
+           "improvement_pct": (100 * (F.avg(ae[base]) - F.avg(ae[model])) / F.avg(ae[base]), 6),
+           "r2_log_premium": (1 - F.sum((F.col(log_y) - F.col(log_p)) ** 2) / F.nullif(F.var_pop(log_y) * n, F.lit(0.0)), 6)}
+    return df.groupBy(by).agg(n.alias("n"), *[rnd(c, d).alias(k) for k, (c, d) in out.items()])

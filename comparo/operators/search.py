@@ -281,7 +281,7 @@ def prepare(rows: DataFrame, cols, y: str, price: str, *, min_non_null: int = 10
     if fill is not None:
         rows = rows.select([F.coalesce(F.col(c).cast("double"), F.lit(float(fill))).alias(c) if c in feats else F.col(c) for c in rows.columns])
     packed = pack(rows, feats, y, price, means)
-    return {"features": feats, "packed": packed, "sums": gram(packed, len(feats)), "mean_y": means[y]}
+    return {"features": feats, "packed": packed, "sums": gram(packed, len(feats)), "mean_y": means[y], "means": means}
 
 
 def fits(prepared: dict, subs: DataFrame, back: str = "expm1", block_subsets: int = BLOCK_SUBSETS) -> DataFrame:

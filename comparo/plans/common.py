@@ -50,12 +50,16 @@ def with_sql(*parts: str) -> str:
     return head + ",\n" + body.lstrip("\n")
 
 
-def split_frame(spark: SparkSession, sf_dir: str, fractions=(0.7, 0.8)) -> DataFrame:
-    """``priced`` + position (SP1) + 70/10/20 split + target y = ln(ppsf)."""
+def split_frame(spark: SparkSession, sf_dir: str, fractions=(0.7, 0.8), columns=None) -> DataFrame:
+    """``priced`` (or the named ``columns`` of it, day and seq besides) + position (SP1) + 70/10/20 split +
+    target y = ln(ppsf)."""
     from comparo.operators.ordering import with_position
     from comparo.operators.split import temporal_split
     from comparo.session import materialize
-    p = with_position(priced(spark, sf_dir).withColumn("y", F.log("ppsf")))
+    p = priced(spark, sf_dir).withColumn("y", F.log("ppsf"))
+    if columns is not None:
+        p = p.select(*dict.fromkeys([*columns, "day", "seq", "y"]))
+    p = with_position(p)
     # the split needs a count and encoders take scalar statistics: positions are
     # materialized once instead of recomputing the join and the running totals
     return temporal_split(materialize(p), fractions)

@@ -146,3 +146,15 @@ def sold_only_profile(spark, sf_dir):
     """Restrict to sold rows (status 'F') before modelling."""
     s = sales(spark, sf_dir).where(F.col("status") == "F")
     return s.groupBy("fsa").agg(F.count(F.lit(1)).alias("n_sold"), rnd(F.avg("sold_price")).alias("mean_price"))
+
+
+@query("ppsf_fallback", sql=with_sql(SALES_SQL, """
+f AS (SELECT *, CASE WHEN discount <> 0 THEN area END AS fin_area FROM sales),
+c AS (SELECT avg(CAST(sold_price / NULLIF(fin_area, 0) IS NOT NULL AS DOUBLE)) AS a, avg(CAST(sold_price / NULLIF(area, 0) IS NOT NULL AS DOUBLE)) AS b FROM f)
+SELECT sale_key, CASE WHEN a >= 0.95 THEN 'fin_area' ELSE 'area' END AS used, round(1e-9 + CASE WHEN a >= 0.95 THEN a ELSE b END, 6) AS coverage,
+  sold_price / NULLIF(CASE WHEN a >= 0.95 THEN fin_area ELSE area END, 0) AS ppsf FROM f, c WHERE greatest(a, b) >= 0.95"""))
+def ppsf_fallback(spark, sf_dir):
+    """An area column with too many gaps gives way to the fallback column."""
+    s = sales(spark, sf_dir).withColumn("fin_area", F.when(F.col("discount") != 0, F.col("area")))
+    t, used, got = A.ppsf_gate(s, "sold_price", "fin_area", "area")
+    return t.select("sale_key", F.lit(used).alias("used"), rnd(F.lit(got)).alias("coverage"), "ppsf")

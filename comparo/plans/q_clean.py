@@ -85,3 +85,22 @@ def first_sale_per_group_day(spark, sf_dir):
     p = priced(spark, sf_dir)
     return p.groupBy("fsa", "day").agg(F.min_by("sale_key", "seq").alias("first_sale_key"),
                                        F.count(F.lit(1)).alias("n_sales"))
+
+
+@query("text_shapes", sql=with_sql(SALES_SQL, f"""
+t AS (SELECT *, CASE WHEN seq % 3 = 0 THEN '  $' || format('{{:,.2f}}', sold_price) || ' ' WHEN seq % 3 = 1 THEN '$ ' || format('{{:,.2f}}', sold_price) ELSE format('{{:,.2f}}', sold_price) END AS txt,
+        CASE WHEN suppkey % 5 = 0 THEN 'X' || suppkey ELSE chr(CAST(65 + suppkey % 26 AS INTEGER)) || (suppkey % 10) || chr(CAST(97 + partkey % 26 AS INTEGER)) || ' 1A1' END AS postal FROM sales),
+u AS (SELECT *, regexp_replace(txt, '[$,]', '', 'g') AS p2, regexp_replace(trim(txt, ' '), '[$, ]', '', 'g') AS p3 FROM t)
+SELECT sale_key, CASE WHEN regexp_full_match(p2, '{NUMBER_PATTERN}') THEN TRY_CAST(p2 AS DOUBLE) END AS keep_space,
+  CASE WHEN regexp_full_match(p3, '{NUMBER_PATTERN}') THEN TRY_CAST(p3 AS DOUBLE) END AS trimmed,
+  nullif(regexp_extract(postal, '^([A-Za-z][0-9][A-Za-z])', 1), '') AS fsa_code, fsa || '|' || region || '|' || coalesce(CAST(partkey AS VARCHAR), '') AS place_key FROM u"""))
+def text_shapes(spark, sf_dir):
+    """P2/P3 (prices as text, inner blanks kept or trimmed), F1 (postal prefix by pattern), F5 (joined key)."""
+    from comparo.functions.keys import composite_key, fsa_regex
+    s = sales(spark, sf_dir)
+    money = F.format_number("sold_price", 2)
+    txt = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("  $"), money, F.lit(" "))).when(F.col("seq") % 3 == 1, F.concat(F.lit("$ "), money)).otherwise(money)
+    postal = F.when(F.col("suppkey") % 5 == 0, F.concat(F.lit("X"), "suppkey")).otherwise(
+        F.concat(F.char(65 + F.col("suppkey") % 26), F.col("suppkey") % 10, F.char(97 + F.col("partkey") % 26), F.lit(" 1A1")))
+    return s.select("sale_key", parse_money(txt, strip_space=False).alias("keep_space"), parse_money(txt, trim=True).alias("trimmed"),
+                    fsa_regex(postal).alias("fsa_code"), composite_key(F.col("fsa"), F.col("region"), F.col("partkey").cast("string")).alias("place_key"))

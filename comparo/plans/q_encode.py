@@ -36,7 +36,7 @@ SELECT sale_key, top.complex AS complex_hot
 FROM spl LEFT JOIN top ON spl.complex = top.complex"""))
 def onehot_top20(spark, sf_dir):
     """Hot value among the 20 most frequent train values (NULL = all-zero row)."""
-    s = split_frame(spark, sf_dir)
+    s = split_frame(spark, sf_dir, columns=["sale_key", "complex"])
     top = E.top_values(s.where(_train()), "complex", 20)
     return E.map_to_vocab(s, "complex", top, "complex_hot", small=True).select("sale_key", "complex_hot")
 
@@ -66,7 +66,7 @@ SELECT s.sale_key, round(1e-9 + coalesce(l.last_te, g.gm), 6) FROM spl s LEFT JO
 WHERE s.split <> 'train'"""))
 def te_ordered(spark, sf_dir):
     """Expanding mean of earlier train rows per category; val/test take the last train value."""
-    s = E.ordered_te(split_frame(spark, sf_dir), "complex", "y", _train())
+    s = E.ordered_te(split_frame(spark, sf_dir, columns=["sale_key", "complex"]), "complex", "y", _train())
     return s.select("sale_key", rnd("complex_te").alias("complex_te"))
 
 
@@ -147,7 +147,7 @@ SELECT spl.sale_key, round(1e-9 + coalesce((fullc.s_c + 50.0 * g.gm) / (fullc.n_
 FROM spl LEFT JOIN fullc USING (type_dwel), g WHERE spl.split <> 'train'"""))
 def te_time_series(spark, sf_dir):
     """Expanding-block encoding with smoothing m = 50 (prior = earlier blocks' mean)."""
-    s = split_frame(spark, sf_dir)
+    s = split_frame(spark, sf_dir, columns=["sale_key", "type_dwel"])
     tr = s.where(_train())
     n = tr.count()
     s = S.time_series_blocks(s, n)[0].withColumn("block", F.when(_train(), F.col("block")))
@@ -175,3 +175,30 @@ def onehot_all_values(spark, sf_dir):
     s = split_frame(spark, sf_dir).withColumn("title_na", F.coalesce(F.col("title"), F.lit("NA")))
     voc = s.where(_train()).select("title_na").distinct()
     return E.map_to_vocab(s, "title_na", voc, "title_hot").select("sale_key", "title_hot")
+
+
+_BLOCKS = (("complex", {"na": "NA"}, {}), ("type_dwel", {}, {"top": 20}), ("partkey", {}, {"min_count": 30}), ("suppkey", {"other": "__OTHER__"}, {"min_count": 30}))
+
+
+def _blocks_sql():
+    parts, rows, offset = [], [], "0"
+    for i, (col, how, fit) in enumerate(_BLOCKS):
+        v = f"coalesce(CAST({col} AS VARCHAR), 'NA')" if "na" in how else f"CAST({col} AS VARCHAR)"
+        pick = f"ORDER BY count(*) DESC, v LIMIT {fit['top']}" if "top" in fit else f"HAVING count(*) >= {fit['min_count']}" if "min_count" in fit else ""
+        parts.append(f"""k{i} AS (SELECT {v} AS v FROM spl WHERE split = 'train' AND {v} IS NOT NULL GROUP BY v {pick}),
+v{i} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx FROM k{i}{" UNION ALL SELECT '__OTHER__', count(*) FROM k" + str(i) if "other" in how else ""})""")
+        at = f"coalesce(v{i}.idx, (SELECT max(idx) FROM v{i}))" if "other" in how else f"v{i}.idx"
+        rows.append(f"SELECT sale_key, CAST({at} + {offset} AS INTEGER) AS idx FROM spl {'LEFT ' if 'other' in how else ''}JOIN v{i} ON {v} = v{i}.v")
+        offset += f" + (SELECT count(*) FROM v{i})"
+    return with_sql(SPLIT_SQL, ",\n".join(parts) + f"""
+SELECT sale_key, CAST({offset} AS INTEGER) AS width, idx, 1.0 AS value FROM ({' UNION ALL '.join(rows)})""")
+
+
+@query("onehot_blocks", sql=_blocks_sql())
+def onehot_blocks(spark, sf_dir):
+    """Four blocks (all values, top 20, 30 rows or more, the same with an other bin) in one sparse
+    row of fixed width, aligned to train; one result row per set entry."""
+    s = split_frame(spark, sf_dir, columns=["sale_key", *(c for c, _, _ in _BLOCKS)])
+    specs = [(c, E.vocabulary(s.where(_train()), c, **how, **fit), how) for c, how, fit in _BLOCKS]
+    t = E.one_hot(s, specs).select("sale_key", F.col("onehot.size").alias("width"), F.explode(F.arrays_zip("onehot.indices", "onehot.values")).alias("e"))
+    return t.select("sale_key", "width", F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))

@@ -138,3 +138,27 @@ def median_fill(spark, sf_dir):
     """Missing fees and taxes get the column's median over train."""
     s = X.median_fill(split_frame(spark, sf_dir), ["maint_fee", "tax"], F.col("split") == "train")
     return s.select("sale_key", rnd("maint_fee_filled").alias("maint_fee_filled"), rnd("tax_filled").alias("tax_filled"))
+
+
+@query("listing_defaults", sql=with_sql(PRICED_SQL, """
+SELECT sale_key, (linenumber % 4) / greatest(CASE WHEN seq % 5 = 0 THEN 1 ELSE coalesce(bedrooms, 1) END, 1) AS parking_per_br,
+  CAST(coalesce(month(d), 6) AS INTEGER) AS list_month, CAST(coalesce(quarter(d), 2) AS INTEGER) AS list_quarter, CAST(coalesce(year(d), 2020) AS INTEGER) AS list_year
+FROM (SELECT *, CASE WHEN seq % 7 <> 0 THEN list_date END AS d FROM priced)"""))
+def listing_defaults(spark, sf_dir):
+    """D9 (parking per bedroom), D13/P14 (calendar columns of a missing date); every seventh date and fifth bedroom count is taken away."""
+    p = priced(spark, sf_dir)
+    rooms = F.when(F.col("seq") % 5 != 0, F.col("bedrooms"))
+    d = F.when(F.col("seq") % 7 != 0, F.col("list_date"))
+    return p.select("sale_key", X.per_bedroom((F.col("linenumber") % 4).cast("double"), rooms).alias("parking_per_br"), *X.list_date_columns(d))
+
+
+@query("back_transforms", sql=with_sql(PRICED_SQL, """
+SELECT sale_key, round(1e-9 + exp(ln(1 + list_price)) - 1, 4) AS from_log1p, round(1e-9 + exp(ln(ppsf) - 0.1) * area, 4) AS from_log_ppsf,
+  round(1e-9 + list_price * exp(ln(sold_price) - ln(list_price)), 4) AS from_log_ratio FROM priced"""))
+def back_transforms(spark, sf_dir):
+    """expm1 of a log1p price, exp of a log price per area times area, baseline times exp of a log ratio."""
+    from comparo.operators.model import back_transform, from_log1p, from_log_ratio
+    p = priced(spark, sf_dir)
+    return p.select("sale_key", rnd(from_log1p(F.log1p("list_price")), 4).alias("from_log1p"),
+                    rnd(back_transform(F.log("ppsf") - 0.1, F.lit(1.0), F.col("area")), 4).alias("from_log_ppsf"),
+                    rnd(from_log_ratio(F.log("sold_price") - F.log("list_price"), F.col("list_price")), 4).alias("from_log_ratio"))

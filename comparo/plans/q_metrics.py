@@ -129,3 +129,37 @@ def target_stats_by_split(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.min("list_date").alias("first_date"), F.max("list_date").alias("last_date"),
         rnd(F.avg("yr")).alias("y_mean"), rnd(F.stddev_samp("yr")).alias("y_std"),
         rnd(F.min("yr")).alias("y_min"), rnd(F.max("yr")).alias("y_max"))
+
+
+# The features of the linear model that is set against the baseline.
+MODEL_FEATURES = ("area", "full_baths", "tax")
+
+
+def _linear_sql():
+    from comparo.plans.q_search import _fits_sql
+    fits = _fits_sql("lp", "z", 3, False, "rws")
+    return f"""subs AS (SELECT '0,1,2' AS subset_id, 3 AS n_features, [0, 1, 2] AS idx, 'm' AS features_text),
+rws AS (SELECT split, sold_price AS price, pred, ln(sold_price) - ln(pred) AS lp, [area::DOUBLE, full_baths::DOUBLE, tax::DOUBLE] AS xs FROM ev WHERE pred > 0),
+{fits[:fits.index('err AS (')].rstrip().rstrip(',')},
+e AS (SELECT r.split, price, pred, lp, b0 + b1 * xs[1] + b2 * xs[2] + b3 * xs[3] AS z FROM rws r, fit),
+m AS (SELECT *, pred * exp(z) AS mp FROM e)"""
+
+
+@query("model_vs_baseline", sql=with_sql(EVAL_SQL, _linear_sql(), """
+SELECT split, count(*) AS n, round(1e-9 + avg(abs(price - pred)), 4) AS mae_baseline, round(1e-9 + avg(abs(price - mp)), 4) AS mae_model,
+  round(1e-9 + sum(abs(price - pred)) / sum(abs(price)), 6) AS wape_baseline, round(1e-9 + sum(abs(price - mp)) / sum(abs(price)), 6) AS wape_model,
+  round(1e-9 + 1 - sum((price - pred) ** 2) / (var_pop(price) * count(*)), 6) AS r2_baseline, round(1e-9 + 1 - sum((price - mp) ** 2) / (var_pop(price) * count(*)), 6) AS r2_model,
+  round(1e-9 + 100.0 * avg(CAST(abs(price - mp) / price <= 0.10 + 1e-9 AS DOUBLE)), 6) AS within_10pct,
+  round(1e-9 + 100.0 * (avg(abs(price - pred)) - avg(abs(price - mp))) / avg(abs(price - pred)), 6) AS improvement_pct,
+  round(1e-9 + 1 - sum((lp - z) ** 2) / nullif(var_pop(lp) * count(*), 0), 6) AS r2_log_premium FROM m GROUP BY split"""))
+def model_vs_baseline(spark, sf_dir):
+    """Q4/Q9: a linear model of the log premium against the baseline per split, with the improvement in percent and
+    R² on the log premium (NULL if that does not vary)."""
+    from comparo.operators import search as S
+    e = evaluated(spark, sf_dir).where(F.col("pred") > 0).withColumn("lp", F.log("sold_price") - F.log("pred"))
+    ready = S.prepare(e, MODEL_FEATURES, "lp", "sold_price", only=MODEL_FEATURES)
+    fit = S.score_subsets(S.given_subset(spark, MODEL_FEATURES, MODEL_FEATURES), ready["sums"], len(MODEL_FEATURES)).first()
+    z = F.lit(ready["means"]["lp"] + fit["dense"][0])
+    for c, b in zip(MODEL_FEATURES, fit["dense"][1:]):
+        z = z + F.lit(b) * (F.col(c) - F.lit(ready["means"][c]))
+    return M.against_baseline(e.withColumn("z", z).withColumn("model_price", F.col("pred") * F.exp("z")), "sold_price", "pred", "model_price", "lp", "z", "split")

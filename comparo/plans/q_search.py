@@ -237,3 +237,15 @@ def subset_resume(spark, sf_dir):
     done = materialize(small.select("subset_id"))
     subs, _ = _subsets(spark, sf_dir)
     return S.remaining(subs, done).groupBy("n_features").agg(F.count(F.lit(1)).alias("n_remaining"))
+
+
+# The learner kinds compared on a subset.
+KINDS = ("gbt", "random_forest", "linear")
+
+
+@query("subset_model_kinds", sql=with_sql(SUBSETS_SQL, f"""
+SELECT subset_id, kind FROM subs, (VALUES {', '.join(f"('{k}')" for k in KINDS)}) v(kind)"""))
+def subset_model_kinds(spark, sf_dir):
+    """Every subset with every model kind; the kinds are a literal of three, exploded."""
+    subs, _ = _subsets(spark, sf_dir)
+    return subs.select("subset_id", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"))

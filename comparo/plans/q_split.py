@@ -14,7 +14,7 @@ from comparo.sources.sales import sales
 @query("split_70_10_20", sql=with_sql(SPLIT_SQL, """
 SELECT sale_key, pos, split FROM spl"""))
 def split_70_10_20(spark, sf_dir):
-    return split_frame(spark, sf_dir).select("sale_key", "pos", "split")
+    return split_frame(spark, sf_dir, columns=["sale_key"]).select("sale_key", "pos", "split")
 
 
 _SPLIT80 = PRICED_SQL + """,
@@ -159,3 +159,12 @@ def split_auto(spark, sf_dir):
     else:
         s, kind = S.hash_split(p, val_pct_of_train=None), "random"
     return s.groupBy(F.lit(kind).alias("kind"), "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("weight_log_price", sql=with_sql(PRICED_SQL, """
+w AS (SELECT sale_key, 1.0 / ln(sold_price + 1) AS w FROM priced)
+SELECT sale_key, round(1e-9 + w / (SELECT avg(w) FROM w), 6) AS weight FROM w"""))
+def weight_log_price(spark, sf_dir):
+    """WT4/WT5: 1 / log(price + 1), scaled to mean 1."""
+    p = priced(spark, sf_dir).select("sale_key", W.inverse_log_price_weight(F.col("sold_price")).alias("w"))
+    return W.normalize_by_mean(p, "w").select("sale_key", rnd("w").alias("weight"))

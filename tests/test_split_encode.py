@@ -91,3 +91,51 @@ def test_hash_split_is_repeatable(spark):
     assert a.exceptAll(b).count() == 0
     share = a.where(F.col("split") != "test").count() / 1000
     assert 0.75 < share < 0.85
+
+
+def test_one_hot_blocks_are_aligned_to_train(spark):
+    """Fixed width, unseen values empty or other, NULL as its own value where asked."""
+    from pyspark.sql import functions as F
+    from comparo.operators import encode as E
+    train = spark.createDataFrame([("a", "x")] * 3 + [("b", "y")] * 2 + [(None, "z"), ("c", None)], "g string, h string")
+    rest = spark.createDataFrame([(1, "a", "x"), (2, "new", "new"), (3, None, None), (4, "c", "z")], "id int, g string, h string")
+    specs = [("g", E.vocabulary(train, "g", na="NA"), {"na": "NA"}), ("h", E.vocabulary(train, "h", min_count=2, other="__OTHER__"), {"other": "__OTHER__"}),
+             ("g", E.vocabulary(train, "g", top=1), {})]
+    t = E.one_hot(rest, specs)
+    got = {r["id"]: r["onehot"] for r in t.collect()}
+    # blocks: NA a b c | x y other | a
+    assert {k: sorted(v["indices"]) for k, v in got.items()} == {1: [1, 4, 7], 2: [6], 3: [0, 6], 4: [3, 6]}
+    assert {v["size"] for v in got.values()} == {8} and t.columns == ["id", "g", "h", "onehot"]
+    vec = {r["id"]: r["onehot_vector"] for r in E.to_vector(t).collect()}
+    assert vec[1].size == 8 and sorted(i for i, x in enumerate(vec[1].toArray()) if x) == [1, 4, 7]
+    assert E.one_hot(rest.where("false"), specs).count() == 0
+    none = E.vocabulary(train.where("false"), "g")
+    assert E.one_hot(rest, [("g", none, {})]).where(F.size("onehot.indices") > 0).count() == 0
+
+
+def test_ppsf_gate_stops(spark):
+    import pytest
+    from comparo.operators import audit as A
+    rows = [(100.0, 10.0 if i % 10 else None, 20.0 if i % 3 else 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "price double, a double, b double")
+    assert A.ppsf_gate(df, "price", "a", "b", least=0.9)[1] == "a"
+    assert A.ppsf_gate(df, "price", "b", "a", least=0.9)[1] == "a"
+    with pytest.raises(A.CoverageError):
+        A.ppsf_gate(df, "price", "a", "b")
+    with pytest.raises(A.CoverageError):
+        A.ppsf_gate(df.where("false"), "price", "a")
+
+
+def test_several_windows_in_one_shuffle(spark):
+    """frame_medians = frame_median_by_day per window, with and without value ranges."""
+    from comparo.operators import baseline as B
+    import random
+    rng = random.Random(1)
+    df = spark.createDataFrame([(rng.choice("ab"), rng.randrange(200), float(rng.randrange(50))) for _ in range(600)], "g string, day int, v double")
+    for groups in (["g"], []):
+        for kw in ({}, {"max_task_rows": 60}):
+            t = {tuple(r[c] for c in [*groups, "day"]): r for r in B.frame_medians(df, groups, "v", [10, 50], **kw).collect()}
+            for length in (10, 50):
+                for r in B.frame_median_by_day(df, groups, "v", length).collect():
+                    o = t[tuple(r[c] for c in [*groups, "day"])]
+                    assert (o[f"n_{length}"], o[f"med_{length}"]) == (r["n"], r["med"])
