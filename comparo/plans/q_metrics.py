@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from comparo.operators import metrics as M
 from comparo.operators.baseline import grouped_median, grouped_quantile
+from comparo.operators.model import fit_linear
 from comparo.operators.ordering import with_position
 from comparo.operators.split import temporal_split
 from comparo.plans.common import rnd, with_sql
@@ -155,11 +156,6 @@ SELECT split, count(*) AS n, round(1e-9 + avg(abs(price - pred)), 4) AS mae_base
 def model_vs_baseline(spark, sf_dir):
     """Q4/Q9: a linear model of the log premium against the baseline per split, with the improvement in percent and
     R² on the log premium (NULL if that does not vary)."""
-    from comparo.operators import search as S
     e = evaluated(spark, sf_dir).where(F.col("pred") > 0).withColumn("lp", F.log("sold_price") - F.log("pred"))
-    ready = S.prepare(e, MODEL_FEATURES, "lp", "sold_price", only=MODEL_FEATURES)
-    fit = S.score_subsets(S.given_subset(spark, MODEL_FEATURES, MODEL_FEATURES), ready["sums"], len(MODEL_FEATURES)).first()
-    z = F.lit(ready["means"]["lp"] + fit["dense"][0])
-    for c, b in zip(MODEL_FEATURES, fit["dense"][1:]):
-        z = z + F.lit(b) * (F.col(c) - F.lit(ready["means"][c]))
+    z = fit_linear(e, MODEL_FEATURES, "lp", "sold_price").predict()
     return M.against_baseline(e.withColumn("z", z).withColumn("model_price", F.col("pred") * F.exp("z")), "sold_price", "pred", "model_price", "lp", "z", "split")

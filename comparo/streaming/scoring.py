@@ -16,8 +16,38 @@ def score_batch(listings: DataFrame, history: DataFrame, group: str = "fsa", val
                     (F.col("base_ppsf") * F.col("area")).alias("predicted_price"))
 
 
+#: Days of one partition of the history table.
+DAY_BLOCK = 32
+
+
+def append_history(sales: DataFrame, path: str, day: str = "day") -> None:
+    """Extend the history table: rows go to the partition of their block of days."""
+    sales.withColumn("day_block", F.floor(F.col(day) / DAY_BLOCK).cast("int")).write.mode("append").partitionBy("day_block").parquet(path)
+
+
+def history_window(spark, path: str, first: int, last: int, day: str = "day") -> DataFrame:
+    """The rows of days first..last; only their partitions are read."""
+    t = spark.read.parquet(path)
+    return t.where(F.col("day_block").between(first // DAY_BLOCK, last // DAY_BLOCK) & F.col(day).between(first, last)).drop("day_block")
+
+
+def score_with_model(listings: DataFrame, history_path: str, model, group: str = "fsa", value: str = "ppsf", length: int = 90,
+                     shrink_k: float = 10.0, min_n: int = 15, day: str = "day") -> DataFrame:
+    """Price of each listing = its causal baseline x area x exp(model of the log premium).
+
+    A batch of days a..b reads the history of days a - ``length`` .. b - 1 only.  Adds n_grp,
+    base_ppsf and predicted_price; an empty batch gives no rows."""
+    spark = listings.sparkSession
+    span = listings.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    a, b = (span["a"], span["b"]) if span["a"] is not None else (0, 0)
+    hist = history_window(spark, history_path, a - length, b - 1, day)
+    s = causal_baseline(listings, group, value, length, shrink_k, min_n, day=day, history=hist)
+    price = F.col("base_ppsf") * F.col("area")
+    return s.withColumn("predicted_price", price * F.exp(model.predict()))
+
+
 def score_stream(listings_stream: DataFrame, history_path: str, out_path: str, checkpoint: str,
-                 available_now: bool = True, **kw):
+                 available_now: bool = True, model=None, **kw):
     """Start a query: micro-batches of listings → ``score_batch`` → parquet, one folder per batch.
 
     ``foreachBatch`` reuses the batch operator unchanged; the history table is
@@ -29,8 +59,11 @@ def score_stream(listings_stream: DataFrame, history_path: str, out_path: str, c
     spark = listings_stream.sparkSession
 
     def run(batch: DataFrame, epoch: int) -> None:
-        hist = spark.read.parquet(history_path)
-        score_batch(batch, hist, **kw).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        if model is None:
+            out = score_batch(batch, spark.read.parquet(history_path), **kw)
+        else:  # a partitioned history (``append_history``): the batch's days only
+            out = score_with_model(batch, history_path, model, **kw).select("sale_key", "list_date", "fsa", "area", "n_grp", "base_ppsf", "predicted_price")
+        out.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     w = listings_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -40,3 +40,30 @@ def test_listing_csv_typed(spark):
     assert r[0]["target"] == 500000.0 and r[0]["TotFlArea"] == 1450.0 and r[0]["FSA"] == "V2P"
     assert r[0]["Region"] == "ABC" and r[1]["target"] is None and r[1]["FSA"] is None
     assert feature_candidates(t) == ["TotFlArea"]  # DOM is after-listing, never a feature
+
+
+def test_model_scoring_reads_the_days_before_a_batch_only(spark, tmp_path):
+    """The plan prunes partitions, and the pruned result is that of the whole history."""
+    from pyspark.sql import functions as F
+    from comparo.operators.model import LinearModel
+    from comparo.streaming import scoring as Sc
+    rows = [(d, "ab"[d % 2], 100.0 + d % 17) for d in range(1000)]
+    hist = spark.createDataFrame(rows, "day int, fsa string, ppsf double")
+    path = str(tmp_path / "history")
+    Sc.append_history(hist.where("day < 900"), path)
+    Sc.append_history(hist.where("day >= 900"), path)
+    lst = spark.createDataFrame([(f"k{i}", 950 + i % 5, "ab"[i % 2], 50.0 + i) for i in range(20)], "sale_key string, day int, fsa string, area double")
+    model = LinearModel(("area",), (60.0,), (0.1, 0.001))
+    window = Sc.history_window(spark, path, 860, 953)
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day_block" in plan
+    read = {f.split("day_block=")[1].split("/")[0] for f in window.inputFiles()}
+    assert {int(b) for b in read} >= {26, 27, 28, 29} and window.agg(F.min("day"), F.max("day")).first()[:] == (860, 953)
+    got = {r["sale_key"]: r for r in Sc.score_with_model(lst, path, model, min_n=3).collect()}
+    want = {r["sale_key"]: r for r in Sc.score_batch(lst.withColumn("list_date", F.lit(None).cast("date")), hist, min_n=3).collect()}
+    import math
+    assert len(got) == 20
+    for k, r in got.items():
+        assert r["base_ppsf"] == want[k]["base_ppsf"]
+        assert abs(r["predicted_price"] - want[k]["predicted_price"] * math.exp(0.1 + 0.001 * (r["area"] - 60))) < 1e-6
+    assert Sc.score_with_model(lst.where("false"), path, model).count() == 0
