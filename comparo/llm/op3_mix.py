@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from comparo.llm.common import ascii_word_count, saved, table
@@ -135,16 +136,20 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: i
                          (F.col("passes") * F.col("size") + cut("a", "b") + cut(F.lit(0), "wrap")).cast("long").alias("taken"))
 
 
+#: Shards whose cut documents are rounded together (a task's rows: at most three a shard).
+ROUND_SHARDS = 4096
+
+
 def whole_copies(odd: list) -> dict[int, int]:
     """h to copies for rows (source_no, shard, h, taken, size), each rounded up or
     down.  What rounding leaves over of a source's words goes on to its next
     document: long ones first, so that short ones make up for them, then in seeded order."""
     out, left = {}, {}
-    for r in sorted(odd, key=lambda r: (r.source_no, -int(r["size"]).bit_length(), r.shard, r.h)):
-        n, part = divmod(r.taken, r["size"])
+    for r in sorted(odd, key=lambda r: (r.source_no, -int(r.size_).bit_length(), r.shard, r.h)):
+        n, part = divmod(r.taken, r.size_)
         have = left.get(r.source_no, 0) + part
-        up = part > 0 and 2 * have >= r["size"]
-        left[r.source_no] = have - r["size"] * up
+        up = part > 0 and 2 * have >= r.size_
+        left[r.source_no] = have - r.size_ * up
         out[r.h] = n + up
     return out
 
@@ -152,20 +157,26 @@ def whole_copies(odd: list) -> dict[int, int]:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of ``docs``: each document as often as it is taken.  Cut
     documents (those at the ends of a shard's run of words, at most three a shard)
-    are rounded to whole copies by ``whole_copies`` on the driver; rows alike in
-    doc_id, text and source count together."""
+    are rounded to whole copies by ``whole_copies``, one task for ``ROUND_SHARDS`` shards of a
+    source, so a source ends within half a document of its target for each of these; rows
+    alike in doc_id, text and source count together.  Documents without words are never taken."""
     seed, spark = options.get("seed", SEED), docs.sparkSession
     m = saved(mixture(docs, **options).filter("size > 0").groupBy("source_no", "shard", "h")
               .agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows")), "mix-taken")
     even = (F.col("taken") % (F.col("size") * F.col("rows"))) == 0
-    odd = m.filter(~even).collect()  # at most three a shard
-    copies = whole_copies(odd)
-    dealt = [(r.h, *divmod(copies[r.h], r.rows)) for r in odd]  # copies of every row, rows that get one more
-    cut = spark.createDataFrame(dealt, "_h long, _n long, _more long")
+
+    def rounded(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.rename(columns={"size": "size_"})
+        copies = whole_copies(list(f.itertuples(index=False)))
+        n = f["h"].map(copies).to_numpy(dtype="int64")
+        return pd.DataFrame({"_h": f["h"], "_n": n // f["rows"], "_more": n % f["rows"]})
+
+    odd = m.filter(~even).select("source_no", "shard", "h", "taken", "size", "rows")
+    cut = saved(odd.groupBy("source_no", F.floor(F.col("shard") / ROUND_SHARDS).alias("_slice")).applyInPandas(rounded, "_h long, _n long, _more long"), "mix-cut")
     m = m.filter(even & (F.col("taken") > 0)).select(F.col("h").alias("_h"), (F.col("taken") / (F.col("size") * F.col("rows"))).cast("long").alias("_n"),
                                                      F.lit(0).cast("long").alias("_more")).union(cut.filter("_n > 0 or _more > 0"))
     d = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("_h")).join(m, "_h")
-    if any(more for _, _, more in dealt):  # number those rows within the partitions they lie in, then across them
+    if cut.filter("_more > 0").limit(1).count():  # number those rows within the partitions they lie in, then across them
         some = saved(d.filter("_more > 0").withColumn("_part", F.spark_partition_id()), "mix-repeated")
         before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         parts = (some.groupBy("_h", "_part").agg(F.count("*").alias("_rows"))

@@ -243,7 +243,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     reps = reps.select(F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th")).distinct()
     d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
     kept = d.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    one = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.lit(0)))  # repeated rows are alike
+    # rows with one doc_id and text: the least by all columns, so reruns agree
+    one = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(*[F.to_json(F.struct(F.col("row").getField(c))) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
     return kept.withColumn("_n", one).filter("_n = 1").select("row.*")
 
 

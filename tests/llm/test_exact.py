@@ -495,3 +495,16 @@ def test_host_verdicts_decide_on_the_given_tables(spark):
     for r in got:
         bad = any(getattr(r, f"fail_{x}") and (getattr(r, f"bad_{x}") or r.bad_base) for x in op9_host.RULES[1:])
         assert r.kept == (not r.fail_base and not bad)
+
+
+def test_mix_rounds_in_slices(spark, monkeypatch):
+    """Cut documents rounded in one slice or in slices of one shard: whole copies, near the same words of each source."""
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 60)), "en", f"s{i % 3}") for i in range(300)] + [(900, None, "en", "s0"), (901, "", "en", "s1")]
+    words = []
+    for shards in (4096, 1):
+        monkeypatch.setattr(op3_mix, "ROUND_SHARDS", shards)
+        by = Counter()
+        for r in op3_mix.mixed_documents(docs_frame(spark, rows)).collect():
+            by[r["source"]] += len(r["text"].split())
+        words.append(by)
+    assert set(words[0]) == {"s0", "s1", "s2"} and all(abs(words[0][s] - words[1][s]) <= 120 for s in words[0])

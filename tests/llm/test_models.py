@@ -271,3 +271,30 @@ def test_pipeline(spark):
     toxic, lines, near, mixed, packed = sizes
     assert lines == toxic < docs.count() and near < lines and 0 < mixed and packed >= mixed
     assert cur.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 4096").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_on_odd_rows(spark, tmp_path, kind):
+    """Nulls, empty and long texts, copies, repeated rows, columns that clash; and empty tables."""
+    import corpus_pipeline
+    rows = odd_rows() if kind == "odd" else []
+    docs_frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet")) if rows else spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, i % 3 == 0) for i in range(40)] if rows else []
+    spark.createDataFrame([(a, b, int(c)) for a, b, c in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if not rows:
+        assert packed == []
+        return
+    assert packed and {r.doc_id for r in packed} <= {r[0] for r in rows}
+    used = defaultdict(int)
+    for r in packed:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096
+    # every stage keeps the columns, and none but the mix makes rows
+    cur = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    cols, n = cur.columns, cur.count()
+    from comparo.llm.common import saved
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        cur = saved(stage(spark, cur, str(tmp_path)), f"odd-{name}")
+        assert cur.columns == cols and (name == "mix" or cur.count() <= n)
+        n = cur.count()
