@@ -2,6 +2,12 @@
 
 Every stage gets what its predecessor kept, written as Parquet and read again;
 all but the last return the columns of their input.
+
+A null text counts as empty; documents without words pass the first stages and leave with the mix, which deals in
+words.  Null ids, languages and sources are values of their own.  Repeated rows are one group of copies,
+of which one row stays.  Very long texts go whole through every stage.  Ties are broken by the smaller
+doc_id, then text.  Empty tables give an empty result; without toxicity labels no document is
+rejected.  Other columns travel along.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from comparo.llm import op3_mix, op4_toxicity, op6_simhash, op7_pack, op10_lines
-from comparo.llm.common import prepare, saved, table
+from comparo.llm.common import dropped, prepare, saved, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(docs)  # the table of the stage before; the input stays
+        docs = out
     return docs
