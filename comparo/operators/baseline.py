@@ -753,7 +753,51 @@ def grouped_quantile(df: DataFrame, groups, value: str, q: float, out: str = "qu
     return grouped_median(df, groups, value, out, q=q, **kw)
 
 
-def grouped_quantiles(df: DataFrame, groups, value: str, outs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+#: Parts into which a refining round cuts a bracket.
+_GRID = 64
+
+
+def _narrowed(src: DataFrame, stats: DataFrame, keys, qs, max_cells: int, accuracy: int) -> tuple[DataFrame, int]:
+    """Brackets of ``stats`` narrowed round by round until none holds more than ``max_cells`` different
+    values of a group (or does not shrink any more); also the number of rounds.
+
+    A round counts the values below and inside each bracket and sketches the inside at ``_GRID`` + 1
+    even fractions; the wanted ranks lie between two of them, taken one step wider (16 times the
+    sketch's error).
+    """
+    from comparo.session import materialize
+    rounds = 0
+    while True:
+        right = stats.where("__n > 0").select(*[F.col(k).alias(f"r{k}") for k in keys], "__n", "__b")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"r{k}"))
+        aggs = []
+        for i in range(len(qs)):
+            lo, hi = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]
+            inside = F.when(F.col("v").between(lo, hi), F.col("v"))
+            aggs += [F.count(F.when(F.col("v") < lo, 1)).alias(f"below{i}"), F.count(inside).alias(f"in{i}"), F.approx_count_distinct(inside).alias(f"d{i}"),
+                     F.percentile_approx(inside, [j / _GRID for j in range(_GRID + 1)], max(accuracy, 16 * _GRID)).alias(f"g{i}")]
+        seen = materialize(src.where("v IS NOT NULL").join(right, same).groupBy(*keys, "__n", "__b").agg(*aggs))
+        most = seen.agg(F.max(F.greatest(*[F.col(f"d{i}") for i in range(len(qs))], F.lit(0)))).first()[0] or 0
+        if most <= max_cells:
+            return stats, rounds
+        new = []
+        for i, q in enumerate(qs):
+            pos = (F.col("__n") - 1) * F.lit(float(q))
+            at = lambda k, i=i: (k - F.col(f"below{i}")) / F.col(f"in{i}") * _GRID
+            j1 = F.greatest(F.floor(at(F.floor(pos) + 1)) - 1, F.lit(0))
+            j2 = F.least(F.ceil(at(F.ceil(pos) + 1)) + 1, F.lit(_GRID))
+            new += [F.element_at(f"g{i}", (j1 + 1).cast("int")), F.element_at(f"g{i}", (j2 + 1).cast("int"))]
+        shrunk = seen.select(*keys, "__n", F.array(*new).alias("__c"), "__b")
+        if not shrunk.where(F.col("__c") != F.col("__b")).limit(1).count():
+            return stats, rounds
+        stats = materialize(shrunk.select(*keys, "__n", F.col("__c").alias("__b")).unionByName(stats.where("__n = 0")))
+        rounds += 1
+
+
+def grouped_quantiles(df: DataFrame, groups, value: str, outs: dict[str, float], accuracy: int = 10_000,
+                      max_cells: int = 2_000_000) -> DataFrame:
     """Exact quantiles ``{column: q}`` of ``value`` per group, one path at every size.
 
     One sketch per group brackets every wanted rank between two values (the sketch's
@@ -761,9 +805,10 @@ def grouped_quantiles(df: DataFrame, groups, value: str, outs: dict[str, float],
     outside the brackets are only counted, one number per stretch between brackets;
     inside, equal values are counted together.  A running count over those few rows
     finds the two ranks around each quantile, which are interpolated as ``percentile``
-    does.  Map-side combining makes a hot group or a column of few values harmless: a
-    task holds about 8 / ``accuracy`` of a group's distinct values per quantile.  A NULL
-    group is a group; a group without values gets NULL.
+    does.  Map-side combining makes a hot group or a column of few values harmless.  Where
+    8 / ``accuracy`` of the largest group's rows could be more than ``max_cells``, the brackets are
+    narrowed in rounds first (``_narrowed``), so a task's different values per quantile stay below
+    that number.  A NULL group is a group; a group without values gets NULL.
     """
     from comparo.session import materialize
     groups = list(groups)
@@ -775,6 +820,8 @@ def grouped_quantiles(df: DataFrame, groups, value: str, outs: dict[str, float],
     # sketches are not bit-stable across re-evaluations: one row per group, written once
     stats = materialize(src.groupBy(*keys).agg(
         F.count("v").alias("__n"), F.percentile_approx("v", [f for b in brackets for f in b], accuracy).alias("__b")))
+    if 2 * eps * (stats.agg(F.max("__n")).first()[0] or 0) > max_cells:  # one number of a table with a row per group
+        stats, _ = _narrowed(src, stats, keys, list(outs.values()), max_cells, accuracy)
     right = stats.where("__n > 0").select(*[F.col(k).alias(f"r{k}") for k in keys], "__n", "__b")
     same = F.lit(True)
     for k in keys:

@@ -223,3 +223,19 @@ def test_value_range(spark):
         df = spark.createDataFrame([(b[:k], x) for x in (0.0, 1.0, 2.0, 3.0, 7.5, 8.0, 20.0, None)], "b array<double>, v double")
         for r in df.select("v", B.value_range(F.col("b"), F.col("v"), k + 1).alias("r")).collect():
             assert r["r"] == (None if r["v"] is None else sum(y <= r["v"] for y in b[:k]))
+
+
+def test_quantile_brackets_narrow_in_rounds(spark, monkeypatch):
+    """A loose sketch and a low bound force two rounds; values stay those of ``percentile``."""
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g, n in (("a", 4000), ("b", 700), (None, 60)) for v in rng.normal(size=n)] + [("a", 0.0)] * 500 + [("c", None), ("d", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    seen = []
+    real = B._narrowed
+    monkeypatch.setattr(B, "_narrowed", lambda *a: seen.append(real(*a)) or seen[-1])
+    qs = {"p10": 0.1, "p50": 0.5, "p93": 0.93}
+    got = {r["g"]: r for r in B.grouped_quantiles(df, ["g"], "v", qs, accuracy=20, max_cells=10).collect()}
+    want = {r["g"]: r for r in df.groupBy("g").agg(*[F.percentile("v", F.lit(q)).alias(k) for k, q in qs.items()]).collect()}
+    assert seen[0][1] >= 2 and set(got) == set(want)
+    for g, r in want.items():
+        assert [got[g][k] for k in qs] == [r[k] for k in qs]
