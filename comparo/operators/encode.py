@@ -132,8 +132,8 @@ def ordered_te(df: DataFrame, cat: str, y: str, is_train: Column, out: str | Non
     out = out or f"{cat}_te"
     is_train = F.coalesce(is_train, F.lit(False))
     train = df.where(is_train)
-    gmean = train.agg(F.avg(y)).first()[0]
-    t = exclusive_running(train, [cat], [y], day=day, seq=seq, prefix="__run_")
+    gmean, n = train.agg(F.avg(y), F.count(F.lit(1))).first()
+    t = exclusive_running(train, [cat], [y], day=day, seq=seq, prefix="__run_", rows=n)
     t = (t.withColumn(out, F.coalesce(F.col(f"__run_{y}") / F.nullif(F.col("__run_n"), F.lit(0)), F.lit(gmean)))
           .drop("__run_n", f"__run_{y}"))
     last = t.groupBy(cat).agg(F.max_by(out, F.struct(day, seq)).alias("__last"))

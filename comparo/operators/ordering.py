@@ -6,8 +6,8 @@ category when one category holds a third of the rows — runs in one task.
 Here every running total is split in two levels on the total order
 ``(day, seq)``:
 
-1. an aggregate per (key..., day, bucket), where ``bucket`` is the top 10 bits
-   of the 60-bit hash ``seq`` (so ordering by (day, bucket, seq) equals
+1. an aggregate per (key..., day, bucket), where ``bucket`` is the top bits (10, or
+   fewer for a table known to be small) of the 60-bit hash ``seq`` (so ordering by (day, bucket, seq) equals
    ordering by (day, seq), and a hot day is spread over 1,024 buckets); running
    totals over this small table (earlier days by a RANGE frame, earlier buckets of
    the day by a ROWS frame, one sort for both) give each bucket's offset;
@@ -19,26 +19,34 @@ Both windows are partitioned by something that bounds their size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SHIFT = 50  # seq has 60 bits → 1,024 buckets per day
+SEQ_BITS, BUCKET_BITS = 60, 10  # 1,024 buckets per day
+#: Rows of one day that may stay together: fewer buckets are made for a table of known size.
+DAY_ROWS = 1_000_000
 
 
-def _bucket(seq: str):
-    return F.shiftright(F.col(seq), BUCKET_SHIFT)
+def bucket_bits(rows: int | None) -> int:
+    """Bits of the day buckets: 10, or as many as a table of ``rows`` rows needs if all of them fell on one day."""
+    if rows is None:
+        return BUCKET_BITS
+    return min(BUCKET_BITS, max(0, math.ceil(math.log2(max(rows, 1) / DAY_ROWS))))
 
 
 def exclusive_running(df: DataFrame, keys, sums=(), *, day: str = "day", seq: str = "seq",
-                      prefix: str = "run_", then: str | None = None) -> DataFrame:
+                      prefix: str = "run_", then: str | None = None, rows: int | None = None) -> DataFrame:
     """Adds ``{prefix}n`` (rows strictly before this row within ``keys`` in
     (day, seq) order) and ``{prefix}<c>`` (sum of ``c`` over those rows; NULLs
     count as rows in ``n`` but add nothing — use ``count`` columns for that).
-    ``then`` orders rows of equal ``seq``."""
+    ``then`` orders rows of equal ``seq``; ``rows``, the size of the table if it is known, only
+    sets the number of buckets."""
     keys = list(keys)
     sums = list(sums)
     b = "__bkt"
-    x = df.withColumn(b, _bucket(seq))
+    x = df.withColumn(b, F.shiftright(F.col(seq), SEQ_BITS - bucket_bits(rows)))
     agg = (x.groupBy(*keys, day, b)
             .agg(F.count(F.lit(1)).alias("__cnt"), *[F.sum(c).alias(f"__s_{c}") for c in sums]))
     # both frames run over (key, day, bucket) totals: at most 1,024 rows a key and calendar day
@@ -57,7 +65,7 @@ def exclusive_running(df: DataFrame, keys, sums=(), *, day: str = "day", seq: st
     return y.drop(b, "__off_n", *[f"__off_{c}" for c in sums])
 
 
-def with_position(df: DataFrame, *, day: str = "day", seq: str = "seq", out: str = "pos") -> DataFrame:
+def with_position(df: DataFrame, *, day: str = "day", seq: str = "seq", out: str = "pos", rows: int | None = None) -> DataFrame:
     """W6/SP1: 1-based position in (day, seq) order, computed without a global sort."""
-    return (exclusive_running(df, [], (), day=day, seq=seq, prefix="__p_")
+    return (exclusive_running(df, [], (), day=day, seq=seq, prefix="__p_", rows=rows)
             .withColumn(out, F.col("__p_n") + 1).drop("__p_n"))

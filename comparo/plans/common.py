@@ -59,10 +59,11 @@ def split_frame(spark: SparkSession, sf_dir: str, fractions=(0.7, 0.8), columns=
     p = priced(spark, sf_dir).withColumn("y", F.log("ppsf"))
     if columns is not None:
         p = p.select(*dict.fromkeys([*columns, "day", "seq", "y"]))
-    p = with_position(p)
+    n = p.select("day").count()
+    p = with_position(p, rows=n)
     # the split needs a count and encoders take scalar statistics: positions are
     # materialized once instead of recomputing the join and the running totals
-    return temporal_split(materialize(p), fractions)
+    return temporal_split(materialize(p), fractions, n=n)
 
 
 SPLIT_SQL = PRICED_SQL + """,

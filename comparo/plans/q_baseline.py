@@ -167,7 +167,8 @@ LEVELS_SQL = levels_sql()
 
 def train_median(p):
     """Median of the first 70% of the rows in (day, seq) order; positions carry three columns only."""
-    s = temporal_split(with_position(p.select("day", "seq", "ppsf")), (0.7,), ("train", "rest"), n=p.count())
+    n = p.count()
+    s = temporal_split(with_position(p.select("day", "seq", "ppsf"), rows=n), (0.7,), ("train", "rest"), n=n)
     return B.grouped_median(s.where(F.col("split") == "train"), [], "ppsf").first()[0]
 
 
@@ -274,7 +275,7 @@ query("baseline_lag_row_365d", sql=_lag_sql("fsa", 365, 12))(_lag_query(["fsa"],
 query("baseline_lag_row_90d_global", sql=_lag_sql("", 90, 8))(_lag_query([], 90, 8))
 query("baseline_lag_row_365d_global", sql=_lag_sql("", 365, 12))(_lag_query([], 365, 12))
 # every group cut into blocks and value ranges, as hot groups are
-query("baseline_lag_row_90d_split", sql=_lag_sql("fsa", 90, 8))(_lag_query(["fsa"], 90, 8, max_task_rows=50, block_rows=16))
+query("baseline_lag_row_90d_split", sql=_lag_sql("region", 90, 8))(_lag_query(["region"], 90, 8, max_task_rows=200, block_rows=16))
 query("baseline_lag_row_90d_global_split", sql=_lag_sql("", 90, 8))(_lag_query([], 90, 8, max_task_rows=500, block_rows=16))
 
 

@@ -24,8 +24,9 @@ ev AS (SELECT *, CASE WHEN pos <= floor(0.7 * n_all) THEN 'train'
 def evaluated(spark, sf_dir):
     """Shrunk baseline as the prediction + 70/10/20 split, materialized once
     (the split needs a row count and the reports several passes)."""
-    s = with_position(shrunk(spark, sf_dir).withColumn("pred", F.col("base_ppsf") * F.col("area")))
-    return temporal_split(materialize(s), (0.7, 0.8))
+    s = materialize(shrunk(spark, sf_dir).withColumn("pred", F.col("base_ppsf") * F.col("area")))
+    n = s.count()
+    return temporal_split(materialize(with_position(s, rows=n)), (0.7, 0.8), n=n)
 
 
 def _metric_sql(y, p):

@@ -22,9 +22,11 @@ MIN_SIZE, MAX_SIZE = 1, 4
 
 def _frame(spark, sf_dir, fractions=(0.7, 0.8), names=("train", "val", "test")):
     """Split, features (NULLs kept), price and its log1p: only what the search reads."""
-    p = with_position(priced(spark, sf_dir).select("day", "seq", "sold_price", *CATALOGUE))
+    p = priced(spark, sf_dir).select("day", "seq", "sold_price", *CATALOGUE)
+    n = p.select("day").count()
+    p = with_position(p, rows=n)
     p = materialize(p.select("pos", "sold_price", F.log1p("sold_price").alias("y"), *CATALOGUE))
-    return temporal_split(p, fractions, names)
+    return temporal_split(p, fractions, names, n=n)
 
 
 def _subsets(spark, sf_dir):

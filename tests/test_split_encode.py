@@ -139,3 +139,23 @@ def test_several_windows_in_one_shuffle(spark):
                 for r in B.frame_median_by_day(df, groups, "v", length).collect():
                     o = t[tuple(r[c] for c in [*groups, "day"])]
                     assert (o[f"n_{length}"], o[f"med_{length}"]) == (r["n"], r["med"])
+
+
+def test_positions_do_not_depend_on_the_buckets(spark):
+    """SP1: the number of day buckets (known or unknown table size) changes the plan, not the order."""
+    import random
+    from comparo.operators import ordering as O
+    rng = random.Random(6)
+    rows = [(rng.randrange(5), rng.randrange(1 << 60), rng.choice("ab"), float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "day int, seq long, g string, v double").repartition(4)
+    assert [O.bucket_bits(n) for n in (None, 0, 10, 10 ** 6, 3 * 10 ** 6, 10 ** 12)] == [10, 0, 0, 0, 2, 10]
+    want = {(d, s): i for i, (d, s, _, _) in enumerate(sorted(rows))}
+    for n in (None, 300, 3 * 10 ** 6):
+        assert {(r["day"], r["seq"]): r["pos"] - 1 for r in O.with_position(df, rows=n).collect()} == want
+        got = {(r["day"], r["seq"]): (r["run_n"], r["run_v"]) for r in O.exclusive_running(df, ["g"], ["v"], rows=n).collect()}
+        for g in "ab":
+            total, count = 0.0, 0
+            for d, s, x, v in sorted(rows):
+                if x == g:
+                    assert got[d, s] == (count, total)
+                    total, count = total + v, count + 1
