@@ -1,16 +1,20 @@
 """Exact top-k inner-product search with multi-resolution segment statistics.
 
-Vectors become integer vectors floor(scale * x).  Each is cut into 1, 4 and 16
-segments; a segment keeps its mean and deviation.  For two vectors
+Vectors become integer vectors floor(scale * x).  To compare, both sides are
+turned onto the principal axes of the queries, so that the leading coordinates
+carry most of a score.  A level cuts the axes into segments, one for each of its
+leading axes and ``REST`` for the others; a segment keeps its mean and deviation
+(a single axis has deviation zero).  For two vectors
 
     q.x = sum over segments of  len * mean_q * mean_x + centred parts
         <= sum over segments of len * (mean_q * mean_x + dev_q * dev_x),
 
 which is the lower bound |q - x|^2 >= sum len * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2)
-of segment statistics, written for inner products.  A query's best candidates
-by the coarse bounds are scored first; their k-th score is the threshold, and
-the other candidates pass the levels coarse to fine.  Survivors get exact
-integer products.
+of segment statistics, written for inner products.  The levels run coarse to
+fine, each over the queries and candidates that the one before left open, and
+add only the products of their new leading axes.  The best candidates by the
+finest bound are scored first and set a query's threshold, its k-th score so far;
+what still reaches it gets exact products of the integer vectors.
 
 Layout: the stated queries are taken in blocks of bounded bytes; one block is
 broadcast at a time and the whole table streams past it without a shuffle.
@@ -32,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from comparo.llm.common import saved, table
 
 SCALE, K, EVERY = 1024, 10, 100
-LEVELS = (1, 4, 16)
+#: Shares of the axes that a level takes one by one, and segments of the others.
+LEVELS, REST = (1 / 16, 1 / 4, 1 / 2, 3 / 4), 4
 #: Bytes of the queries of one broadcast block, and vectors compared at once.
 BLOCK_BYTES, CHUNK = 32 << 20, 1024
 _SCHEMA = "query_id long, vec_id long, score long"
@@ -46,28 +51,42 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return d.filter(~F.coalesce(bad, F.lit(True))).select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def segment_statistics(v: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+def principal_axes(v: np.ndarray) -> np.ndarray:
+    """Orthonormal columns, the directions of most energy first."""
+    f = v / max(float(np.abs(v).max(initial=0)), 1.0)
+    return np.linalg.eigh(f.T @ f)[1][:, ::-1]
+
+
+def leads(width: int) -> list[int]:
+    """Leading axes of each level, coarse to fine."""
+    return sorted({int(width * share) for share in LEVELS})
+
+
+def segment_statistics(v: np.ndarray, segments: int = REST) -> tuple[np.ndarray, np.ndarray]:
     """Means and deviations, both times the root of the segment's length, so
     that a bound is a plain product of matrices."""
     edges = np.linspace(0, v.shape[1], min(segments, v.shape[1]) + 1).astype(int)
-    mean, dev = [], []
-    for a, b in zip(edges, edges[1:]):
+    mean, dev = np.empty((len(v), len(edges) - 1)), np.empty((len(v), len(edges) - 1))
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
         s, root = v[:, a:b], np.sqrt(b - a)
-        mean.append(s.mean(axis=1) * root)
-        dev.append(s.std(axis=1) * root)
-    return np.stack(mean, axis=1), np.stack(dev, axis=1)
+        mean[:, i] = s.mean(axis=1) * root
+        dev[:, i] = s.std(axis=1) * root
+    return mean, dev
 
 
 class Block:
-    """Queries of one length, their statistics and the k best so far."""
-
-    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
-        self.ids, self.v, self.k = ids, v, k
-        self.f = v.astype(np.float64)
-        self.stats = [segment_statistics(self.f, s) for s in LEVELS] if v.shape[1] else []
+    """Queries of one length, their statistics, the k best so far, and how many pairs were
+    met (``pairs``), left open by each level (``left``) and scored (``scored``)."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, axes: np.ndarray):
+        self.ids, self.v, self.k, self.axes = ids, v, k, axes
+        self.r = v.astype(np.float64) @ axes
+        self.leads = leads(v.shape[1])
+        self.stats = [segment_statistics(self.r[:, a:]) for a in self.leads]
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.top = float(np.abs(v).max(initial=0))
+        self.pairs, self.left, self.scored = 0, [0] * len(self.leads), 0
 
     def add(self, qi: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
         """Merge scored pairs into the k best of their queries."""
@@ -97,38 +116,43 @@ class Block:
             self.add(qi, ids[xi], np.zeros(len(qi), np.int64))
             return
         f = v.astype(np.float64)
-        stats = [segment_statistics(f, s) for s in LEVELS]
         slack = 1e-9 * self.top * float(np.abs(f).max(initial=0)) * v.shape[1] + 1e-6
-
-        def bound(level: int) -> np.ndarray:
-            (mq, dq), (mx, dx) = self.stats[level], stats[level]
-            return mq @ mx.T + dq @ dx.T + slack
-
-        own = self.ids[:, None] == ids[None, :]
-        coarse = bound(0)
-        for level in range(1, 2):
-            np.minimum(coarse, bound(level), out=coarse)
-        coarse[own] = -np.inf
-        n = min(self.k, len(ids))
-        best = np.argpartition(-coarse, n - 1, axis=1)[:, :n]  # scored first: they set the threshold
-        qi, xi = np.repeat(np.arange(len(self.ids)), n), best.ravel()
-        first = ~own[qi, xi]
-        qi, xi = qi[first], xi[first]
-        floor = self.score[:, -1].astype(np.float64)
-        near = coarse[qi, xi] >= floor[qi]
-        qi, xi = qi[near], xi[near]
-        self.add(qi, ids[xi], self.exact(qi, xi, v))
-        coarse[qi, xi] = -np.inf
-        floor = self.score[:, -1].astype(np.float64)
-        open_ = (coarse >= floor[:, None]) & (coarse > -np.inf)
+        r = f @ self.axes
+        rows, cols = np.arange(len(self.ids)), np.arange(len(ids))  # with open pairs
+        open_ = self.ids[:, None] != ids[None, :]
+        self.pairs += int(open_.sum())
+        known, done = np.zeros(open_.shape), 0
+        for level, (lead, (mq, dq)) in enumerate(zip(self.leads, self.stats)):
+            mx, dx = segment_statistics(r[cols, lead:])
+            known += self.r[rows, done:lead] @ r[cols, done:lead].T
+            bound = known + mq[rows] @ mx.T + dq[rows] @ dx.T + slack
+            open_ &= bound >= self.score[rows, -1:].astype(np.float64)
+            self.left[level] += int(open_.sum())
+            i, j = open_.any(axis=1), open_.any(axis=0)
+            if not i.any():
+                return
+            if not (i.all() and j.all()):
+                rows, cols, sub = rows[i], cols[j], np.ix_(i, j)
+                known, bound, open_ = known[sub], bound[sub], open_[sub]
+            done = lead
+        bound[~open_] = -np.inf
+        n = min(self.k, len(cols))
+        best = np.argpartition(-bound, n - 1, axis=1)[:, :n]  # scored first: they set the threshold
+        qi, xi = np.repeat(np.arange(len(rows)), n), best.ravel()
+        some = open_[qi, xi]
+        qi, xi = qi[some], xi[some]
+        self.score_pairs(rows[qi], cols[xi], ids, v)
+        open_[qi, xi] = False
+        open_ &= bound >= self.score[rows, -1:].astype(np.float64)
         qi, xi = np.nonzero(open_)
-        (mq, dq), (mx, dx) = self.stats[-1], stats[-1]
-        for a in range(0, len(qi), 65536):  # finest level, then exact products, for what the coarse levels left
+        for a in range(0, len(qi), 65536):
             q, x = qi[a:a + 65536], xi[a:a + 65536]
-            fine = np.einsum("ij,ij->i", mq[q], mx[x]) + np.einsum("ij,ij->i", dq[q], dx[x]) + slack
-            left = fine >= self.score[q, -1].astype(np.float64)
-            q, x = q[left], x[left]
-            self.add(q, ids[x], self.exact(q, x, v))
+            some = bound[q, x] >= self.score[rows[q], -1].astype(np.float64)
+            self.score_pairs(rows[q[some]], cols[x[some]], ids, v)
+
+    def score_pairs(self, qi: np.ndarray, xi: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        self.scored += len(qi)
+        self.add(qi, ids[xi], self.exact(qi, xi, v))
 
     def rows(self) -> pa.RecordBatch:
         full = self.vec.ravel() != np.iinfo(np.int64).max
@@ -152,10 +176,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int =
         by_len: dict[int, list[int]] = {}
         for i, v in enumerate(vs):
             by_len.setdefault(len(v), []).append(i)
-        held = spark.sparkContext.broadcast([(ids[i], np.array([vs[j] for j in i], np.int64).reshape(len(i), n)) for n, i in by_len.items()])
+        own = [(ids[i], np.array([vs[j] for j in i], np.int64).reshape(len(i), n)) for n, i in by_len.items()]
+        held = spark.sparkContext.broadcast([(i, v, principal_axes(v)) for i, v in own])
 
         def search(batches, held=held):
-            own = {v.shape[1]: [Block(i[a:a + CHUNK], v[a:a + CHUNK], k) for a in range(0, len(i), CHUNK)] for i, v in held.value}
+            own = {v.shape[1]: [Block(i[a:a + CHUNK], v[a:a + CHUNK], k, axes) for a in range(0, len(i), CHUNK)] for i, v, axes in held.value}
             for batch in batches:
                 ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
                 lengths = lists.value_lengths().to_numpy(zero_copy_only=False)

@@ -63,12 +63,37 @@ def test_top_k(spark, block_bytes):
     assert none.columns == ["query_id", "rank", "vec_id", "score"] and none.count() == 0
 
 
-def test_top_k_bounds_hold():
+@pytest.mark.parametrize("width", [1, 2, 7, 33])
+def test_top_k_bounds_hold(width):
     rng = np.random.default_rng(1)
-    a, b = rng.normal(0, 500, (50, 33)).astype(int), rng.normal(0, 500, (60, 33)).astype(int)
-    for s in op1_topk.LEVELS:
-        (mq, dq), (mx, dx) = op1_topk.segment_statistics(a.astype(float), s), op1_topk.segment_statistics(b.astype(float), s)
-        assert (mq @ mx.T + dq @ dx.T >= a @ b.T - 1e-3).all()
+    a, b = rng.normal(0, 500, (50, width)).astype(int), rng.normal(0, 500, (60, width)).astype(int)
+    axes = op1_topk.principal_axes(a)
+    assert np.allclose(axes.T @ axes, np.eye(width))
+    ra, rb = a @ axes, b @ axes
+    before = None
+    for lead in op1_topk.leads(width):
+        (mq, dq), (mx, dx) = op1_topk.segment_statistics(ra[:, lead:]), op1_topk.segment_statistics(rb[:, lead:])
+        bound = ra[:, :lead] @ rb[:, :lead].T + mq @ mx.T + dq @ dx.T
+        assert (bound >= a @ b.T - 1e-3).all()
+        assert before is None or bound.mean() <= before + 1e-6  # finer levels are tighter
+        before = bound.mean()
+
+
+def test_top_k_levels_prune():
+    rng = np.random.default_rng(2)
+    v = np.floor(1024 * rng.normal(0, 1, (3000, 24)) * np.linspace(2, 0.1, 24)).astype(np.int64)
+    ids = np.arange(3000)
+    own = ids % 100 == 0
+    block = op1_topk.Block(ids[own], v[own], 10, op1_topk.principal_axes(v[own]))
+    for a in range(0, 3000, 500):
+        block.take(ids[a:a + 500], v[a:a + 500])
+    assert block.pairs == 30 * 2999
+    assert block.left == sorted(block.left, reverse=True) and block.left[-1] < 0.3 * block.left[0] and block.scored < 0.1 * block.pairs
+    score = v[own] @ v.T
+    score[np.arange(30), ids[own]] = np.iinfo(np.int64).min
+    for n in range(30):
+        best = np.lexsort((ids, -score[n]))[:10]
+        assert block.vec[n].tolist() == best.tolist() and block.score[n].tolist() == score[n][best].tolist()
 
 
 # ---- 2 substring dedup
