@@ -7,11 +7,14 @@ within ``margin`` of the threshold get an exact distinct count.  Boilerplate
 lines go from every document but the first that holds them (smallest doc_id,
 then text hash, then position), so no passage vanishes from the corpus.
 Lines shorter than ``min_chars`` characters without surrounding blanks recur by
-chance and stay.
+chance more easily and need ``SHORT_FACTOR`` times the sites; lines of blanks stay.
+
+A line may hold a third of all rows: sketches and minima are added up before
+the shuffle, and lines meet the tables of boilerplate on (line hash, salt).
 
 Nulls: a null text has no line and stays null; a null source is a site of its
-own; a null doc_id sorts first.  Repeated rows are treated alike.  Texts of any
-length are handled line by line.  No rows: empty result.  Other columns pass
+own; a null doc_id sorts first.  Repeated rows are treated alike.  An empty text
+is one blank line and stays.  Texts of any length are handled line by line.  No rows: empty result.  Other columns pass
 through ``cleaned`` unchanged.
 """
 
@@ -21,37 +24,47 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from comparo.llm.common import saved, table
 
-MIN_SITES, MIN_CHARS, MARGIN, LG_K = 5, 20, 0.1, 12
+MIN_SITES, MIN_CHARS, SHORT_FACTOR, MARGIN, LG_K = 5, 20, 2, 0.1, 12
+#: Tasks over which the rows of one line are dealt in joins.
+SALTS = 16
 
 
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line that counts: doc_id, th (text hash), site, pos, a, b (line hash)."""
+def lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per line that is not blank: doc_id, th (text hash), site, salt, pos, a, b (line hash), need (sites of boilerplate)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"),
                     F.coalesce(F.xxhash64(F.col("source")), F.lit(0)).alias("site"), F.split("text", "\n").alias("ls"))
     each = F.transform("ls", lambda x, i: F.struct(
-        i.cast("int").alias("pos"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.char_length(F.trim(x)) >= min_chars).alias("ok")))
-    return (d.select("doc_id", "th", "site", F.explode(F.filter(each, lambda s: s["ok"])).alias("s"))
-            .select("doc_id", "th", "site", "s.pos", "s.a", "s.b"))
+        i.cast("int").alias("pos"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.char_length(F.trim(x)).alias("n")))
+    need = F.when(F.col("s.n") >= min_chars, min_sites).otherwise(min_sites * SHORT_FACTOR).alias("need")
+    return (d.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+            .select("doc_id", "th", "site", "salt", F.explode(F.filter(each, lambda s: s["n"] > 0)).alias("s"))
+            .select("doc_id", "th", "site", "salt", "s.pos", "s.a", "s.b", need))
+
+
+def salted(hashes: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def boilerplate(ls: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
-    """Line hashes (a, b) found at ``min_sites`` sites or more."""
-    spread = ls.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("est"))
-    spread = saved(spread.filter(F.col("est") >= min_sites * (1 - margin)), "line-spread")
-    sure = spread.filter(F.col("est") > min_sites * (1 + margin)).select("a", "b")
-    near = spread.filter(F.col("est") <= min_sites * (1 + margin)).select("a", "b")
-    exact = (ls.join(near, ["a", "b"]).select("a", "b", "site").distinct()
-             .groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("a", "b"))
-    return sure.union(exact)
+def boilerplate(ls: DataFrame, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
+    """Line hashes (a, b) found at as many sites as they need."""
+    spread = ls.groupBy("a", "b", "need").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("est"))
+    spread = saved(spread.filter(F.col("est") >= F.col("need") * (1 - margin)), "line-spread")
+    sure = F.col("est") > F.col("need") * (1 + margin)
+    near = salted(spread.filter(~sure).select("a", "b"))
+    exact = (ls.join(near, ["a", "b", "salt"]).select("a", "b", "need", "site").distinct()
+             .groupBy("a", "b", "need").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("need")).select("a", "b"))
+    return spread.filter(sure).select("a", "b").union(exact)
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
     """doc_id, th, gone: sorted positions of the lines that go, for documents that lose any."""
-    ls = lines(docs, min_chars)
-    hits = saved(ls.join(boilerplate(ls, min_sites, margin, lg_k), ["a", "b"]), "line-hits")
+    ls = lines(docs, min_sites, min_chars)
+    key = ["a", "b", "salt"]
+    hits = saved(ls.join(salted(boilerplate(ls, margin, lg_k)), key).select("doc_id", "th", "pos", *key), "line-hits")
     rank = F.struct("doc_id", "th", "pos")
     first = hits.groupBy("a", "b").agg(F.min(rank).alias("first"))
-    later = hits.join(first, ["a", "b"]).filter(rank > F.col("first"))
+    later = hits.join(salted(first), key).filter(rank > F.col("first"))
     return later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
@@ -87,8 +100,9 @@ WITH l AS (
   SELECT doc_id, xx.pos, xx.line, coalesce(source, '\\0 none') AS site
   FROM (SELECT doc_id, source, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'pos': i - 1, 'line': x}})) AS xx
         FROM documents WHERE text IS NOT NULL)
-  WHERE length(trim(xx.line, ' ')) >= {MIN_CHARS}),
-b AS (SELECT line, min((doc_id, pos)) AS first FROM l GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+  WHERE length(trim(xx.line, ' ')) > 0),
+b AS (SELECT line, min((doc_id, pos)) AS first FROM l GROUP BY line
+      HAVING count(DISTINCT site) >= CASE WHEN length(trim(line, ' ')) >= {MIN_CHARS} THEN {MIN_SITES} ELSE {MIN_SITES * SHORT_FACTOR} END),
 gone AS (SELECT l.doc_id, l.pos FROM l JOIN b USING (line) WHERE (l.doc_id, l.pos) > b.first),
 g AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id),
 k AS (SELECT d.doc_id, d.text, g.gone, string_split(d.text, chr(10)) AS ls FROM documents d LEFT JOIN g USING (doc_id))

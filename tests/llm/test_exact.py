@@ -468,7 +468,7 @@ def brute_lines(rows, min_sites, min_chars):
     for d, t, _, s in rows:
         if t is not None:
             for i, x in enumerate(t.split("\n")):
-                if len(x.strip(" ")) >= min_chars:
+                if x.strip(" "):
                     sites.setdefault(x, set()).add(s)
                     k = (d is not None, d or 0, i)
                     first[x] = min(first.get(x, k), k)
@@ -477,7 +477,7 @@ def brute_lines(rows, min_sites, min_chars):
         if t is None:
             out[d, None, 0] += 1
             continue
-        keep = [x for i, x in enumerate(t.split("\n")) if len(sites.get(x, ())) < min_sites or first[x] == (d is not None, d or 0, i)]
+        keep = [x for i, x in enumerate(t.split("\n")) if len(sites.get(x, ())) < min_sites * (1 if len(x.strip(" ")) >= min_chars else 2) or first.get(x) == (d is not None, d or 0, i)]
         out[d, "\n".join(keep), len(t.split("\n")) - len(keep)] += 1
     return out
 
@@ -491,6 +491,25 @@ def test_lines(docs, rows, empty, min_sites):
     assert op10_lines.cleaned(empty).collect() == []
 
 
+def test_short_lines_need_more_sites(spark):
+    rows = [(i, f"Own line number {i} of this page.\n \nMenu\nHome\nThis line stands on several sites.\n", "en", f"s{i}") for i in range(12)]
+    rows = [(i, t if i < 6 else t.replace("Home", f"Home {i}").replace("This line stands on several sites.\n", ""), la, s) for i, t, la, s in rows]
+    got = {r.row.doc_id: r.text for r in op10_lines.cleaned(docs_frame(spark, rows)).collect()}
+    assert Counter((i, got[i]) for i in got) == Counter((d, t) for d, t, _ in brute_lines(rows, 5, op10_lines.MIN_CHARS).elements())
+    assert all("Home" in t for t in got.values())  # six sites: enough for a long line only
+    assert [i for i, t in got.items() if "Menu" in t] == [0] and [i for i, t in got.items() if "several" in t] == [0]
+    assert all(t.split("\n")[1] == " " for t in got.values())
+
+
+def test_hot_line_in_many_tasks(spark):
+    line = "The same line below every page of every site."
+    rows = [(i, f"Page number {i} says its own words.\n{line}", "en", f"s{i % 9}") for i in range(600)]
+    df = docs_frame(spark, rows)
+    assert op10_lines.lines(df).filter("pos = 1").select("salt").distinct().count() == op10_lines.SALTS
+    gone = {r.doc_id: r.gone for r in op10_lines.removals(df).collect()}
+    assert gone == {i: [1] for i in range(1, 600)}
+
+
 # ---- rows that earlier limits dropped
 
 def test_substring_shard_with_many_words(monkeypatch):
