@@ -2,7 +2,8 @@
 
 Candidates: the base spans of four kinds (email, ip, card, phone; regular
 expressions with their checks) and looser spans of the same kinds: emails with
-spelled-out ``at``/``dot``, phone-like digit groups without a plus, cards with
+``at``/``dot`` spelled out (in brackets or between blanks) or blanks around the
+@, addresses of IP version 6 with three groups or more, phone-like digit groups without a plus, cards with
 dots or dashes doubled up.  Every candidate gets votes (for, against, abstain)
 from regex, gazetteer and context labelers.  Votes form a small pattern, so
 the whole corpus reduces to counts per (kind, pattern): at most 3^7 * 8 rows.
@@ -23,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import numpy as np
@@ -40,14 +42,19 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}) ?[\[(] ?(?:at|AT|@) ?[\])] ?([A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?(?:dot|DOT) ?[\])]) ?[A-Za-z0-9-]{1,63}){1,4})")
 _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z.-])")
 _LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ .-]{1,2}[0-9]{4}){3}(?![0-9A-Za-z])")
+_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64} (?:at|AT) [A-Za-z0-9-]{2,63}(?: (?:dot|DOT) [A-Za-z0-9-]{2,63}){1,4}(?![A-Za-z0-9-])")
+_SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} {0,2}@ {0,2}[A-Za-z0-9-]{1,63}(?:(?: \. |\.)[A-Za-z0-9-]{2,63}){1,4}(?![A-Za-z0-9-])")
+_V6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]{0,38}::)[0-9A-Fa-f:]{3,39})(?![0-9A-Za-z:])")
+_TRUNK_PHONE = re.compile(r"(?<![0-9A-Za-z+./-])(?:00[1-9][0-9]{0,2}|0[0-9]{2,4})[ /-]?[0-9]{2,8}(?:[ /-][0-9]{2,8}){0,3}(?![0-9A-Za-z/-]|\.[0-9])")
 _DIGITS = re.compile(r"[^0-9]+")
 #: Cue words, fixed values of the context labelers.
 CUES = {"email": ("mail", "e-mail", "contact", "write"), "ip": ("ip", "host", "server", "address"),
         "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono")}
 COUNTER_CUES = ("version", "isbn", "figure", "section", "page", "total", "sum")
 #: Fixed gazetteers: common last labels of mail domains, test prefixes of numbers, reserved network prefixes.
-DOMAIN_ENDS = frozenset("com org net edu gov io de fr es uk eu info biz co us".split())
-RESERVED_NETS = ("0.", "127.", "255.")
+DOMAIN_ENDS = frozenset("com org net edu gov mil int io ai app dev info biz name co us ca mx br ar cl uk ie de at ch fr be nl lu es pt it gr "
+                        "pl cz sk hu ro bg se no dk fi is ee lv lt ua ru tr il in cn hk tw jp kr sg au nz za eu".split())
+RESERVED_NETS = ("0.", "127.", "255.", "::", "fe80:", "ff0")
 ROUNDS = 50
 #: A looser span is kept at this probability, and only if more labelers speak for it than against it.
 KEEP = 0.8
@@ -97,8 +104,15 @@ def looser_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     found = []
     if "(" in t or "[" in t:
         found += [(0, m.start(), m.end()) for m in _AT.finditer(t)]
+    if " dot " in t or " DOT " in t:
+        found += [(0, m.start(), m.end()) for m in _SPOKEN.finditer(t)]
+    if "@ " in t or " @" in t:
+        found += [(0, m.start(), m.end()) for m in _SPACED.finditer(t)]
+    if ":" in t:
+        found += [(1, m.start(), m.end()) for m in _V6.finditer(t) if len(m[0].replace("::", ":").strip(":").split(":")) >= 3 and re.search("[0-9]", m[0])]
     found += [(2, m.start(), m.end()) for m in _LOOSE_CARD.finditer(t)]
     found += [(3, m.start(), m.end()) for m in _LOOSE_PHONE.finditer(t)]
+    found += [(3, m.start(), m.end()) for m in _TRUNK_PHONE.finditer(t)]
     if not found:
         return []
     taken = sorted((s, e) for _, s, e in base)
@@ -114,6 +128,14 @@ def looser_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     return out
 
 
+def _is_v6(span: str) -> bool:
+    try:
+        ipaddress.IPv6Address(span)
+    except ValueError:
+        return False
+    return True
+
+
 def votes(t: str, kind: int, s: int, e: int, is_base: bool) -> tuple[int, ...]:
     """-1, 0 or 1 from each labeler: strict pattern, checksum or range, gazetteer,
     cue before, counter cue before, clean edges, digit variety."""
@@ -122,11 +144,12 @@ def votes(t: str, kind: int, s: int, e: int, is_base: bool) -> tuple[int, ...]:
     digits = _DIGITS.sub("", span)
     strict = 1 if is_base else 0
     if kind == 0:
-        check = 1 if "." in span or "dot" in span.lower() else -1
+        check = 1 if any(c in span for c in "@([") else 0  # words alone say nothing
         gaz = 1 if re.split(r"[.\s()\[\]]+", span.lower().rstrip(")] "))[-1] in DOMAIN_ENDS else -1
     elif kind == 1:
-        check = 1 if all(x == "0" or not x.startswith("0") for x in span.split(".")) else -1
-        gaz = -1 if span.startswith(RESERVED_NETS) else 0
+        good = _is_v6(span) if ":" in span else all(x == "0" or not x.startswith("0") for x in span.split("."))
+        check = 1 if good else -1
+        gaz = -1 if span.lower().startswith(RESERVED_NETS) else 0
     elif kind == 2:
         check = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1
         gaz = 1 if digits[:1] in "3456" else -1
@@ -136,7 +159,7 @@ def votes(t: str, kind: int, s: int, e: int, is_base: bool) -> tuple[int, ...]:
     cue = 1 if any(c in before for c in CUES[KINDS[kind]]) else 0
     counter = -1 if any(c in before for c in COUNTER_CUES) else 0
     edge = 1 if (s == 0 or not t[s - 1].isalnum()) and (e == len(t) or not t[e].isalnum()) else -1
-    variety = 1 if kind == 0 or len(set(digits)) >= 3 else -1
+    variety = 0 if kind == 0 else 1 if len(set(digits)) >= 3 else -1
     return strict, check, gaz, cue, counter, edge, variety
 
 
