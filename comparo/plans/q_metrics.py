@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from comparo.operators import metrics as M
 from comparo.operators.baseline import grouped_median, grouped_quantile
 from comparo.operators.model import fit_linear
-from comparo.operators.ordering import with_position
-from comparo.operators.split import temporal_split
+from comparo.operators.split import cut_split
 from comparo.plans.common import rnd, with_sql
 from comparo.plans.q_baseline import SHRUNK_SQL, shrunk
 from comparo.plans.registry import query
@@ -21,12 +20,12 @@ ev AS (SELECT *, CASE WHEN pos <= floor(0.7 * n_all) THEN 'train'
                       WHEN pos <= floor(0.8 * n_all) THEN 'val' ELSE 'test' END AS split FROM ev0)"""
 
 
-def evaluated(spark, sf_dir):
-    """Shrunk baseline as the prediction + 70/10/20 split, materialized once
-    (the split needs a row count and the reports several passes)."""
-    s = materialize(shrunk(spark, sf_dir).withColumn("pred", F.col("base_ppsf") * F.col("area")))
-    n = s.count()
-    return temporal_split(materialize(with_position(s, rows=n)), (0.7, 0.8), n=n)
+def evaluated(spark, sf_dir, columns=("sold_price",)):
+    """``columns`` of the priced rows with the shrunk baseline as the prediction ``pred`` + 70/10/20 split,
+    materialized once (the split needs a row count and the reports several passes)."""
+    s = shrunk(spark, sf_dir, columns=[c for c in (*columns, "area", "seq") if c != "base_ppsf"])
+    s = s.withColumn("pred", F.col("base_ppsf") * F.col("area"))
+    return cut_split(materialize(s.select(*dict.fromkeys([*columns, "day", "seq", "pred"]))), (0.7, 0.8))
 
 
 def _metric_sql(y, p):
@@ -82,7 +81,7 @@ SELECT round(1e-9 + avg(abs(sold_price - pred)), 6) AS mae_baseline,
 FROM t, med"""))
 def baseline_vs_naive(spark, sf_dir):
     """Q10/Q11/Q14: baseline vs median-price baseline and the |list - sold| naive baseline on test."""
-    e = evaluated(spark, sf_dir)
+    e = evaluated(spark, sf_dir, ("sold_price", "list_price"))
     m = grouped_median(e.where(F.col("split") == "train"), [], "sold_price").first()[0]
     t = e.where(F.col("split") == "test")
     ae_b = F.abs(F.col("sold_price") - F.col("pred"))
@@ -102,7 +101,7 @@ FROM ev WHERE split = 'test' AND pred IS NOT NULL
 GROUP BY fsa ORDER BY avg(abs(sold_price - pred) / abs(sold_price)) DESC, fsa LIMIT 10"""))
 def error_by_group_top10(spark, sf_dir):
     """Q12: worst ten FSAs by mean absolute % error on test."""
-    t = evaluated(spark, sf_dir).where(F.col("split") == "test")
+    t = evaluated(spark, sf_dir, ("fsa", "sold_price")).where(F.col("split") == "test")
     r = M.error_by_group(t, "sold_price", "pred", "fsa", 10)
     return r.select("fsa", rnd("mape").alias("mape"), "n")
 
@@ -113,7 +112,7 @@ SELECT CAST(date_trunc('month', list_date) AS DATE) AS month_start,
 FROM ev WHERE split = 'test' GROUP BY 1 ORDER BY 1 DESC LIMIT 6"""))
 def error_by_month_last6(spark, sf_dir):
     """MAE per month on test, the last six months."""
-    t = evaluated(spark, sf_dir).where(F.col("split") == "test")
+    t = evaluated(spark, sf_dir, ("list_date", "sold_price")).where(F.col("split") == "test")
     return (t.groupBy(F.trunc("list_date", "MM").alias("month_start"))
              .agg(rnd(F.avg(F.abs(F.col("sold_price") - F.col("pred")))).alias("mae"), F.count(F.lit(1)).alias("n"))
              .orderBy(F.desc("month_start")).limit(6))
@@ -126,7 +125,7 @@ SELECT split, count(*) AS n, min(list_date) AS first_date, max(list_date) AS las
 FROM ev GROUP BY split"""))
 def target_stats_by_split(spark, sf_dir):
     """Log price ratio statistics, size and date range per split."""
-    e = evaluated(spark, sf_dir).withColumn("yr", F.log("sold_price") - F.log("pred"))
+    e = evaluated(spark, sf_dir, ("list_date", "sold_price")).withColumn("yr", F.log("sold_price") - F.log("pred"))
     return e.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.min("list_date").alias("first_date"), F.max("list_date").alias("last_date"),
         rnd(F.avg("yr")).alias("y_mean"), rnd(F.stddev_samp("yr")).alias("y_std"),
@@ -157,6 +156,6 @@ SELECT split, count(*) AS n, round(1e-9 + avg(abs(price - pred)), 4) AS mae_base
 def model_vs_baseline(spark, sf_dir):
     """Q4/Q9: a linear model of the log premium against the baseline per split, with the improvement in percent and
     R² on the log premium (NULL if that does not vary)."""
-    e = evaluated(spark, sf_dir).where(F.col("pred") > 0).withColumn("lp", F.log("sold_price") - F.log("pred"))
+    e = evaluated(spark, sf_dir, ("sold_price", *MODEL_FEATURES)).where(F.col("pred") > 0).withColumn("lp", F.log("sold_price") - F.log("pred"))
     z = fit_linear(e, MODEL_FEATURES, "lp", "sold_price").predict()
     return M.against_baseline(e.withColumn("z", z).withColumn("model_price", F.col("pred") * F.exp("z")), "sold_price", "pred", "model_price", "lp", "z", "split")

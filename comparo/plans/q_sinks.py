@@ -29,7 +29,7 @@ SELECT sale_key, list_date, fsa, sold_price, round(1e-9 + pred, 4) AS predicted_
 FROM ev WHERE split = 'test'"""))
 def predictions_sink(spark, sf_dir):
     """Test predictions with errors written as parquet (partitioned by month), read back."""
-    t = evaluated(spark, sf_dir).where(F.col("split") == "test")
+    t = evaluated(spark, sf_dir, ("sale_key", "list_date", "fsa", "sold_price", "base_ppsf")).where(F.col("split") == "test")
     t = K.prediction_columns(t, "sold_price", "pred").withColumn("month", F.trunc("list_date", "MM"))
     path = K.write_table(t.select("sale_key", "list_date", "fsa", "sold_price", "pred", "abs_error", "rel_error",
                                   "base_ppsf", "month"), _path(spark, "predictions"), partition_by=["month"])

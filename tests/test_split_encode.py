@@ -159,3 +159,35 @@ def test_positions_do_not_depend_on_the_buckets(spark):
                 if x == g:
                     assert got[d, s] == (count, total)
                     total, count = total + v, count + 1
+
+
+@pytest.mark.parametrize("day_rows", [1_000_000, 3])
+@pytest.mark.parametrize("kind", ["spread", "one_day", "copies", "all_alike"])
+def test_cut_split_is_the_split_by_position(spark, monkeypatch, kind, day_rows):
+    """Cuts inside a day, inside a bucket of a hot day and among rows of equal key; and no row is shuffled for it."""
+    import random
+    rng = random.Random(3)
+    key = {"spread": lambda i: (rng.randrange(9), rng.randrange(1 << 60)), "one_day": lambda i: (5, rng.randrange(1 << 60)),
+           "copies": lambda i: (i % 3, (i % 4) << 57), "all_alike": lambda i: (7, 11)}[kind]
+    df = spark.createDataFrame([(i, *key(i)) for i in range(50)], "id int, day int, seq long").repartition(3)
+    monkeypatch.setattr(S, "DAY_ROWS", day_rows)
+    for fr, names in (((0.7, 0.8), ("train", "val", "test")), ((0.0, 1.0), ("a", "b", "c")), ((0.01,), ("a", "b"))):
+        got = S.cut_split(df, fr, names).collect()
+        want = S.temporal_split(df, fr, names).collect()
+        assert len(got) == 50 and sorted((r["day"], r["seq"], r["split"]) for r in got) == sorted((r["day"], r["seq"], r["split"]) for r in want)
+    assert S.cut_split(df.where("id < 0")).count() == 0
+    if kind == "spread":
+        assert "Exchange" not in S.cut_split(df.sparkSession.createDataFrame(df.collect(), df.schema))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_narrowed_before_joins(spark):
+    """lineitem meets supplier as a broadcast and is never shuffled for the position of the split."""
+    from comparo.plans.q_metrics import evaluated
+    from conftest import SF001
+    e = evaluated(spark, SF001)
+    assert e.columns == ["sold_price", "day", "seq", "pred", "split"]
+    from comparo.plans.common import priced
+    plan = priced(spark, SF001).select("day", "ppsf", "fsa")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "concat_ws" not in plan  # a key that is not read is not made
+    plan = priced(spark, SF001).select("day", "seq", "ppsf")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
