@@ -59,8 +59,8 @@ def fit(rows: DataFrame, x: str, y: str, weight: str | None = None, points_per_r
     if ranges == 1:
         cut = pts.withColumn("pid", F.lit(0))
     else:
-        b = bounds.first()["__b"]  # one number per range
-        cut = pts.withColumn("pid", value_range(F.array(*[F.lit(v) for v in b]), F.col("x0"), ranges))
+        # one row, a number per range: joined, since as literals every look-up would hold all of them in the plan
+        cut = pts.crossJoin(F.broadcast(bounds)).withColumn("pid", value_range(F.col("__b"), F.col("x0"), ranges))
     cut = cut.select("pid", "x0", F.col("x0").alias("x1"), "w", "s")
     meet, shift = F.col("pid"), 0
     while True:
@@ -93,9 +93,9 @@ def calibrate(rows: DataFrame, blocks: DataFrame, x: str, out: str = "calibrated
     if ranges == 1:
         src, own = src.withColumn("r", F.lit(0)), ends.withColumn("r", F.lit(0))
     else:
-        b = F.array(*[F.lit(v) for v in bounds.first()["__b"]])
-        src = src.withColumn("r", F.coalesce(value_range(b, F.col("x"), ranges), F.lit(0)))
-        own = ends.withColumn("r", value_range(b, F.col("x"), ranges))
+        b = F.broadcast(bounds)
+        src = src.crossJoin(b).withColumn("r", F.coalesce(value_range(F.col("__b"), F.col("x"), ranges), F.lit(0))).drop("__b")
+        own = ends.crossJoin(b).withColumn("r", value_range(F.col("__b"), F.col("x"), ranges)).drop("__b")
         # the last end before and the first end after each range, found over one row per range
         per = own.groupBy("r").agg(F.max(F.struct("x", "value")).alias("last"), F.min(F.struct("x", "value")).alias("first"))
         every = rows.sparkSession.range(ranges).select(F.col("id").cast("int").alias("r")).join(per, "r", "left")

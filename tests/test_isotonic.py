@@ -44,3 +44,16 @@ def test_without_points(spark):
     assert blocks.count() == 0
     assert [r["calibrated"] for r in Iso.calibrate(spark.createDataFrame([(1.0,)], "x double"), blocks, "x").collect()] == [None]
     assert Iso.calibrate(none, blocks, "x").count() == 0
+
+
+def test_plan_does_not_hold_the_range_bounds(spark):
+    """400 ranges: their bounds come from a one-row table, so the plans stay small on the driver."""
+    rows = spark.range(800).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    blocks = Iso.fit(rows.where("x % 10 = 0"), "x", "y")
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000000")
+    try:
+        t = Iso.calibrate(rows, blocks, "x", points_per_range=2)
+        assert len(t._jdf.queryExecution().analyzed().toString()) < 30_000
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
