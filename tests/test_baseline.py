@@ -239,3 +239,16 @@ def test_quantile_brackets_narrow_in_rounds(spark, monkeypatch):
     assert seen[0][1] >= 2 and set(got) == set(want)
     for g, r in want.items():
         assert [got[g][k] for k in qs] == [r[k] for k in qs]
+
+
+def test_lag_row_blocks_open_few_ranges(spark, monkeypatch):
+    """No table of blocks x value ranges (150 x 64 here), whatever the bounds of a task; small tasks share a kernel."""
+    import comparo.session as Ses
+    sizes, write = [], Ses.materialize
+    monkeypatch.setattr(Ses, "materialize", lambda df: (lambda t: (sizes.append(t.count()), t)[1])(write(df)))
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": "a", "day": np.arange(600) // 20, "seq": np.arange(600), "sale_key": [f"{i:04d}" for i in range(600)], "v": rng.normal(size=600)})
+    got = B.lag_row_median(spark.createDataFrame(pdf), ["g"], "v", 10, 3, out="m", max_task_rows=20, block_rows=4).toPandas().sort_values("seq")
+    want = pd.Series(pdf["v"].to_numpy(), index=pd.to_datetime(pdf["day"], unit="D")).rolling("10D", min_periods=3).median().shift(1)
+    assert np.allclose(got["m"].to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
+    assert max(sizes) < 2_000, sizes
