@@ -41,6 +41,10 @@ def label_codes(df: DataFrame, col: str, out: str | None = None, unknown: str =
     return df.withColumn("__v", v).join(codes, "__v", "left").drop("__v")
 
 
+#: Values of a vocabulary up to which it is broadcast.
+SMALL_VOCABULARY = 100_000
+
+
 # ---------------------------------------------------------------------------
 # One-hot vocabularies fitted on train
 # ---------------------------------------------------------------------------
@@ -59,8 +63,15 @@ def frequent_values(train: DataFrame, col: str, min_count: int = 30) -> DataFram
 
 def map_to_vocab(df: DataFrame, col: str, vocab: DataFrame, out: str, other: str | None = None,
                  small: bool = False) -> DataFrame:
-    """Keep the value if it is in ``vocab`` else ``other`` (NULL = all-zero one-hot)."""
+    """Keep the value if it is in ``vocab`` else ``other`` (NULL = all-zero one-hot).
+
+    The vocabulary is written and counted unless it is ``small`` by its rule: one of few values is broadcast, as a
+    shuffle would put all rows of a value into one task."""
+    from comparo.session import materialize
     v = vocab.select(F.col(col).alias("__kv"), F.lit(True).alias("__in"))
+    if not small:
+        v = materialize(v)
+        small = v.count() <= SMALL_VOCABULARY
     if small:
         v = F.broadcast(v)
     res = df.join(v, df[col] == v["__kv"], "left")

@@ -172,7 +172,7 @@ SELECT sale_key, voc.v AS title_hot
 FROM spl LEFT JOIN voc ON coalesce(spl.title, 'NA') = voc.v"""))
 def onehot_all_values(spark, sf_dir):
     """vocabulary = every train value (NULL → 'NA'); unseen values → all-zero row (NULL)."""
-    s = split_frame(spark, sf_dir).withColumn("title_na", F.coalesce(F.col("title"), F.lit("NA")))
+    s = split_frame(spark, sf_dir, columns=["sale_key", "title"]).withColumn("title_na", F.coalesce(F.col("title"), F.lit("NA")))
     voc = s.where(_train()).select("title_na").distinct()
     return E.map_to_vocab(s, "title_na", voc, "title_hot").select("sale_key", "title_hot")
 
