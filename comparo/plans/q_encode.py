@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from comparo.operators import encode as E
 from comparo.operators import split as S
-from comparo.plans.common import SPLIT_SQL, priced, rnd, split_frame, with_sql
+from comparo.plans.common import SPLIT_SQL, cut_frame, priced, rnd, split_frame, with_sql
 from comparo.plans.registry import query
 
 
@@ -36,7 +36,7 @@ SELECT sale_key, top.complex AS complex_hot
 FROM spl LEFT JOIN top ON spl.complex = top.complex"""))
 def onehot_top20(spark, sf_dir):
     """Hot value among the 20 most frequent train values (NULL = all-zero row)."""
-    s = split_frame(spark, sf_dir, columns=["sale_key", "complex"])
+    s = cut_frame(spark, sf_dir, ["complex"])
     top = E.top_values(s.where(_train()), "complex", 20)
     return E.map_to_vocab(s, "complex", top, "complex_hot", small=True).select("sale_key", "complex_hot")
 
@@ -66,7 +66,7 @@ SELECT s.sale_key, round(1e-9 + coalesce(l.last_te, g.gm), 6) FROM spl s LEFT JO
 WHERE s.split <> 'train'"""))
 def te_ordered(spark, sf_dir):
     """Expanding mean of earlier train rows per category; val/test take the last train value."""
-    s = E.ordered_te(split_frame(spark, sf_dir, columns=["sale_key", "complex"]), "complex", "y", _train())
+    s = E.ordered_te(cut_frame(spark, sf_dir, ["complex", "y"]), "complex", "y", _train())
     return s.select("sale_key", rnd("complex_te").alias("complex_te"))
 
 
@@ -162,7 +162,7 @@ SELECT sale_key, round(1e-9 + (area - ma) / sa, 6) AS area_z, round(1e-9 + (list
 FROM spl, st"""))
 def standardize(spark, sf_dir):
     """Z-scores with train mean and population sd."""
-    s = E.standardize(split_frame(spark, sf_dir), ["area", "list_price"], _train())
+    s = E.standardize(cut_frame(spark, sf_dir, ["area", "list_price"]), ["area", "list_price"], _train())
     return s.select("sale_key", rnd("area_z").alias("area_z"), rnd("list_price_z").alias("list_price_z"))
 
 
@@ -172,7 +172,7 @@ SELECT sale_key, voc.v AS title_hot
 FROM spl LEFT JOIN voc ON coalesce(spl.title, 'NA') = voc.v"""))
 def onehot_all_values(spark, sf_dir):
     """vocabulary = every train value (NULL → 'NA'); unseen values → all-zero row (NULL)."""
-    s = split_frame(spark, sf_dir, columns=["sale_key", "title"]).withColumn("title_na", F.coalesce(F.col("title"), F.lit("NA")))
+    s = cut_frame(spark, sf_dir, ["title"]).withColumn("title_na", F.coalesce(F.col("title"), F.lit("NA")))
     voc = s.where(_train()).select("title_na").distinct()
     return E.map_to_vocab(s, "title_na", voc, "title_hot").select("sale_key", "title_hot")
 
@@ -198,7 +198,7 @@ SELECT sale_key, CAST({offset} AS INTEGER) AS width, idx, 1.0 AS value FROM ({'
 def onehot_blocks(spark, sf_dir):
     """Four blocks (all values, top 20, 30 rows or more, the same with an other bin) in one sparse
     row of fixed width, aligned to train; one result row per set entry."""
-    s = split_frame(spark, sf_dir, columns=["sale_key", *(c for c, _, _ in _BLOCKS)])
+    s = cut_frame(spark, sf_dir, [c for c, _, _ in _BLOCKS])
     specs = [(c, E.vocabulary(s.where(_train()), c, **how, **fit), how) for c, how, fit in _BLOCKS]
     t = E.one_hot(s, specs).select("sale_key", F.col("onehot.size").alias("width"), F.explode(F.arrays_zip("onehot.indices", "onehot.values")).alias("e"))
     return t.select("sale_key", "width", F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))
