@@ -61,19 +61,22 @@ def frequent_values(train: DataFrame, col: str, min_count: int = 30) -> DataFram
                  .where(F.col("n") >= min_count).select(col))
 
 
+def _counted(t: DataFrame) -> DataFrame:
+    """``t`` written and counted, and broadcast if it is small: its estimated size is that of the rows it was made of, and an
+    adaptive join has shuffled all rows when it learns the real one."""
+    from comparo.session import materialize
+    t = materialize(t)
+    return F.broadcast(t) if t.count() <= SMALL_VOCABULARY else t
+
+
 def map_to_vocab(df: DataFrame, col: str, vocab: DataFrame, out: str, other: str | None = None,
                  small: bool = False) -> DataFrame:
     """Keep the value if it is in ``vocab`` else ``other`` (NULL = all-zero one-hot).
 
     The vocabulary is written and counted unless it is ``small`` by its rule: one of few values is broadcast, as a
     shuffle would put all rows of a value into one task."""
-    from comparo.session import materialize
     v = vocab.select(F.col(col).alias("__kv"), F.lit(True).alias("__in"))
-    if not small:
-        v = materialize(v)
-        small = v.count() <= SMALL_VOCABULARY
-    if small:
-        v = F.broadcast(v)
+    v = F.broadcast(v) if small else _counted(v)
     res = df.join(v, df[col] == v["__kv"], "left")
     keep = F.when(F.col("__in"), F.col(col))
     if other is not None:
@@ -171,8 +174,8 @@ def kfold_te(df: DataFrame, cat: str, y: str, fold: str, is_train: Column, out:
     out = out or f"{cat}_te"
     is_train = F.coalesce(is_train, F.lit(False))
     train = df.where(is_train)
-    per = train.groupBy(cat, fold).agg(F.sum(y).alias("__s_cf"), F.count(y).alias("__n_cf"))
-    tot_c = per.groupBy(cat).agg(F.sum("__s_cf").alias("__s_c"), F.sum("__n_cf").alias("__n_c"))
+    per = _counted(train.groupBy(cat, fold).agg(F.sum(y).alias("__s_cf"), F.count(y).alias("__n_cf")))
+    tot_c = _counted(per.groupBy(cat).agg(F.sum("__s_cf").alias("__s_c"), F.sum("__n_cf").alias("__n_c")))
     per_f = per.groupBy(fold).agg(F.sum("__s_cf").alias("__s_f"), F.sum("__n_cf").alias("__n_f"))
     g = train.agg(F.sum(y).alias("s"), F.count(y).alias("n")).first()
     S, N = float(g["s"] or 0.0), int(g["n"])

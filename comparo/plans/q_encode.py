@@ -89,7 +89,7 @@ SELECT kf.sale_key, round(1e-9 + coalesce(c.s_c / c.n_c, g.s / g.n), 6)
 FROM kf LEFT JOIN c USING (complex), g WHERE kf.split <> 'train'"""))
 def te_kfold(spark, sf_dir):
     """Shuffled 5-fold target encoding by subtraction, unsmoothed."""
-    s = S.kfold_hash(split_frame(spark, sf_dir))
+    s = S.kfold_hash(cut_frame(spark, sf_dir, ["complex", "y"]))
     return E.kfold_te(s, "complex", "y", "fold", _train()).select("sale_key", rnd("complex_te").alias("complex_te"))
 
 
