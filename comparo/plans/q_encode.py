@@ -47,7 +47,7 @@ SELECT sale_key, CASE WHEN keep.partkey IS NOT NULL THEN CAST(spl.partkey AS VAR
 FROM spl LEFT JOIN keep ON spl.partkey = keep.partkey"""))
 def onehot_min_freq_other(spark, sf_dir):
     """Addresses with ≥ 30 train rows kept, the rest binned to '__OTHER__'."""
-    s = split_frame(spark, sf_dir).withColumn("address", F.col("partkey").cast("string"))
+    s = cut_frame(spark, sf_dir, ["partkey"]).withColumn("address", F.col("partkey").cast("string"))
     keep = E.frequent_values(s.where(_train()), "address", 30)
     return E.map_to_vocab(s, "address", keep, "address_bin", other="__OTHER__").select("sale_key", "address_bin")
 
