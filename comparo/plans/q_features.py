@@ -8,7 +8,7 @@ from comparo.functions.calendar import calendar_columns
 from comparo.operators import features as X
 from comparo.operators.baseline import grouped_median
 from comparo.operators.encode import label_codes
-from comparo.plans.common import PRICED_SQL, SPLIT_SQL, priced, rnd, split_frame, with_sql
+from comparo.plans.common import PRICED_SQL, SPLIT_SQL, cut_frame, priced, rnd, with_sql
 from comparo.plans.registry import query
 
 
@@ -70,7 +70,7 @@ SELECT sale_key,
 FROM spl, lim"""))
 def winsorized(spark, sf_dir):
     """Limits fitted on the train split only (§8 Z8), applied to all rows."""
-    s = split_frame(spark, sf_dir)
+    s = cut_frame(spark, sf_dir, _WIN_COLS)
     lim = X.quantile_limits(s.where(F.col("split") == "train"), _WIN_COLS)
     # interpolated limits differ between engines in the last bits: tie-stable rounding
     return X.winsorize(s, lim).select("sale_key", *[rnd(f"{c}_w").alias(f"{c}_w") for c in _WIN_COLS])
