@@ -86,7 +86,7 @@ SELECT sale_key, area_bin, coalesce(mps, bin_med, all_med) AS maint_per_sqft_fil
 FROM b LEFT JOIN med USING (area_bin), allmed"""))
 def bin_median_impute(spark, sf_dir):
     """P16/AG17: NULL maintenance per area ← median of its equal-width area bin (train-fitted)."""
-    s = split_frame(spark, sf_dir)
+    s = cut_frame(spark, sf_dir, ["area", "maint_fee"])
     train = s.where(F.col("split") == "train")
     lo, hi = train.agg(F.min("area"), F.max("area")).first()
     b = (s.withColumn("area_bin", X.equal_width_bin(F.col("area"), lo, hi, 5))
