@@ -136,7 +136,7 @@ SELECT sale_key, round(1e-9 + coalesce(CAST(maint_fee AS DOUBLE), mm), 6) AS mai
        round(1e-9 + coalesce(CAST(tax AS DOUBLE), mt), 6) AS tax_filled FROM spl, m"""))
 def median_fill(spark, sf_dir):
     """Missing fees and taxes get the column's median over train."""
-    s = X.median_fill(split_frame(spark, sf_dir), ["maint_fee", "tax"], F.col("split") == "train")
+    s = X.median_fill(cut_frame(spark, sf_dir, ["maint_fee", "tax"]), ["maint_fee", "tax"], F.col("split") == "train")
     return s.select("sale_key", rnd("maint_fee_filled").alias("maint_fee_filled"), rnd("tax_filled").alias("tax_filled"))
 
 
