@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from comparo.operators import split as S
 from comparo.operators import weights as W
-from comparo.plans.common import PRICED_SQL, SPLIT_SQL, priced, rnd, split_frame, with_sql
+from comparo.plans.common import PRICED_SQL, SPLIT_SQL, cut_frame, priced, rnd, split_frame, with_seq, with_sql
 from comparo.plans.registry import query
 from comparo.sources.sales import sales
 
@@ -106,7 +106,7 @@ wn AS (SELECT wt.*, w_raw / (SELECT avg(w_raw) FROM wt WHERE split = 'train') AS
 
 
 def _weights(spark, sf_dir):
-    s = split_frame(spark, sf_dir)
+    s = cut_frame(spark, sf_dir, ["list_date", "sold_price"])
     is_tr = F.col("split") == "train"
     ref = s.where(is_tr).agg(F.max("list_date")).first()[0]
     s = (s.withColumn("w_recency", F.when(is_tr, W.recency_weight(F.col("list_date"), ref, 365.0, 0.05)))
