@@ -76,10 +76,12 @@ SELECT sale_key, CAST(CASE WHEN pos <= first THEN 0 ELSE (pos - first - 1) // si
 FROM q"""))
 def folds_time_series(spark, sf_dir):
     """SP9: TimeSeriesSplit blocks of the 70% train rows."""
-    s = split_frame(spark, sf_dir).where(F.col("split") == "train")
-    n = s.count()
-    b, _ = S.time_series_blocks(s, n)
-    return b.select("sale_key", "block")
+    from comparo.session import materialize
+    p = with_seq(materialize(priced(spark, sf_dir).select("sale_key", "day")))
+    n_all = p.count()
+    ends = S.time_series_cuts(int(0.7 * n_all))
+    b = S.cut_at(p, ends, range(len(ends) + 1), n_all, out="block")
+    return b.where(F.col("block") < len(ends)).select("sale_key", F.col("block").cast("int").alias("block"))
 
 
 @query("sample_rows", sql=with_sql(PRICED_SQL, """
