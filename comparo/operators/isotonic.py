@@ -3,13 +3,13 @@
 1. equal predictions are added up (weights and weighted targets), so a task never
    sees more than distinct values;
 2. the points are cut into ranges of the prediction, and each range pools its own
-   adjacent violators into blocks;
+   adjacent violators into blocks (ranges of few points share a task, which pools each and then their blocks);
 3. neighbouring ranges meet in pairs, shifted by one in every other round, and pool again
    until no range border has a violator: pooling in any order gives the same fit;
 4. a prediction is calibrated by linear interpolation between the ends of the blocks, clipped
    outside them; rows and block ends of one range meet in one task.
 
-A task holds the points of about two ranges; one row per range reaches the driver as a count.
+A task holds the points of about two ranges, or of several small ones; only numbers of points and ranges reach the driver.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from comparo.operators.baseline import value_range
+from comparo.operators.baseline import numbered_ranges
 from comparo.session import materialize
 
 POINTS_PER_RANGE = 500_000
+#: Where there are more ranges than ``_MANY`` they share tasks of about so many points.
+_MANY, _SHARED = 1024, 50_000
 
 
 def pool(x0: np.ndarray, x1: np.ndarray, w: np.ndarray, s: np.ndarray) -> list[tuple[float, float, float, float]]:
@@ -39,14 +41,9 @@ def pool(x0: np.ndarray, x1: np.ndarray, w: np.ndarray, s: np.ndarray) -> list[t
 _BLOCK = "pid int, x0 double, x1 double, w double, s double"
 
 
-def _ranges(points: DataFrame, x: str, per_range: int) -> tuple[DataFrame, int]:
-    """One row with the sketch bounds of ``x``, and the number of ranges."""
-    n = points.count()
-    ranges = max(1, -(-n // per_range))
-    if ranges == 1:
-        return points, 1
-    bounds = materialize(points.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 10000).alias("__b")))
-    return bounds, ranges
+def _tasks(n: int, per_range: int) -> int:
+    """Tasks for ``n`` points: one for each range, or fewer if these are many and small."""
+    return max(1, min(-(-n // per_range), max(_MANY, -(-n // _SHARED))))
 
 
 def fit(rows: DataFrame, x: str, y: str, weight: str | None = None, points_per_range: int = POINTS_PER_RANGE) -> DataFrame:
@@ -55,18 +52,16 @@ def fit(rows: DataFrame, x: str, y: str, weight: str | None = None, points_per_r
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     pts = rows.select(F.col(x).cast("double").alias("x0"), F.col(y).cast("double").alias("y"), w.alias("w")).where("x0 IS NOT NULL AND y IS NOT NULL AND w > 0")
     pts = materialize(pts.groupBy("x0").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s")))
-    bounds, ranges = _ranges(pts, "x0", points_per_range)
-    if ranges == 1:
-        cut = pts.withColumn("pid", F.lit(0))
-    else:
-        # one row, a number per range: joined, since as literals every look-up would hold all of them in the plan
-        cut = pts.crossJoin(F.broadcast(bounds)).withColumn("pid", value_range(F.col("__b"), F.col("x0"), ranges))
+    # bounds are joined, since as literals every look-up would hold all of them in the plan
+    cut = numbered_ranges(pts, [], "x0", _tasks(pts.count(), points_per_range), "pid")[0]
     cut = cut.select("pid", "x0", F.col("x0").alias("x1"), "w", "s")
     meet, shift = F.col("pid"), 0
     while True:
         def pooled(f: pd.DataFrame) -> pd.DataFrame:
             f = f.sort_values("x0", kind="stable")
-            got = pool(*(f[c].to_numpy(dtype="float64") for c in ("x0", "x1", "w", "s")))
+            parts = [f[c].to_numpy(dtype="float64") for c in ("x0", "x1", "w", "s")]
+            got = [b for i in range(0, len(f), points_per_range) for b in pool(*(p[i:i + points_per_range] for p in parts))]
+            got = pool(*np.array(got).T) if len(f) > points_per_range else got
             first = f.drop_duplicates("x0").set_index("x0")["pid"]
             return pd.DataFrame([(int(first[g[0]]), *g) for g in got], columns=["pid", "x0", "x1", "w", "s"])
 
@@ -87,15 +82,14 @@ def calibrate(rows: DataFrame, blocks: DataFrame, x: str, out: str = "calibrated
     """Adds ``out``: the fit at ``x``, linear between blocks, clipped outside them; NULL for a NULL x or without blocks."""
     ends = blocks.select(F.explode(F.array(F.struct(F.col("x0").alias("x"), "value"), F.struct(F.col("x1").alias("x"), "value"))).alias("e")).select("e.x", "e.value").distinct()
     ends = materialize(ends)
-    bounds, ranges = _ranges(rows.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x")), "x", points_per_range)
     cols = rows.columns
     src = rows.select(F.struct(*cols).alias("row"), F.col(x).cast("double").alias("x"))
-    if ranges == 1:
-        src, own = src.withColumn("r", F.lit(0)), ends.withColumn("r", F.lit(0))
-    else:
-        b = F.broadcast(bounds)
-        src = src.crossJoin(b).withColumn("r", F.coalesce(value_range(F.col("__b"), F.col("x"), ranges), F.lit(0))).drop("__b")
-        own = ends.crossJoin(b).withColumn("r", value_range(F.col("__b"), F.col("x"), ranges)).drop("__b")
+    tasks = _tasks(rows.where(F.col(x).isNotNull()).count(), points_per_range)
+    # the rows' ranges, for rows and block ends alike: equal values get equal numbers
+    both = src.select("row", "x", F.lit(None).cast("double").alias("value")).unionByName(ends.select(F.lit(None).cast(src.schema["row"].dataType).alias("row"), "x", "value"))
+    both, ranges = numbered_ranges(both, [], "x", tasks, "r", source=src)
+    src, own = both.where("row IS NOT NULL").select("row", "x", F.coalesce("r", F.lit(0)).alias("r")), both.where("row IS NULL").select("x", "value", "r")
+    if ranges > 1:
         # the last end before and the first end after each range, found over one row per range
         per = own.groupBy("r").agg(F.max(F.struct("x", "value")).alias("last"), F.min(F.struct("x", "value")).alias("first"))
         every = rows.sparkSession.range(ranges).select(F.col("id").cast("int").alias("r")).join(per, "r", "left")
